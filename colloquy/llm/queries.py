@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, secrets
+from colloquy.llm import bpe, dedup, secrets
 from colloquy.llm.shared import table
 
 
@@ -31,5 +31,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe}
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_bpe": op2_bpe,
+    "op9_minhash_dedup": op9_minhash_dedup,
+}
 ORACLES: dict[str, str] = {}
