@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, dedup, secrets
+from colloquy.llm import bpe, decontaminate, dedup, lzprint, secrets
 from colloquy.llm.shared import table
 
 
@@ -31,6 +31,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lzprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,6 +47,8 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_lz_fingerprint": op5_lz_fingerprint,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
