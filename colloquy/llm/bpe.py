@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 LONG_CHARS = 65_536
 #: Length of such parts, and of the halves of unsplit text.
 PART_CHARS = 16_384
-CACHE_UNITS = 300_000
+CACHE_UNITS = 100_000
+#: Texts whose words are held at once.
+STEP_ROWS = 64
 
 
 class Bpe:
@@ -211,8 +213,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", to: str
 
         b = bpe(path)
         for batch in batches:
-            ids = b.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["row", "ids"])
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
+                ids = b.encode(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["row", "ids"])
 
     short = base.where(~is_long).mapInArrow(short_ids, schema)
 
