@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, decontaminate, dedup, lzprint, secrets
+from colloquy.llm import bpe, decontaminate, dedup, lzprint, secrets, suffixtree
 from colloquy.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_lz_fingerprint": op5_lz_fingerprint,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 ORACLES: dict[str, str] = {}
