@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +78,6 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -
 
     Null and empty texts have an empty one; equal texts have equal ones; rows stay.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def made(column: pd.Series) -> pd.Series:
         return column.map(lambda t: written(fingerprint(t)))
@@ -104,9 +103,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rows_
     edges = np.array([int(b) for b in bounds], np.int64)
 
     @F.pandas_udf(T.LongType())
-    def part_of(at):
-        import pandas as pd
-
+    def part_of(at: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, at.to_numpy(np.int64), side="right"))
 
     numbered = base.withColumn("part", part_of("at"))
@@ -116,9 +113,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rows_
     ats, where = np.array(sorted(back), np.int64), np.array([back[a] for a in sorted(back)], np.int64)
 
     @F.pandas_udf(T.LongType())
-    def before(at):
-        import pandas as pd
-
+    def before(at: pd.Series) -> pd.Series:
         x = at.to_numpy(np.int64)
         i = np.clip(np.searchsorted(ats, x), 0, max(0, len(ats) - 1))
         return pd.Series(np.where(ats[i] == x, where[i], -1))

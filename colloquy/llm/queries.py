@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, decontaminate, dedup, lzprint, secrets, suffixtree
+from colloquy.llm import bpe, decontaminate, dedup, lzprint, mainpage, secrets, suffixtree, warc
 from colloquy.llm.shared import table
 
 
@@ -31,6 +31,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return done.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +45,11 @@ def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mainpage.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,8 +61,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op5_lz_fingerprint": op5_lz_fingerprint,
+    "op6_main_text": op6_main_text,
     "op8_suffix_tree": op8_suffix_tree,
     "op9_minhash_dedup": op9_minhash_dedup,
 }

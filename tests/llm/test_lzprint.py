@@ -69,3 +69,8 @@ def test_next_with_nulls_and_repeats(spark, monkeypatch):
 def test_one_and_none(spark, monkeypatch):
     check(spark, [(1, "abcdef")], 10, monkeypatch)
     assert lzprint.compare_with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprint_column(spark):
+    got = lzprint.fingerprints(spark.createDataFrame([(1, "abc"), (2, None), (3, "abc")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fingerprint for r in got} == {1: lzprint.written(lzprint.fingerprint("abc")), 2: "", 3: lzprint.written(lzprint.fingerprint("abc"))}
