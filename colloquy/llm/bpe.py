@@ -14,6 +14,7 @@ Ids travel as little-endian unsigned 32-bit integers in one binary value.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +29,9 @@ from pyspark.sql import types as T
 LONG_CHARS = 65_536
 #: Length of such parts, and of the halves of unsplit text.
 PART_CHARS = 16_384
-CACHE_UNITS = 100_000
+CACHE_UNITS = 150_000
+#: New words encoded by one call.
+RUN_UNITS = 2_000
 #: Texts whose words are held at once.
 STEP_ROWS = 64
 
@@ -43,13 +46,14 @@ class Bpe:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        # two generations: words that recur move on when the first is full, the others go
         self.cache: dict[str, bytes | None] = {}
-        added = self.lib.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
-        to_byte = {c: b for b, c in _byte_chars().items()}
-        self.bytes_of: dict[int, bytes] = {}
-        for token, i in self.lib.get_vocab(with_added_tokens=True).items():
-            self.bytes_of[i] = token.encode() if i in added else bytes(to_byte[c] for c in token)
+        self.older: dict[str, bytes | None] = {}
+        self.special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.bytes_of = token_bytes(path)
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.lengths[i] = len(b)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -57,33 +61,46 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The library's ids. Words recur, so each is encoded once and then looked up;
         texts with runs of white space, where a word's tokens depend on its neighbours, go whole."""
-        split, missing, cache = [], {}, self.cache
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        for text in texts:
-            first, *rest = text.split(" ")
-            units = [first, *[" " + w for w in rest]] if text else []
-            split.append(units)
-            for u in units:
-                if u not in cache:
-                    missing[u] = None
-        safe = []
-        for u in missing:
-            w = u[1:] if u[:1] == " " else u
-            if not w or w[0].isspace() or w[-1].isspace():
-                cache[u] = None
-            else:
-                safe.append(u)
-        cache.update(zip(safe, self.library(safe)))
+        if len(self.cache) > CACHE_UNITS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        split = [t.split(" ") for t in texts]
+        found = [list(map(cache.get, words[1:])) for words in split]
+        missing: dict[str, None] = {}
+        stale = []
+        for n, (words, parts) in enumerate(zip(split, found)):
+            if None in parts:
+                stale.append(n)
+                for w, p in zip(words[1:], parts):
+                    if p is None:
+                        if w in older:
+                            cache[w] = older[w]
+                        else:
+                            missing[w] = None
+        self._learn([w for w in missing if not _unsafe(w)])
+        cache.update((w, UNSAFE) for w in missing if _unsafe(w))
+        for n in stale:
+            found[n] = list(map(cache.get, split[n][1:]))
+        firsts = self.library([words[0] for words in split])
         out: list[bytes] = []
-        for text, units in zip(texts, split):
-            parts = [cache[u] for u in units]
-            out.append(self.library([text])[0] if None in parts else b"".join(parts))
+        for text, words, first, parts in zip(texts, split, firsts, found):
+            if UNSAFE in parts or (words[0] and _unsafe(words[0])):
+                out.append(self.library([text])[0])
+            else:
+                out.append(first + b"".join(parts))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        return b"".join([table.get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words, each after a space, many at a time: they can't merge with each
+        other, and the tokens' lengths in bytes tell whose they are."""
+        chunks = [[" " + w for w in words[i : i + RUN_UNITS]] for i in range(0, len(words), RUN_UNITS)]
+        for chunk, ids in zip(chunks, self.library(["".join(c) for c in chunks])):
+            ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+            stops = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in chunk])) + 1
+            at = 0
+            for u, stop in zip(chunk, (stops * 4).tolist()):
+                self.cache[u[1:]] = ids[at:stop]
+                at = stop
 
     def parts(self, text: str, part_chars: int) -> list[tuple[int, str]]:
         """Cuts of a text: (group, part). Parts of one group are pieces of one unsplit
@@ -145,6 +162,14 @@ class Bpe:
         return self.bytes_of[token][0] & 0xC0 != 0x80
 
 
+#: Mark of words whose tokens depend on what stands beside them.
+UNSAFE = b""
+
+
+def _unsafe(word: str) -> bool:
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
 def _byte_chars() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -181,6 +206,21 @@ def _halves(text: str, part_chars: int) -> list[str]:
     return _halves(text[:mid], part_chars) + _halves(text[mid:], part_chars)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id; added tokens stand for their own text."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    to_byte = {c: b for b, c in _byte_chars().items()}
+    added = {t["id"]: t["content"].encode() for t in said["added_tokens"]}
+    return {i: bytes(map(to_byte.__getitem__, token)) for token, i in said["model"]["vocab"].items() if i not in added} | added
+
+
+def text_of(ids: bytes, path: str) -> str:
+    get = token_bytes(path).get
+    return b"".join([get(i, b"") for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
+
+
 @lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
     return Bpe(path)
@@ -267,8 +307,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
     path = path or default_path()
 
     @F.pandas_udf(T.StringType())
-    def text_of(column: pd.Series) -> pd.Series:
-        b = bpe(path)
-        return column.map(lambda x: b.decode(x or b""))
+    def texts(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: text_of(x or b"", path))
 
-    return tokens.withColumn(to, text_of(F.col(ids)))
+    return tokens.withColumn(to, texts(F.col(ids)))
