@@ -53,12 +53,12 @@ def shingles(text: str | None) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     if len(words) < WORDS:
         return np.array([h(b" ".join(words))], np.uint64)
-    ids: dict[bytes, int] = {}
-    w = np.fromiter((ids[x] if x in ids else ids.setdefault(x, h(x)) for x in words), np.uint64, len(words))
-    # a shingle's hash is a polynomial of its words' hashes, mixed twice
-    acc = np.zeros(len(w) - WORDS + 1, np.uint64)
-    for k in range(WORDS):
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - WORDS + 1 + k])
+    w = np.array(list(map(h, words)), np.uint64)
+    n = len(w) - WORDS + 1
+    acc = w[:n]
+    for k in range(1, WORDS):  # a polynomial of the words' hashes, mixed
+        acc = acc * np.uint64(0x9E3779B97F4A7C15) + w[k : n + k]
+    acc = _mix(acc)
     return np.unique(acc)
 
 
@@ -69,17 +69,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _lanes() -> tuple[np.ndarray, np.ndarray]:
-    n = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
-    return _mix(n * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), _mix(n + np.uint64(0xD1B54A32D192ED03))
+def _lanes() -> np.ndarray:
+    return _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    a, b = _lanes()
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 4096):
-        x = (h[at : at + 4096, None] ^ b) * a
-        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    """The least of each lane's products; the hashes are random, so odd factors reorder them."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, np.multiply.outer(_lanes(), h[at : at + 1024]).min(axis=1))
     return (_mix(least) >> np.uint64(32)).astype("<u4")
 
 
@@ -153,7 +151,7 @@ def text_key(text: str):
     return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (left, right class numbers) whose full sets are similar enough."""
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,9 +167,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
         .join(sig.select(F.col("cid").alias("right"), F.col("sig").alias("y")), "right")
         .select("left", "right", "x", "y")
     )
-    live = cut(both.mapInPandas(prune, "left binary, right binary"), "live")
-    wanted = live.select(F.col("left").alias("cid")).union(live.select("right")).distinct()
-    sets = cut(_class_sets(classes, wanted, docs, id_col, text), "sets")
+    live = both.mapInPandas(prune, "left binary, right binary")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,7 +226,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     size = ROWS * 4
     bands = classes.select("cid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * size + 1, F.lit(size))))).alias("band", "value"))
     many = bands.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(many, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "cid"), "members")
+    members = cut(bands.join(many, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), F.col("band").cast("int").alias("band"), "cid"), "members")
+    near = cut(_class_sets(classes, members.select("cid").distinct(), docs, id_col, text).join(classes.select("cid", "sig"), "cid"), "sets")
     labels = members.select("cid", F.col("cid").alias("comp")).distinct()
     links = None
     for r in range(STARS):
@@ -238,11 +235,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
         order = F.struct(F.xxhash64("cid", F.lit(r)), F.col("cid"), F.col("comp")) if r else F.struct(F.lit(0), F.col("cid"), F.col("comp"))
         hub = now.groupBy("bucket").agg(F.min(order).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", F.col("hub.cid").alias("hub"), F.col("hub.comp").alias("hub_comp"))
         pairs = now.join(hub, "bucket").where("comp <> hub_comp").select(F.least("cid", "hub").alias("left"), F.greatest("cid", "hub").alias("right")).distinct()
-        found = cut(_verified(pairs, classes, docs, id_col, text), f"links{r}")
+        found = cut(_verified(pairs, near.select("cid", "sig"), near.select("cid", "hashes")), f"links{r}")
         links = found if links is None else links.union(found)
         labels = members.select("cid").distinct().join(components(members, links), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"))
         labels = cut(labels, "labels")
-    links = links.union(_closure(members, labels, classes, docs, id_col, text))
+    links = links.union(_closure(members, labels, near))
     final = components(members, links)
     least = final.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = final.join(least, "comp").select(F.col("cid").alias("set_key"), "component_id")
@@ -255,18 +252,16 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def _closure(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _closure(members: DataFrame, labels: DataFrame, near: DataFrame) -> DataFrame:
     """Links between components that still share a bucket, by block pairs."""
     now = members.join(labels, "cid")
     open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = cut(now.join(open_, "bucket").select("bucket", "blocks", "cid", "comp"), "open")
-    wanted = left.select("cid").distinct()
-    full = cut(_class_sets(classes, wanted, docs, id_col, text).join(classes.select("cid", "sig"), "cid"), "full")
+    left = now.join(open_, "bucket").select("bucket", "band", "blocks", "cid", "comp")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = (
         left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "cid", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(full, "cid")
+        .select("bucket", "band", "cid", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(near, "cid")
     )
     return dealt.groupBy("bucket", "i", "j").applyInPandas(block_links, "left binary, right binary")
 
@@ -274,6 +269,7 @@ def _closure(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Da
 def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """The links that connect components within one block pair, a spanning forest of them."""
     pdf = pdf.sort_values("cid")
+    band = int(pdf.band.iloc[0])
     cid, own = pdf.cid.tolist(), pdf.own.to_numpy()
     sig = np.frombuffer(b"".join(pdf.sig), "<u4").reshape(len(pdf), -1)
     sets = [np.frombuffer(h, np.uint64) for h in pdf.hashes]
@@ -286,6 +282,9 @@ def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(rest):
             continue
         alive = rest[survivors(np.broadcast_to(sig[a], (len(rest), sig.shape[1])), sig[rest])]
+        # a pair that shares an earlier band is compared in that band's bucket
+        same = (sig[alive] == sig[a]).reshape(len(alive), BANDS, ROWS).all(axis=2)
+        alive = alive[same[:, :band].sum(axis=1) == 0]
         for b in alive.tolist():
             if comp[a] != comp[b] and is_link(sets[a], sets[b]):
                 found.append((cid[a], cid[b]))

@@ -82,7 +82,7 @@ def test_closure_finds_links_that_stars_miss():
         s[k * 4 : k * 4 + 4] = rng.integers(0, 2**63, 4).astype(np.uint64)
         sets.append(np.unique(s))
     pdf = pd.DataFrame({
-        "bucket": 1, "i": 0, "j": 0, "own": 0, "cid": [bytes([k]) * 16 for k in range(40)], "comp": [bytes([k]) * 16 for k in range(40)],
+        "bucket": 1, "band": 0, "i": 0, "j": 0, "own": 0, "cid": [bytes([k]) * 16 for k in range(40)], "comp": [bytes([k]) * 16 for k in range(40)],
         "hashes": [s.tobytes() for s in sets], "sig": [dedup.signature(s).tobytes() for s in sets],
     })
     assert len(dedup.block_links(pdf)) == 39
