@@ -23,11 +23,14 @@ KEPT = 64
 ROWS_PER_PART = 2000
 
 
-def phrases(data: bytes) -> set[bytes]:
-    """The phrases of the parse. Each phrase's beginnings are phrases too, so the longest
-    known phrase at a place is found from a guessed length by steps up or down."""
-    known: set[bytes] = set()
-    add, at, n, size = known.add, 0, len(data), 1
+def parse(data: bytes, known: dict[bytes, None] | None = None, at: int = 0) -> dict[bytes, None]:
+    """The phrases of the parse, in order; it goes on at ``at`` with those known so far.
+
+    Each phrase's beginnings are phrases too, so the longest known phrase at a place is found
+    from a guessed length by steps up or down.
+    """
+    known = {} if known is None else known
+    n, size = len(data), 5
     while at < n:
         end = at + size
         if data[at:end] in known:
@@ -39,19 +42,50 @@ def phrases(data: bytes) -> set[bytes]:
             while end > at and data[at:end] not in known:
                 end -= 1
             end += 1
-        add(data[at:end])
+        known[data[at:end]] = None
         size = end - at
         at = end
     return known
 
 
+def phrases(data: bytes) -> set[bytes]:
+    return set(parse(data))
+
+
+def hashes(found: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
+
+
 def fingerprint(text: str | None) -> np.ndarray:
     """The least hashes of the phrases, ascending; empty for an empty text."""
-    import xxhash
+    return least(hashes(list(parse((text or "").encode()))))
+
+
+def least(all_: np.ndarray) -> np.ndarray:
+    return np.unique(all_)[:KEPT]
+
+
+class Parsed:
+    """A text's parse, kept for texts that begin alike."""
+
+    def __init__(self, text: str):
+        self.data = text.encode()
+        self.order = list(parse(self.data))
+        self.hashes = hashes(self.order)
+        self.fingerprint = least(self.hashes)
 
-    h = xxhash.xxh32_intdigest
-    found = phrases((text or "").encode())
-    return np.unique(np.fromiter(map(h, found), np.uint32, len(found)))[:KEPT]
+    def changed_after(self, keep: int, text: str) -> np.ndarray:
+        """The fingerprint of ``text``, whose first ``keep`` bytes are this text's: the phrases that
+        end within them are the same, and the parse goes on from there."""
+        ends = np.cumsum([len(p) for p in self.order])
+        # all but the last are phrases of the parse; the last may be cut off by the text's end
+        same = min(int(np.searchsorted(ends, keep, side="right")), max(0, len(self.order) - 1))
+        at = int(ends[same - 1]) if same else 0
+        known = dict.fromkeys(self.order[:same])
+        found = list(parse(text.encode(), known, at))
+        return least(np.concatenate((self.hashes[:same], hashes(found[same:]))))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -64,9 +98,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     both = np.concatenate((a, b))
     both.sort()
     same = both[1:] == both[:-1]
-    least = both[np.concatenate(([True], ~same))][:KEPT]
+    lowest = both[np.concatenate(([True], ~same))][:KEPT]
     shared = both[1:][same]
-    return int((shared <= least[-1]).sum()) / len(least)
+    return int((shared <= lowest[-1]).sum()) / len(lowest)
 
 
 def written(fp: np.ndarray) -> str:
@@ -145,7 +179,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         for batch in batches:
             rows = []
             for part, place, _, doc_id, whole in zip(*[c.to_pylist() for c in batch.columns]):
-                fp = fingerprint(whole)
+                fp = Parsed(whole)
                 if last is not None and last[0] == part and last[1] == 0:
                     rows.append(_compared(last[2], last[3], last[4], whole, fp))
                 last = (part, place, doc_id, whole, fp)
@@ -156,9 +190,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return ordered.mapInArrow(compare, schema)
 
 
-def _compared(doc_id, whole: str, fp: np.ndarray, after: str, after_fp: np.ndarray) -> tuple:
+def _compared(doc_id, whole: str, own: Parsed, after: str, other: Parsed) -> tuple:
     n = len(whole)
     half = n // 2
-    edited = whole[: n - half] + after[:half]
-    other = fingerprint(edited)
-    return doc_id, n, edited, written(fp), written(other), likeness(fp, other), likeness(fp, after_fp)
+    kept = whole[: n - half]
+    edited = kept + after[:half]
+    changed = own.changed_after(len(kept.encode()), edited)
+    fp = own.fingerprint
+    return doc_id, n, edited, written(fp), written(changed), likeness(fp, changed), likeness(fp, other.fingerprint)
