@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, decontaminate, dedup, lzprint, mainpage, secrets, suffixtree, warc
+from colloquy.llm import bpe, decontaminate, dedup, licences, lzprint, mainpage, quality, secrets, suffixtree, warc
 from colloquy.llm.shared import table
 
 
@@ -50,6 +50,11 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "poor", "toxic", "rejected")
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,6 +63,10 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -65,7 +74,9 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_lz_fingerprint": op5_lz_fingerprint,
     "op6_main_text": op6_main_text,
+    "op7_quality": op7_quality,
     "op8_suffix_tree": op8_suffix_tree,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {}
