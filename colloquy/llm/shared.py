@@ -42,5 +42,11 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows that Spark hands to a Python worker at once; documents are long, so few are enough.
+BATCH_ROWS = "500"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; from here on Python workers get small batches, as whole texts take much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
