@@ -32,5 +32,5 @@ def query(name: str, uses: tuple[str, ...] = (), oracle: str | None = None):
     return add
 
 
-for _part in ("tabular", "sequences", "graphs", "tagging", "scores"):
+for _part in ("tabular", "sequences", "graphs", "tagging", "scores", "texts"):
     importlib.import_module(f"colloquy.plans.{_part}")
