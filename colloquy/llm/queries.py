@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, decontaminate, dedup, licences, lzprint, mainpage, quality, secrets, suffixtree, warc
+from colloquy.llm.oracles import ORACLES  # noqa: F401
 from colloquy.llm.shared import table
 
 
@@ -79,4 +80,3 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_licences": op10_licences,
 }
-ORACLES: dict[str, str] = {}
