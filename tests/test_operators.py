@@ -109,3 +109,23 @@ def test_pair_rules(spark):
     rows = [(1, 100, 1, 7, 2, 150, 1, 7), (3, 100, 1, 7, 4, 150, 1, 8), (5, 100, 1, None, 6, 90, 1, 8), (7, 100, 1, None, 8, 150, 2, 8)]
     got = {r.recording_id: r.verdict for r in tabular.evaluate_pairs(spark.createDataFrame(rows, cols)).collect()}
     assert got == {1: "merge", 3: "reject", 5: "needs_review", 7: "needs_review"}
+
+
+def test_visits_never_mix_customers(spark):
+    from colloquy.operators import receptions
+
+    cols = "tenant_id string, store_id long, agent_id long, recording_id long, started_sec long, ended_sec long, customer long"
+    rec = spark.createDataFrame([("t", 1, 1, i, i * 100, i * 100 + 50, c) for i, c in enumerate([7, None, 8, 7, None])], cols)
+    pairs = spark.createDataFrame([(0, 1, "merge"), (1, 2, "merge"), (2, 3, "reject"), (3, 4, "merge")], "recording_id long, right_recording_id long, verdict string")
+    got = {r.recording_id: r.visit for r in receptions.grouped(rec, pairs).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+
+
+def test_diarization_error(spark):
+    from colloquy.operators import receptions
+
+    cols = "recording_id long, speaker string, start_sec long, end_sec long"
+    ref = spark.createDataFrame([(1, "a", 0, 10), (1, "b", 10, 20)], cols)
+    hyp = spark.createDataFrame([(1, "x", 0, 12), (1, "y", 12, 18)], cols)
+    r = receptions.error_rate(ref, hyp).first()
+    assert (r.missed, r.false_alarm, r.confused, r.rate) == (2, 0, 2, 0.2)
