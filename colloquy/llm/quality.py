@@ -14,182 +14,200 @@ else may take two heuristics that agree with each other for the truth.
 
 from __future__ import annotations
 
-import itertools
+import operator
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The scorer learns from about this many documents; labelled ones if there are any.
-TRAIN_ROWS = 20_000
+
+#: The scorer learns from about this many documents, which come to the driver as feature
+#: numbers; labelled ones if there are any.
+TRAIN_ROWS = 12_000
 FEATURES = 1 << 17
-REGULAR = 6e-5
+#: Follow-the-regularised-leader: step, smoothing, pull to zero, passes, documents a step.
+ALPHA, BETA, L1, L2, PASSES, STEP_ROWS = 0.3, 1.0, 4.0, 1.0, 8, 64
 #: How far a human label is believed.
 TRUST = 0.99
 #: A document is rejected when either scorer finds this chance.
 THRESHOLD = 0.5
-#: Words of abuse.
+#: Words of abuse, dealt to two labellers in turn.
 ABUSE = ["idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "dumb", "filth"]
-SYMBOLS = r"[*#$%&|!~^<>{}\\@+=_]"
-
-
-def _share(text: Column, pattern: str, of: Column) -> Column:
-    return (F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern), F.lit("")))) / F.greatest(of, F.lit(1))
+FIRST, SECOND = frozenset(ABUSE[::2]), frozenset(ABUSE[1::2])
+SYMBOLS = "*#$%&|!~^<>{}\\@+=_"
+WORD = re.compile(r"[^\W_]+")
+MODELS = {"poor": 5, "toxic": 2}
 
 
-def measures(whole: Column) -> dict[str, Column]:
-    """Shares that both the labellers and the scorer's features use; computed once for a row."""
-    n = F.length(whole)
-    words = F.greatest(F.size(F.split(whole, r"\s+")), F.lit(1))
+def measures(text: str, words: list[str]) -> dict[str, float]:
+    """Shares that both the labellers and the scorer's features use."""
+    parts = text.split()
+    n, k = max(1, len(text)), max(1, len(parts))
     return {
-        "symbols": _share(whole, SYMBOLS, n),
-        "upper": _share(whole, r"\p{Lu}", n),
-        "letters": _share(whole, r"\p{L}", n),
-        "repeats": F.size(F.regexp_extract_all(whole, F.lit(r"(?<!\S)(\S+)(?=\s+\1(?!\S))"), F.lit(0))) / words,
-        "bars": _share(whole, r"\|", words),
-        "words": words,
+        "symbols": sum(map(text.count, SYMBOLS)) / n,
+        "upper": sum(map(str.isupper, parts)) / k,
+        "letters": sum(map(len, words)) / n,
+        "repeats": sum(map(operator.eq, parts, parts[1:])) / k,
+        "bars": text.count("|") / k,
     }
 
 
-def votes() -> dict[str, list[Column]]:
-    """For each model its labellers: 1 for bad, 0 for good, null for no vote."""
-    m = {k: F.col(f"m.{k}") for k in ("symbols", "upper", "letters", "repeats", "bars", "words")}
-    said = lambda bad, good: F.when(bad, 1).when(good, 0)
-    return {
-        "poor": [
-            said(m["symbols"] > 0.03, F.lit(False)),
-            said(m["upper"] > 0.3, F.lit(False)),
-            said(m["letters"] < 0.6, m["letters"] > 0.85),
-            said(m["repeats"] > 0.1, F.lit(False)),
-            said(m["bars"] > 0.1, F.lit(False)),
-            said(F.col("quality") == 0, F.col("quality") == 1),
-        ],
-        "toxic": [
-            said(F.col("abuse.first") >= 1, F.lit(False)),
-            said(F.col("abuse.second") >= 1, F.lit(False)),
-            said(F.col("toxicity") == 1, F.col("toxicity") == 0),
-        ],
-    }
-
-
-def posterior(counts: dict[tuple, float], labellers: int, human: int | None = None, rounds: int = 100) -> dict[tuple, float]:
-    """The chance of "bad" for each pattern (votes 0, 1 or -1 for none), by expectation-maximisation.
-
-    ``human`` is the place of the human labels among the votes, whose word holds.
-
-    A weak prior holds that labellers are right rather than wrong; it also keeps chances off 0 and 1.
+def votes(text: str) -> str:
+    """One letter a labeller, b for bad, g for good, - for none; the poor ones first, then the toxic ones."""
+    words = WORD.findall(text.lower())
+    m, known = measures(text, words), set(words)
+    bad = [m["symbols"] > 0.03, m["upper"] > 0.3, m["letters"] < 0.6 and text.strip() != "", m["repeats"] > 0.1, m["bars"] > 0.1, bool(known & FIRST), bool(known & SECOND)]
+    out = ["b" if x else "-" for x in bad]
+    if m["letters"] > 0.85:
+        out[2] = "g"
+    return "".join(out)
+
+
+def features(text: str) -> list[int]:
+    """Numbers of the hashed features: distinct words, their first four letters, and marks for the shares in steps."""
+    words = WORD.findall(text.lower())
+    m = measures(text, words)
+    known = set(words)
+    names = [*known, *{"\x02" + w[:4] for w in known}]
+    for k in ("symbols", "upper", "repeats", "bars"):
+        names += [f"\x01{k}{i}" for i in range(min(4, -int(-m[k] * 20 // 1)))]
+    if m["letters"] < 0.6 and text.strip():
+        names.append("\x01letters")
+    crc, mask = zlib.crc32, FEATURES - 1
+    return list({crc(x.encode()) & mask for x in names})
+
+
+def posterior(counts: dict[str, float], human: dict[str, int] | None = None, rounds: int = 100) -> dict[str, float]:
+    """The chance of "bad" for each pattern of votes, by expectation-maximisation.
+
+    A pattern is a string of b, g and -; its last letter is the human label if ``human`` is set.
+    A weak prior holds that labellers are right rather than wrong, and keeps chances off 0 and 1.
     """
     if not counts:
         return {}
-    patterns = np.array(list(counts), int).reshape(-1, labellers)
+    patterns = np.array([list(p) for p in counts])
+    told = patterns[:, -1] if human else np.full(len(patterns), "-")
+    heard = patterns[:, :-1] if human else patterns
     weight = np.array(list(counts.values()), float)
-    told_by = patterns[:, human] if human is not None else np.full(len(patterns), -1)
-    held = lambda x: np.where(told_by == 1, TRUST, np.where(told_by == 0, 1 - TRUST, x))
-    bad = held(np.where((patterns == 1).any(1), 0.9, 0.05))
-    # a human label is no vote: it says which class a pattern's other votes belong to
-    seen = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
-    if human is not None:
-        seen[:, human] = 0
+    held = lambda x: np.where(told == "b", TRUST, np.where(told == "g", 1 - TRUST, x))
+    bad = held(np.where((heard == "b").any(1), 0.9, 0.05))
+    seen = np.stack([heard == v for v in "-gb"], 2).astype(float)  # pattern, labeller, vote
     prior = np.array([[[5.0, 5.0, 0.1]], [[5.0, 0.5, 5.0]]])  # class good, class bad
     for _ in range(rounds):
         share = (weight @ bad + 1) / (weight.sum() + 10)
         logs = []
         for c, p in ((0, 1 - bad), (1, bad)):
-            told = np.einsum("i,ijk->jk", weight * p, seen) + prior[c]
-            logs.append(np.einsum("ijk,jk->i", seen, np.log(told / told.sum(1, keepdims=True))))
+            said = np.einsum("i,ijk->jk", weight * p, seen) + prior[c]
+            logs.append(np.einsum("ijk,jk->i", seen, np.log(said / said.sum(1, keepdims=True))))
         new = held(1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log(1 - share) - np.log(share), -700, 700))))
         if np.abs(new - bad).max() < 1e-9:
             break
         bad = new
-    return {tuple(p): float(b) for p, b in zip(patterns.tolist(), bad)}
+    return {p: float(b) for p, b in zip(counts, bad)}
 
 
-def prepared(docs: DataFrame, labels: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(row, doc_id, whole, m, abuse, quality, toxicity): labels of one id agree by the worst.
+def learn(rows: list[np.ndarray], soft: np.ndarray) -> tuple[float, dict[int, float]]:
+    """(intercept, weights that aren't zero) of a logistic scorer, by follow-the-regularised-leader."""
+    z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
+    order = np.random.default_rng(0)
+    weights = lambda: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    for _ in range(PASSES):
+        mixed = order.permutation(len(rows))
+        for at in range(0, len(rows), STEP_ROWS):
+            some = mixed[at : at + STEP_ROWS]
+            sizes = np.array([len(rows[i]) + 1 for i in some])
+            ids = np.concatenate([np.append(rows[i], FEATURES) for i in some])
+            w = weights()
+            margin = np.add.reduceat(w[ids], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - soft[some]
+            g = np.bincount(ids, np.repeat(off, sizes), FEATURES + 1)
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+            n += g * g
+    w = weights()
+    return float(w[FEATURES]), {int(i): float(w[i]) for i in np.flatnonzero(w[:FEATURES])}
+
+
+def _mapped(df: DataFrame, column: int, make, schema: str):
+    """``df`` with values made from one text column at the end, batch by batch."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            new = make([t or "" for t in batch.column(column).to_pylist()])
+            keep = [i for i in range(batch.num_columns) if i != column]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], *[pa.array(v, k) for v, k in new]], names=[*[batch.schema.names[i] for i in keep], *[f"v{i}" for i in range(len(new))]])
+
+    return df.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict[str, tuple[float, dict[int, float]]]:
+    """Vote counts over all rows, posteriors, and a scorer for each model from a bounded sample."""
+    import pyarrow as pa
 
-    The words of abuse are dealt to two labellers, so that these overlap in documents, not in words.
-    """
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole.alias("whole"))
-    told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxicity"))
-    m = F.struct(*[c.alias(k) for k, c in measures(F.col("whole")).items()])
-    heard = lambda words: F.size(F.regexp_extract_all(F.lower("whole"), F.lit(r"\b(?:" + "|".join(words) + r")\b"), F.lit(0)))
-    abuse = F.struct(heard(ABUSE[::2]).alias("first"), heard(ABUSE[1::2]).alias("second"))
-    return base.join(told, "doc_id", "left").withColumn("m", m).withColumn("abuse", abuse)
-
-
-def terms() -> Column:
-    """A document's features: its distinct words and their first four letters, and marks for its shares in steps of a 20th."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("whole", r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != ""))
-    step = lambda k: F.array_repeat(F.lit(f"\x01{k}"), F.least(F.ceil(F.col(f"m.{k}") * 20), F.lit(4)).cast("int"))
-    marks = [F.transform(step(k), lambda x, i: F.concat(x, i.cast("string"))) for k in ("symbols", "upper", "repeats", "bars")]
-    low = F.when((F.col("m.letters") < 0.6) & (F.trim("whole") != ""), F.array(F.lit("\x01letters"))).otherwise(F.array().cast("array<string>"))
-    starts = F.array_distinct(F.transform(words, lambda w: F.concat(F.lit("\x02"), F.substring(w, 1, 4))))
-    return F.concat(words, starts, *marks, low)
-
-
-class Classifier:
-    """Two fitted models; :meth:`scored` applies them."""
-
-    def __init__(self, models: dict[str, object], accuracies: dict[str, dict[tuple, float]]):
-        self.models, self.accuracies = models, accuracies
-
-    def scored(self, data: DataFrame) -> DataFrame:
-        """``data`` (of :func:`prepared`) with poor, toxic (chances) and rejected."""
-        from pyspark.ml.functions import vector_to_array
-
-        tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)
-        out = tf.transform(data.withColumn("terms", terms())).drop("terms")
-        for name, model in self.models.items():
-            if model is None:
-                out = out.withColumn(name, F.lit(0.0))
-            else:
-                model = model.copy({model.probabilityCol: f"p_{name}", model.rawPredictionCol: f"r_{name}", model.predictionCol: f"l_{name}"})
-                out = model.transform(out).withColumn(name, vector_to_array(f"p_{name}")[1]).drop(f"p_{name}", f"r_{name}", f"l_{name}")
-        return out.drop("features").withColumn("rejected", (F.trim("whole") != "") & ((F.col("poor") >= THRESHOLD) | (F.col("toxic") >= THRESHOLD)))
-
-
-def fit(data: DataFrame) -> Classifier:
-    """Vote counts and labellers' accuracies over all rows, scorers on a bounded sample."""
-    ballot = data.select(*[F.coalesce(v, F.lit(-1)).alias(f"{k}{i}") for k, vs in votes().items() for i, v in enumerate(vs)], F.col("quality").isNotNull().alias("labelled"))
-    groups = {k: [f"{k}{i}" for i in range(len(vs))] for k, vs in votes().items()}
-    counted = ballot.groupBy(*itertools.chain(*groups.values()), "labelled").count().collect()
-    labelled = sum(r["count"] for r in counted if r["labelled"])
-    total = sum(r["count"] for r in counted)
-    pool, size = (data.where("quality is not null"), labelled) if labelled else (data, total)
-    share = min(1.0, TRAIN_ROWS / max(1, size))
-    sample = pool.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    tf = HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True)
-    learn, models, beliefs = tf.transform(sample.withColumn("terms", terms())), {}, {}
-    for name, columns in groups.items():
-        counts: dict[tuple, float] = {}
-        for r in counted:
-            p = tuple(r[c] for c in columns)
-            counts[p] = counts.get(p, 0) + r["count"]
-        beliefs[name] = posterior(counts, len(columns), len(columns) - 1)
-        if not beliefs[name] or max(beliefs[name].values()) < THRESHOLD or min(beliefs[name].values()) >= THRESHOLD:
-            models[name] = None  # all alike: nothing to learn
-            continue
-        key = F.concat_ws(",", *[F.coalesce(v, F.lit(-1)).cast("string") for v in votes()[name]])
-        of = F.create_map(*[F.lit(x) for p, b in beliefs[name].items() for x in (",".join(map(str, p)), b)])
-        soft = learn.withColumn("bad", of[key]).withColumn("y", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("w", F.when(F.col("y") == 1, F.col("bad")).otherwise(1 - F.col("bad"))).where("w > 0.001").select("features", "y", "w")
-        if soft.select("y").distinct().count() < 2:
-            models[name] = None
-            continue
-        models[name] = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=REGULAR, elasticNetParam=1.0, maxIter=60, standardization=False).fit(soft)
-    return Classifier(models, beliefs)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole.alias("whole"))
+    letter = lambda c, bad: F.when(c.isNull(), "-").when(bad, "b").otherwise("g")
+    told = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("abusive"))
+    told = told.select("doc_id", letter(F.col("quality"), F.col("quality") == 0).alias("human_poor"), letter(F.col("abusive"), F.col("abusive") == 1).alias("human_toxic"))
+    said = _mapped(base, 1, lambda ts: [([votes(t) for t in ts], pa.string())], "doc_id long, said string")
+    human = [F.coalesce(f"human_{m}", F.lit("-")).alias(f"human_{m}") for m in MODELS]
+    counted = said.join(told, "doc_id", "left").groupBy("said", *human).count().collect()
+    counts: dict[str, Counter] = {m: Counter() for m in MODELS}
+    at = dict(zip(MODELS, np.cumsum([0, *MODELS.values()])))
+    part = lambda s, m: s[at[m] : at[m] + MODELS[m]]
+    for r in counted:
+        for m in MODELS:
+            counts[m][part(r.said, m) + r[f"human_{m}"]] += r["count"]
+    believed = {m: posterior(counts[m], human=True) for m in MODELS}
+    labelled = told.count()
+    if labelled:
+        share = min(1.0, TRAIN_ROWS / labelled)
+        pool = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(share * 1_000_003))
+        sample = base.join(F.broadcast(pool), "doc_id")  # at most about TRAIN_ROWS ids
+    else:
+        share = min(1.0, TRAIN_ROWS / max(1, sum(r["count"] for r in counted)))
+        sample = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("*", *[F.lit("-").alias(f"human_{m}") for m in MODELS])
+    rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([np.array(features(t), "<i4").tobytes() for t in ts], pa.binary())], "doc_id long, human_poor string, human_toxic string, said string, ids binary").toArrow()
+    ids = [np.frombuffer(b, "<i4") for b in rows.column("ids").to_pylist()]
+    models = {}
+    for m in MODELS:
+        soft = np.array([believed[m].get(part(s, m) + h, 0.0) for s, h in zip(rows.column("said").to_pylist(), rows.column(f"human_{m}").to_pylist())])
+        models[m] = learn(ids, soft) if len(ids) and soft.max() >= THRESHOLD else (-10.0, {})
+    return models
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, poor, toxic, rejected) for every row of ``docs``, the row as a struct.
 
-    Null texts count as empty and are never rejected for want of words alone. Rows that repeat
-    stay; several labels of one id count as its worst; without labels the heuristics vote alone.
+    Null texts count as empty; a text without anything but white space is never rejected. Rows
+    that repeat stay; several labels of one id count as its worst; without labels the heuristics
+    vote alone.
     """
-    data = prepared(docs, labels, id_col, text)
-    return fit(data).scored(data).select("row", "doc_id", "poor", "toxic", "rejected")
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    base = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("whole"))
+
+    def chances(texts: list[str]):
+        import pyarrow as pa
+
+        out: dict[str, list[float]] = {m: [] for m in MODELS}
+        for t in texts:
+            found = features(t)
+            for m, (intercept, weights) in models.value.items():
+                margin = intercept + sum(weights[i] for i in found if i in weights)
+                out[m].append(1 / (1 + np.exp(-margin)) if t.strip() else 0.0)
+        rejected = [max(p) >= THRESHOLD for p in zip(*out.values())]
+        return [*[(v, pa.float64()) for v in out.values()], (rejected, pa.bool_())]
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("row", base.schema["row"].dataType), T.StructField("doc_id", T.LongType()), *[T.StructField(m, T.DoubleType()) for m in MODELS], T.StructField("rejected", T.BooleanType())])
+    return _mapped(base, 2, chances, schema)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
