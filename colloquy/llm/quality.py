@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 #: The scorer learns from about this many documents, which come to the driver as feature
 #: numbers; labelled ones if there are any.
 TRAIN_ROWS = 12_000
+#: With fewer labelled documents the sample is of all documents.
+LABELLED_ROWS = 1_000
 FEATURES = 1 << 17
 #: Follow-the-regularised-leader: step, smoothing, pull to zero, passes, documents a step.
 ALPHA, BETA, L1, L2, PASSES, STEP_ROWS = 0.3, 1.0, 4.0, 1.0, 8, 64
@@ -165,13 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             counts[m][part(r.said, m) + r[f"human_{m}"]] += r["count"]
     believed = {m: posterior(counts[m], human=True) for m in MODELS}
     labelled = told.count()
-    if labelled:
+    if labelled >= LABELLED_ROWS:
         share = min(1.0, TRAIN_ROWS / labelled)
         pool = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(share * 1_000_003))
-        sample = base.join(F.broadcast(pool), "doc_id")  # at most about TRAIN_ROWS ids
+        sample = base.join(F.broadcast(pool), "doc_id").select("doc_id", "whole", *human)  # at most about TRAIN_ROWS ids
     else:
         share = min(1.0, TRAIN_ROWS / max(1, sum(r["count"] for r in counted)))
-        sample = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= int(share * 1_000_003)).select("*", *[F.lit("-").alias(f"human_{m}") for m in MODELS])
+        some = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= int(share * 1_000_003))
+        sample = some.join(F.broadcast(told), "doc_id", "left").select("doc_id", "whole", *human)  # fewer than LABELLED_ROWS
     rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([np.array(features(t), "<i4").tobytes() for t in ts], pa.binary())], "doc_id long, human_poor string, human_toxic string, said string, ids binary").toArrow()
     ids = [np.frombuffer(b, "<i4") for b in rows.column("ids").to_pylist()]
     models = {}
