@@ -4,14 +4,16 @@ A document is its words (A-Z lower-cased, split at the contract's white space) a
 Symbols of the tree are the bytes of the words, a space after each word and a line feed as
 the end; before a document stand ``DEPTH`` line feeds, so its first contexts are those of a start.
 
-Learning counts all sequences of ``DEPTH`` + 1 bytes over the whole training corpus; the counts
-of shorter ones are sums of these. A context joins the tree if
-
-* it makes up at least ``LEAST_SHARE`` of the training symbols, which bounds the tree by
-  ``DEPTH / LEAST_SHARE`` contexts at any corpus size, and
-* its next-symbol distribution diverges from that of its longest shorter suffix: count times
-  the Kullback-Leibler divergence (bits) is at least ``LEAST_GAIN`` bits per distinct symbol;
-  the suffixes of a context that joins come with it.
+Learning counts all sequences of ``DEPTH`` + 1 bytes over the whole corpus, those of the training
+rows apart; the counts of shorter ones are sums of these. A context joins the tree if its
+next-symbol distribution diverges from that of its longest shorter suffix: count times the
+Kullback-Leibler divergence (bits) is at least ``LEAST_GAIN`` bits per distinct symbol; the
+suffixes of a context that joins come with it. No context is left out for being rare, so the
+tree grows with the corpus and never comes to one place: the contexts of over ``TOP`` bytes are
+dealt out by their last three, so that all suffixes of a context lie in one group, and the
+groups are sized to about ``GROUP`` sequences. What is left is a table with the log10 chance of
+every sequence of the corpus. Its ``HEAD`` most frequent sequences go to the tasks; the other
+sequences of a document are counted there and joined with the table. Both ways are exact.
 
 Distributions are smoothed down the tree: a context's symbol counts plus the parent's
 distribution times the number of distinct symbols seen (at the root the uniform one over 256
@@ -37,12 +39,17 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.shared import cut
 
-DEPTH = 5
-LEAST_SHARE = 1e-5
+DEPTH = 6
+#: No context needs a share of the symbols; the divergence test alone decides.
+LEAST_SHARE = 0.0
 LEAST_GAIN = 4.0
 FREQUENT = 100_000
 END = 10
 FLUSH = 2_000_000
+#: Contexts of up to this many bytes (65,536 of two at most) are judged on the driver.
+TOP = 2
+GROUP = 200_000
+HEAD = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -75,15 +82,18 @@ def _grams(texts: list[str | None], size: int) -> np.ndarray:
     return code[keep]
 
 
-def gram_counts(train: DataFrame, size: int) -> DataFrame:
-    """(code, n) over all texts; tasks send partial sums."""
+def gram_counts(docs: DataFrame, size: int, held=None) -> DataFrame:
+    """(code, n, m) over all texts, n without the rows where ``held`` is true; tasks send partial sums."""
+    apart = 1 << 8 * size  # marks a held-out row's code
 
     def count(batches: Iterator) -> Iterator:
         codes, counts, waiting = [], [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(0, len(texts), 500):
-                c, n = np.unique(_grams(texts[i : i + 500], size), return_counts=True)
+                some = list(zip(texts[i : i + 500], out[i : i + 500]))
+                made = [_grams([t for t, h in some if not h], size), _grams([t for t, h in some if h], size) | apart]
+                c, n = np.unique(np.concatenate(made), return_counts=True)
                 codes.append(c)
                 counts.append(n)
                 waiting += len(c)
@@ -96,7 +106,9 @@ def gram_counts(train: DataFrame, size: int) -> DataFrame:
             codes, counts, _ = _merged(codes, counts)
             yield from _sent(codes[0], counts[0])
 
-    return train.select("whole").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    told = docs.select("whole", (F.lit(False) if held is None else held).alias("held")).mapInArrow(count, "code long, n long")
+    learnt = F.when(F.col("code") < apart, F.col("n")).otherwise(0)
+    return told.groupBy(F.expr(f"code & {apart - 1}L").alias("code")).agg(F.sum(learnt).alias("n"), F.sum("n").alias("m"))
 
 
 def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list, int]:
@@ -143,10 +155,8 @@ class Tree:
         self.slots = {d: _slots(self.keys[d]) for d in range(1, depth + 1)}
         self.size = at
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """log10 of the chance of each text's symbols."""
-        size = self.depth + 1
-        code = _grams(texts, size)
+    def chances(self, code: np.ndarray) -> np.ndarray:
+        """log10 of the chance of each sequence's last symbol after the others."""
         state = np.zeros(len(code), np.int64)
         ctx = code >> 8
         open_ = np.arange(len(code))
@@ -157,9 +167,7 @@ class Tree:
             hit = found >= 0
             state[open_[hit]] = found[hit] + self.first[d]
             open_ = open_[~hit]
-        logs = self.logs[state * self.width + self.column[code & 255]].astype(float)
-        lengths = np.array([len(symbols(t)) for t in texts], np.int64)
-        return np.add.reduceat(logs, np.concatenate(([0], np.cumsum(lengths)[:-1]))) if len(texts) else np.empty(0)
+        return self.logs[state * self.width + self.column[code & 255]].astype(float)
 
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -170,10 +178,15 @@ def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     power = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 4))))
     shift, mask = 64 - power, (1 << power) - 1
     at, place = np.full(1 << power, -1, np.int64), np.full(1 << power, -1, np.int64)
-    for i, (k, s) in enumerate(zip(keys.tolist(), ((keys.astype(np.uint64) * _MULTIPLY) >> np.uint64(shift)).tolist())):
-        while at[s] >= 0:
-            s = (s + 1) & mask
-        at[s], place[s] = k, i
+    todo, s = np.arange(len(keys)), ((keys.astype(np.uint64) * _MULTIPLY) >> np.uint64(shift)).astype(np.int64)
+    while len(todo):
+        free = np.flatnonzero(at[s] < 0)
+        _, first = np.unique(s[free], return_index=True)
+        put = free[first]
+        at[s[put]], place[s[put]] = keys[todo[put]], todo[put]
+        left = np.ones(len(todo), bool)
+        left[put] = False
+        todo, s = todo[left], (s[left] + 1) & mask
     return at, place, shift
 
 
@@ -194,11 +207,11 @@ def _look_up(slots: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray, wanted
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> dict[int, pd.DataFrame]:
-    """The tables of a :class:`Tree` from (code, n) of depth + 1 bytes.
+    """The tables of a whole :class:`Tree` from (code, n) of depth + 1 bytes, on the driver.
 
-    Comes to the driver: the symbols of at most ``depth / least_share`` contexts.
+    For small corpora, to look at; :func:`score` takes :func:`chances`.
     """
-    counts = cut(counts, "grams")
+    counts = cut(counts.where("n > 0"), "grams")
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent: dict[int, DataFrame] = {}
     for d in range(depth + 1):
@@ -220,6 +233,150 @@ def grow(counts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     return {d: t.select("ctx", "sym", "n").toArrow().to_pandas() for d, t in tables.items()}
 
 
+class Level:
+    """Distinct sequences of d + 1 bytes, sorted, with training counts and sums of their contexts of d bytes."""
+
+    def __init__(self, pair: np.ndarray, n: np.ndarray):
+        self.pair, self.n = pair, n.astype(float)
+        self.at = np.cumsum(np.diff(pair >> 8, prepend=-1) != 0) - 1
+        size = int(self.at[-1]) + 1 if len(pair) else 0
+        self.kinds = np.bincount(self.at, self.n > 0, size)[self.at]
+        self.total = np.bincount(self.at, self.n, size)[self.at]
+
+    def shorter(self, d: int) -> tuple[Level, np.ndarray]:
+        """The level of contexts of d bytes, and each sequence's place there."""
+        pair, up = np.unique(self.pair & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        return Level(pair, np.bincount(up, self.n, len(pair))), up
+
+    def smoothed(self, up: np.ndarray) -> np.ndarray:
+        return (self.n + self.kinds * up) / np.maximum(self.total + self.kinds, 1)
+
+    def diverges(self, n: np.ndarray, total: np.ndarray, least_gain: float) -> np.ndarray:
+        """Whether each sequence's context passes the test against its suffix's counts."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(self.n > 0, self.n * np.log2(self.n / self.total * total / n), 0.0)
+        return (self.total > 0) & (np.bincount(self.at, gain, self.at[-1] + 1)[self.at] >= least_gain * self.kinds)
+
+    def whole(self, some: np.ndarray) -> np.ndarray:
+        """True for all sequences of a context where any is."""
+        return (np.bincount(self.at, some, self.at[-1] + 1) > 0)[self.at]
+
+
+def _deep(code: np.ndarray, n: np.ndarray, top: dict[str, np.ndarray], depth: int, least_gain: float) -> np.ndarray:
+    """log10 of the chance of each sequence whose state is longer than ``TOP`` bytes; NaN for others.
+
+    Takes distinct sorted sequences: all of the corpus that share some suffixes of over ``TOP`` bytes.
+    """
+    levels, ups = {depth: Level(code, n)}, {}
+    for d in range(depth - 1, TOP, -1):
+        levels[d], ups[d + 1] = levels[d + 1].shorter(d)
+    pair = levels[TOP + 1].pair & ((1 << 8 * (TOP + 1)) - 1)
+    at = np.minimum(np.searchsorted(top["pair"], pair), max(0, len(top["pair"]) - 1))
+    known = top["pair"][at] == pair if len(top["pair"]) else np.zeros(len(pair), bool)
+    if not known.any():
+        return np.full(len(code), np.nan)
+    up_n, up_total = (np.where(known, top[k][at], 0.0) for k in ("n", "total"))
+    up_p = 10.0 ** top["tree"].chances(pair)
+    p, joined = {}, {}
+    for d in range(TOP + 1, depth + 1):
+        x = levels[d]
+        if d > TOP + 1:
+            below, up = levels[d - 1], ups[d]
+            up_n, up_total, up_p = below.n[up], below.total[up], p[d - 1][up]
+        p[d] = x.smoothed(up_p)
+        joined[d] = x.diverges(up_n, up_total, least_gain)
+    for d in range(depth, TOP + 1, -1):
+        x = levels[d - 1]
+        joined[d - 1] = x.whole(joined[d - 1] | (np.bincount(ups[d], joined[d], len(x.pair)) > 0))
+    out = np.full(len(levels[TOP + 1].pair), np.nan)
+    for d in range(TOP + 1, depth + 1):
+        if d > TOP + 1:
+            out = out[ups[d]]
+        out = np.where(joined[d], np.log10(np.where(joined[d], p[d], 1.0)), out)
+    return out
+
+
+def _tables(levels: dict[int, Level], joined: dict[int, np.ndarray]) -> dict[int, pd.DataFrame]:
+    keep = {d: joined[d] & (x.n > 0) for d, x in levels.items()}
+    return {d: pd.DataFrame({"ctx": x.pair[keep[d]] >> 8, "sym": x.pair[keep[d]] & 255, "n": x.n[keep[d]]}) for d, x in levels.items()}
+
+
+def chances(grams: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, Tree]:
+    """(code, m, logp) for every row of (code, n, m), and the tree of contexts of up to ``TOP`` bytes.
+
+    logp is null where no longer context of the sequence joined: the small tree knows its chance.
+    """
+    spark = grams.sparkSession
+    short = grams.where("n > 0").groupBy(F.expr(f"code & {(1 << 8 * (TOP + 1)) - 1}L").alias("pair")).agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
+    levels, ups = {TOP: Level(short.column("pair").to_numpy().astype(np.int64), short.column("n").to_numpy())}, {}
+    for d in range(TOP - 1, -1, -1):
+        levels[d], ups[d + 1] = levels[d + 1].shorter(d)
+    full = Tree(_tables(levels, {d: np.ones(len(x.pair), bool) for d, x in levels.items()}), TOP)
+    x = levels[TOP]
+    top = {"pair": x.pair, "n": x.n, "total": x.total, "tree": full}
+    sent = spark.sparkContext.broadcast(top)
+    groups = max(1, -(-grams.count() // GROUP))
+
+    def judge(table):
+        import pyarrow as pa
+
+        code, n, m = (table.column(c).to_numpy() for c in ("code", "n", "m"))
+        order = np.argsort(code)
+        logp = _deep(code[order], n[order], sent.value, depth, least_gain)
+        return pa.table({"code": pa.array(code[order]), "m": pa.array(m[order]), "logp": pa.array(logp, pa.float64(), mask=np.isnan(logp))})
+
+    suffix = F.xxhash64(F.expr(f"shiftright(code, 8) & {(1 << 8 * (TOP + 1)) - 1}L"))
+    dealt = grams.groupBy(F.pmod(suffix, F.lit(groups)).alias("part"))
+    found = cut(dealt.applyInArrow(judge, "code long, m long, logp double"), "chances")
+    deep = found.where("logp is not null").select(F.expr(f"shiftright(code, 8) & {(1 << 8 * TOP) - 1}L").alias("ctx")).distinct().toArrow().column("ctx").to_numpy()
+    joined = {TOP: np.isin(x.pair >> 8, deep)}
+    for d in range(TOP, 0, -1):
+        x, below, up = levels[d], levels[d - 1], ups[d]
+        if len(x.pair):
+            joined[d] = x.whole(joined.get(d, False) | x.diverges(below.n[up], below.total[up], least_gain))
+            joined[d - 1] = below.whole(np.bincount(up, joined[d], len(below.pair)) > 0)
+        else:
+            joined[d - 1] = np.zeros(0, bool)
+    joined[0] = np.ones(len(levels[0].pair), bool)
+    return found, Tree(_tables(levels, joined), TOP)
+
+
+def head_and_tail(found: DataFrame, short: Tree) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Sorted codes of about ``HEAD`` most frequent sequences at most with their chances, and (word, logp) of the others."""
+    step = F.floor(F.log2("m") * 16)
+    sizes = sorted(((r.step, r["count"]) for r in found.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, have = float("inf"), 0
+    for k, n in sizes:
+        have += n
+        if have > HEAD:
+            break
+        least = k
+    frequent = step >= F.lit(least)
+    head = found.where(frequent).select("code", "logp").orderBy("code").toArrow()
+    codes = head.column("code").to_numpy().astype(np.int64)
+    logs = head.column("logp").to_numpy().astype(float)
+    logs = np.where(np.isnan(logs), short.chances(codes), logs)
+    sent = found.sparkSession.sparkContext.broadcast(short)
+
+    def fill(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            code, p = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            p = np.where(np.isnan(p), sent.value.chances(code), p)
+            yield pa.RecordBatch.from_arrays([_as_words(code), pa.array(p)], names=["word", "logp"])
+
+    return codes, logs, found.where(~frequent).select("code", "logp").mapInArrow(fill, "word binary, logp double")
+
+
+def _as_words(code: np.ndarray):
+    """Sequences as binary values that no word equals: a line feed, then the bytes."""
+    import pyarrow as pa
+
+    data = (code.astype(np.int64) | (END << 56)).astype(">i8").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(code), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all tokens, the ends not among them; tasks send partial sums."""
 
@@ -253,6 +410,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     that repeat an id and a text have equal results and keep their number. Without training
     rows all counts are 0 and the tree is its root with an even distribution.
     """
+    size = DEPTH + 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("whole"))
     train = base.where(~held_out())
     counts = cut(word_counts(train), "words")
@@ -261,21 +419,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     known_total, kinds = (sums.n or 0) + ends, sums.v + (1 if ends else 0)
     heavy = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     spark = docs.sparkSession
-    tables = grow(gram_counts(train, DEPTH + 1))
-    sent = spark.sparkContext.broadcast((tables, heavy.column("word").to_pylist(), heavy.column("n").to_pylist()))
+    codes, logs_, tail = head_and_tail(*chances(cut(gram_counts(base, size, held_out()), "grams"), DEPTH))
+    sent = spark.sparkContext.broadcast((codes, logs_, heavy.column("word").to_pylist(), heavy.column("n").to_pylist()))
 
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        tree, frequent = _ready(sent)
+        slots, head_codes, head_logs, frequent = _ready(sent)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 200):
                 some = texts[at : at + 200]
                 out: list[list] = [[] for _ in range(9)]
-                for doc_id, t, s in zip(ids[at : at + 200], some, tree.scores(some).tolist()):
-                    key = xxhash.xxh3_128_digest((t or "").encode())
+                code = _grams(some, size)
+                place = _look_up(slots, head_codes, code)
+                lengths = np.array([len(symbols(t)) for t in some], np.int64)
+                told = np.add.reduceat(np.where(place >= 0, head_logs[place], 0.0), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+                owner = np.repeat(np.arange(len(some), dtype=np.uint64), lengths)[place < 0]  # under 256
+                other, number = np.unique((owner << np.uint64(56)) | code[place < 0].astype(np.uint64), return_counts=True)
+                keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in some]
+                for doc_id, t, key, s in zip(ids[at : at + 200], some, keys, told.tolist()):
                     n = known = 0
                     logs = 0.0
                     rest, times = [], []
@@ -294,16 +458,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
                         column.append(head)
                         column += more
                 kinds_ = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_)], names=["doc_id", "key", "head", "word", "times", "n", "known", "logs", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_)], names=(names := ["doc_id", "key", "head", "word", "times", "n", "known", "logs", "score"]))
+                if len(other):
+                    of = pa.array((other >> np.uint64(56)).astype(np.int64))
+                    zero, none = pa.array(np.zeros(len(other), np.int64)), pa.array(np.zeros(len(other)))
+                    which = [pa.array(ids[at : at + 200], pa.int64()).take(of), pa.array(keys, pa.binary()).take(of)]
+                    word = _as_words((other & np.uint64((1 << 56) - 1)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([*which, zero, word, pa.array(number.astype(np.int64)), zero, zero, none, none], names=names)
 
     parts = base.mapInArrow(pieces, "doc_id long, key binary, head long, word binary, times long, n long, known long, logs double, score double")
-    rare = counts.withColumnRenamed("n", "c")
+    rare = counts.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp")).union(tail.select("word", F.lit(None).cast("long").alias("c"), "logp"))
     found = parts.join(rare, "word", "left")
     end_log = math.log10(ends + 1)
     summed = found.groupBy("doc_id", "key").agg(
         F.sum("head").alias("m"), F.sum("n").alias("n"),
         F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("logs") + F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"), F.sum("score").alias("score"),
+        F.sum(F.col("logs") + F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"), F.sum(F.col("score") + F.col("times") * F.coalesce("logp", F.lit(0.0))).alias("score"),
     )
     m, n_tokens = F.col("m"), (F.col("n") / F.col("m")).cast("long") + 1
     return summed.select(
@@ -315,6 +485,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 
 @lru_cache(maxsize=1)
-def _ready(sent) -> tuple[Tree, dict[bytes, int]]:
-    tables, heavy, n = sent.value
-    return Tree(tables), dict(zip(heavy, n))
+def _ready(sent) -> tuple:
+    codes, logs, heavy, n = sent.value
+    return _slots(codes), codes, np.append(logs, 0.0), dict(zip(heavy, n))

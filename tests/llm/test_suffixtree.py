@@ -104,3 +104,27 @@ def test_empty_and_no_training(spark):
     r = st.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0)
     assert r.score == pytest.approx(5 * math.log10(1 / 256), rel=1e-5) and r.base_score == 0
+
+
+@pytest.mark.parametrize("head", [0, 200])
+def test_rare_and_six_byte_contexts_count(spark, monkeypatch, head):
+    """A six-byte context of a share under 1e-5 decides, with sequences joined as well as sent to the tasks."""
+    monkeypatch.setattr(st, "HEAD", head)
+    monkeypatch.setattr(st, "GROUP", 500)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(5)) + " " + " ".join(rng.choice(["xbcdefp", "ybcdefq"]) for _ in range(30)) for _ in range(150)] + ["zbcdefr"] * 5 + ["\U0001f600 caf\u00e9 zbcdefr"]
+    data = list(enumerate(texts))
+    got = {r.doc_id: r.score for r in st.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    train = [t for d, t in data if not is_held(d)]
+    kept, score, _ = plain_tree(train, 0, st.LEAST_GAIN)
+    assert {b"xbcdef", b"ybcdef", b"zbcdef"} <= kept
+    assert got == pytest.approx({d: score(t) for d, t in data}, rel=1e-5)
+
+
+def test_rare_context_joins_at_any_size(spark):
+    """A context seen 50 times among over 5,000,000 symbols joins: no share of the corpus is asked for."""
+    a, b = int.from_bytes(b"qbcdefg"), int.from_bytes(b"xbcdefh")
+    grams = spark.createDataFrame([(a, 50, 50), (b, 5_100_000, 5_100_000)], "code long, n long, m long")
+    found, _ = st.chances(grams)
+    logp = {r.code: r.logp for r in found.collect()}
+    assert logp[a] > math.log10(0.9)
