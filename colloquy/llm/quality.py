@@ -21,18 +21,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.shared import cut
 
-#: The scorer learns from about this many documents, which come to the driver as feature
-#: numbers; labelled ones if there are any.
-TRAIN_ROWS = 12_000
+#: The scorer learns from about this many documents, as feature numbers in the shared folder;
+#: labelled ones if there are any.
+TRAIN_ROWS = 20_000
 #: With fewer labelled documents the sample is of all documents.
 LABELLED_ROWS = 1_000
 FEATURES = 1 << 17
-#: Follow-the-regularised-leader: step, smoothing, pull to zero, passes, documents a step.
-ALPHA, BETA, L1, L2, PASSES, STEP_ROWS = 0.3, 1.0, 4.0, 1.0, 8, 64
+#: The scorer's pull to zero.
+REGULAR = 6e-5
 #: How far a human label is believed.
 TRUST = 0.99
 #: A document is rejected when either scorer finds this chance.
@@ -112,25 +115,21 @@ def posterior(counts: dict[str, float], human: dict[str, int] | None = None, rou
     return {p: float(b) for p, b in zip(counts, bad)}
 
 
-def learn(rows: list[np.ndarray], soft: np.ndarray) -> tuple[float, dict[int, float]]:
-    """(intercept, weights that aren't zero) of a logistic scorer, by follow-the-regularised-leader."""
-    z, n = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
-    order = np.random.default_rng(0)
-    weights = lambda: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    for _ in range(PASSES):
-        mixed = order.permutation(len(rows))
-        for at in range(0, len(rows), STEP_ROWS):
-            some = mixed[at : at + STEP_ROWS]
-            sizes = np.array([len(rows[i]) + 1 for i in some])
-            ids = np.concatenate([np.append(rows[i], FEATURES) for i in some])
-            w = weights()
-            margin = np.add.reduceat(w[ids], np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - soft[some]
-            g = np.bincount(ids, np.repeat(off, sizes), FEATURES + 1)
-            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
-            n += g * g
-    w = weights()
-    return float(w[FEATURES]), {int(i): float(w[i]) for i in np.flatnonzero(w[:FEATURES])}
+def learn(rows: DataFrame, name: str) -> tuple[float, dict[int, float]]:
+    """(intercept, weights that aren't zero) of a logistic scorer, from (features, soft, weight) of a model."""
+    both = F.explode(F.array(F.lit(0.0), F.lit(1.0)))
+    soft = F.col(f"soft_{name}")
+    share = F.when(F.col("y") == 1, soft).otherwise(1 - soft)
+    taught = rows.withColumn("y", both).withColumn("w", share * F.col(f"weight_{name}")).where(share > 0.001).select("features", "y", "w")
+    kinds = {r.y for r in taught.select("y").distinct().collect()}
+    most = rows.agg(F.max(soft)).first()[0]
+    if most is None or most < THRESHOLD or 1.0 not in kinds:
+        return -10.0, {}
+    if 0.0 not in kinds:
+        return 10.0, {}
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=REGULAR, elasticNetParam=1.0, maxIter=60, standardization=False).fit(taught)
+    w = model.coefficients.toArray()
+    return float(model.intercept), {int(i): float(w[i]) for i in np.flatnonzero(w)}
 
 
 def _mapped(df: DataFrame, column: int, make, schema: str):
@@ -175,13 +174,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         share = min(1.0, TRAIN_ROWS / max(1, sum(r["count"] for r in counted)))
         some = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= int(share * 1_000_003))
         sample = some.join(F.broadcast(told), "doc_id", "left").select("doc_id", "whole", *human)  # fewer than LABELLED_ROWS
-    rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([np.array(features(t), "<i4").tobytes() for t in ts], pa.binary())], "doc_id long, human_poor string, human_toxic string, said string, ids binary").toArrow()
-    ids = [np.frombuffer(b, "<i4") for b in rows.column("ids").to_pylist()]
-    models = {}
+    rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([sorted(features(t)) for t in ts], pa.list_(pa.int32()))], "doc_id long, human_poor string, human_toxic string, said string, ids array<int>")
     for m in MODELS:
-        soft = np.array([believed[m].get(part(s, m) + h, 0.0) for s, h in zip(rows.column("said").to_pylist(), rows.column(f"human_{m}").to_pylist())])
-        models[m] = learn(ids, soft) if len(ids) and soft.max() >= THRESHOLD else (-10.0, {})
-    return models
+        pattern = F.concat(F.substring("said", int(at[m]) + 1, MODELS[m]), F.col(f"human_{m}"))
+        known = F.create_map(*[F.lit(x) for pair in believed[m].items() for x in pair]) if believed[m] else F.create_map().cast("map<string,double>")
+        rows = rows.withColumn(f"soft_{m}", F.coalesce(known[pattern], F.lit(0.0)))
+        rows = rows.withColumn(f"weight_{m}", F.lit(1.0))
+    vector = F.udf(lambda ids: SparseVector(FEATURES, ids, [1.0] * len(ids)), VectorUDT())
+    rows = cut(rows.select(vector("ids").alias("features"), *[f"{k}_{m}" for k in ("soft", "weight") for m in MODELS]), "taught")
+    return {m: learn(rows, m) for m in MODELS}
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
