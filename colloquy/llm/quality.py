@@ -5,7 +5,7 @@ the counts of vote patterns (all documents; at most 3^labellers patterns, so the
 alone come to the driver) estimates how often each labeller says what about bad and good
 documents, without anyone telling which is right. The posterior of a document's pattern is its
 soft label, and a linear scorer over hashed features learns from the soft labels of a bounded
-sample of documents. The scorer, not the heuristics, decides about each document.
+sample of documents, half of it labelled by people and half not where there are enough of both. The scorer, not the heuristics, decides about each document.
 
 Two such models stand side by side: one for poor text, one for toxic text. Where the table of
 human labels has a document, its class is held at ``TRUST``; this anchors the estimates, which
@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.shared import cut
 
-#: The scorer learns from about this many documents, as feature numbers in the shared folder;
-#: labelled ones if there are any.
+#: The scorer learns from about this many documents, as feature numbers in the shared folder: up to half of them with a human label and up to half without, at every size.
 TRAIN_ROWS = 20_000
-#: With fewer labelled documents the sample is of all documents.
-LABELLED_ROWS = 1_000
 FEATURES = 1 << 17
 #: The scorer's pull to zero.
 REGULAR = 6e-5
+#: The estimate for a pattern of votes counts as so many human labels on the same votes.
+WORTH = 10
 #: How far a human label is believed.
 TRUST = 0.99
 #: A document is rejected when either scorer finds this chance.
@@ -115,6 +114,12 @@ def posterior(counts: dict[str, float], human: dict[str, int] | None = None, rou
     return {p: float(b) for p, b in zip(counts, bad)}
 
 
+def anchored(counts: dict[str, float], found: dict[str, float]) -> dict[str, float]:
+    """:func:`posterior` with the human labels on the same votes; the votes are not independent, as it takes them to be."""
+    of = lambda p, h: counts.get(p[:-1] + h, 0)
+    return {p: b if p[-1] != "-" else (of(p, "b") + WORTH * b) / (of(p, "b") + of(p, "g") + WORTH) for p, b in found.items()}
+
+
 def learn(rows: DataFrame, name: str) -> tuple[float, dict[int, float]]:
     """(intercept, weights that aren't zero) of a logistic scorer, from (features, soft, weight) of a model."""
     both = F.explode(F.array(F.lit(0.0), F.lit(1.0)))
@@ -146,6 +151,17 @@ def _mapped(df: DataFrame, column: int, make, schema: str):
     return df.mapInArrow(run, schema)
 
 
+def draw(base: DataFrame, told: DataFrame, labelled: int, others: int) -> DataFrame:
+    """Rows of about ``TRAIN_ROWS`` / 2 labelled ids and about as many rows without a label, or all there are.
+
+    The former are taught with their labels, the latter with what the estimates say of their votes.
+    """
+    share = lambda n: int(min(1.0, TRAIN_ROWS / 2 / max(1, n)) * 1_000_003)
+    pool = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= share(labelled))
+    some = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= share(others)).join(told.select("doc_id"), "doc_id", "left_anti")
+    return base.join(F.broadcast(pool), "doc_id").unionByName(some, allowMissingColumns=True)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict[str, tuple[float, dict[int, float]]]:
     """Vote counts over all rows, posteriors, and a scorer for each model from a bounded sample."""
     import pyarrow as pa
@@ -164,22 +180,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     for r in counted:
         for m in MODELS:
             counts[m][part(r.said, m) + r[f"human_{m}"]] += r["count"]
-    believed = {m: posterior(counts[m], human=True) for m in MODELS}
-    labelled = told.count()
-    if labelled >= LABELLED_ROWS:
-        share = min(1.0, TRAIN_ROWS / labelled)
-        pool = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(share * 1_000_003))
-        sample = base.join(F.broadcast(pool), "doc_id").select("doc_id", "whole", *human)  # at most about TRAIN_ROWS ids
-    else:
-        share = min(1.0, TRAIN_ROWS / max(1, sum(r["count"] for r in counted)))
-        some = base.where(F.pmod(F.xxhash64("doc_id", "whole"), F.lit(1_000_003)) <= int(share * 1_000_003))
-        sample = some.join(F.broadcast(told), "doc_id", "left").select("doc_id", "whole", *human)  # fewer than LABELLED_ROWS
+    believed = {m: anchored(counts[m], posterior(counts[m], human=True)) for m in MODELS}
+    sample = draw(base, told, told.count(), sum(r["count"] for r in counted if r.human_poor == r.human_toxic == "-")).select("doc_id", "whole", *human)
     rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([sorted(features(t)) for t in ts], pa.list_(pa.int32()))], "doc_id long, human_poor string, human_toxic string, said string, ids array<int>")
     for m in MODELS:
         pattern = F.concat(F.substring("said", int(at[m]) + 1, MODELS[m]), F.col(f"human_{m}"))
         known = F.create_map(*[F.lit(x) for pair in believed[m].items() for x in pair]) if believed[m] else F.create_map().cast("map<string,double>")
         rows = rows.withColumn(f"soft_{m}", F.coalesce(known[pattern], F.lit(0.0)))
-        rows = rows.withColumn(f"weight_{m}", F.lit(1.0))
+        # rows without any vote teach as far as people have not labelled such rows
+        silent = "-" * MODELS[m]
+        rows = rows.withColumn(f"weight_{m}", F.when(pattern == silent + "-", WORTH / (WORTH + counts[m][silent + "b"] + counts[m][silent + "g"])).otherwise(1.0))
     vector = F.udf(lambda ids: SparseVector(FEATURES, ids, [1.0] * len(ids)), VectorUDT())
     rows = cut(rows.select(vector("ids").alias("features"), *[f"{k}_{m}" for k in ("soft", "weight") for m in MODELS]), "taught")
     return {m: learn(rows, m) for m in MODELS}

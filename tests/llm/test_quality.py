@@ -56,3 +56,27 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == 0
+
+
+def test_unlabelled_documents_teach_at_any_number_of_labels(spark):
+    """Bad text of a kind that no labelled document holds is learnt from the estimates, with over 1,000 labels too."""
+    rng = random.Random(5)
+    plain = lambda: " ".join(rng.choice(["river", "house", "garden", "music", "bread", "letter"]) for _ in range(20))
+    odd = lambda: "### *** $$$ %%% &&& " * 4 + plain()
+    abuse = lambda: plain() + " idiot morons zorblax"
+    texts = [odd() if i % 10 == 0 else plain() for i in range(1_500)] + [abuse() if i % 4 == 0 else plain() for i in range(1_500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(1_500)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert all(got[i].rejected for i in range(1_500, 3_000, 4))
+    assert not any(got[i].rejected for i in range(1_501, 3_000, 4))
+
+
+def test_sample_holds_both_kinds(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 400)
+    base = spark.createDataFrame([(i, f"text {i}") for i in range(4_000)], "doc_id long, whole string")
+    for n in (999, 1_000, 2_000):
+        told = spark.createDataFrame([(i, "g", "g") for i in range(n)], "doc_id long, human_poor string, human_toxic string")
+        got = [r.doc_id for r in quality.draw(base, told, n, 4_000 - n).collect()]
+        assert len(set(got)) == len(got)
+        assert 140 < sum(i < n for i in got) < 260 and 140 < sum(i >= n for i in got) < 260
