@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from colloquy.llm.shared import cut
 
 KEPT = 64
-#: Documents in each range of ids that :func:`with_next` deals out.
-ROWS_PER_PART = 2000
+#: Bytes of text in each range that :func:`with_next` deals out, about; more ranges where Spark shuffles to more partitions.
+PART_BYTES = 64 << 20
 
 
 def parse(data: bytes, known: dict[bytes, None] | None = None, at: int = 0) -> dict[bytes, None]:
@@ -116,61 +116,51 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fingerprint") -
     def made(column: pd.Series) -> pd.Series:
         return column.map(lambda t: written(fingerprint(t)))
 
-    return docs.withColumn(to, made(F.col(text).cast("string")))
+    return docs.withColumn(to, made(F.col(f"`{text}`").cast("string")))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rows_per_part: int | None = None) -> DataFrame:
-    """(part, place, doc_id, text) such that each row's next row in its part, by place, is the
-    next document in ascending order of (doc_id, text), after the last the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, place, at, doc_id, text), in partitions by part, such that each row's next row in its
+    part, by place and at, is the next document in ascending order, after the last the first.
 
-    Ids are dealt to ranges; the first row of each range stands also at the end of the range
-    before it (place 1), so every neighbour is at hand without one global order. Only the
-    ranges' bounds, one number each, come to the driver. Null ids come first.
+    Order is by ``at``: the id (null as the least number), then a hash of the text, so rows that
+    repeat an id, or have none, are dealt out too. Spark ranges the rows by it; the first
+    row of each range stands also at the end of the range before it (place 1). What comes to
+    the driver is one value a range, as many as tasks.
     """
-    lowest = -(1 << 63)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
-    total = base.count()
-    parts = max(1, -(-total // (rows_per_part or ROWS_PER_PART)))
-    probs = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(base.approxQuantile("at", probs, min(0.25 / parts, 0.01)))) if probs else []
-    edges = np.array([int(b) for b in bounds], np.int64)
-
-    @F.pandas_udf(T.LongType())
-    def part_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, at.to_numpy(np.int64), side="right"))
-
-    numbered = base.withColumn("part", part_of("at"))
-    first = cut(numbered.select("part", "at").groupBy("part").agg(F.min("at").alias("at")), "ranges")
-    found = sorted((r.part, r["at"]) for r in first.collect())
-    back = {at: found[i - 1][0] for i, (_, at) in enumerate(found)}
-    ats, where = np.array(sorted(back), np.int64), np.array([back[a] for a in sorted(back)], np.int64)
-
-    @F.pandas_udf(T.LongType())
-    def before(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(np.int64)
-        i = np.clip(np.searchsorted(ats, x), 0, max(0, len(ats) - 1))
-        return pd.Series(np.where(ats[i] == x, where[i], -1))
-
-    again = F.nullif(before("at"), F.lit(-1))
-    here = F.struct(F.col("part"), F.lit(0).alias("place"))
-    there = F.struct(again.cast("long").alias("part"), F.lit(1).alias("place"))
-    both = numbered.withColumn("x", F.explode(F.filter(F.array(here, there), lambda s: s["part"].isNotNull())))
-    return both.select("x.part", "x.place", "at", "doc_id", "text")
+    least_id = F.lit(-(1 << 63))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
+    base = base.withColumn("at", F.concat(digits(F.coalesce("doc_id", least_id).bitwiseXOR(least_id)), digits(F.xxhash64("text"))))
+    keys = cut(base.select("at", F.octet_length("text").alias("n")), "keys")
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    ranged = keys.select("at").repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
+    firsts = sorted(r["at"] for r in ranged.groupBy("part").agg(F.min("at").alias("at")).collect())
+    sent = docs.sparkSession.sparkContext.broadcast(np.array(firsts or ["0" * 32], "S32"))
+
+    @F.pandas_udf("array<struct<part:int,place:int>>")
+    def ranges(at: pd.Series) -> pd.Series:
+        edges = sent.value
+        x = at.to_numpy().astype("S32")
+        part = np.maximum(np.searchsorted(edges, x, side="right") - 1, 0)
+        before = np.where(edges[part] == x, (part - 1) % len(edges), -1)
+        return pd.Series([[(p, 0)] if b < 0 else [(p, 0), (b, 1)] for p, b in zip(part.tolist(), before.tolist())])
+
+    both = base.withColumn("x", F.explode(ranges("at"))).select("x.part", "x.place", "at", "doc_id", "text")
+    return both.repartitionById(len(sent.value), F.col("part"))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     ``edited`` is the text whose last floor(n_chars / 2) code points are replaced by the first as
-    many (or all) of the next document, in ascending order of doc_id (of equal ids by text;
-    null ids first), after the last the first; a single document is its own next. Null texts
-    are empty. Other columns play no part.
+    many (or all) of the next document, in ascending order of doc_id (of equal ids by a hash of
+    the text; null ids first), after the last the first; a single document is its own next.
+    Null texts are empty. Other columns play no part.
     """
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    dealt = with_next(docs, id_col, text)
-    n = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "place", "at", "text")
+    ordered = with_next(docs, id_col, text).sortWithinPartitions("part", "place", "at", "text")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import xxhash
 
 from colloquy.llm import lzprint
 
@@ -39,11 +40,11 @@ def test_likeness_near_the_true_share():
     assert lzprint.likeness(none, none) == 1 and lzprint.likeness(none, lzprint.fingerprint("a")) == 0
 
 
-def check(spark, rows, rows_per_part, monkeypatch):
-    monkeypatch.setattr(lzprint, "ROWS_PER_PART", rows_per_part)
+def check(spark, rows, part_bytes, monkeypatch):
+    monkeypatch.setattr(lzprint, "PART_BYTES", part_bytes)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, place string")
     got = lzprint.compare_with_next(df).collect()
-    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42)))
     want = []
     for (d, t), (_, after) in zip(order, order[1:] + order[:1]):
         half = len(t) // 2
@@ -56,14 +57,22 @@ def check(spark, rows, rows_per_part, monkeypatch):
 
 def test_next_document(spark, monkeypatch):
     rows = [(i * 7 % 65, t) for i, t in enumerate(texts())]
-    check(spark, rows, 10, monkeypatch)
+    check(spark, rows, 1000, monkeypatch)
 
 
 def test_next_with_nulls_and_repeats(spark, monkeypatch):
     t = texts()
     rows = [(None, t[0]), (None, None), (5, t[1]), (5, t[1]), (5, t[2]), (-3, ""), (9, None), (9, t[3])]
-    check(spark, rows, 2, monkeypatch)
-    check(spark, rows, 100, monkeypatch)
+    check(spark, rows, 50, monkeypatch)
+    check(spark, rows, 1 << 20, monkeypatch)
+
+
+def test_rows_without_ids_are_dealt_out(spark, monkeypatch):
+    """Null ids do not all come to one range."""
+    monkeypatch.setattr(lzprint, "PART_BYTES", 100)
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(200)], "doc_id long, text string")
+    counts = [r["count"] for r in lzprint.with_next(df).where("place = 0").groupBy("part").count().collect()]
+    assert sum(counts) == 200 and max(counts) < 60
 
 
 def test_one_and_none(spark, monkeypatch):
