@@ -3,13 +3,15 @@
 A page becomes a tree. Menus, page headers, footers, asides, forms, scripts, styles, comments
 and elements that name themselves an advert, sidebar, notice or the like are left out. Every
 paragraph passes points (one, one for each comma, up to three for its length) to its parent,
-half of them to the grandparent and a third to the one above; a container's points are
-discounted by the share of its text that stands in links. The best container, or the
-article it stands in, is kept, with those siblings that score near it or read like prose.
+half of them to the grandparent and a third to the one above; an element that says it holds
+the article starts with some points. A container's points are discounted by the share of its
+text that stands in links. The best container, or the article it stands in, is kept, with
+those siblings that score near it or read like prose.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>?""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object canvas audio video select noframes".split())
 DROP = RAW | set("nav footer aside form button fieldset dialog menu head input datalist".split())
@@ -29,6 +31,10 @@ BLOCK = set(
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes, and where the search for it stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What an opening block closes if open, and where the search for it stops.
+PARAGRAPH_STOPS = set("article section div td th li blockquote body main table".split())
+#: Elements within text, which class names never remove.
+INLINE = set("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small strike strong sub sup tt u var h1 h2 h3 h4 h5 h6 body html main article".split())
 #: Words of class, id and role that mark what is no part of an article.
 UNLIKELY = set(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
@@ -38,6 +44,8 @@ UNLIKELY = set(
 )
 COMMENTS = set("comment comments disqus reply replies respond discussion".split())
 LIKELY = set("article body content entry main post story text".split())
+#: Words that say nothing where they stand beside others in one name.
+NEUTRAL = set("area bar block box button buttons card column container form group icons inner item items left link links list outer panel right section slot top bottom unit wrap wrapper posts stories articles".split())
 
 
 class Node:
@@ -50,7 +58,10 @@ class Node:
 
 
 def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """(unlikely, about comments, likely), by class, id, role and hiding."""
+    """(unlikely, about comments, likely), by class, id, role and hiding.
+
+    A name of several words, as in cookie-notice, is unlikely if each of them is, or says nothing.
+    """
     unlikely = comments = likely = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -58,88 +69,101 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             unlikely = True
         elif name in ("class", "id", "role"):
             for item in value.split():
-                words = re.split(r"[^a-z0-9]+", item)
-                if words[0] in ("has", "no", "with", "without", "is"):
+                words = set(re.split(r"[^a-z0-9]+", item)) - {""}
+                if words & {"has", "no", "with", "without", "is"}:
                     continue
-                if COMMENTS & set(words):
-                    comments = True
-                if LIKELY & set(words) and not COMMENTS & set(words):
-                    likely = True
-                elif item in UNLIKELY or UNLIKELY & set(words):
-                    unlikely = True
+                comments |= bool(COMMENTS & words)
+                likely |= bool(LIKELY & words) and not words & UNLIKELY
+                unlikely |= item in UNLIKELY or (bool(UNLIKELY & words) and words <= UNLIKELY | NEUTRAL)
     return unlikely, comments, likely
 
 
+class _Open:
+    """The open elements, with the places of each name, so that what a tag closes is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("", root)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> Node:
+        return self.stack[-1][1]
+
+    def push(self, tag: str, node: Node) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag; one of an element within text does not reach out of its block."""
+        place = self.last({tag})
+        if place and (tag in BLOCK or tag in DROP or not self.blocks or self.blocks[-1] < place):
+            self.cut(place)
+
+    def start(self, tag: str) -> None:
+        """What an opening tag closes."""
+        if tag in BLOCK:
+            place = self.last({"p"})
+            if place > self.last(PARAGRAPH_STOPS):
+                self.cut(place)
+        if tag in CLOSES:
+            what, stops = CLOSES[tag]
+            stop = self.last(stops)
+            found = [at[k] for t in what if (at := self.places.get(t)) and (k := bisect.bisect_right(at, stop)) < len(at)]
+            if found:
+                self.cut(min(found))
+
+
 def tree(page: str) -> Node:
-    root = here = Node("html", None)
+    root = Node("html", None)
+    open_ = _Open(root)
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
-            here.children.append(page[at:])
+            open_.top().children.append(page[at:])
             break
         if m.start() > at:
-            here.children.append(page[at : m.start()])
+            open_.top().children.append(page[at : m.start()])
         at = m.end()
         if m[1] is not None:
-            here.children.append(m[1])
+            open_.top().children.append(m[1])
         if not m[3]:
             continue
         tag, closing, attributes = m[3].lower(), bool(m[2]), m[4]
         if closing:
-            here = _close(here, tag, root)
+            open_.end(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if tag in VOID:
-            here.children.append(" " if tag == "br" else Node(tag, here))
+            open_.top().children.append(" " if tag == "br" else Node(tag, open_.top()))
             continue
-        if tag in BLOCK:
-            here = _close(here, "p", root, {"article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "table"}, missing_ok=True)
-        if tag in CLOSES:
-            what, stop = CLOSES[tag]
-            x = here
-            while x is not root and x.tag not in stop:
-                if x.tag in what:
-                    here = x.parent
-                x = x.parent
+        open_.start(tag)
         unlikely, comments, likely = _marks(attributes) if attributes else (False, False, False)
-        drop = tag in DROP or comments or (unlikely and tag not in ("body", "html", "article", "main"))
-        node = Node("#drop" if drop else tag, here, likely)
-        node.children = [] if not drop else node.children
-        here.children.append(node)
+        code = bool(open_.places.get("pre"))
+        drop = tag in DROP or (not code and ((comments and (tag == "article" or tag not in INLINE)) or (unlikely and tag not in INLINE)))
+        node = Node("#drop" if drop else tag, open_.top(), likely)
+        open_.top().children.append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            node.likely = likely
-            here = node
-            if drop:
-                node.score = 0
-                _NAMES[id(node)] = tag
-    _NAMES.clear()
+            open_.push(tag, node)
     return root
 
 
-#: Names of dropped elements while their page is parsed, so that their end tags are known.
-_NAMES: dict[int, str] = {}
-
-
-def _name(node: Node) -> str:
-    return _NAMES.get(id(node), node.tag) if node.tag == "#drop" else node.tag
-
-
-def _close(here: Node, tag: str, root: Node, stop: set[str] | None = None, missing_ok: bool = False) -> Node:
-    x = here
-    while x is not root:
-        name = _name(x)
-        if name == tag:
-            return x.parent
-        if (stop and name in stop) or (not stop and tag not in BLOCK and tag not in DROP and name in BLOCK):
-            return here
-        x = x.parent
-    return here
-
-
 def _walk(node: Node) -> Iterator[Node]:
     todo = [node]
     while todo:
@@ -166,64 +190,76 @@ def _measure(root: Node) -> dict[int, tuple[int, int, int]]:
 
 def _drop_page_headers(root: Node) -> None:
     """Headers outside an article go; inside one only their headings stay."""
-    for x in list(_walk(root)):
+    todo = [(root, False)]
+    while todo:
+        x, inside = todo.pop()
+        inside = inside or x.tag in ("article", "main")
         if x.tag == "header":
-            y = x.parent
-            while y and y.tag not in ("article", "main"):
-                y = y.parent
-            if not y:
-                x.tag, x.children = "#drop", []
-            else:
+            if inside:
                 x.children = [c for c in _walk(x) if c.tag in HEADING]
+            else:
+                x.tag, x.children = "#drop", []
+            continue
+        todo += [(c, inside) for c in x.children if isinstance(c, Node) and c.tag != "#drop"]
 
 
-def best_parts(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order."""
-    _drop_page_headers(root)
-    measure = _measure(root)
-    candidates: dict[int, Node] = {}
-    for x in _walk(root):
+#: Tags whose elements are paragraphs, and those that are if enough text stands directly in them.
+PARAGRAPHS, CONTAINERS = ("p", "pre", "td", "blockquote", "li", "dd"), ("div", "section", "article", "main")
+OWN_CHARS = 25
+#: Points that elements start with.
+START = {"article": 10, "main": 8, "section": 3, "div": 3, "ul": -3, "ol": -3, "form": -5}
+LIKELY_POINTS = 10
+
+
+def scored(root: Node, measure: dict[int, tuple[int, int, int]]) -> list[Node]:
+    """The candidates, in page order; their score holds the points that paragraphs passed to them."""
+    order = list(_walk(root))
+    candidates: set[int] = set()
+    for x in order:
         size, linked, commas = measure[id(x)]
+        if x.tag in ("article", "main") and size:
+            candidates.add(id(x))
         own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
-        if x.tag in ("p", "pre", "td", "blockquote", "li", "dd") or (x.tag in ("div", "section", "article", "main") and own >= 25):
-            if not size:
-                continue
+        if size and (x.tag in PARAGRAPHS or (x.tag in CONTAINERS and own >= OWN_CHARS)):
             points = (1 + commas + min(size / 100, 3)) * (1 - linked / size)
-            up, share = (x if x.tag in ("div", "section", "article", "main") else x.parent), 1.0
-            level = 1
-            while up is not None and level <= 3:
-                candidates[id(up)] = up
-                up.score += points * share
-                level += 1
-                share = 1 / level
+            up = x if x.tag in CONTAINERS else x.parent
+            for level in (1, 2, 3):
+                if up is None:
+                    break
+                candidates.add(id(up))
+                up.score += points / level
                 up = up.parent
-    for x in candidates.values():
-        size, linked, _ = measure[id(x)]
-        x.score += {"article": 10, "main": 8, "section": 3, "div": 3, "ul": -3, "ol": -3, "form": -5}.get(x.tag, 0) + 10 * x.likely
-        x.score *= 1 - linked / size if size else 0
-    articles = [x for x in _walk(root) if x.tag == "article" and measure[id(x)][0]]
+    return [x for x in order if id(x) in candidates]
+
+
+def best_parts(root: Node) -> list[Node]:
+    """The best container and the siblings kept with it, in page order."""
+    _drop_page_headers(root)
+    measure = _measure(root)
+    candidates = scored(root, measure)
     if not candidates:
-        if articles:
-            return [max(articles, key=lambda x: measure[id(x)][0])]
-        return [root] if not any(x.tag == "article" for x in _walk(root)) else []
-    best = max(candidates.values(), key=lambda x: x.score)
-    if articles and best.tag != "article":
-        up = best
-        while up.parent is not None and up.tag != "article":
-            up = up.parent
-        inside = up.tag == "article"
-        best = up if inside else max(articles, key=lambda x: (x.score, measure[id(x)][0]))
+        return [root]
+    density = lambda x: measure[id(x)][1] / measure[id(x)][0] if measure[id(x)][0] else 1.0
+    final = {id(x): (x.score + START.get(x.tag, 0) + LIKELY_POINTS * x.likely) * (1 - density(x)) for x in candidates}
+    best = max(candidates, key=lambda x: final[id(x)])
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    best = up or best
     if best.parent is None:
         return [best]
-    kept = []
+    near = max(10, 0.2 * best.score)
+    kept, heading = [], None
     for x in best.parent.children:
         if x is best:
-            kept.append(x)
-        elif isinstance(x, Node) and x.tag != "#drop":
-            size, linked, _ = measure[id(x)]
-            density = linked / size if size else 1
-            prose = best.tag != "article" and x.tag in ("p", "pre", "blockquote") and density < 0.25 and (size > 80 or (density == 0 and size > 0))
-            if prose or (best.score > 0 and id(x) in candidates and density < 0.3 and x.score >= max(10, 0.2 * best.score)):
+            kept += [heading, x] if heading is not None else [x]
+            heading = None
+        elif isinstance(x, Node) and x.tag != "#drop" and measure[id(x)][0]:
+            # a title right before the container, unless it is the page's own
+            heading = x if x.tag in ("h1", "h2") and best not in kept and best.tag != "article" and best.parent.tag not in ("body", "html") else None
+            size, d = measure[id(x)][0], density(x)
+            prose = best.tag != "article" and x.tag in ("p", "pre", "blockquote") and d < 0.25 and (size > 80 or d == 0)
+            if prose or (best.score > 0 and id(x) in final and d < 0.3 and x.score >= near):
                 kept.append(x)
     return kept
 
@@ -274,4 +310,4 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text") -> DataFrame
     def text_of(column: pd.Series) -> pd.Series:
         return column.map(main_text)
 
-    return pages.withColumn(to, text_of(F.col(html).cast("string")))
+    return pages.withColumn(to, text_of(F.col(f"`{html}`").cast("string")))
