@@ -13,12 +13,18 @@ the spans, in one text. Weak spans that overlap a base span are dropped.
 
 Spans are found without positions from the regex engine: the lengths of what stands between
 the matches and of the matches add up to them. All positions are code points, end exclusive.
+
+The texts that hold weak spans are searched once for all kinds and written, with one row for all
+copies of a text; what is linked there is joined back to the rows by the text's hash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from colloquy.llm.shared import cut
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
@@ -31,28 +37,59 @@ SCOPE = 200
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Values that :func:`_running` adds up in one piece.
+PIECE = 128
+#: Texts with over this part of the rows that hold weak spans are joined by broadcast; there are fewer than this many.
+HOT = 1000
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, step) -> Column:
+    """``step`` (sum or greatest) of all values of an array up to each one.
+
+    Made in pieces of ``PIECE`` values, and then over the pieces, as an array that grows by
+    one value at a time is copied each time.
+    """
+    none = F.expr("cast(array() as array<int>)")
+
+    def whole(array: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        added = lambda acc, at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+        return F.aggregate(array, start, lambda acc, x: _let(step(acc["at"], x).cast("int"), lambda at: added(acc, at)))["out"]
+
+    def cut_up(v: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / PIECE))
+        return F.transform(firsts, lambda j: whole(F.slice(v, (j * PIECE + 1).cast("int"), F.lit(PIECE))))
+
+    def joined(pieces: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), whole(F.transform(pieces, lambda p: F.element_at(p, -1))))
+        placed = F.filter(F.arrays_zip(pieces.alias("p"), ends.alias("e")), lambda x: x["p"].isNotNull())
+        return F.flatten(F.transform(placed, lambda x: F.transform(x["p"], lambda v: step(x["e"], v).cast("int"))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(cut_up(v), joined)).otherwise(none))
+
+
 def _found(text: Column, pattern: str, kind: Column, keep: Column) -> Column:
     """Spans of the leftmost non-overlapping matches m that ``keep`` holds for.
 
-    kind and keep may use m (struct of text and value).
+    kind and keep may use m (struct of hit and value).
     """
     p = F.lit(pattern)
     hits = F.regexp_extract_all(text, p, F.lit(0))
-    values = F.regexp_extract_all(text, p, F.lit(2)) if pattern == ASSIGN else hits
+    values = F.regexp_extract_all(text, p, F.lit(2)) if pattern == ASSIGN else F.array()
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")), lambda m: m["hit"].isNotNull())
 
-    def add(acc: Column, m: Column) -> Column:
-        start = (acc["at"] + m["gap"]).cast("int")
-        end = (start + F.length(m["hit"])).cast("int")
-        one = F.array(F.struct(start.alias("start"), kind(m).alias("kind"), end.alias("end")))
-        return F.when(m["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.when(keep(m), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-        )
+    def spans(s: Column) -> Column:
+        ends = _running(F.transform(s, lambda m: (m["gap"] + F.length(m["hit"])).cast("int")), lambda a, b: a + b)
+        kept = F.filter(F.arrays_zip(s.alias("m"), ends.alias("end")), lambda x: keep(x["m"]))
+        return F.transform(kept, lambda x: F.struct((x["end"] - F.length(x["m"]["hit"])).cast("int").alias("start"), kind(x["m"]).cast("int").alias("kind"), x["end"].alias("end")))
 
-    none = F.expr(f"cast(array() as {SPAN})")
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
-    return F.when(F.rlike(text, p), folded).otherwise(none)
+    return F.when(F.rlike(text, p), _let(steps, spans)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def _run_kind(m: Column) -> Column:
@@ -62,18 +99,27 @@ def _run_kind(m: Column) -> Column:
     return F.when(weak_id, 3).when(upper & lower & (n >= 20) & (n <= 256), 4).otherwise(-1)
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(row, whole, base, weak): the input's row as a struct, its text, and its spans by kind."""
-    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole.alias("whole"))
-    t, always = F.col("whole"), lambda m: F.lit(True)
-    sets = [
-        _found(t, ASSIGN, lambda m: F.lit(0), lambda m: F.length(m["value"]) >= 12),
-        _found(t, ACCESS, lambda m: F.lit(1), always),
-        _found(t, HEX, lambda m: F.lit(2), always),
-    ]
-    weak = [_found(t, RUN, _run_kind, lambda m: _run_kind(m) > 0), _found(t, ENDPOINT, lambda m: F.lit(5), always)]
-    return base.select("row", "whole", F.array_sort(F.concat(*sets)).alias("base"), F.concat(*weak).alias("weak"))
+def base_spans(t: Column) -> Column:
+    """Spans of the base kinds in a text, by start, then kind."""
+    always = lambda m: F.lit(True)
+    return F.array_sort(F.concat(
+        _found(t, ASSIGN, lambda m: F.lit(0), lambda m: F.length(m["value"]) >= 12), _found(t, ACCESS, lambda m: F.lit(1), always), _found(t, HEX, lambda m: F.lit(2), always)
+    ))
+
+
+def weak_spans(t: Column) -> Column:
+    return F.concat(_found(t, RUN, _run_kind, lambda m: _run_kind(m) > 0), _found(t, ENDPOINT, lambda m: F.lit(5), lambda m: F.lit(True)))
+
+
+def may_be_weak(t: Column) -> Column:
+    return F.rlike(t, F.lit(RUN)) | F.rlike(t, F.lit(ENDPOINT))
+
+
+def with_weak(texts: DataFrame) -> DataFrame:
+    """(text_key, base, weak, n) of the distinct texts (column ``whole``) and how many rows have each; written
+    to the shared folder."""
+    found = texts.select(F.sha2("whole", 256).alias("text_key"), base_spans(F.col("whole")).alias("base"), weak_spans(F.col("whole")).alias("weak"))
+    return cut(found.groupBy("text_key").agg(F.first("base").alias("base"), F.first("weak").alias("weak"), F.count("*").alias("n")), "weak")
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -82,11 +128,8 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     An interval join within each text: spans are dealt to bins of ``scope`` code points, weak
     ones also to the bins their scope reaches, and only spans of a common bin are compared.
     """
-    spans = (
-        found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
-        .select(F.sha2("whole", 256).alias("text_key"), F.explode(F.concat("base", "weak")).alias("s"))
-        .select("text_key", "s.start", "s.kind", "s.end").distinct()
-    )
+    some = found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
+    spans = some.select("text_key", F.explode(F.concat("base", "weak")).alias("s")).select("text_key", "s.start", "s.kind", "s.end").distinct()
     bins = lambda low, high: F.explode(F.sequence((low / scope).cast("int"), (high / scope).cast("int"))).alias("bin")
     weak = spans.where("kind > 2").select("text_key", "start", "kind", "end", bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope))
     part = spans.select("text_key", F.col("start").alias("p_start"), F.col("kind").alias("p_kind"), F.col("end").alias("p_end"), bins(F.col("start"), F.col("end")))
@@ -109,12 +152,20 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     Repeated rows stay repeated; an empty text or table has no spans. Spans of different kinds
     may overlap. Each row's spans depend on its text alone.
     """
-    found = with_spans(docs, text)
-    extra = linked(found, scope)
-    return (
-        found.withColumn("text_key", F.sha2("whole", 256)).join(extra, "text_key", "left")
-        .select("row", "whole", "base", F.array_sort(F.concat("base", F.coalesce("linked", F.expr(f"cast(array() as {SPAN})")))).alias("spans"))
-    )
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole.alias("whole"))
+    weak = may_be_weak(F.col("whole"))
+    found = with_weak(rows.select("whole").where(weak))
+    extra = cut(linked(found, scope), "linked")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    none = F.expr(f"cast(array() as {SPAN})")
+    hot = found.where(F.col("n") > total / HOT).select("text_key").join(extra, "text_key", "left").select("text_key", F.coalesce("linked", none).alias("hot"))
+    keyed = rows.select("row", "whole", base_spans(F.col("whole")).alias("base"), F.when(weak, F.sha2("whole", 256)).alias("text_key")).join(F.broadcast(hot), "text_key", "left")
+    # rows that need no link get keys of their own, as many of them may hold the same text
+    plain = [F.col("row").getField(f.name) for f in docs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    key = F.when(F.col("text_key").isNotNull() & F.col("hot").isNull(), F.col("text_key")).otherwise(F.concat(F.lit("-"), F.xxhash64(*plain).cast("string")))
+    both = F.array_sort(F.concat("base", F.coalesce("hot", "linked", none))).alias("spans")
+    return keyed.withColumn("text_key", key).join(extra, "text_key", "left").select("row", "whole", "base", both)
 
 
 def listed(spans: str | Column) -> Column:
@@ -128,14 +179,15 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", scope: i
 
     Overlapping spans count as one stretch. A null text stays null.
     """
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        kept = F.col("whole").substr(acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], kept, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    reach = _running(F.transform("spans", lambda s: s["end"]), F.greatest)
+    placed = F.arrays_zip(F.col("spans").alias("s"), F.concat(F.array(F.lit(0)), reach).alias("at"))
+    whole = F.col("whole")
 
-    def close(acc: Column) -> Column:
-        return F.concat(acc["out"], F.col("whole").substr(acc["at"] + 1, F.length("whole")))
+    def part(x: Column) -> Column:
+        start = x["s"]["start"]
+        last = whole.substr(x["at"] + 1, F.length(whole))
+        return F.when(x["s"].isNull(), last).when(start >= x["at"], F.concat(whole.substr(x["at"] + 1, start - x["at"]), F.lit(mask))).otherwise("")
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, close)
+    clean = F.array_join(F.transform(placed, part), "")
     done = scan(docs, text, scope).withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("row").getField(text)))
     return done.select(*[(F.col("clean") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

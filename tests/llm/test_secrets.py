@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from colloquy.llm import secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -82,3 +84,23 @@ def test_query_against_plain_scan(spark):
         base, spans = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and r.spans == listed(spans)
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+
+
+def test_a_text_full_of_spans(spark):
+    """Work grows with the spans, not with their square."""
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(20_000)) + " password=aaaaaaaaaaaa http://x.example/"
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.scan(df).select("row.doc_id", "spans").collect()}
+    assert time.perf_counter() - began < 20
+    assert [(s.start, s.kind, s.end) for s in got[1]] == [(i * 17, 2, i * 17 + 16) for i in range(20_000)] + [(340_000, 0, 340_021), (340_022, 5, 340_039)]
+    assert got[2] == []
+
+
+def test_hot_copies_of_a_text(spark):
+    text = "a1B2c3D4e5F6g7H8i9J0k1 at http://x.example/"
+    rows = [(i, text) for i in range(500)] + [(1000 + i, f"{text} number {i}") for i in range(20)] + [(2000 + i, "") for i in range(100)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", F.size("spans").alias("n")).collect()
+    assert sorted((r.doc_id, r.n) for r in got) == sorted((d, 2 if t else 0) for d, t in rows)
