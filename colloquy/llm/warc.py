@@ -29,8 +29,12 @@ from colloquy.llm.shared import cut, new_path
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: An archive is closed once its data passes this size.
 ARCHIVE_BYTES = 128 << 20
-#: Records fetched by one range read.
-CHUNK_RECORDS = 500
+#: Compressed bytes of neighbouring records that one range read fetches at most, but for a larger single record.
+CHUNK_BYTES = 4 << 20
+#: Bytes of payload that a task gives on at once, about.
+SEND_BYTES = 16 << 20
+#: Compressed bytes read by one task, about.
+TASK_BYTES = 64 << 20
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -244,6 +248,20 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     return cut(records.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
 
 
+def runs(index: list[dict], most: int) -> Iterator[tuple[int, list[int]]]:
+    """(offset, lengths) of runs of neighbouring records of at most so many bytes, or of one larger record."""
+    at, lengths, size = 0, [], 0
+    for x in index:
+        if lengths and size + x["length"] > most:
+            yield at, lengths
+            lengths, size = [], 0
+        at = at if lengths else x["offset"]
+        lengths.append(x["length"])
+        size += x["length"]
+    if lengths:
+        yield at, lengths
+
+
 def plan_reads(archives: DataFrame) -> DataFrame:
     """(archive, offset, lengths): runs of neighbouring records, from the archives' directories and indexes."""
 
@@ -254,8 +272,8 @@ def plan_reads(archives: DataFrame) -> DataFrame:
                     directory = ZipDirectory(f, f.size())
                     start, _ = directory.start(DATA)
                     index = [json.loads(x) for x in directory.content(INDEX).splitlines()]
-                rows = [index[i : i + CHUNK_RECORDS] for i in range(0, len(index), CHUNK_RECORDS)]
-                yield pd.DataFrame({"archive": uri, "offset": [start + r[0]["offset"] for r in rows], "lengths": [[x["length"] for x in r] for r in rows]})
+                found = list(runs(index, CHUNK_BYTES))
+                yield pd.DataFrame({"archive": uri, "offset": [start + at for at, _ in found], "lengths": [n for _, n in found]})
 
     return archives.select("archive").mapInPandas(plan, "archive string, offset long, lengths array<long>")
 
@@ -263,7 +281,9 @@ def plan_reads(archives: DataFrame) -> DataFrame:
 def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of all records.
 
-    Responses are checked against their digest; a revisit's size and digest are those of the full payload.
+    Responses are checked against their digest; a revisit's size and digest are those of the full
+    payload. Reads are dealt to as many tasks as their bytes ask for, and a task holds the
+    bytes of one run of records and of one batch of payloads at a time.
     """
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payload else "")
@@ -272,18 +292,27 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
         import pyarrow as pa
 
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
+        send = lambda rows: pa.RecordBatch.from_pylist([{k: r[k] for k in names + ["payload"] * payload} for r in rows], schema=kinds)
         for batch in batches:
             for uri, offset, lengths in zip(*[c.to_pylist() for c in batch.columns]):
                 with _open(uri) as f:
                     f.seek(offset)
                     data = memoryview(f.read(sum(lengths)))
-                rows, at = [], 0
+                rows, at, size = [], 0, 0
                 for n in lengths:
-                    rows.append(parse(zlib.decompress(data[at : at + n], 31)))
+                    row = parse(zlib.decompress(data[at : at + n], 31))
+                    size += len(row["payload"] or b"") if payload else 0
+                    row = row if payload else row | {"payload": None}
+                    rows.append(row)
                     at += n
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in names + ["payload"] * payload} for r in rows], schema=kinds)
-
-    return plan_reads(archives).repartition("archive", "offset").mapInArrow(read, schema)
+                    if size > SEND_BYTES:
+                        yield send(rows)
+                        rows, size = [], 0
+                yield send(rows)
+
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    return plan_reads(archives).repartition(tasks, "archive", "offset").mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payload: bool = False) -> DataFrame:

@@ -102,3 +102,10 @@ def test_query(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_runs_are_bounded_by_bytes():
+    sizes = [3, 4, 5, 100, 1, 1, 8]
+    index = [{"offset": sum(sizes[:i]), "length": n} for i, n in enumerate(sizes)]
+    assert list(warc.runs(index, 10)) == [(0, [3, 4]), (7, [5]), (12, [100]), (112, [1, 1, 8])]
+    assert list(warc.runs([], 10)) == []
