@@ -49,7 +49,7 @@ FLUSH = 2_000_000
 #: Contexts of up to this many bytes (65,536 of two at most) are judged on the driver.
 TOP = 2
 GROUP = 200_000
-HEAD = 1_000_000
+HEAD = 2_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -174,10 +174,10 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """An open-addressed table of sorted keys: (key or -1, place) by slot, and the shift."""
-    power = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 4))))
+    """An open-addressed table of sorted keys, at most half full: (key or -1, place) by slot, and the shift."""
+    power = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 2))))
     shift, mask = 64 - power, (1 << power) - 1
-    at, place = np.full(1 << power, -1, np.int64), np.full(1 << power, -1, np.int64)
+    at, place = np.full(1 << power, -1, np.int64), np.full(1 << power, -1, np.int32)
     todo, s = np.arange(len(keys)), ((keys.astype(np.uint64) * _MULTIPLY) >> np.uint64(shift)).astype(np.int64)
     while len(todo):
         free = np.flatnonzero(at[s] < 0)
@@ -411,7 +411,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     rows all counts are 0 and the tree is its root with an even distribution.
     """
     size = DEPTH + 1
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("whole"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("whole"))
     train = base.where(~held_out())
     counts = cut(word_counts(train), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -427,53 +427,56 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         import xxhash
 
         slots, head_codes, head_logs, frequent = _ready(sent)
+        told_type = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
+
+        def rows(of: np.ndarray, ids, keys: np.ndarray, word, times: np.ndarray, told=None):
+            arrays = [ids.take(pa.array(of)), pa.array(keys[of]), word, pa.array(times), pa.nulls(len(of), told_type) if told is None else told]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "word", "times", "told"])
+
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 200):
-                some = texts[at : at + 200]
-                out: list[list] = [[] for _ in range(9)]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids, some = part.column(0), part.column(1).to_pylist()
                 code = _grams(some, size)
                 place = _look_up(slots, head_codes, code)
                 lengths = np.array([len(symbols(t)) for t in some], np.int64)
-                told = np.add.reduceat(np.where(place >= 0, head_logs[place], 0.0), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+                score = np.add.reduceat(np.where(place >= 0, head_logs[place], 0.0), np.concatenate(([0], np.cumsum(lengths)[:-1])))
                 owner = np.repeat(np.arange(len(some), dtype=np.uint64), lengths)[place < 0]  # under 256
                 other, number = np.unique((owner << np.uint64(56)) | code[place < 0].astype(np.uint64), return_counts=True)
-                keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in some]
-                for doc_id, t, key, s in zip(ids[at : at + 200], some, keys, told.tolist()):
+                keys = np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in some], np.uint64).view(np.int64)
+                told, rest, times, of = [], [], [], []
+                for i, t in enumerate(some):
                     n = known = 0
                     logs = 0.0
-                    rest, times = [], []
                     for w, k in Counter(words(t)).items():
                         n += k
                         c = frequent.get(w)
                         if c is None:
                             rest.append(w)
                             times.append(k)
+                            of.append(i)
                         else:
                             known += k
                             logs += k * math.log10(c + 1)
-                    zeros = [0] * len(rest)
-                    row = ([doc_id] * len(rest), [key] * len(rest), zeros, rest, times, zeros, zeros, zeros, zeros)
-                    for column, head, more in zip(out, (doc_id, key, 1, b" " + key, 0, n, known, logs, s), row):
-                        column.append(head)
-                        column += more
-                kinds_ = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds_)], names=(names := ["doc_id", "key", "head", "word", "times", "n", "known", "logs", "score"]))
+                    told.append({"n": n, "known": known, "logs": logs, "score": score[i]})
+                # a document's own row: its word has a space, so no word equals it and the rows are dealt out
+                own = [b" " + k.tobytes() + (b"" if d is None else d.to_bytes(8, "little", signed=True)) for k, d in zip(keys, ids.to_pylist())]
+                yield rows(np.arange(len(some)), ids, keys, pa.array(own, pa.binary()), np.zeros(len(some), np.int64), pa.array(told, told_type))
+                if rest:
+                    yield rows(np.array(of), ids, keys, pa.array(rest, pa.binary()), np.array(times, np.int64))
                 if len(other):
-                    of = pa.array((other >> np.uint64(56)).astype(np.int64))
-                    zero, none = pa.array(np.zeros(len(other), np.int64)), pa.array(np.zeros(len(other)))
-                    which = [pa.array(ids[at : at + 200], pa.int64()).take(of), pa.array(keys, pa.binary()).take(of)]
                     word = _as_words((other & np.uint64((1 << 56) - 1)).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([*which, zero, word, pa.array(number.astype(np.int64)), zero, zero, none, none], names=names)
+                    yield rows((other >> np.uint64(56)).astype(np.int64), ids, keys, word, number.astype(np.int64))
 
-    parts = base.mapInArrow(pieces, "doc_id long, key binary, head long, word binary, times long, n long, known long, logs double, score double")
+    parts = base.mapInArrow(pieces, "doc_id long, key long, word binary, times long, told struct<n:long,known:long,logs:double,score:double>")
     rare = counts.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp")).union(tail.select("word", F.lit(None).cast("long").alias("c"), "logp"))
     found = parts.join(rare, "word", "left")
     end_log = math.log10(ends + 1)
+    told = lambda c: F.coalesce(F.sum(f"told.{c}"), F.lit(0))
     summed = found.groupBy("doc_id", "key").agg(
-        F.sum("head").alias("m"), F.sum("n").alias("n"),
-        F.sum(F.col("known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("logs") + F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"), F.sum(F.col("score") + F.col("times") * F.coalesce("logp", F.lit(0.0))).alias("score"),
+        F.count("told").alias("m"), F.sum("told.n").alias("n"),
+        (told("known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("known"),
+        (told("logs") + F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1))).alias("logs"), (told("score") + F.sum(F.col("times") * F.coalesce("logp", F.lit(0.0)))).alias("score"),
     )
     m, n_tokens = F.col("m"), (F.col("n") / F.col("m")).cast("long") + 1
     return summed.select(
