@@ -1,14 +1,22 @@
-"""BPE encoding and decoding, long texts by tree concatenation.
+"""BPE encoding and decoding, unsplit stretches by tree concatenation.
 
-Exactness rests on two facts about the byte-level tokenizer:
+Exactness rests on three facts about the byte-level tokenizer:
 
 * Between a character that is no white space and a white-space character a token always
   ends, whatever stands around, so text may be cut there and the parts encoded alone.
+* The tokenizer splits a text before it merges, and no token crosses such a split. What stands
+  between two splits is an unsplit stretch. A split after a character that is no white space
+  stays where it is when the text is cut there.
 * A sequence of tokens is the encoding of one unsplit stretch if each neighbouring pair is
   what the encoder makes of the pair's own text. So halves of a stretch can be encoded
   apart: a window around the join is encoded anew, and grown until its outermost tokens
   are those of both sides; then every pair of the joined sequence stands in an encoding.
 
+Every unsplit stretch of over ``STRETCH_CHARS`` code points is encoded by halves, down to pieces of at
+most that length, and joined up a tree. Texts of over ``LONG_CHARS`` are dealt to several tasks in
+parts; a stretch that itself is longer than a part is joined level by level, a pair at a time,
+over the tasks.
+
 Ids travel as little-endian unsigned 32-bit integers in one binary value.
 """
 
@@ -16,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Longer texts (code points) are encoded in parts on several tasks.
+from colloquy.llm.shared import cut
+
+#: Longer unsplit stretches (code points) are encoded by halves.
+STRETCH_CHARS = 24
+#: Longer texts are encoded in parts on several tasks.
 LONG_CHARS = 65_536
-#: Length of such parts, and of the halves of unsplit text.
+#: Length of such parts.
 PART_CHARS = 16_384
 CACHE_UNITS = 100_000
+#: Longer words are not kept in the cache, so its size in bytes is bounded too.
+CACHE_CHARS = 64
 #: New words encoded by one call.
 RUN_UNITS = 2_000
 #: Texts whose words are held at once.
@@ -81,19 +96,24 @@ class Bpe:
         cache.update((w, UNSAFE) for w in missing if _unsafe(w))
         for n in stale:
             found[n] = list(map(cache.get, split[n][1:]))
-        firsts = self.library([words[0] for words in split])
+        firsts = self.whole([words[0] for words in split])
         out: list[bytes] = []
-        for text, words, first, parts in zip(texts, split, firsts, found):
-            if UNSAFE in parts or (words[0] and _unsafe(words[0])):
-                out.append(self.library([text])[0])
-            else:
-                out.append(first + b"".join(parts))
+        odd = [n for n, (words, parts) in enumerate(zip(split, found)) if UNSAFE in parts or (words[0] and _unsafe(words[0]))]
+        whole = dict(zip(odd, self.whole([texts[n] for n in odd])))
+        for n, (first, parts) in enumerate(zip(firsts, found)):
+            out.append(whole[n] if n in whole else first + b"".join(parts))
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
         return out
 
     def _learn(self, words: list[str]) -> None:
         """Encodes new words, each after a space, many at a time: they can't merge with each
         other, and the tokens' lengths in bytes tell whose they are."""
-        chunks = [[" " + w for w in words[i : i + RUN_UNITS]] for i in range(0, len(words), RUN_UNITS)]
+        long = [w for w in words if len(w) >= STRETCH_CHARS]
+        self.cache.update(zip(long, self.whole([" " + w for w in long])))
+        short = [w for w in words if len(w) < STRETCH_CHARS]
+        chunks = [[" " + w for w in short[i : i + RUN_UNITS]] for i in range(0, len(short), RUN_UNITS)]
         for chunk, ids in zip(chunks, self.library(["".join(c) for c in chunks])):
             ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
             stops = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in chunk])) + 1
@@ -102,8 +122,41 @@ class Bpe:
                 self.cache[u[1:]] = ids[at:stop]
                 at = stop
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, their long stretches by halves."""
+        pieces: list[str] = []
+        plans = []
+        for t in texts:
+            plan = []  # (first piece, number of pieces) of what has to be joined
+            for group in self._groups(t):
+                plan.append((len(pieces), len(group)))
+                pieces += group
+            plans.append(plan)
+        ids = self.library(pieces)
+        return [b"".join(self.joined(ids[at : at + n]) for at, n in plan) for plan in plans]
+
+    def _groups(self, text: str) -> list[list[str]]:
+        """The text in pieces: one alone, or the halves of a long stretch."""
+        if not LONG_RUN.search(text):
+            return [[text]]
+        out: list[list[str]] = []
+        for part in self._at_special(text):
+            at = 0
+            blank: list[int] = []  # splits within the white space before the stretch at hand
+            for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(part):
+                if b - a > STRETCH_CHARS:
+                    # white space takes other splits at the end of a text, so what stands right before goes alone
+                    cuts = [at, *[x for x in blank if x > at], a]
+                    out += [[part[x:y]] for x, y in zip(cuts, cuts[1:]) if y > x]
+                    out.append(_halves(part[a:b], STRETCH_CHARS))
+                    at = b
+                blank = [*blank, a] if part[a:b].isspace() else []
+            if at < len(part):
+                out.append([part[at:]])
+        return out
+
     def parts(self, text: str, part_chars: int) -> list[tuple[int, str]]:
-        """Cuts of a text: (group, part). Parts of one group are pieces of one unsplit
+        """Cuts of a long text: (group, part). Parts of one group are pieces of one unsplit
         stretch and have to be joined; group -1 stands alone."""
         out: list[tuple[int, str]] = []
         group = 0
@@ -162,6 +215,8 @@ class Bpe:
         return self.bytes_of[token][0] & 0xC0 != 0x80
 
 
+#: So many characters that no class change need split.
+LONG_RUN = re.compile(r"\S{%d,}|\s{%d,}" % (STRETCH_CHARS, STRETCH_CHARS))
 #: Mark of words whose tokens depend on what stands beside them.
 UNSAFE = b""
 
@@ -241,7 +296,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", to: str
     """
     path = path or default_path()
     docs = docs.drop(to)
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = docs.select(row, whole.alias("whole"))
     is_long = F.length("whole") > long_chars
@@ -265,36 +320,38 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", to: str
         for pdf in batches:
             for key, t in zip(pdf.key, pdf.whole):
                 parts = b.parts(t, part_chars)
-                yield pd.DataFrame({"key": key, "seq": range(len(parts)), "grp": [g for g, _ in parts], "part": [p for _, p in parts]})
+                at, last = [], {}  # a part's place among those of its group
+                for g, _ in parts:
+                    at.append(last.get(g, -1) + 1)
+                    last[g] = at[-1]
+                yield pd.DataFrame({"key": key, "seq": range(len(parts)), "grp": [g for g, _ in parts], "at": at, "part": [p for _, p in parts]})
 
     def part_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = bpe(path)
         for pdf in batches:
-            yield pd.DataFrame({"key": pdf.key, "seq": pdf.seq, "grp": pdf.grp, "ids": b.encode(pdf.part.tolist())})
+            yield pd.DataFrame({"key": pdf.key, "seq": pdf.seq, "grp": pdf.grp, "at": pdf["at"], "ids": b.encode(pdf.part.tolist())})
 
-    def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = bpe(path)
+    def join_two(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        out, run, last = [], [], -1
-        for g, ids in zip(pdf.grp.tolist() + [-1], pdf.ids.tolist() + [b""]):
-            if run and g != last:
-                out.append(b.joined(run))
-                run = []
-            if g < 0:
-                out.append(ids)
-            else:
-                run.append(ids)
-            last = g
-        return pd.DataFrame({"key": [pdf.key.iloc[0]], "ids": [b"".join(out)]})
+        return pd.DataFrame({"key": pdf.key.iloc[:1], "grp": pdf.grp.iloc[:1], "at": pdf["at"].iloc[:1] // 2, "seq": pdf.seq.iloc[:1], "ids": [bpe(path).joined(pdf.ids.tolist())]})
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": pdf.key.iloc[:1], "ids": [b"".join(pdf.sort_values("seq").ids)]})
 
     long = base.where(is_long).withColumn("key", F.sha2("whole", 256))
-    ids = (
+    parts = cut(
         long.select("key", "whole").dropDuplicates(["key"])
-        .mapInPandas(cuts, "key string, seq long, grp long, part string")
+        .mapInPandas(cuts, "key string, seq long, grp long, at long, part string")
         .repartition("key", "seq")
-        .mapInPandas(part_ids, "key string, seq long, grp long, ids binary")
-        .groupBy("key").applyInPandas(join_parts, "key string, ids binary")
+        .mapInPandas(part_ids, "key string, seq long, grp long, at long, ids binary"),
+        "parts",
     )
+    runs = parts.where("grp >= 0").select("key", "grp", "at", "seq", "ids")
+    most = runs.agg(F.max("at")).first()[0] or 0
+    while most > 0:
+        runs = runs.withColumn("pair", F.expr("at div 2")).groupBy("key", "grp", "pair").applyInPandas(lambda pdf: join_two(pdf.drop(columns="pair")), "key string, grp long, at long, seq long, ids binary")
+        most //= 2
+    ids = parts.where("grp < 0").select("key", "seq", "ids").unionByName(runs.select("key", "seq", "ids")).groupBy("key").applyInPandas(in_order, "key string, ids binary")
     both = short.unionByName(long.select("row", "key").join(ids, "key").select("row", "ids"))
     return both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("ids").alias(to))
 
@@ -310,4 +367,4 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
     def texts(column: pd.Series) -> pd.Series:
         return column.map(lambda x: text_of(x or b"", path))
 
-    return tokens.withColumn(to, texts(F.col(ids)))
+    return tokens.withColumn(to, texts(F.col(f"`{ids}`")))

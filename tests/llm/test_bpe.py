@@ -62,3 +62,21 @@ def test_query(spark, lib):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df).count() == 0
+
+
+def test_long_stretches_with_the_production_sizes(spark, lib, monkeypatch):
+    """Unsplit stretches of all lengths go through halves and joins, over tasks where they pass a part."""
+    rng = random.Random(8)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    letters = "".join(rng.choice("thonerandingwhes") for _ in range(120_000))
+    texts = [f"before  {letters}\n\nafter", base64, "a b " + letters[:20_000] + " c", " " * 70_000 + "x", "".join(rng.choice("日本語の") for _ in range(70_000))]
+    texts += [letters[: bpe.STRETCH_CHARS + k] for k in range(-2, 3)] + [f"x\n\n{letters[:60]}\n\n{letters[60:150]}'ll 12", "\n" * 40 + letters[:40], f"<|endoftext|>{letters[:90]}<|endoftext|>"]
+    joins = []
+    old = bpe.Bpe.join
+    monkeypatch.setattr(bpe.Bpe, "join", lambda self, a, b: joins.append(1) or old(self, a, b))
+    direct = bpe.Bpe(bpe.default_path())
+    assert direct.encode(texts[5:]) == [whole(lib, t) for t in texts[5:]] and joins
+    monkeypatch.undo()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(df).collect():
+        assert bytes(r.token_ids) == whole(lib, texts[r.doc_id]), r.doc_id
