@@ -7,9 +7,10 @@ documents, without anyone telling which is right. The posterior of a document's
 soft label, and a linear scorer over hashed features learns from the soft labels of a bounded
 sample of documents, half of it labelled by people and half not where there are enough of both. The scorer, not the heuristics, decides about each document.
 
-Two such models stand side by side: one for poor text, one for toxic text. Where the table of
-human labels has a document, its class is held at ``TRUST``; this anchors the estimates, which
-else may take two heuristics that agree with each other for the truth.
+Two such models stand side by side: one for poor text, one for toxic text. People who labelled
+documents are one more labeller, whose silence says nothing and whose accuracy is estimated with
+the others' from a strong prior (``TRUST``); this keeps the estimates from taking two heuristics
+that agree with each other for the truth.
 """
 
 from __future__ import annotations
@@ -35,16 +36,33 @@ FEATURES = 1 << 17
 REGULAR = 6e-5
 #: The estimate for a pattern of votes counts as so many human labels on the same votes.
 WORTH = 10
-#: How far a human label is believed.
-TRUST = 0.99
+#: How often people are right before anything is known; it counts as much as all their labels, or as ``TRUST_ROWS``.
+TRUST, TRUST_ROWS = 0.999, 1_000
 #: A document is rejected when either scorer finds this chance.
 THRESHOLD = 0.5
-#: Words of abuse, dealt to two labellers in turn.
-ABUSE = ["idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "dumb", "filth"]
-FIRST, SECOND = frozenset(ABUSE[::2]), frozenset(ABUSE[1::2])
+#: Words of abuse by kind, and phrases of it.
+INSULTS = frozenset(
+    """idiot idiots moron morons scum trash loser losers clown clowns filth imbecile imbeciles jerk jerks dimwit dimwits halfwit halfwits
+    scumbag scumbags lowlife lowlifes vermin parasite parasites cretin cretins degenerate degenerates dunce dunces garbage creep creeps
+    idiota imbécil estúpido idiote imbécile crétin abruti trottel vollidiot depp dummkopf abschaum""".split()
+)
+SLURS = frozenset(
+    """stupid pathetic worthless disgusting dumb brainless idiotic moronic despicable loathsome repulsive revolting braindead spineless
+    clueless hopeless ridiculous repugnant contemptible subhuman rotten wretched asqueroso patético stupide pathétique dégoûtant
+    dumm erbärmlich widerlich wertlos""".split()
+)
+HOSTILE = re.compile(r"\b(?:shut up|get lost|drop dead|go to hell|hate you|kill yourself|piss off|screw you|nobody likes you|you people|you make me sick)\b")
+YOU = frozenset("you your youre yours u ur du ihr tu vous usted".split())
+#: The commonest words of English, German, French and Spanish.
+FUNCTION_WORDS = frozenset(
+    """the of and to in a is it that was for on with he as his be at by this had not are but from or have an they which one you were her all
+    der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei um noch
+    le la les de des et un une du que est dans pour sur pas au ne se par avec qui ce il plus en el los las y del que por con una su para es lo como más""".split()
+)
 SYMBOLS = "*#$%&|!~^<>{}\\@+=_"
 WORD = re.compile(r"[^\W_]+")
-MODELS = {"poor": 5, "toxic": 2}
+#: Models and how many labellers vote for each.
+MODELS = {"poor": 8, "toxic": 4}
 
 
 def measures(text: str, words: list[str]) -> dict[str, float]:
@@ -61,13 +79,29 @@ def measures(text: str, words: list[str]) -> dict[str, float]:
 
 
 def votes(text: str) -> str:
-    """One letter a labeller, b for bad, g for good, - for none; the poor ones first, then the toxic ones."""
-    words = WORD.findall(text.lower())
-    m, known = measures(text, words), set(words)
-    bad = [m["symbols"] > 0.03, m["upper"] > 0.3, m["letters"] < 0.6 and text.strip() != "", m["repeats"] > 0.1, m["bars"] > 0.1, bool(known & FIRST), bool(known & SECOND)]
+    """One letter a labeller, b for bad, g for good, - for none; the poor ones first, then the toxic ones.
+
+    Poor: many symbols, many words in capitals, few or many letters, words that repeat the one
+    before, many bars, repeated lines, a small vocabulary for the length, few or many function
+    words. Toxic: words that name people with contempt, words that judge with it, hostile
+    phrases, and either kind of word within three words of an address.
+    """
+    lower = text.lower()
+    words = WORD.findall(lower)
+    m, known, n = measures(text, words), set(words), len(words)
+    lines = [x for x in text.split("\n") if x.strip()]
+    common = sum(map(FUNCTION_WORDS.__contains__, words)) / max(1, n)
+    abuse = known & INSULTS, known & SLURS
+    near = any(abuse) and bool(known & YOU) and any(w in YOU and any(x in INSULTS or x in SLURS for x in words[max(0, i - 3) : i + 4]) for i, w in enumerate(words))
+    bad = [
+        m["symbols"] > 0.03, m["upper"] > 0.3, m["letters"] < 0.6 and text.strip() != "", m["repeats"] > 0.1, m["bars"] > 0.1, len(lines) >= 4 and len(set(lines)) <= len(lines) / 2,
+        n >= 50 and len(known) < 2 * n**0.5, n >= 40 and common < 0.02, bool(abuse[0]), bool(abuse[1]), HOSTILE.search(lower) is not None, near,
+    ]
     out = ["b" if x else "-" for x in bad]
     if m["letters"] > 0.85:
         out[2] = "g"
+    if n >= 40 and common > 0.15:
+        out[7] = "g"
     return "".join(out)
 
 
@@ -85,29 +119,39 @@ def features(text: str) -> list[int]:
     return list({crc(x.encode()) & mask for x in names})
 
 
-def posterior(counts: dict[str, float], human: dict[str, int] | None = None, rounds: int = 100) -> dict[str, float]:
+def posterior(counts: dict[str, float], human: bool = False, rounds: int = 100) -> dict[str, float]:
     """The chance of "bad" for each pattern of votes, by expectation-maximisation.
 
     A pattern is a string of b, g and -; its last letter is the human label if ``human`` is set.
     A weak prior holds that labellers are right rather than wrong, and keeps chances off 0 and 1.
+    Beside human labels the silence of all heuristics counts as that of one, as they miss the
+    same kinds of text.
     """
     if not counts:
         return {}
     patterns = np.array([list(p) for p in counts])
-    told = patterns[:, -1] if human else np.full(len(patterns), "-")
-    heard = patterns[:, :-1] if human else patterns
     weight = np.array(list(counts.values()), float)
-    held = lambda x: np.where(told == "b", TRUST, np.where(told == "g", 1 - TRUST, x))
-    bad = held(np.where((heard == "b").any(1), 0.9, 0.05))
-    seen = np.stack([heard == v for v in "-gb"], 2).astype(float)  # pattern, labeller, vote
-    prior = np.array([[[5.0, 5.0, 0.1]], [[5.0, 0.5, 5.0]]])  # class good, class bad
+    heard = patterns[:, :-1] if human else patterns
+    bad = np.where((heard == "b").any(1), 0.9, 0.05)
+    seen = np.stack([patterns == v for v in "-gb"], 2).astype(float)  # pattern, labeller, vote
+    tells = seen.copy()
+    prior = np.repeat([[[5.0, 5.0, 0.1]], [[5.0, 0.5, 5.0]]], patterns.shape[1], 1)  # class good, class bad
+    if human:
+        told = patterns[:, -1]
+        bad = np.where(told == "b", TRUST, np.where(told == "g", 1 - TRUST, bad))
+        tells[:, :-1, 0] /= heard.shape[1]
+        seen[:, -1, 0] = tells[:, -1, 0] = 0  # no label says nothing
+        rows = max(TRUST_ROWS, weight[told != "-"].sum())
+        prior[:, -1] = [[0, TRUST * rows, (1 - TRUST) * rows], [0, (1 - TRUST) * rows, TRUST * rows]]
     for _ in range(rounds):
         share = (weight @ bad + 1) / (weight.sum() + 10)
         logs = []
         for c, p in ((0, 1 - bad), (1, bad)):
             said = np.einsum("i,ijk->jk", weight * p, seen) + prior[c]
-            logs.append(np.einsum("ijk,jk->i", seen, np.log(said / said.sum(1, keepdims=True))))
-        new = held(1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log(1 - share) - np.log(share), -700, 700))))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                chance = np.log(said / said.sum(1, keepdims=True))
+            logs.append(np.einsum("ijk,jk->i", tells, np.where(said > 0, chance, 0.0)))
+        new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1] + np.log(1 - share) - np.log(share), -700, 700)))
         if np.abs(new - bad).max() < 1e-9:
             break
         bad = new
@@ -162,8 +206,11 @@ def draw(base: DataFrame, told: DataFrame, labelled: int, others: int) -> DataFr
     return base.join(F.broadcast(pool), "doc_id").unionByName(some, allowMissingColumns=True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> dict[str, tuple[float, dict[int, float]]]:
-    """Vote counts over all rows, posteriors, and a scorer for each model from a bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", vote=votes) -> dict[str, tuple[float, dict[int, float]]]:
+    """Vote counts over all rows, posteriors, and a scorer for each model from a bounded sample.
+
+    ``vote`` makes the letters of a text's labellers, as many as ``MODELS`` says.
+    """
     import pyarrow as pa
 
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -171,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     letter = lambda c, bad: F.when(c.isNull(), "-").when(bad, "b").otherwise("g")
     told = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("abusive"))
     told = told.select("doc_id", letter(F.col("quality"), F.col("quality") == 0).alias("human_poor"), letter(F.col("abusive"), F.col("abusive") == 1).alias("human_toxic"))
-    said = _mapped(base, 1, lambda ts: [([votes(t) for t in ts], pa.string())], "doc_id long, said string")
+    said = _mapped(base, 1, lambda ts: [([vote(t) for t in ts], pa.string())], "doc_id long, said string")
     human = [F.coalesce(f"human_{m}", F.lit("-")).alias(f"human_{m}") for m in MODELS]
     counted = said.join(told, "doc_id", "left").groupBy("said", *human).count().collect()
     counts: dict[str, Counter] = {m: Counter() for m in MODELS}
@@ -182,27 +229,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             counts[m][part(r.said, m) + r[f"human_{m}"]] += r["count"]
     believed = {m: anchored(counts[m], posterior(counts[m], human=True)) for m in MODELS}
     sample = draw(base, told, told.count(), sum(r["count"] for r in counted if r.human_poor == r.human_toxic == "-")).select("doc_id", "whole", *human)
-    rows = _mapped(sample, 1, lambda ts: [([votes(t) for t in ts], pa.string()), ([sorted(features(t)) for t in ts], pa.list_(pa.int32()))], "doc_id long, human_poor string, human_toxic string, said string, ids array<int>")
+    rows = _mapped(sample, 1, lambda ts: [([vote(t) for t in ts], pa.string()), ([sorted(features(t)) for t in ts], pa.list_(pa.int32()))], "doc_id long, human_poor string, human_toxic string, said string, ids array<int>")
     for m in MODELS:
-        pattern = F.concat(F.substring("said", int(at[m]) + 1, MODELS[m]), F.col(f"human_{m}"))
-        known = F.create_map(*[F.lit(x) for pair in believed[m].items() for x in pair]) if believed[m] else F.create_map().cast("map<string,double>")
-        rows = rows.withColumn(f"soft_{m}", F.coalesce(known[pattern], F.lit(0.0)))
         # rows without any vote teach as far as people have not labelled such rows
         silent = "-" * MODELS[m]
-        rows = rows.withColumn(f"weight_{m}", F.when(pattern == silent + "-", WORTH / (WORTH + counts[m][silent + "b"] + counts[m][silent + "g"])).otherwise(1.0))
+        quiet = WORTH / (WORTH + counts[m][silent + "b"] + counts[m][silent + "g"])
+        known = [(p, b, quiet if p == silent + "-" else 1.0) for p, b in believed[m].items()]
+        table = docs.sparkSession.createDataFrame(known, f"pattern_{m} string, soft_{m} double, weight_{m} double")  # at most 3^(labellers + 1) rows
+        pattern = F.concat(F.substring("said", int(at[m]) + 1, MODELS[m]), F.col(f"human_{m}"))
+        rows = rows.withColumn(f"pattern_{m}", pattern).join(F.broadcast(table), f"pattern_{m}")
     vector = F.udf(lambda ids: SparseVector(FEATURES, ids, [1.0] * len(ids)), VectorUDT())
     rows = cut(rows.select(vector("ids").alias("features"), *[f"{k}_{m}" for k in ("soft", "weight") for m in MODELS]), "taught")
     return {m: learn(rows, m) for m in MODELS}
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", vote=votes) -> DataFrame:
     """(row, doc_id, poor, toxic, rejected) for every row of ``docs``, the row as a struct.
 
     Null texts count as empty; a text without anything but white space is never rejected. Rows
     that repeat stay; several labels of one id count as its worst; without labels the heuristics
     vote alone.
     """
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text))
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text, vote))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("whole"))
 

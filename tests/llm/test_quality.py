@@ -21,7 +21,7 @@ def test_posterior_finds_the_good_labeller():
     assert p["bbg"] > 0.95 and p["--b"] < 0.4
     assert quality.posterior({}) == {}
     q = quality.posterior({"-b": 50, "-g": 900, "bb": 40, "b-": 40, "--": 900}, human=True)
-    assert q["-b"] == quality.TRUST and q["b-"] > 0.9 and q["--"] < 0.1
+    assert q["-b"] > 0.9 and q["-g"] < 0.05 and q["b-"] > 0.9 and q["--"] < 0.1
 
 
 def test_accuracy_on_labels_not_seen(spark):
@@ -80,3 +80,67 @@ def test_sample_holds_both_kinds(spark, monkeypatch):
         got = [r.doc_id for r in quality.draw(base, told, n, 4_000 - n).collect()]
         assert len(set(got)) == len(got)
         assert 140 < sum(i < n for i in got) < 260 and 140 < sum(i >= n for i in got) < 260
+
+
+def plain_em(rows, human, rounds):
+    """The estimates by loops over rows, votes and classes."""
+    k = len(rows[0])
+    told = sum(r[-1] != "-" for r in rows)
+    weak = {0: {"-": 5.0, "g": 5.0, "b": 0.1}, 1: {"-": 5.0, "g": 0.5, "b": 5.0}}
+    n = max(quality.TRUST_ROWS, told)
+    strong = {0: {"g": quality.TRUST * n, "b": (1 - quality.TRUST) * n}, 1: {"g": (1 - quality.TRUST) * n, "b": quality.TRUST * n}}
+    bad = []
+    for r in rows:
+        b = 0.9 if "b" in (r[:-1] if human else r) else 0.05
+        bad.append(quality.TRUST if human and r[-1] == "b" else 1 - quality.TRUST if human and r[-1] == "g" else b)
+    for _ in range(rounds):
+        share = (sum(bad) + 1) / (len(rows) + 10)
+        said = [[dict(strong[c] if human and j == k - 1 else weak[c]) for j in range(k)] for c in (0, 1)]
+        for r, b in zip(rows, bad):
+            for j, v in enumerate(r):
+                if v in said[0][j]:
+                    said[0][j][v] += 1 - b
+                    said[1][j][v] += b
+        new = []
+        for r in rows:
+            p = [1 - share, share]
+            for c in (0, 1):
+                for j, v in enumerate(r):
+                    if v in said[c][j]:
+                        p[c] *= (said[c][j][v] / sum(said[c][j].values())) ** (1 / (k - 1) if human and v == "-" else 1)
+            new.append(p[1] / (p[0] + p[1]))
+        bad = new
+    return dict(zip(rows, bad))
+
+
+@pytest.mark.parametrize("human", [False, True])
+def test_estimates_against_plain_loops(human):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(600):
+        bad = rng.random() < 0.3
+        one = "b" if rng.random() < (0.7 if bad else 0.05) else "-"
+        two = rng.choice("b-") if bad else rng.choice("gg-")
+        rows.append(one + two + rng.choice("b--" if bad else "g--"))
+    counts = {p: rows.count(p) for p in rows}
+    assert quality.posterior(counts, human, rounds=12) == pytest.approx(plain_em(rows, human, 12), rel=1e-6, abs=1e-9)
+
+
+def test_labellers_drive_the_scorer(spark):
+    """What two labellers say of rows without human labels decides what the scorer learns."""
+    rng = random.Random(7)
+    plain = lambda: " ".join(rng.choice(["river", "house", "garden", "music", "bread", "letter"]) for _ in range(20))
+    texts = [plain() + (" zorblax quibbet" if i % 5 == 0 else "") for i in range(1_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 400, 5)], "doc_id long, quality int, toxic int")
+    quiet = "-" * 12
+    told = lambda t: ("bb" if "zorblax" in t else "--") + quiet[2:]
+    assert sum(r.rejected for r in quality.classify(docs, labels, vote=lambda t: quiet).collect()) == 0
+    got = quality.classify(docs, labels, vote=told).collect()
+    assert {r.doc_id for r in got if r.rejected} == set(range(0, 1_000, 5))
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "|" * 1_000_000), (3, "plain words of a text")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.classify(docs, labels).count() == 3
