@@ -49,7 +49,9 @@ FLUSH = 2_000_000
 #: Contexts of up to this many bytes (65,536 of two at most) are judged on the driver.
 TOP = 2
 GROUP = 200_000
-HEAD = 2_000_000
+HEAD = 1_000_000
+#: Bytes of text, about, and rows (under 256) that a task takes apart at once.
+STEP_BYTES, STEP_ROWS = 1 << 20, 200
 
 
 def words(text: str | None) -> list[bytes]:
@@ -369,6 +371,20 @@ def head_and_tail(found: DataFrame, short: Tree) -> tuple[np.ndarray, np.ndarray
     return codes, logs, found.where(~frequent).select("code", "logp").mapInArrow(fill, "word binary, logp double")
 
 
+def _steps(texts) -> Iterator[tuple[int, int]]:
+    """(first, number) of rows of bounded size together, or of one longer text."""
+    import pyarrow.compute as pc
+
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > at and (size + (n or 0) > STEP_BYTES or i - at == STEP_ROWS):
+            yield at, i - at
+            at, size = i, 0
+        size += n or 0
+    if len(texts) > at:
+        yield at, len(texts) - at
+
+
 def _as_words(code: np.ndarray):
     """Sequences as binary values that no word equals: a line feed, then the bytes."""
     import pyarrow as pa
@@ -434,8 +450,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "word", "times", "told"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at, n in _steps(batch.column(1)):
+                part = batch.slice(at, n)
                 ids, some = part.column(0), part.column(1).to_pylist()
                 code = _grams(some, size)
                 place = _look_up(slots, head_codes, code)
