@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.session import settled
+
 RANKS = ["AMBIGUOUS", "INFERRED", "EXTRACTED"]
 DESCRIPTION = 512
 
 
 def merged_nodes(mentions: DataFrame) -> DataFrame:
     """One node per name: most frequent type (first seen on a tie), distinct descriptions in order of
-    appearance cut to 512 characters, sources and recordings in order, whether types disagree.
+    appearance cut to 512 characters, how many recordings and mentions, whether types disagree.
 
     Values are made distinct before they are gathered, so a node's lists hold what it has, not how often.
     """
-    types = mentions.groupBy("name", "type").agg(F.count("*").alias("n"), F.min("position").alias("seen"))
-    type_ = types.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "type"))["type"].alias("type"), (F.count("*") > 1).alias("ambiguous"))
+    type_ = node_types(mentions)
     said = mentions.groupBy("name", "description").agg(F.min("position").alias("seen")).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seen", "description")))["description"].alias("d"))
     seen = mentions.groupBy("name", "recording_id").agg(F.count("*").alias("n")).groupBy("name").agg(F.count("*").alias("recordings"), F.sum("n").alias("mentions"))
     return type_.join(said, "name").join(seen, "name").select("name", "type", "ambiguous", F.left(F.array_join("d", " | "), F.lit(DESCRIPTION)).alias("description"), "recordings", "mentions")
 
 
+def node_types(mentions: DataFrame) -> DataFrame:
+    """(name, type, ambiguous): the most frequent type, the first seen on a tie, and whether there are others."""
+    types = mentions.groupBy("name", "type").agg(F.count("*").alias("n"), F.min("position").alias("seen"))
+    return types.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "seen", "type"))["type"].alias("type"), (F.count("*") > 1).alias("ambiguous"))
+
+
 def merged_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """One edge per (source, target, relation): weights added, best confidence; an endpoint of several types makes it AMBIGUOUS."""
     e = relations.groupBy("source", "target", "relation").agg(F.sum("weight").alias("weight"), F.max("rank").alias("rank"), F.count_distinct("recording_id").alias("recordings"))
@@ -68,13 +75,17 @@ def superseded(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(node, hop) within so many undirected steps of the start nodes, each at its least hop."""
+    """(node, hop) within so many undirected steps of the start nodes, each at its least hop.
+
+    Each frontier but the last is written, so a step's plan holds no step before it.
+    """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     found = start.select("node").distinct().withColumn("hop", F.lit(0))
     edge = found
     for hop in range(1, hops + 1):
         step = edge.join(both, edge.node == both.a).select(F.col("b").alias("node")).distinct()
         edge = step.join(found.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        edge = settled(edge, "frontier") if hop < hops else edge
         found = found.unionByName(edge)
     return found
 
@@ -99,13 +110,14 @@ def modularity(links: DataFrame, community: DataFrame) -> DataFrame:
 def label_propagation(links: DataFrame, rounds: int = 5) -> DataFrame:
     """Communities by repeated majority of the neighbours' labels, the smallest label on a tie.
 
-    Needs spark.checkpoint.dir for reliable checkpoints between rounds where it is set.
+    The labels of every other round are written, so plans do not grow with the rounds.
     """
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         votes = both.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
         label = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("community")).withColumnRenamed("a", "node")
+        label = settled(label, "labels") if done % 2 == 0 and done < rounds else label
     return label
 
 

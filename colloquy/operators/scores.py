@@ -74,18 +74,25 @@ def weighted_recall(rows: DataFrame, key: str) -> DataFrame:
     return ok.groupBy(key).agg(F.round(F.sum(hit) / F.sum("w"), 6).alias("recall"), F.round(F.pow(F.sum("w"), 2) / F.sum(F.col("w") * F.col("w")), 6).alias("ess"))
 
 
-def sweep(trials: DataFrame, score: str, same: str) -> DataFrame:
-    """False accepts and rejects at each distinct threshold (accept at or above it).
+def sweep(trials: DataFrame, score: str, same: str, cells: int = 1000) -> DataFrame:
+    """(threshold, s_above, d_above, sn, dn, far, frr) at each distinct threshold (accept at or above it).
 
-    Counts are summed by threshold first, so the running sums pass over distinct scores only.
+    Counts are summed by threshold first. Thresholds are dealt to ``cells`` equal ranges of the
+    scores; a running sum passes over each range alone, and over the ranges' totals for what lies above.
     """
     from pyspark.sql import Window as W
 
     n = trials.groupBy(F.col(score).alias("threshold")).agg(F.count_if(same).alias("s"), F.count_if(~F.col(same)).alias("d"))
-    total = trials.agg(F.count_if(same).alias("sn"), F.count_if(~F.col(same)).alias("dn"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    run = n.withColumn("s_above", F.sum("s").over(w)).withColumn("d_above", F.sum("d").over(w)).crossJoin(F.broadcast(total))
-    return run.select("threshold", F.round(F.col("d_above") / F.col("dn"), 6).alias("far"), F.round(1 - F.col("s_above") / F.col("sn"), 6).alias("frr"))
+    total = n.agg(F.sum("s").alias("sn"), F.sum("d").alias("dn"), F.min("threshold").alias("low"), F.max("threshold").alias("high"))
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("threshold") - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))).otherwise(0)
+    n = n.crossJoin(F.broadcast(total)).withColumn("cell", cell.cast("int"))
+    by = n.groupBy("cell").agg(F.sum("s").alias("cs"), F.sum("d").alias("cd"))  # at most ``cells`` rows
+    above = W.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+    offset = by.select("cell", F.coalesce(F.sum("cs").over(above), F.lit(0)).alias("os"), F.coalesce(F.sum("cd").over(above), F.lit(0)).alias("od"))
+    w = W.partitionBy("cell").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    run = n.withColumn("rs", F.sum("s").over(w)).withColumn("rd", F.sum("d").over(w)).join(F.broadcast(offset), "cell")
+    run = run.withColumn("s_above", F.col("rs") + F.col("os")).withColumn("d_above", F.col("rd") + F.col("od"))
+    return run.select("threshold", "s_above", "d_above", "sn", "dn", F.round(F.col("d_above") / F.col("dn"), 6).alias("far"), F.round(1 - F.col("s_above") / F.col("sn"), 6).alias("frr"))
 
 
 def gates(summary: DataFrame) -> DataFrame:

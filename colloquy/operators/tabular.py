@@ -48,11 +48,11 @@ def transition_flow(transitions: DataFrame, receptions: DataFrame) -> DataFrame:
 
 def state_nodes(transitions: DataFrame) -> DataFrame:
     """Incoming and outgoing events of each state; a self-loop is one event of both kinds."""
-    side = lambda state, i, o: transitions.select(F.col(state).alias("state"), "transition_id", "reception_id", "confidence", F.lit(i).alias("i"), F.lit(o).alias("o"))
-    one = side("from_state", 0, 1).unionByName(side("to_state", 1, 0)).groupBy("state", "transition_id", "reception_id", "confidence").agg(F.max("i").alias("i"), F.max("o").alias("o"))
+    one = transitions.select(F.explode(F.array_distinct(F.array("from_state", "to_state"))).alias("state"), "from_state", "to_state", "reception_id", "confidence")
     return one.groupBy("state").agg(
-        F.count_distinct("reception_id").alias("receptions"), F.sum("i").cast("long").alias("incoming"), F.sum("o").cast("long").alias("outgoing"), F.round(F.avg("confidence"), 6).alias("confidence")
-    )
+        F.count_distinct("reception_id").alias("receptions"), F.count_if(F.col("state") == F.col("to_state")).alias("incoming"), F.count_if(F.col("state") == F.col("from_state")).alias("outgoing"),
+        F.round(F.avg("confidence"), 6).alias("confidence"),
+    )
 
 
 def top_reasons(transitions: DataFrame, n: int = 5) -> DataFrame:
@@ -76,11 +76,26 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("row")[c].alias(c) for c in rest])
 
 
-def nearest_baseline(candidates: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
-    """For each candidate the baseline of its key nearest in time, either way; then the larger id."""
-    both = candidates.join(baselines, key)
-    order = W.partitionBy("candidate_id").orderBy(F.abs(F.col("candidate_at") - F.col("baseline_at")), F.desc("baseline_id"))
-    return both.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+def nearest_baseline(candidates: DataFrame, baselines: DataFrame, keys: list[str]) -> DataFrame:
+    """For each candidate a baseline of its keys: one of its job first, then the nearest in time either way, then the larger id.
+
+    Takes (keys, job, id, at) on both sides. Both are put in one order of time, in which the
+    last baseline before and the first after a candidate are found, so no pairs are made.
+    Candidates without a baseline are left out.
+    """
+    side = lambda d, is_base: d.select(*keys, "job", "id", "at", F.lit(is_base).alias("is_base"))
+    rows = side(candidates, False).unionByName(side(baselines, True))
+    base = F.when(F.col("is_base"), F.struct("at", "id"))
+
+    def near(*by: str) -> list[Column]:
+        up = W.partitionBy(*by).orderBy("at", F.desc("is_base"), "id").rowsBetween(W.unboundedPreceding, 0)
+        down = W.partitionBy(*by).orderBy(F.desc("at"), F.desc("is_base"), "id").rowsBetween(W.unboundedPreceding, 0)
+        return [F.last(base, ignorenulls=True).over(w) for w in (up, down)]
+
+    found = rows.withColumn("own", F.array(*near(*keys, "job"))).withColumn("any", F.array(*near(*keys))).where("not is_base")
+    far = lambda c: F.array_min(F.transform(F.array_compact(c), lambda x: F.struct(F.abs(x["at"] - F.col("at")).alias("far"), (-x["id"]).alias("minus"))))
+    best = F.coalesce(far(F.col("own")), far(F.col("any")))
+    return found.withColumn("best", best).where("best is not null").select(F.col("id").alias("candidate_id"), (-F.col("best.minus")).alias("baseline_id"))
 
 
 def neighbour_pairs(recordings: DataFrame, window_sec: int, k: int) -> DataFrame:
@@ -152,5 +167,5 @@ def assigned_speaker(segments: DataFrame, turns: DataFrame) -> DataFrame:
     inside = (mid >= F.col("t_start")) & (mid < F.col("t_end"))
     overlap = F.greatest(F.lit(0), F.least("end_sec", "t_end") - F.greatest("start_sec", "t_start"))
     apart = F.least(F.abs(mid - F.col("t_start")), F.abs(mid - F.col("t_end")))
-    order = W.partitionBy("segment_id").orderBy(F.desc(inside), F.when(~inside, -overlap).otherwise(0), F.when(~inside, apart).otherwise(0), "t_idx")
-    return both.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("segment_id", "recording_id", "t_idx")
+    order = F.struct((~inside).alias("outside"), F.when(~inside, -overlap).otherwise(0).alias("common"), F.when(~inside, apart).otherwise(0).alias("apart"), "t_idx")
+    return both.groupBy("segment_id", "recording_id").agg(F.min(order)["t_idx"].alias("t_idx"))

@@ -36,16 +36,24 @@ def merged(last: DataFrame, groups: list[str]) -> DataFrame:
 
 def agreement(last: DataFrame) -> DataFrame:
     """For each pair of groups: comparable cells, agreements, cells of one side only, rate."""
-    one = lambda g, v: last.select(*CELL, F.col("group_key").alias(g), F.col("value").alias(v))
-    both = one("left", "a").join(one("right", "b"), CELL).where("left < right").groupBy("left", "right").agg(F.count("*").alias("comparable"), F.count_if(F.col("a") == F.col("b")).alias("agreements"))
-    size = last.groupBy("group_key").agg(F.count("*").alias("n"))
-    s = lambda g, n: size.select(F.col("group_key").alias(g), F.col("n").alias(n))
+    by = last.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("group_key", "value"))).alias("g"))  # at most one of each group
+    both = by.select(F.explode(_pairs(F.col("g"))).alias("x")).groupBy(F.col("x.left.group_key").alias("left"), F.col("x.right.group_key").alias("right")).agg(
+        F.count("*").alias("comparable"), F.count_if(F.col("x.left.value") == F.col("x.right.value")).alias("agreements")
+    )
+    size = by.select(F.explode("g.group_key").alias("group_key")).groupBy("group_key").agg(F.count("*").alias("n"))
+    s = lambda g, n: F.broadcast(size.select(F.col("group_key").alias(g), F.col("n").alias(n)))
     return both.join(s("left", "ln"), "left").join(s("right", "rn"), "right").select(
         "left", "right", "comparable", "agreements", (F.col("ln") - F.col("comparable")).alias("left_only"), (F.col("rn") - F.col("comparable")).alias("right_only"),
         F.round(F.col("agreements") / F.col("comparable"), 6).alias("rate"),
     )
 
 
+def _pairs(items: Column) -> Column:
+    """Ordered pairs (left, right) of an array's items, which are few."""
+    rest = lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("left"), y.alias("right")))
+    return F.flatten(F.transform(items, rest))
+
+
 def coverage(last: DataFrame, groups: list[str]) -> DataFrame:
     """Assigned and missing cells of each declared group, also of one without any."""
     total = last.select(*CELL).distinct().agg(F.count("*").alias("cells"))
@@ -64,8 +72,8 @@ def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def cooccurrence(last: DataFrame, top: int) -> DataFrame:
     """The most frequent unordered pairs of label=value in one target of one group."""
-    tokens = last.select("group_key", "target_id", F.concat_ws("=", "label_key", "value").alias("token")).distinct()
-    pairs = tokens.withColumnRenamed("token", "left").join(tokens.withColumnRenamed("token", "right"), ["group_key", "target_id"]).where("left < right")
+    tokens = last.groupBy("group_key", "target_id").agg(F.array_sort(F.collect_set(F.concat_ws("=", "label_key", "value"))).alias("tokens"))  # at most one of each label
+    pairs = tokens.select("group_key", F.explode(_pairs(F.col("tokens"))).alias("x")).select("group_key", "x.left", "x.right")
     return pairs.groupBy("group_key", "left", "right").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group_key", "left", "right").limit(top)
 
 

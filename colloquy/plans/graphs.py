@@ -31,7 +31,7 @@ def _(t):
 e AS (SELECT source, target, relation, CAST(sum(weight) AS BIGINT) AS weight, max(rank) AS rank, count(DISTINCT recording_id) AS recordings FROM relations GROUP BY 1, 2, 3)
 SELECT source, target, relation, weight, CASE WHEN source IN (SELECT name FROM amb WHERE ambiguous) OR target IN (SELECT name FROM amb WHERE ambiguous) OR rank = 0 THEN 'AMBIGUOUS' WHEN rank = 1 THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence, recordings FROM e""")
 def _(t):
-    return op.merged_edges(t.relations, op.merged_nodes(t.mentions))
+    return op.merged_edges(t.relations, op.node_types(t.mentions))
 
 
 @query("agg19_degrees", ("edges",), "WITH d AS (SELECT DISTINCT source, target, relation FROM edges) SELECT name, count(*) AS degree FROM (SELECT source AS name FROM d UNION ALL SELECT target FROM d) GROUP BY 1")
@@ -49,9 +49,9 @@ def _(t):
     return op.relation_counts(t.edges)
 
 
-@query("gr3_missing_endpoints", ("mentions", "edges"), "SELECT DISTINCT name, '未知' AS type FROM (SELECT source AS name FROM edges UNION SELECT target FROM edges) WHERE name NOT IN (SELECT name FROM mentions WHERE position % 400 = 0)")
+@query("gr3_missing_endpoints", ("mentions", "edges"), "SELECT DISTINCT name, '未知' AS type FROM (SELECT source AS name FROM edges UNION SELECT target FROM edges) WHERE name NOT IN (SELECT name FROM mentions)")
 def _(t):
-    return op.missing_endpoints(t.edges, t.mentions.where("position % 400 = 0"))
+    return op.missing_endpoints(t.edges, t.mentions)
 
 
 @query("gr4_incident_edges", E, "SELECT edge_id FROM edges WHERE source = 'e5' OR target = 'e5'")
@@ -69,9 +69,9 @@ def _(t):
     return op.induced(t.links, op.neighbours(t.links, start(t), 2).orderBy("hop", "node").limit(40))
 
 
-@query("gr8_shortest_path_length", L, f"WITH {BFS} SELECT node, hop AS length FROM hops WHERE node % 10 = 3")
+@query("gr8_shortest_path_length", L, f"WITH {BFS} SELECT node, hop AS length FROM hops")
 def _(t):
-    return op.shortest_paths(t.links, 7, 2).where("node % 10 = 3")
+    return op.shortest_paths(t.links, 7, 2)
 
 
 @query("gr11_as_of", E, "SELECT edge_id FROM edges WHERE valid_at IS NULL OR (valid_at <= 300 AND (invalid_at IS NULL OR invalid_at > 300) AND expired_at IS NULL)")
@@ -142,12 +142,12 @@ def _(t):
     return t.relations.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-@query("gr24_stale_candidates", MR, f"""WITH {NODES}, r AS (SELECT name, count(DISTINCT recording_id) AS recordings FROM mentions WHERE position % 3 = 0 GROUP BY 1),
-g AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM relations WHERE position % 40 = 0 UNION ALL SELECT target FROM relations WHERE position % 40 = 0) GROUP BY 1), x AS (SELECT r.name, recordings, coalesce(degree, 0) AS degree FROM r LEFT JOIN g ON r.name = g.name)
-SELECT name, CASE WHEN degree >= 8 THEN 'god' WHEN recordings = 1 THEN 'stale' ELSE 'orphan' END AS reason, CASE WHEN degree >= 8 THEN CAST(0.9 AS DOUBLE) WHEN recordings = 1 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS score FROM x WHERE degree >= 8 OR recordings = 1 OR degree = 0""")
+@query("gr24_stale_candidates", MR, f"""WITH {NODES}, r AS (SELECT name, count(DISTINCT recording_id) AS recordings FROM mentions GROUP BY 1),
+g AS (SELECT name, count(*) AS degree FROM (SELECT source AS name FROM relations UNION ALL SELECT target FROM relations) GROUP BY 1), x AS (SELECT r.name, recordings, coalesce(degree, 0) AS degree FROM r LEFT JOIN g ON r.name = g.name)
+SELECT name, CASE WHEN degree >= 50 THEN 'god' WHEN recordings = 1 THEN 'stale' ELSE 'orphan' END AS reason, CASE WHEN degree >= 50 THEN CAST(0.9 AS DOUBLE) WHEN recordings = 1 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS score FROM x WHERE degree >= 50 OR recordings = 1 OR degree = 0""")
 def _(t):
-    nodes = op.merged_nodes(t.mentions.where("position % 3 = 0")).join(op.degrees(t.relations.where("position % 40 = 0")), "name", "left").fillna(0, ["degree"])
-    return op.stale_candidates(nodes, god=8)
+    nodes = op.merged_nodes(t.mentions).join(op.degrees(t.relations), "name", "left").fillna(0, ["degree"])
+    return op.stale_candidates(nodes)
 
 
 @query("gr27_deprecated", E, """

@@ -40,24 +40,23 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN l_suppkey % 9 <> 0 THEN l_suppkey % 5 END AS store_id, l_partkey % 9 AS agent_id, l_shipdate AS occurred_at
         FROM {lineitem}"""),
     "mentions": (("lineitem",), """
-        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS position, concat('e', CAST(l_partkey % 300 AS STRING)) AS name,
+        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS position, concat('e', CAST(l_partkey AS STRING)) AS name,
                CASE l_suppkey % 5 WHEN 0 THEN 'brand' WHEN 1 THEN 'person' ELSE 'product' END AS type, concat('about ', CAST(l_suppkey % 6 AS STRING)) AS description,
                concat(CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS source_id, l_orderkey AS recording_id
         FROM {lineitem}"""),
     "relations": (("lineitem",), """
-        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS position, concat('e', CAST(l_partkey % 300 AS STRING)) AS source, concat('e', CAST(l_suppkey % 290 AS STRING)) AS target,
+        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS position, concat('e', CAST(l_partkey AS STRING)) AS source, concat('e', CAST(l_suppkey * 31 AS STRING)) AS target,
                CASE l_returnflag WHEN 'A' THEN 'buys' WHEN 'N' THEN 'likes' ELSE 'asks' END AS relation, CAST(l_quantity AS BIGINT) AS weight,
                l_linenumber % 3 AS rank, l_orderkey AS recording_id, concat(CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS source_id
         FROM {lineitem}"""),
     "edges": (("lineitem",), """
-        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS edge_id, concat('e', CAST(l_partkey % 300 AS STRING)) AS source, concat('e', CAST(l_suppkey % 290 AS STRING)) AS target,
+        SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS edge_id, concat('e', CAST(l_partkey AS STRING)) AS source, concat('e', CAST(l_suppkey * 31 AS STRING)) AS target,
                CASE l_returnflag WHEN 'A' THEN 'buys' WHEN 'N' THEN 'likes' ELSE 'asks' END AS relation,
                CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey % 1000 END AS valid_at, CASE WHEN l_linenumber % 3 = 0 THEN l_orderkey % 1000 + 50 END AS invalid_at,
                CASE WHEN l_partkey % 8 = 0 THEN l_orderkey % 1000 + 80 END AS expired_at, CASE l_suppkey % 3 WHEN 0 THEN 'AMBIGUOUS' WHEN 1 THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence
         FROM {lineitem}"""),
     "links": (("lineitem",), """
-        SELECT DISTINCT least(l_partkey % 300, l_suppkey % 290) AS a, greatest(l_partkey % 300, l_suppkey % 290) AS b
-        FROM {lineitem} WHERE l_partkey % 300 <> l_suppkey % 290 AND l_linenumber = 7"""),
+        SELECT DISTINCT least(2 * l_partkey, 2 * l_suppkey + 1) AS a, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS b FROM {lineitem}"""),
     "vectors": (("embeddings",), "SELECT vec_id, embedding, label FROM {embeddings}"),
     "turns": (("conversations",), "SELECT conv_id, turn, role, text FROM {conversations}"),
     "frames": (("events",), """

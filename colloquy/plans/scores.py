@@ -84,7 +84,7 @@ WITH n AS (SELECT confidence AS threshold, count(*) FILTER (expected = predicted
 r AS (SELECT threshold, sum(s) OVER w AS sa, sum(d) OVER w AS da, (SELECT sum(s) FROM n) AS sn, (SELECT sum(d) FROM n) AS dn FROM n WINDOW w AS (ORDER BY threshold DESC)) SELECT threshold, round(da / CAST(dn AS DOUBLE), 6) AS far, round(1 - sa / CAST(sn AS DOUBLE), 6) AS frr FROM r""")
 def _(t):
     p = t.predictions.where("predicted is not null").withColumn("same", F.col("expected") == F.col("predicted"))
-    return op.sweep(p, "confidence", "same")
+    return op.sweep(p, "confidence", "same").select("threshold", "far", "frr")
 
 
 @query("ev22_efficiency_regression", P, """

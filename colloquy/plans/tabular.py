@@ -80,14 +80,13 @@ def _(t):
 
 
 @query("join10_nearest_baseline", ("predictions",), """
-WITH p AS (SELECT subject_id, cohort, side, subject_id % 977 AS at_ FROM predictions WHERE subject_id % 50 = 1),
-x AS (SELECT c.subject_id AS candidate_id, b.subject_id AS baseline_id, row_number() OVER (PARTITION BY c.subject_id ORDER BY abs(c.at_ - b.at_), b.subject_id DESC) AS k
-  FROM p c JOIN p b ON (c.cohort // 2) = (b.cohort // 2) AND c.side = 'candidate' AND b.side = 'base')
+WITH p AS (SELECT (subject_id // 10000) % 100000 AS subject, tag_key, cohort // 4 AS job, side, subject_id AS id, subject_id % 977 AS at_ FROM predictions),
+x AS (SELECT c.id AS candidate_id, b.id AS baseline_id, row_number() OVER (PARTITION BY c.id ORDER BY c.job <> b.job, abs(c.at_ - b.at_), b.id DESC) AS k
+  FROM p c JOIN p b ON c.subject = b.subject AND c.tag_key = b.tag_key AND c.side = 'candidate' AND b.side = 'base')
 SELECT candidate_id, baseline_id FROM x WHERE k = 1""")
 def _(t):
-    p = t.predictions.where("subject_id % 50 = 1").selectExpr("subject_id", "cohort div 2 AS key", "side", "subject_id % 977 AS at")
-    side = lambda s, n: p.where(F.col("side") == s).select("key", F.col("subject_id").alias(f"{n}_id"), F.col("at").alias(f"{n}_at"))
-    return op.nearest_baseline(side("candidate", "candidate"), side("base", "baseline"), "key").select("candidate_id", "baseline_id")
+    p = t.predictions.selectExpr("(subject_id div 10000) % 100000 AS subject", "tag_key", "cohort div 4 AS job", "side", "subject_id AS id", "subject_id % 977 AS at")
+    return op.nearest_baseline(p.where("side = 'candidate'"), p.where("side = 'base'"), ["subject", "tag_key"])
 
 
 @query("join11_word_to_segment", S, """

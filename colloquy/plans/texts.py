@@ -3,24 +3,74 @@
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as fn
+from colloquy.operators.matching import names_alike
 from colloquy.plans.registry import query
 from colloquy.sources import parsers
 
 
-@query("fn_pii_scrub", (), r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\b[0-9]{17}[0-9Xx]\b', '[id_card]', 'g'),
-'\b1[3-9][0-9][- ]?[0-9]{4}[- ]?[0-9]{4}\b', '[phone]', 'g'), '\b[0-9]{16,19}\b', '[bank_card]', 'g'), '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b', '[ipv4]', 'g')) AS scrubbed FROM documents""")
+def masked_sql(text: str) -> str:
+    """The masks by plain replacements for an oracle that can look neither ahead nor back: each run
+    of digits is marked at both ends first. E-mail addresses go first, as they may hold runs."""
+    steps = [
+        (r"([A-Za-z0-9._%+-])([A-Za-z0-9._%+-]?)[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", r"\1\2***\3"),
+        (r"([0-9]+)", "\x01\\1\x02"),
+        ("\x01([0-9]{2})[0-9]{13}([0-9]{2})\x02([Xx])", r"\1*************\2\3"),
+        ("\x01([0-9]{2})[0-9]{14}([0-9]{2})\x02", r"\1**********\2"),
+        ("\x01([1-9][0-9])[0-9]{13,16}([0-9])\x02", r"\1***************\2"),
+        ("\x01(1[3-9][0-9])[0-9]{4}([0-9]{4})\x02", r"\1****\2"),
+        ("\x01(0[0-9]{2})[0-9]?\x02-\x01[0-9]{3,4}([0-9]{4})\x02", r"\1****\2"),
+        ("\x01(0[0-9]{2})[0-9]{3,5}([0-9]{4})\x02", r"\1****\2"),
+        ("\x01(O)\x02\\.\x01(O)\x02\\.\x01O\x02\\.\x01O\x02".replace("O", "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"), r"\1.\2.**.**"),
+        ("[\x01\x02]", ""),
+    ]
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+@query("fn_pii_scrub", (), f"SELECT doc_id, sha256({masked_sql('text')}) AS scrubbed FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.sha2(fn.scrubbed(F.col("text")), 256).alias("scrubbed"))
 
 
+@query("fn_redactions", (), r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS emails FROM documents")
+def _(t):
+    found = F.filter(fn.redactions(F.col("text")), lambda x: (x["category"] == "email") & (F.col("text").substr(x["start"] + 1, x["end"] - x["start"]).contains("@")))
+    return t.documents.select("doc_id", F.size(found).cast("long").alias("emails"))
+
+
+@query("fn_protected_identifiers", (), r"""
+WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63})', 1)) AS v FROM documents) SELECT d.doc_id, count(DISTINCT v) AS addresses FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id GROUP BY 1""")
+def _(t):
+    return t.documents.select("doc_id", F.size(F.filter(fn.protected_identifiers(F.col("text")), lambda x: F.contains(x, F.lit("@")))).cast("long").alias("addresses"))
+
+
+@query("fn_cut_bytes", (), "SELECT doc_id, strlen(text) <= 256 AS whole, length(text) <= 256 AS short FROM documents")
+def _(t):
+    c = fn.cut_bytes(F.col("text"))
+    fits = (F.octet_length(c) <= 256) & F.startswith(F.col("text"), c) & (F.octet_length(F.left("text", F.length(c) + 1)) > 256)
+    return t.documents.select("doc_id", ((F.octet_length("text") <= 256) & (c == F.col("text")) | ~((F.octet_length("text") > 256) & fits)).alias("whole"), (F.length("text") <= 256).alias("short"))
+
+
+@query("fn_json_length", ("mentions",), "SELECT recording_id, count(*) AS n, 0 AS none FROM mentions GROUP BY 1")
+def _(t):
+    said = t.mentions.groupBy("recording_id").agg(F.to_json(F.collect_list("name")).alias("said"))
+    return said.select("recording_id", fn.json_length(F.col("said")).cast("long").alias("n"), fn.json_length(F.lit("{broken")).alias("none"))
+
+
+@query("fn_instant", (), "SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS seconds FROM events")
+def _(t):
+    said = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise("+00:00"))
+    return t.events.select("event_id", F.unix_seconds(fn.instant(said)).alias("seconds"))
+
+
 @query("fn_token_estimate", (), r"""
 WITH x AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) AS o, strlen(text) AS b FROM documents) SELECT doc_id, CAST(greatest(o + ceil((n - o) / 4), ceil(b / 4)) AS BIGINT) AS tokens FROM x""")
 def _(t):
     return t.documents.select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("fn_language", (), r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Han}') THEN 'zh-CN' WHEN regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '[^\x00-\x7F]') THEN 'en' ELSE 'und' END AS language FROM documents")
+@query("fn_language", (), r"SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Han}') THEN 'zh-CN' WHEN regexp_matches(text, '\p{L}') AND NOT regexp_matches(regexp_replace(text, '\p{Latin}', '', 'g'), '\p{L}') AND NOT regexp_matches(text, '[ªº]') THEN 'en' ELSE 'und' END AS language FROM documents")
 def _(t):
     return t.documents.select("doc_id", fn.language(F.col("text")).alias("language"))
 
@@ -40,15 +90,18 @@ def _(t):
     return t.events.select("event_id", fn.canonical_checksum("props").alias("checksum"))
 
 
-@query("join13_fuzzy_names", ("mentions",))
+@query("join13_fuzzy_names", ("mentions",), """
+WITH n AS (SELECT DISTINCT name, type FROM mentions), v0 AS (SELECT name, type, name AS x, 0 AS n FROM n),
+v1 AS (SELECT DISTINCT name, type, left(x, i - 1) || substr(x, i + 1) AS x, 1 AS n FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM v0)),
+v2 AS (SELECT DISTINCT name, type, left(x, i - 1) || substr(x, i + 1) AS x, 2 AS n FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM v1)),
+v AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2),
+p AS (SELECT a.name, b.name AS canonical, a.type, min(a.n + b.n) AS d FROM v a JOIN v b ON a.x = b.x AND a.type = b.type AND a.name <> b.name AND a.n + b.n <= 2 GROUP BY 1, 2, 3),
+s AS (SELECT *, 100.0::DOUBLE * (length(name) + length(canonical) - d) / (length(name) + length(canonical)) AS score FROM p)
+SELECT name, type, max_by(canonical, (score, canonical)) AS canonical, round(max(score), 6) AS score FROM s WHERE score >= 85 GROUP BY 1, 2""")
 def _(t):
-    """Names matched with canonical ones of their type and first letters, the best of each."""
-    names = t.documents.select(F.explode(F.split(F.lower(F.col("text")), r"[^a-z]+")).alias("name")).where("length(name) > 8").distinct()
-    left = names.withColumn("block", F.left("name", F.lit(5)))
-    right = left.select(F.col("name").alias("canonical"), "block").where("canonical rlike '^[a-m]'")
-    scored = left.where("name rlike '^[a-m]'").join(right, "block").where("name <> canonical and abs(length(name) - length(canonical)) <= 2").withColumn("score", fn.fuzzy("name", "canonical"))
-    best = F.max_by(F.struct("canonical", "score"), F.struct("score", "canonical"))
-    return scored.where("score >= 85").groupBy("name").agg(best.alias("b")).select("name", "b.canonical", F.round("b.score", 6).alias("score"))
+    """Every name with the most alike other name of its type."""
+    names = t.mentions.select("name", "type").distinct()
+    return names_alike(names, names).select("name", "type", "canonical", F.round("score", 6).alias("score"))
 
 
 @query("flt11_members", ("mentions",), "SELECT recording_id, list_sort(list_distinct(list(name))) AS members FROM mentions GROUP BY 1")
@@ -69,13 +122,19 @@ def _(t):
     return parsers.trials(t.recordings.select(line.alias("value")))
 
 
-@query("src10_extraction", ("mentions",), "SELECT position, name, type, description FROM mentions WHERE recording_id % 10 = 3")
+@query("src10_extraction", ("mentions",), "SELECT position, name, type, description FROM mentions")
 def _(t):
-    m = t.mentions.where("recording_id % 10 = 3")
+    m = t.mentions
     said = F.concat(F.lit('("entity"<|>"'), "name", F.lit('"<|>"'), "type", F.lit('"<|>"'), "description", F.lit('")##("entity"<|>"short")##<|COMPLETE|>'))
     return parsers.extraction(m.select("position", said.alias("said")), "position", "said")[0]
 
 
+@query("src10_relations", ("relations",), "SELECT position, source, target, relation AS description, CAST(weight AS DOUBLE) AS weight FROM relations")
+def _(t):
+    said = F.concat(F.lit('("relationship"<|>"'), "source", F.lit('"<|>"'), "target", F.lit('"<|>"'), "relation", F.lit('"<|>'), F.col("weight").cast("string"), F.lit(')##("entity"<|>"a"<|>"b"<|>"c")##<|COMPLETE|>'))
+    return parsers.extraction(t.relations.select("position", said.alias("said")), "position", "said")[1]
+
+
 @query("src12_export", ("recordings", "segments"), """
 SELECT 'recording' AS kind, recording_id AS id, '{"store_id":' || CAST(store_id AS STRING) || ',"status":"' || status || '"}' AS body FROM recordings WHERE recording_id = 8
 UNION ALL SELECT 'segment', segment_id, '{"idx":' || CAST(idx AS STRING) || ',"speaker":"' || speaker || '"}' FROM segments WHERE recording_id = 8""")

@@ -3,18 +3,17 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import resolved
 from colloquy.operators import retrieval, scores
 from colloquy.plans.registry import query
+from colloquy.plans.texts import masked_sql
 
 S, R, A, P = ("segments",), ("recordings",), ("assignments",), ("predictions",)
 
 
-@query("flt10_resolved_text", ("turns",), "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE coalesce(text, '') END AS resolved FROM turns WHERE NOT regexp_matches(text, '[0-9@]')")
+@query("flt10_resolved_text", (), f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce({masked_sql('text')}, '') END AS resolved FROM documents")
 def _(t):
-    from colloquy.functions.text import resolved
-
-    plain = t.turns.where(~F.rlike("text", F.lit("[0-9@]")))
-    return plain.select("conv_id", "turn", resolved(F.when(F.col("turn") % 3 == 0, ""), F.col("text")).alias("resolved"))
+    return t.documents.select("doc_id", resolved(F.when(F.col("doc_id") % 3 == 0, ""), F.col("text")).alias("resolved"))
 
 
 @query("flt15_keyset_page", R, "SELECT recording_id, status FROM recordings WHERE recording_id > 1000 ORDER BY recording_id LIMIT 50")

@@ -11,7 +11,11 @@ S, R, A, E, T = ("segments",), ("recordings",), ("assignments",), ("edges",), ("
 
 @query("rec2_visits", R)
 def _(t):
-    return op.grouped(t.recordings, tabular.evaluate_pairs(tabular.neighbour_pairs(t.recordings, 900, 3)))
+    """Visits from pairs within 15 minutes; every fifth customer's neighbours are split by hand, every thirteenth recording names its visit."""
+    r = t.recordings.withColumn("explicit", F.when(F.col("recording_id") % 13 == 0, F.concat_ws("-", "tenant_id", "store_id", F.expr("started_sec div 3600"))))
+    near = tabular.neighbour_pairs(t.recordings, 900, 3)
+    splits = near.where("customer % 5 = 0").select(F.col("recording_id").alias("a"), F.col("right_recording_id").alias("b"))
+    return op.grouped(r, tabular.evaluate_pairs(near), splits)
 
 
 @query("rec3_manual_constraints", R, """
@@ -57,7 +61,30 @@ def _(t):
     return op.reconciled(t.assignments.withColumnRenamed("target_id", "unit_id").withColumnRenamed("is_manual", "is_current"))
 
 
-@query("ev6_diarization_error", S)
+#: Greedy matching of at most three reference speakers, then frames between neighbouring bounds.
+_ROUNDS = ", ".join(f"""m{i} AS (SELECT recording_id, r, h FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY ov DESC, r, h) AS k FROM o{i}) WHERE k = 1),
+o{i + 1} AS (SELECT o.* FROM o{i} o JOIN m{i} m ON o.recording_id = m.recording_id WHERE o.r <> m.r AND o.h <> m.h)""" for i in (1, 2, 3))
+
+
+@query("ev6_diarization_error", S, f"""
+WITH r0 AS (SELECT recording_id, speaker, CAST(start_sec AS DOUBLE) AS a, CAST(end_sec AS DOUBLE) AS b FROM segments WHERE end_sec > start_sec),
+h0 AS (SELECT * FROM (SELECT recording_id, CASE WHEN tokens % 9 = 0 THEN 'other' ELSE speaker END AS speaker, CAST(start_sec AS DOUBLE) AS a, CAST(end_sec - tokens % 3 AS DOUBLE) AS b FROM segments) WHERE b > a),
+n AS (SELECT recording_id, CAST(ceil(max(b) / 0.01::DOUBLE) AS BIGINT) AS n FROM (SELECT * FROM r0 UNION ALL SELECT * FROM h0) GROUP BY 1),
+rf AS (SELECT recording_id, speaker, CAST(floor(greatest(0.0::DOUBLE, a - 0.25::DOUBLE) / 0.01::DOUBLE) AS BIGINT) AS f, least(n, CAST(floor(least(n * 0.01::DOUBLE, b + 0.25::DOUBLE) / 0.01::DOUBLE) AS BIGINT) + 1) AS g FROM r0 JOIN n USING (recording_id)),
+hf AS (SELECT recording_id, speaker, CAST(floor(a / 0.01::DOUBLE) AS BIGINT) AS f, least(n, CAST(floor(least(n * 0.01::DOUBLE, b) / 0.01::DOUBLE) AS BIGINT) + 1) AS g FROM h0 JOIN n USING (recording_id)),
+ru AS (SELECT DISTINCT recording_id, speaker FROM r0), hu AS (SELECT DISTINCT recording_id, speaker FROM h0),
+t AS (SELECT recording_id, x AS a, lead(x) OVER (PARTITION BY recording_id ORDER BY x) AS b FROM (SELECT recording_id, a AS x FROM r0 UNION SELECT recording_id, b FROM r0 UNION SELECT recording_id, a FROM h0 UNION SELECT recording_id, b FROM h0)),
+tr AS (SELECT DISTINCT t.recording_id, t.a, t.b, speaker FROM t JOIN r0 ON r0.recording_id = t.recording_id AND r0.a <= t.a AND r0.b >= t.b), th AS (SELECT DISTINCT t.recording_id, t.a, t.b, speaker FROM t JOIN h0 ON h0.recording_id = t.recording_id AND h0.a <= t.a AND h0.b >= t.b),
+ov AS (SELECT tr.recording_id, tr.speaker AS r, th.speaker AS h, sum(tr.b - tr.a) AS ov FROM tr JOIN th ON tr.recording_id = th.recording_id AND tr.a = th.a GROUP BY 1, 2, 3),
+o1 AS (SELECT ru.recording_id, ru.speaker AS r, hu.speaker AS h, coalesce(ov, 0) AS ov FROM ru JOIN hu ON ru.recording_id = hu.recording_id LEFT JOIN ov ON ov.recording_id = ru.recording_id AND ov.r = ru.speaker AND ov.h = hu.speaker),
+{_ROUNDS},
+m AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3),
+hm AS (SELECT hf.recording_id, coalesce(m.r, '~' || speaker) AS speaker, f, g FROM hf LEFT JOIN m ON m.recording_id = hf.recording_id AND m.h = speaker),
+i AS (SELECT recording_id, x AS f, lead(x) OVER (PARTITION BY recording_id ORDER BY x) AS g FROM (SELECT recording_id, f AS x FROM rf UNION SELECT recording_id, g FROM rf UNION SELECT recording_id, f FROM hm UNION SELECT recording_id, g FROM hm)),
+ri AS (SELECT i.recording_id, i.f, list_sort(list(DISTINCT speaker)) AS s FROM i JOIN rf ON rf.recording_id = i.recording_id AND rf.f <= i.f AND rf.g >= i.g GROUP BY 1, 2), hi AS (SELECT i.recording_id, i.f, list_sort(list(DISTINCT speaker)) AS s FROM i JOIN hm ON hm.recording_id = i.recording_id AND hm.f <= i.f AND hm.g >= i.g GROUP BY 1, 2),
+z AS (SELECT i.recording_id, i.g - i.f AS n, ri.s AS r, hi.s AS h FROM i LEFT JOIN ri ON ri.recording_id = i.recording_id AND ri.f = i.f LEFT JOIN hi ON hi.recording_id = i.recording_id AND hi.f = i.f WHERE i.g IS NOT NULL),
+e AS (SELECT recording_id, coalesce(sum(n) FILTER (r IS NOT NULL AND h IS NULL), 0) AS missed, coalesce(sum(n) FILTER (r IS NULL AND h IS NOT NULL), 0) AS false_alarm, coalesce(sum(n) FILTER (r <> h), 0) AS confused, sum(n) FILTER (r IS NOT NULL) AS total FROM z GROUP BY 1)
+SELECT recording_id, CAST(missed AS BIGINT) AS missed, CAST(false_alarm AS BIGINT) AS false_alarm, CAST(confused AS BIGINT) AS confused, round((missed + false_alarm + confused) / CAST(total AS DOUBLE), 6) AS rate FROM e""")
 def _(t):
     hyp = t.segments.withColumn("speaker", F.when(F.col("tokens") % 9 == 0, "other").otherwise(F.col("speaker"))).withColumn("end_sec", F.col("end_sec") - F.col("tokens") % 3)
     return op.error_rate(t.segments, hyp)
@@ -68,9 +95,9 @@ def _(t):
     return t.transitions.where("reception_id = 7").orderBy("sequence_no", "transition_id").offset(10).limit(20).select("transition_id", "sequence_no", "to_state")
 
 
-@query("rec14_evidence_speakers", S, "SELECT recording_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM segments WHERE tokens % 4 = 0 GROUP BY 1")
+@query("rec14_evidence_speakers", S, "SELECT recording_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM segments GROUP BY 1")
 def _(t):
-    return t.segments.where("tokens % 4 = 0").groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"))
+    return t.segments.groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"))
 
 
 @query("flt6_nulls_last", E, "SELECT edge_id, valid_at FROM edges ORDER BY valid_at ASC NULLS LAST, edge_id LIMIT 40 OFFSET 30")
@@ -102,9 +129,9 @@ def _(t):
 
 
 @query("join16_community_overlap", ("mentions",), """
-WITH m AS (SELECT DISTINCT name, recording_id % 40 AS c, recording_id % 2 AS side FROM mentions WHERE position % 7 = 0) SELECT a.c AS old, b.c AS new, count(*) AS shared FROM m a JOIN m b USING (name) WHERE a.side = 0 AND b.side = 1 GROUP BY 1, 2""")
+WITH m AS (SELECT DISTINCT name, recording_id % 40 AS c, recording_id % 2 AS side FROM mentions) SELECT a.c AS old, b.c AS new, count(*) AS shared FROM m a JOIN m b USING (name) WHERE a.side = 0 AND b.side = 1 GROUP BY 1, 2""")
 def _(t):
-    m = t.mentions.where("position % 7 = 0").selectExpr("name", "recording_id % 40 AS c", "recording_id % 2 AS side").distinct()
+    m = t.mentions.selectExpr("name", "recording_id % 40 AS c", "recording_id % 2 AS side").distinct()
     return m.where("side = 0").select("name", F.col("c").alias("old")).join(m.where("side = 1").select("name", F.col("c").alias("new")), "name").groupBy("old", "new").agg(F.count("*").alias("shared"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "colloquy", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -18,3 +21,22 @@ def local_session(app: str = "colloquy", cores: str = "8", shuffle_partitions: i
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder that driver and executors share (spark.checkpoint.dir) and read again.
+
+    Cuts the lineage of repeated steps, so that a plan does not hold all steps before it and lost
+    executors lose nothing. Only where the setting is unset, as in local tests, a folder of the
+    machine is taken.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

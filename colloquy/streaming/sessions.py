@@ -37,7 +37,7 @@ def frame_events(frames: DataFrame, remembered: int = REMEMBERED, gap: int = GAP
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high, seen = state.get if state.exists else (-1, [])
-        seen = list(seen)
+        seen = dict.fromkeys(seen)  # in order, so that the oldest goes first
         rows = []
         for pdf in sorted(pd.concat(list(batches)).itertuples(index=False), key=lambda r: r.arrival):
             if pdf.seq in seen:
@@ -47,9 +47,11 @@ def frame_events(frames: DataFrame, remembered: int = REMEMBERED, gap: int = GAP
             else:
                 event = "vad_reset" if high >= 0 and pdf.seq - high > gap else "ok"
                 high = int(pdf.seq)
-                seen = [*seen, int(pdf.seq)][-remembered:]
+                seen[high] = None
+                if len(seen) > remembered:
+                    del seen[next(iter(seen))]
             rows.append((key[0], pdf.arrival, pdf.seq, event))
-        state.update((high, seen))
+        state.update((high, list(seen)))
         yield pd.DataFrame(rows, columns=["session_id", "arrival", "seq", "event"])
 
     return frames.select("session_id", "arrival", "seq").groupBy("session_id").applyInPandasWithState(

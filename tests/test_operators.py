@@ -81,7 +81,7 @@ def test_transition_labels(spark):
 def test_texts(spark):
     df = spark.createDataFrame([("mail a.b@x.org, 192.168.0.1 or 138-1234-5678", '["a", " b ", "", "a"]'), ("你好", "broken")], "t string, j string")
     a, b = df.select(fn.scrubbed(F.col("t")).alias("s"), fn.members(F.col("j")).alias("m"), fn.token_estimate(F.col("t")).alias("n"), fn.language(F.col("t")).alias("l")).collect()
-    assert a.s == "mail [email], [ipv4] or [phone]" and a.m == ["a", "b"] and b.m == [] and b.n == 2 and (a.l, b.l) == ("en", "zh-CN")
+    assert a.s == "mail a.***@x.org, 192.168.**.** or 138-1234-5678" and a.m == ["a", "b"] and b.m == [] and b.n == 2 and (a.l, b.l) == ("en", "zh-CN")
     assert fn.likeness("kitten", "sitting") == pytest.approx(200 * 4 / 13) and fn.likeness("", "a") == 0
 
 
@@ -127,5 +127,111 @@ def test_diarization_error(spark):
     cols = "recording_id long, speaker string, start_sec long, end_sec long"
     ref = spark.createDataFrame([(1, "a", 0, 10), (1, "b", 10, 20)], cols)
     hyp = spark.createDataFrame([(1, "x", 0, 12), (1, "y", 12, 18)], cols)
-    r = receptions.error_rate(ref, hyp).first()
-    assert (r.missed, r.false_alarm, r.confused, r.rate) == (2, 0, 2, 0.2)
+    r = receptions.error_rate(ref, hyp, collar=0.0).first()
+    assert (r.missed, r.false_alarm, r.confused, r.rate) == (199, 0, 201, 0.2)
+
+
+def frames_of(spans, n, wide):
+    out = {}
+    for who, a, b in spans:
+        first, last = int(max(0.0, a - wide) / 0.01), int(min(n * 0.01, b + wide) / 0.01)
+        out.setdefault(who, set()).update(range(first, min(last, n - 1) + 1))
+    return out
+
+
+def test_diarization_error_against_single_frames():
+    import itertools
+    import math
+    import random
+
+    from colloquy.operators import receptions
+
+    rng = random.Random(3)
+    for _ in range(40):
+        some = lambda names: [(rng.choice(names), a := rng.randint(0, 80) / 4, a + rng.randint(1, 20) / 4) for _ in range(rng.randint(1, 8))]
+        ref, hyp = some("abc"), some("xyzw")
+        common = {(r, h): 0.0 for r in sorted({x[0] for x in ref}) for h in sorted({x[0] for x in hyp})}
+        merged = lambda spans, who: {i for s, a, b in spans if s == who for i in range(int(a * 4), int(b * 4))}
+        for r, h in common:
+            common[r, h] = len(merged(ref, r) & merged(hyp, h))
+        of = {}
+        for (r, h), _ in sorted(common.items(), key=lambda x: (-x[1], x[0])):
+            if r not in of.values() and h not in of:
+                of[h] = r
+        n = math.ceil(max(x[2] for x in ref + hyp) / 0.01)
+        rf, hf = frames_of(ref, n, 0.25), frames_of(hyp, n, 0.0)
+        want = [0, 0, 0, 0]
+        for f in range(n):
+            r, h = {w for w, s in rf.items() if f in s}, {of.get(w, "~" + w) for w, s in hf.items() if f in s}
+            want[0] += bool(r and not h)
+            want[1] += bool(h and not r)
+            want[2] += bool(r and h and r != h)
+            want[3] += bool(r)
+        assert receptions.frame_errors(ref, hyp) == tuple(want)
+    assert list(itertools.islice(receptions._sweep([]), 1)) == []
+
+
+def test_visits_keep_splits_and_names(spark):
+    from colloquy.operators import receptions
+
+    cols = "tenant_id string, store_id long, agent_id long, recording_id long, started_sec long, ended_sec long, customer long, explicit string"
+    rec = spark.createDataFrame([("t", 1, 1, i, i * 100, i * 100 + 50, None, e) for i, e in enumerate([None, None, None, "x", None, "x"])], cols)
+    pairs = spark.createDataFrame([(i, i + 1, "merge") for i in range(3)], "recording_id long, right_recording_id long, verdict string")
+    splits = spark.createDataFrame([(2, 0)], "a long, b long")
+    got = {r.recording_id: r.visit for r in receptions.grouped(rec, pairs, splits).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 2}
+
+
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("x13812345678", "x138****5678"), ("010-12345678", "010****5678"), ("0755-1234567", "075****4567"), ("138-1234-5678", "138-1234-5678"), ("11010119900307391X", "11*************91X"),
+        ("440106198201154318", "44**********18"), ("6225880212345678901", "62***************1"), ("622588021234567", "622588021234567"), ("999.999.1.1", "999.999.1.1"), ("10.1.2.3", "10.1.**.**"), ("a@b.org", "a***@b.org"), ("", ""), (None, None),
+    ],
+)
+def test_masks(spark, text, masked):
+    got = spark.createDataFrame([(text,)], "t string").select(fn.scrubbed(F.col("t")), F.size(fn.redactions(F.col("t")))).first()
+    assert got[0] == masked and (text is None or (got[1] > 0) == (text != masked))
+
+
+def test_languages_bytes_and_identifiers(spark):
+    df = spark.createDataFrame([("café",), ("a日",), ("привет",), ("12",), ("é" * 200,), ("order no: AB-12, X9, m@x.org",)], "t string")
+    rows = df.select(fn.language(F.col("t")).alias("l"), fn.cut_bytes(F.col("t")).alias("c"), fn.protected_identifiers(F.col("t")).alias("p")).collect()
+    assert [r.l for r in rows] == ["en", "zh-CN", "und", "und", "en", "en"]
+    assert rows[4].c == "é" * 128 and rows[5].p == ["AB-12", "X9", "m@x.org"]
+
+
+def test_names_alike_against_all_pairs(spark):
+    import random
+
+    from colloquy.operators import matching
+
+    rng = random.Random(2)
+    names = sorted({("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), rng.choice(["p", "q"])) for _ in range(150)})
+    want = {}
+    for n, t in names:
+        for c, u in names:
+            d = round((len(n) + len(c)) * (1 - fn.likeness(n, c) / 100))
+            if n != c and t == u and d <= 2 and (score := 100.0 * (len(n) + len(c) - d) / (len(n) + len(c))) >= 85:
+                want[n, t] = max(want.get((n, t), (0, "")), (score, c))
+    df = spark.createDataFrame(names, "name string, type string")
+    assert {(r.name, r.type): (r.score, r.canonical) for r in matching.names_alike(df, df).collect()} == want and want
+
+
+def test_nearest_baseline_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 3), rng.randint(0, 2), i, rng.randint(0, 30), rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, job int, id long, at long, base boolean")
+    got = {r.candidate_id: r.baseline_id for r in tabular.nearest_baseline(df.where("not base"), df.where("base"), ["k"]).collect()}
+    want = {c[2]: min((b for b in rows if b[4] and b[0] == c[0]), key=lambda b: (b[1] != c[1], abs(b[3] - c[3]), -b[2]))[2] for c in rows if not c[4]}
+    assert got == want
+
+
+def test_speaker_verdicts(spark):
+    from colloquy.operators import matching
+
+    rows = [("a", 1, 0.9, 0.8), ("a", 2, 0.7, 0.9), ("b", 1, 0.9, 0.1), ("c", 1, 0.9, None), ("d", 3, 0.75, 0.9), ("d", 1, 0.75, None), ("e", 1, 0.1, 1.0)]
+    got = {r["query"]: (r.candidate, r.verdict, r.reconfirm) for r in matching.speaker_verdicts(spark.createDataFrame(rows, "query string, candidate long, score double, cosine double")).collect()}
+    assert got == {"a": (1, "CONFIRMED", False), "b": (1, "AMBIGUOUS", True), "c": (1, "AMBIGUOUS", True), "d": (1, "INFERRED", False), "e": (None, "NO_MATCH", False)}
