@@ -92,7 +92,7 @@ def sweep(trials: DataFrame, score: str, same: str, cells: int = 1000) -> DataFr
     w = W.partitionBy("cell").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
     run = n.withColumn("rs", F.sum("s").over(w)).withColumn("rd", F.sum("d").over(w)).join(F.broadcast(offset), "cell")
     run = run.withColumn("s_above", F.col("rs") + F.col("os")).withColumn("d_above", F.col("rd") + F.col("od"))
-    return run.select("threshold", "s_above", "d_above", "sn", "dn", F.round(F.col("d_above") / F.col("dn"), 6).alias("far"), F.round(1 - F.col("s_above") / F.col("sn"), 6).alias("frr"))
+    return run.select("threshold", "s_above", "d_above", "sn", "dn", F.round(F.try_divide("d_above", "dn"), 6).alias("far"), F.round(1 - F.try_divide("s_above", "sn"), 6).alias("frr"))
 
 
 def gates(summary: DataFrame) -> DataFrame:

@@ -48,13 +48,13 @@ def dialogue_units(segments: DataFrame) -> DataFrame:
     """Units between cuts: span, most frequent stage (first seen on a tie), size, speech confidence."""
     w = W.partitionBy("recording_id").orderBy("start_sec", "end_sec", "segment_id")
     cut = boundary_scores(carried_stage(segments)).withColumn("unit", F.sum(F.col("cut").cast("long")).over(w) - 1)
-    stage = cut.groupBy("recording_id", "unit", "final").agg(
-        F.count("*").alias("n"), F.min(F.struct("start_sec", "end_sec", "segment_id")).alias("seen"),
-        F.min("start_sec").alias("a"), F.max("end_sec").alias("b"), F.sum("confidence").alias("c"), F.sum("vad").alias("v"),
-    )
-    return stage.groupBy("recording_id", "unit").agg(
-        F.min("a").alias("start_sec"), F.max("b").alias("end_sec"), F.sum("n").alias("segments"),
-        F.round(F.sum("c") / F.sum("n") * 0.65 + F.sum("v") / F.sum("n") * 0.35, 6).alias("confidence"),
+    # all windows and the aggregation stay within a recording, so the rows are dealt out once
+    kind = W.partitionBy("recording_id", "unit", "final")
+    mean = lambda c: F.sum(F.col(c).cast("decimal(10,4)")).cast("double") / F.count("*")  # noqa: E731  # whatever the order of the rows
+    cut = cut.withColumn("n", F.count("*").over(kind)).withColumn("seen", F.min(F.struct("start_sec", "end_sec", "segment_id")).over(kind))
+    return cut.groupBy("recording_id", "unit").agg(
+        F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("segments"),
+        F.round(mean("confidence") * 0.65 + mean("vad") * 0.35, 6).alias("confidence"),
         F.min(F.struct((-F.col("n")).alias("n"), "seen", "final"))["final"].alias("stage"),
     )
 

@@ -28,7 +28,7 @@ def _(t):
 @query("win9_dialogue_units", S, f"""WITH {SCORED},
 u AS (SELECT *, CAST(sum(CASE WHEN first_ OR score >= CAST(0.5 AS DOUBLE) THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY start_sec, end_sec, segment_id) - 1 AS BIGINT) AS unit FROM scored),
 st AS (SELECT recording_id, unit, final, row_number() OVER (PARTITION BY recording_id, unit ORDER BY count(*) DESC, min((start_sec, end_sec, segment_id))) AS k FROM u GROUP BY 1, 2, 3)
-SELECT u.recording_id, u.unit, min(start_sec) AS start_sec, max(end_sec) AS end_sec, count(*) AS segments, round(avg(confidence) * CAST(0.65 AS DOUBLE) + avg(vad) * CAST(0.35 AS DOUBLE), 6) AS confidence, any_value(st.final) AS stage
+SELECT u.recording_id, u.unit, min(start_sec) AS start_sec, max(end_sec) AS end_sec, count(*) AS segments, round(CAST(sum(CAST(confidence AS DECIMAL(10,4))) AS DOUBLE) / count(*) * CAST(0.65 AS DOUBLE) + CAST(sum(CAST(vad AS DECIMAL(10,4))) AS DOUBLE) / count(*) * CAST(0.35 AS DOUBLE), 6) AS confidence, any_value(st.final) AS stage
 FROM u JOIN st ON st.recording_id = u.recording_id AND st.unit = u.unit AND k = 1 GROUP BY 1, 2""")
 def _(t):
     return op.dialogue_units(t.segments)

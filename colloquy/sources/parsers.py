@@ -46,3 +46,30 @@ def export_bundle(recordings: DataFrame, segments: DataFrame, recording_id: int)
     a = recordings.where(F.col("recording_id") == recording_id).select(F.lit("recording").alias("kind"), F.col("recording_id").alias("id"), F.to_json(F.struct("store_id", "status")).alias("body"))
     b = segments.where(F.col("recording_id") == recording_id).select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), F.to_json(F.struct("idx", "speaker")).alias("body"))
     return a.unionByName(b)
+
+
+GOLD = "query string, gold_answer string, gold_context_ids array<string>, gold_edges array<struct<src:string,rel:string,dst:string,confidence:string>>"
+
+
+def gold_examples(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Gold examples from one JSON document a row: a list of them or a single one; broken rows and ones without a query are left out."""
+    one = F.from_json(column, GOLD)
+    many = F.from_json(column, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in GOLD.split(', '))}>>")
+    listed = F.startswith(F.trim(column), F.lit("["))
+    return lines.select(F.explode(F.when(listed, many).otherwise(F.array(one))).alias("g")).where("g.query is not null").select("g.*")
+
+
+DIALOGUE = "case_id string, scenario string, segments array<struct<segment_id:string,start_sec:double,end_sec:double,transcript:string>>, boundary_after_segment_ids array<string>"
+
+
+def dialogue_gold(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(case_id, scenario, segment_id, start_sec, end_sec, transcript, boundary) of valid cases.
+
+    A case is valid if its segment ids are distinct and its boundaries stand after segments it has.
+    """
+    c = lines.select(F.from_json(column, DIALOGUE).alias("c")).select("c.*").where("case_id is not null")
+    ids = F.col("segments.segment_id")
+    known = F.coalesce("boundary_after_segment_ids", F.array().cast("array<string>"))
+    ok = c.where((F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_except(known, ids)) == 0))
+    s = ok.select("case_id", "scenario", known.alias("known"), F.explode("segments").alias("s"))
+    return s.select("case_id", "scenario", "s.*", F.array_contains("known", F.col("s.segment_id")).alias("boundary"))

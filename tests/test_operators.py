@@ -235,3 +235,111 @@ def test_speaker_verdicts(spark):
     rows = [("a", 1, 0.9, 0.8), ("a", 2, 0.7, 0.9), ("b", 1, 0.9, 0.1), ("c", 1, 0.9, None), ("d", 3, 0.75, 0.9), ("d", 1, 0.75, None), ("e", 1, 0.1, 1.0)]
     got = {r["query"]: (r.candidate, r.verdict, r.reconfirm) for r in matching.speaker_verdicts(spark.createDataFrame(rows, "query string, candidate long, score double, cosine double")).collect()}
     assert got == {"a": (1, "CONFIRMED", False), "b": (1, "AMBIGUOUS", True), "c": (1, "AMBIGUOUS", True), "d": (1, "INFERRED", False), "e": (None, "NO_MATCH", False)}
+
+
+def plain_equal_error(same, diff, max_far):
+    """Every threshold in order, the best one carried along, as the rule is stated."""
+    import math
+
+    points = [(t, sum(x >= t for x in diff) / len(diff), sum(x < t for x in same) / len(same)) for t in [math.inf, *sorted({*same, *diff}, reverse=True), -math.inf]]
+    best = (math.inf, None, 0.0, 0.0)
+    for t, far, frr in points:
+        gap, mean = abs(far - frr), (far + frr) / 2
+        if gap < best[0] - mean or (abs(gap - (best[0] - mean)) < 1e-12 and mean < best[0]):
+            best = (mean, t, far, frr)
+    ties = [(a, r) for _, a, r in points if abs(abs(a - r) - abs(best[2] - best[3])) < 1e-9]
+    far, frr = sum(a for a, _ in ties) / len(ties), sum(r for _, r in ties) / len(ties)
+    strict = [t for t, a, _ in points[1:-1] if a <= max_far]
+    return (far + frr) / 2, best[1] if math.isfinite(best[1]) else None, far, frr, min(strict) if strict and 0 <= min(strict) <= 1 else None
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.2, 0.9])
+def test_equal_error_against_every_threshold(spark, shift):
+    import random
+
+    from colloquy.operators import evaluations
+
+    rng = random.Random(9)
+    same = [round(min(1.0, rng.random() * 0.6 + shift), 2) for _ in range(150)]
+    diff = [round(rng.random() * 0.7, 2) for _ in range(170)]
+    df = spark.createDataFrame([(x, True) for x in same] + [(x, False) for x in diff], "score double, same boolean")
+    got = evaluations.equal_error(df, "score", "same", 0.05).first()
+    assert tuple(got) == pytest.approx(plain_equal_error(same, diff, 0.05))
+    assert evaluations.equal_error(df.where("same"), "score", "same").count() == 0
+
+
+def test_bootstrap_bound(spark):
+    from random import Random
+
+    from colloquy.operators import evaluations
+
+    values = [0.1, -0.2, 0.3, 0.05, 0.4]
+    rng = Random(0xA6D10)
+    want = sorted(sum(values[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(100))[4]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 7.0), ("b", 1, None)], "k string, i long, v double")
+    assert {r.k: r.bound for r in evaluations.bootstrap_bound(df, "k", "i", "v", 100).collect()} == {"a": want, "b": 7.0}
+
+
+def test_prompt_batches_cut_long_texts(spark):
+    from colloquy.operators import upkeep
+
+    df = spark.createDataFrame([(1, 0, "a" * 4), (1, 1, "b" * 5), (1, 2, ""), (1, 3, "c" * 23), (1, 4, "d")], "k long, i long, t string")
+    got = sorted(tuple(r) for r in upkeep.prompt_batches(df, "k", "i", "t", 10).collect())
+    assert got == [(1, 0, 0, 0, 4), (1, 0, 1, 0, 5), (1, 1, 3, 0, 10), (1, 2, 3, 10, 20), (1, 3, 3, 20, 23), (1, 3, 4, 0, 1)]
+    with pytest.raises(ValueError):
+        upkeep.prompt_batches(df, "k", "i", "t", 0)
+
+
+def test_circles_are_told(spark):
+    from colloquy.operators import upkeep
+
+    tags = spark.createDataFrame([("a",), ("b",)], "tag string")
+    with pytest.raises(ValueError):
+        upkeep.dependency_order(tags, spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, on string"), rounds=3)
+
+
+def test_gold_documents(spark):
+    rows = ['[{"query": "q1", "gold_context_ids": ["1", "2"]}, {"gold_answer": "none"}]', '{"query": "q2"}', "{broken", None]
+    df = spark.createDataFrame([(r,) for r in rows], "value string")
+    assert sorted((r["query"], len(r.gold_context_ids or [])) for r in parsers.gold_examples(df).collect()) == [("q1", 2), ("q2", 0)]
+    seg = '{{"case_id": "{}", "scenario": "s", "segments": [{{"segment_id": "a", "start_sec": 0, "end_sec": 1, "transcript": ""}}, {{"segment_id": "{}", "start_sec": 1, "end_sec": 2}}], "boundary_after_segment_ids": ["{}"]}}'
+    df = spark.createDataFrame([(seg.format("ok", "b", "a"),), (seg.format("twice", "a", "a"),), (seg.format("unknown", "b", "z"),)], "value string")
+    assert [(r.case_id, r.segment_id, r.boundary) for r in parsers.dialogue_gold(df).orderBy("segment_id").collect()] == [("ok", "a", True), ("ok", "b", False)]
+
+
+def streamed(spark, tmp_path, make, rows, schema, parts):
+    """The rows of a streamed operator over files that come one after another, and one more row at the end that lets all others end."""
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for i, part in enumerate(parts):
+        spark.createDataFrame([rows[k] for k in part], schema).coalesce(1).write.mode("append").parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).collect()
+
+
+def test_streamed_chunks_and_units(spark, tmp_path):
+    import datetime
+
+    from colloquy.streaming import incremental
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(1, i, i, n, float(10 * i), float(10 * i + 5), s, at(0)) for i, (n, s) in enumerate([(30, "greeting"), (30, "unknown"), (10, "offer"), (0, "offer"), (70, "offer"), (5, "")])] + [(2, 0, 0, 7, 0.0, 1.0, "x", at(60)), (2, 1, 1, 1, 1.0, 2.0, "x", at(120))]
+    schema = "recording_id long, idx long, segment_id long, tokens long, start_sec double, end_sec double, stage string, ts timestamp"
+    parts = [[0, 1, 2], [3, 4, 5], [6], [7]]
+    got = [(r.chunk, r.first, r.last, r.tokens) for r in streamed(spark, tmp_path / "c", lambda s: incremental.chunks(s, 60), rows, schema, parts) if r.recording_id == 1]
+    assert sorted(got) == [(0, 0, 1, 60), (1, 2, 2, 10), (2, 4, 4, 70), (3, 5, 5, 5)]
+    got = [(r.unit, r.start_sec, r.end_sec, r.segments) for r in streamed(spark, tmp_path / "u", incremental.units, rows, schema, parts) if r.recording_id == 1]
+    assert sorted(got) == [(0, 0.0, 15.0, 2), (1, 20.0, 55.0, 4)]
+
+
+def test_graph_kept_from_a_stream(spark, tmp_path):
+    from colloquy.streaming import incremental
+
+    schema = "source string, target string, relation string, weight long, rank long"
+    for i in range(3):
+        spark.createDataFrame([("a", "b", "r", 1, i), ("a", f"x{i}", "r", 2, 0)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    incremental.keep_graph(stream, str(tmp_path / "graph"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.target: (r.weight, r["rank"]) for r in incremental.current_graph(spark, str(tmp_path / "graph"), 2).collect()}
+    assert got == {"b": (3, 2), "x0": (2, 0), "x1": (2, 0), "x2": (2, 0)}
