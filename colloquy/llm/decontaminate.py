@@ -136,7 +136,8 @@ class Matcher:
 def blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items with their normal text, in blocks of bounded size."""
     block, size = [], 0
-    for row in items.select(id_col, text).where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
+    kept = items.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("item"))
+    for row in kept.where("id is not null and item is not null").toLocalIterator():
         item = normal(row[1])
         if not item:
             continue
@@ -158,7 +159,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, start long, end long, distance long, item_chars long"
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("whole"))
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("whole"))
     out = None
     for block in blocks(items, id_col=item_id, text=item_text):
         sent = spark.sparkContext.broadcast(block)
@@ -181,13 +182,13 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a passage of an item within its budget; columns and
     other rows (null texts too) stay as they are. Each row is judged by its own text."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    base = docs.select(row, F.col(text).cast("string").alias("whole"))
+    base = docs.select(row, F.col(f"`{text}`").cast("string").alias("whole"))
     spark = docs.sparkSession
-    for block in blocks(items, "item_id", "text"):
+    for block in blocks(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)
 
         def clean(batches: Iterator, sent=sent) -> Iterator:

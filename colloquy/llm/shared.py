@@ -26,8 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The one folder under which an application writes all it keeps between steps."""
+    return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Removes what this application wrote; call it when no result is read any more, as results are made from these files."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(run_dir(spark))
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_dir(path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

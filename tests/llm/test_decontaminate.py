@@ -75,3 +75,12 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert d.matches(docs, items).count() == d.matches(none, items).count() == 0
     assert d.drop_contaminated(docs, items).count() == 1
+
+
+def test_other_names_and_a_very_long_text(spark):
+    item = "which river runs through the old town of this question"
+    docs = spark.createDataFrame([(1, "word " * 300_000 + item.replace("old", "odd") + " word" * 10, 7), (2, "clean text", 8)], "id long, body string, key long")
+    bench = spark.createDataFrame([(5, item)], "n long, question string")
+    kept = d.drop_contaminated(docs, bench, "body", "n", "question")
+    assert kept.columns == docs.columns and [r.id for r in kept.collect()] == [2]
+    assert [(r.doc_id, r.item_id, r.distance) for r in d.matches(docs, bench, "id", "body", "n", "question").collect()] == [(1, 5, 1)]

@@ -109,3 +109,16 @@ def test_runs_are_bounded_by_bytes():
     index = [{"offset": sum(sizes[:i]), "length": n} for i, n in enumerate(sizes)]
     assert list(warc.runs(index, 10)) == [(0, [3, 4]), (7, [5]), (12, [100]), (112, [1, 1, 8])]
     assert list(warc.runs([], 10)) == []
+
+
+def test_a_run_writes_one_folder_and_can_remove_it(spark):
+    from pyarrow import fs
+
+    from colloquy.llm import shared
+
+    shared.cut(spark.range(3), "kept").count()
+    system, path = fs.FileSystem.from_uri(shared.run_dir(spark))
+    assert system.get_file_info(path).type == fs.FileType.Directory
+    shared.remove_run(spark)
+    assert system.get_file_info(path).type == fs.FileType.NotFound
+    shared.remove_run(spark)
