@@ -137,3 +137,15 @@ def projection(nodes: DataFrame, edges: DataFrame, cap: int) -> tuple[DataFrame,
     for end in ("source", "target"):
         inner = inner.join(shown.select(F.col("id").alias(end)), end, "left_semi")
     return shown, inner
+
+
+def evidence_budget(evidence: DataFrame, order: list[str], refs: int = 512, text_bytes: int = 32 << 10) -> DataFrame:
+    """The first pieces of evidence, in order, until there are so many or their texts reach so many bytes.
+
+    Only the first ``refs`` rows can stay, so only these meet in one place.
+    """
+    from pyspark.sql import Window as W
+
+    first = evidence.orderBy(*order).limit(refs)
+    used = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return first.withColumn("used", used).where(F.col("used") <= text_bytes)

@@ -162,3 +162,32 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     added, removed = F.count_if(F.col("was").isNull()), F.count_if(F.col("now").isNull())
     share = F.when(F.count("was") == 0, 100.0).otherwise((added + removed) / F.greatest(F.count("was"), F.lit(1)) * 100)
     return both.agg(added.alias("added"), removed.alias("removed"), F.count_if(F.col("was") != F.col("now")).alias("moved"), F.round(share, 4).alias("percent"))
+
+
+def retention_cascade(edges: DataFrame, gone: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """(edges, events): still open edges at nodes that go end at ``at``; one event for each. Doing it again changes nothing."""
+    mark = gone.select("name").distinct().withColumn("gone", F.lit(True))
+    e = edges
+    for end in ("source", "target"):
+        e = e.join(mark.withColumnRenamed("name", end).withColumnRenamed("gone", f"{end}_gone"), end, "left")
+    hit = F.col("invalid_at").isNull() & F.coalesce("source_gone", "target_gone", F.lit(False))
+    e = e.withColumn("hit", hit)
+    events = e.where("hit").select("edge_id", F.lit("invalidated").alias("event"), F.lit(at).alias("at"))
+    return e.withColumn("invalid_at", F.when(F.col("hit"), F.lit(at)).otherwise(F.col("invalid_at"))).drop("source_gone", "target_gone", "hit"), events
+
+
+#: What an edge of each confidence passes on.
+PASSED = {"EXTRACTED": 1.0, "INFERRED": 0.8, "AMBIGUOUS": 0.5}
+
+
+def weighted_subgraph(edges: DataFrame, roots: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """(name, depth, weight): roots at depth 0 with weight 1, their neighbours with the most an edge passes on; deprecated
+    and expired edges and ones that pass on less than ``least`` are left out; at most k rows, near ones first."""
+    w = F.lit(None).cast("double")
+    for name, value in PASSED.items():
+        w = F.when(F.col("confidence") == name, value).otherwise(w)
+    live = edges.where("expired_at is null").withColumn("w", w).where(F.col("w") >= least)  # others, as DEPRECATED, have no weight
+    root = F.broadcast(roots.select(F.col("name").alias("root")).distinct())
+    step = lambda a, b: live.join(root, F.col(a) == F.col("root"), "left_semi").select(F.col(b).alias("name"), F.lit(1).alias("depth"), "w")
+    both = roots.select("name", F.lit(0).alias("depth"), F.lit(1.0).alias("w")).unionByName(step("source", "target")).unionByName(step("target", "source"))
+    return both.groupBy("name", "depth").agg(F.max("w").alias("weight")).orderBy("depth", F.desc("weight"), "name").limit(k)

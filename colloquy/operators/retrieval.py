@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,34 @@ def jaccard_search(words: DataFrame, key: str, wanted: int, k: int) -> DataFrame
     s = words.join(q, "word", "left").groupBy(key).agg(F.count("*").alias("n"), F.count("hit").alias("both"))
     score = F.col("both") / (F.col("n") + F.col("q") - F.col("both"))
     return s.crossJoin(F.broadcast(size)).select(key, score.alias("s")).orderBy(F.desc("s"), key).limit(k).select(key, F.round("s", 6).alias("score"))
+
+
+def mixed_tokens(text: Column) -> Column:
+    """Distinct words by white space, neighbouring pairs of Han characters, and single letters and digits, in lower case."""
+    low = F.lower(text)
+    words = F.filter(F.split(low, r"\s+"), lambda x: x != "")
+    runs = F.regexp_extract_all(low, F.lit(r"\p{IsHan}{2,}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
+    letters = F.filter(F.split(low, ""), lambda x: F.rlike(x, F.lit("^[a-z0-9]$")))
+    return F.array_distinct(F.concat(words, pairs, letters))
+
+
+def local_search(links: DataFrame, texts: DataFrame, seeds: DataFrame, query: str, hops: int) -> DataFrame:
+    """(node, score) of the nodes near the seeds: half by distance, half by the share of the query's words in the node's text."""
+    from colloquy.operators.graphs import neighbours
+
+    asked = sorted({w for w in query.lower().split() if w})
+    near = neighbours(links, seeds, hops).join(texts, "node", "left")
+    said = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
+    share = F.size(F.array_intersect(said, F.array(*[F.lit(w) for w in asked]))) / len(asked) if asked else F.lit(0.0)
+    return near.select("node", F.round(0.5 / (1 + F.col("hop")) + 0.5 * share, 6).alias("score"))
+
+
+def semantic_cache(entries: DataFrame, queries: DataFrame, scope: list[str], least: float = 0.985, recent: int = 256) -> DataFrame:
+    """(query_id, entry_id): for each query the most alike of its scope's latest entries, if alike enough; the smaller id on a tie.
+
+    A scope keeps ``recent`` entries at most, so a query meets that many and no more.
+    """
+    latest = entries.withColumn("age", F.row_number().over(W.partitionBy(*scope).orderBy(F.desc("entry_id")))).where(F.col("age") <= recent)
+    c = queries.join(latest, scope).withColumn("score", cosine(F.col("embedding"), F.col("asked"))).where(F.col("score") >= least)
+    return c.groupBy("query_id").agg(F.min_by("entry_id", F.struct(-F.col("score"), F.col("entry_id"))).alias("entry_id"))

@@ -96,11 +96,31 @@ def sweep(trials: DataFrame, score: str, same: str, cells: int = 1000) -> DataFr
 
 
 def gates(summary: DataFrame) -> DataFrame:
-    """The codes of the release gates that a tag fails."""
-    codes = F.array_compact(F.array(F.when(F.col("macro_f1") < 0.80, "macro_f1"), F.when(F.col("bound") < 0.95, "critical_recall"), F.when(F.col("support") < 30, "insufficient")))
+    """The codes of the release gates that a tag fails: macro F1 .80, lower bound of critical recall .95, evidence .98, errors under .01, support 30."""
+    codes = F.array_compact(F.array(
+        F.when(F.col("macro_f1") < 0.80, "macro_f1"), F.when(F.col("bound") < 0.95, "critical_recall"), F.when(F.col("evidence") < 0.98, "evidence"),
+        F.when(F.col("errors") >= 0.01, "error_rate"), F.when(F.col("support") < 30, "insufficient"),
+    ))
     return summary.select("tag_key", F.array_join(codes, ",").alias("failed"))
 
 
+def breaches(health: DataFrame, key: str) -> DataFrame:
+    """(key, breaches): what is wrong in a window of (n, failed, schema_violations, evidence_violations, duplicates, critical_recall, drifted, budget)."""
+    codes = F.array_compact(F.array(
+        F.when(F.col("failed") >= 0.01 * F.col("n"), "error_rate"), F.when(F.col("schema_violations") > 0, "schema"), F.when(F.col("evidence_violations") > 0, "evidence"), F.when(F.col("duplicates") > 0, "duplicate_current"),
+        F.when(F.col("critical_recall") < 0.95, "critical_recall"), F.when(F.col("drifted"), "drift"), F.when(F.col("budget") >= 1, "budget_exhausted").when(F.col("budget") >= 0.9, "budget_near"),
+    ))
+    return health.select(key, F.array_join(codes, ",").alias("breaches"))
+
+
+def boundary_scores(rows: DataFrame, key: str, f1_gate: float = 0.85) -> DataFrame:
+    """Precision, recall and F1 of boundaries (gold, found) by key over all its rows, and whether the gate is passed."""
+    c = rows.groupBy(key).agg(F.count_if(F.col("gold") & F.col("found")).alias("tp"), F.count_if("gold").alias("g"), F.count_if("found").alias("p"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("p") + F.col("g")), F.lit(0.0))
+    part = lambda n: F.round(F.coalesce(F.try_divide("tp", n), F.lit(0.0)), 6)
+    return c.select(key, part("p").alias("precision"), part("g").alias("recall"), F.round(f1, 6).alias("f1"), (f1 >= f1_gate).alias("passed"))
+
+
 def precision_recall(queries: DataFrame, k: int) -> DataFrame:
     """Context precision at k and recall of retrieved against gold ids, as arrays."""
     hits = F.size(F.array_intersect(F.slice("got", 1, k), F.col("gold")))

@@ -169,3 +169,10 @@ def assigned_speaker(segments: DataFrame, turns: DataFrame) -> DataFrame:
     apart = F.least(F.abs(mid - F.col("t_start")), F.abs(mid - F.col("t_end")))
     order = F.struct((~inside).alias("outside"), F.when(~inside, -overlap).otherwise(0).alias("common"), F.when(~inside, apart).otherwise(0).alias("apart"), "t_idx")
     return both.groupBy("segment_id", "recording_id").agg(F.min(order)["t_idx"].alias("t_idx"))
+
+
+def key_path_share(transitions: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """The share of transitions on paths (keys, from, to) whose mean confidence is ``least`` or more, at most 1."""
+    f = transitions.groupBy(*keys, "from_state", "to_state").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    share = F.sum(F.when(F.col("c") >= least, F.col("n")).otherwise(0)) / F.sum("n")
+    return f.groupBy(*keys).agg(F.round(F.least(F.lit(1.0), share), 6).alias("share"))

@@ -125,3 +125,43 @@ def versions(assignments: DataFrame) -> DataFrame:
 def overridden(canonical: DataFrame, legacy: DataFrame) -> DataFrame:
     """Canonical rows, and legacy ones of cells without any."""
     return canonical.unionByName(legacy.join(canonical.select(*CELL).distinct(), CELL, "left_anti"))
+
+
+#: Stages whose failures lie before the tagger.
+UPSTREAM = ("ingest", "asr", "diarization")
+
+
+def badcase_clusters(cases: DataFrame) -> DataFrame:
+    """(cluster, weight, cases, ids) of (id, stage, tag_key, reason, cluster_key, occurrences), without upstream stages.
+
+    A case without a cluster key belongs to stage:tag:reason; it weighs its occurrences, one at least.
+    """
+    mine = cases.where(~F.col("stage").isin(*UPSTREAM))
+    name = F.coalesce("cluster_key", F.concat_ws(":", "stage", "tag_key", "reason"))
+    return mine.groupBy(name.alias("cluster")).agg(F.sum(F.greatest(F.lit(1), F.coalesce("occurrences", F.lit(1)))).alias("weight"), F.count("*").alias("cases"), F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def patches(advice: DataFrame) -> DataFrame:
+    """(patch, ids): one patch for equal advice, named by the SHA-256 of its text, with the ids of all that ask for it."""
+    return advice.groupBy(F.sha2("text", 256).alias("patch")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+
+
+def rule_bundle(segments: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
+    """(key, tag, rule, confidence, evidence): per tag the matching rule of most confidence, the first on a tie, and the segments that match it.
+
+    A rule (rule, tag, any, all, none, confidence) matches a text that holds any of ``any`` (if it names some),
+    all of ``all`` and none of ``none``. Rules are a bundle of a release, and go to all tasks.
+    """
+    low = F.lower("text")
+    holds = lambda p: F.contains(low, F.lower(p))
+    fits = ((F.size("any") == 0) | F.exists("any", holds)) & F.forall("all", holds) & ~F.exists("none", holds)
+    hits = segments.join(F.broadcast(rules), fits)
+    by = hits.groupBy(*key, "tag", "rule").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("segment")).alias("evidence"))
+    best = F.max_by(F.struct("rule", "confidence", "evidence"), F.struct("confidence", -F.col("rule"))).alias("b")
+    return by.groupBy(*key, "tag").agg(best).select(*key, "tag", "b.*")
+
+
+def invalidated(current: DataFrame, changed: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that stay, units to extract again): current rows of changed units go, and each such unit is queued once."""
+    units = changed.select(*key).distinct()
+    return current.join(units, key, "left_anti"), current.join(units, key, "left_semi").select(*key).distinct()

@@ -94,12 +94,14 @@ def _(t):
     return t.predictions.groupBy("tag_key").agg(F.round(side("candidate") / side("base") - 1, 6).alias("ratio"))
 
 
-@query("ev29_release_gates", P, f"""WITH {VALUES}, s AS (SELECT tag_key, avg(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE)) AS f, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(tp + fn) AS DOUBLE) AS n FROM v GROUP BY 1)
-SELECT tag_key, concat_ws(',', CASE WHEN f < 0.8::DOUBLE THEN 'macro_f1' END, CASE WHEN {bound('tp', 'n')} < 0.95::DOUBLE THEN 'critical_recall' END, CASE WHEN n < 30 THEN 'insufficient' END) AS failed FROM s""")
+@query("ev29_release_gates", P, f"""WITH {VALUES}, s AS (SELECT tag_key, avg(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE)) AS f, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(tp + fn) AS DOUBLE) AS n FROM v GROUP BY 1),
+q AS (SELECT tag_key, avg(CASE WHEN probability > 0.25::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS e, avg(CASE WHEN predicted IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS x FROM predictions GROUP BY 1)
+SELECT tag_key, concat_ws(',', CASE WHEN f < 0.8::DOUBLE THEN 'macro_f1' END, CASE WHEN {bound('tp', 'n')} < 0.95::DOUBLE THEN 'critical_recall' END, CASE WHEN e < 0.98::DOUBLE THEN 'evidence' END, CASE WHEN x >= 0.01::DOUBLE THEN 'error_rate' END, CASE WHEN n < 30 THEN 'insufficient' END) AS failed FROM s JOIN q USING (tag_key)""")
 def _(t):
     v = op.value_scores(t.predictions)
     s = v.groupBy("tag_key").agg(F.avg(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("macro_f1"), F.sum("tp").alias("tp"), F.sum(F.col("tp") + F.col("fn")).alias("support"))
-    return op.gates(s.withColumn("bound", op.wilson(F.col("tp").cast("double"), F.col("support").cast("double"))))
+    q = t.predictions.groupBy("tag_key").agg(F.avg((F.col("probability") > 0.25).cast("int")).alias("evidence"), F.avg(F.col("predicted").isNull().cast("int")).alias("errors"))
+    return op.gates(s.join(q, "tag_key").withColumn("bound", op.wilson(F.col("tp").cast("double"), F.col("support").cast("double"))))
 
 
 @query("ev1_context_precision", ("turns",), """

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import resolved
-from colloquy.operators import retrieval, scores
+from colloquy.operators import retrieval, scores, tagging
 from colloquy.plans.registry import query
 from colloquy.plans.texts import masked_sql
 
@@ -72,10 +72,15 @@ def _(t):
     return t.calls.groupBy("model", F.least(F.expr("latency_ms div 100"), F.lit(6)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("tag6_rule_bundle", ("turns",), "SELECT conv_id, turn FROM turns WHERE (contains(lower(text), 'the ') OR contains(lower(text), 'of ')) AND contains(lower(text), 'and') AND NOT contains(lower(text), 'trash')")
+@query("tag6_rule_bundle", ("turns",), """
+WITH r AS (SELECT 1 AS rule, 'pair' AS tag, 0.8::DOUBLE AS c, (contains(lower(text), 'the ') OR contains(lower(text), 'of ')) AND contains(lower(text), 'and') AND NOT contains(lower(text), 'trash') AS hit, conv_id, turn FROM turns
+UNION ALL SELECT 2, 'pair', 0.9::DOUBLE, contains(lower(text), 'tion') AND NOT contains(lower(text), 'and'), conv_id, turn FROM turns UNION ALL SELECT 3, 'any', 0.5::DOUBLE, contains(lower(text), 'er'), conv_id, turn FROM turns),
+b AS (SELECT conv_id, tag, rule, max(c) AS c, string_agg(CAST(turn AS STRING), ',' ORDER BY turn) AS e FROM r WHERE hit GROUP BY 1, 2, 3) SELECT conv_id, tag, rule, c AS confidence, e AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, tag ORDER BY c DESC, rule) AS k FROM b) WHERE k = 1""")
 def _(t):
-    has = lambda p: F.contains(F.lower("text"), F.lit(p))
-    return t.turns.where((has("the ") | has("of ")) & has("and") & ~has("trash")).select("conv_id", "turn")
+    rows = [(1, "pair", ["the ", "of "], ["and"], ["trash"], 0.8), (2, "pair", [], ["tion"], ["and"], 0.9), (3, "any", ["er"], [], [], 0.5)]
+    rules = t.turns.sparkSession.createDataFrame(rows, "rule int, tag string, any array<string>, all array<string>, none array<string>, confidence double")
+    found = tagging.rule_bundle(t.turns.withColumnRenamed("turn", "segment"), rules, ["conv_id"])
+    return found.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
 @query("tag7_hybrid_short_circuit", A, "SELECT target_id, bool_and(coalesce(confidence, 0) >= 0.3::DOUBLE) AND NOT bool_or(value = 'v3') AS done FROM assignments WHERE group_key = 'rules' GROUP BY 1")
@@ -89,9 +94,10 @@ def _(t):
     return t.assignments.where("target_id = 7 and label_key = 'label1'").orderBy("assignment_id").select("assignment_id", "value")
 
 
-@query("tag13_invalidation", A, "SELECT DISTINCT target_id FROM assignments WHERE value = 'v2'")
+@query("tag13_invalidation", A, "WITH c AS (SELECT DISTINCT target_id FROM assignments WHERE value = 'v2') SELECT 'stays' AS what, assignment_id AS id FROM assignments WHERE target_id NOT IN (SELECT target_id FROM c) UNION ALL SELECT 'again', target_id FROM c")
 def _(t):
-    return t.assignments.where("value = 'v2'").select("target_id").distinct()
+    stays, again = tagging.invalidated(t.assignments, t.assignments.where("value = 'v2'"), ["target_id"])
+    return stays.select(F.lit("stays").alias("what"), F.col("assignment_id").alias("id")).unionByName(again.select(F.lit("again").alias("what"), F.col("target_id").alias("id")))
 
 
 @query("tag14_patch_eligibility", A, "SELECT label_key, value, count(*) AS support FROM assignments GROUP BY 1, 2 HAVING count(*) >= 30 ORDER BY support DESC, 1, 2 LIMIT 5")
