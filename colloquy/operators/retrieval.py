@@ -34,11 +34,22 @@ def centroids(vectors: DataFrame, key: str, column: str = "embedding") -> DataFr
     return d.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("centroid"))
 
 
+#: Centres that go to the tasks at once.
+CENTRES = 5_000
+
+
 def nearest(vectors: DataFrame, centres: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """Each vector's nearest centre, the smaller key on a tie; centres are few, one per key."""
-    c = F.broadcast(centres.agg(F.collect_list(F.struct(F.col(key).alias("key"), "centroid")).alias("all")))
-    scored = F.transform("all", lambda x: F.struct((-cosine(F.col(column), x["centroid"])).alias("far"), x["key"].alias("key")))
-    return vectors.crossJoin(c).select("vec_id", F.array_min(scored)["key"].alias("nearest"))
+    """Each vector's nearest centre, the smaller key on a tie; centres are broadcast in blocks of bounded size."""
+    blocks = max(1, -(-centres.count() // CENTRES))
+    found = None
+    for block in range(blocks):
+        some = centres.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block) if blocks > 1 else centres
+        c = F.broadcast(some.agg(F.collect_list(F.struct(F.col(key).alias("key"), "centroid")).alias("all")))
+        scored = F.transform("all", lambda x: F.struct((-cosine(F.col(column), x["centroid"])).alias("far"), x["key"].alias("key")))
+        one = vectors.crossJoin(c).select("vec_id", F.array_min(scored).alias("best"))
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("vec_id").agg(F.min("best").alias("best")) if blocks > 1 else found
+    return found.select("vec_id", F.col("best.key").alias("nearest"))
 
 
 def channel_union(candidates: DataFrame, key: str) -> DataFrame:

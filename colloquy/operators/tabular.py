@@ -98,19 +98,33 @@ def nearest_baseline(candidates: DataFrame, baselines: DataFrame, keys: list[str
     return found.withColumn("best", best).where("best is not null").select(F.col("id").alias("candidate_id"), (-F.col("best.minus")).alias("baseline_id"))
 
 
+def _in_cells(recordings: DataFrame, window_sec: int) -> DataFrame:
+    """The recordings in cells of time, with the rows of the next cell beside them (``own`` is false), placed in order.
+
+    A cell is as long as the longest recording and the window, so all that starts within the window
+    of a recording's end stands in its cell or the next: a busy store is many groups.
+    """
+    longest = recordings.agg(F.max(F.col("ended_sec") - F.col("started_sec"))).first()[0] or 0
+    cell = F.floor(F.col("started_sec") / F.lit(max(1, int(window_sec) + int(longest) + 1)))
+    places = F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")), F.struct((cell - 1).alias("cell"), F.lit(False).alias("own"))))
+    rows = recordings.withColumn("c", places).select("*", "c.cell", "c.own").drop("c")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("tenant_id", "store_id", "cell").orderBy("started_sec", "recording_id")))
+
+
 def neighbour_pairs(recordings: DataFrame, window_sec: int, k: int) -> DataFrame:
     """Each recording with its next k of the tenant and store that start within the window of its end."""
-    place = F.row_number().over(W.partitionBy("tenant_id", "store_id").orderBy("started_sec", "recording_id"))
-    r = recordings.withColumn("place", place)
-    right = r.select("tenant_id", "store_id", *[F.col(c).alias(f"right_{c}") for c in ("recording_id", "started_sec", "ended_sec", "agent_id", "customer")], "place", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
+    r = _in_cells(recordings, window_sec)
+    cell = ["tenant_id", "store_id", "cell"]
+    right = r.select(*cell, *[F.col(c).alias(f"right_{c}") for c in ("recording_id", "started_sec", "ended_sec", "agent_id", "customer")], "place", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
     right = right.withColumn("place", F.col("place") - F.col("step")).drop("step")
-    return r.join(right, ["tenant_id", "store_id", "place"]).where(F.col("right_started_sec") - F.col("ended_sec") <= window_sec)
+    both = r.where("own").join(right, [*cell, "place"]).where(F.col("right_started_sec") - F.col("ended_sec") <= window_sec)
+    return both.drop("cell", "own")
 
 
 def crowded_windows(recordings: DataFrame, window_sec: int, k: int) -> DataFrame:
     """Recordings with more than k neighbours within the window: the report of what k leaves out."""
-    nxt = F.lead("started_sec", k + 1).over(W.partitionBy("tenant_id", "store_id").orderBy("started_sec", "recording_id"))
-    return recordings.withColumn("nxt", nxt).where(F.col("nxt") - F.col("ended_sec") <= window_sec).select("recording_id", "nxt")
+    nxt = F.lead("started_sec", k + 1).over(W.partitionBy("tenant_id", "store_id", "cell").orderBy("started_sec", "recording_id"))
+    return _in_cells(recordings, window_sec).withColumn("nxt", nxt).where("own").where(F.col("nxt") - F.col("ended_sec") <= window_sec).select("recording_id", "nxt")
 
 
 def evaluate_pairs(pairs: DataFrame, window_sec: int = 900) -> DataFrame:

@@ -89,8 +89,8 @@ def by_dimension(last: DataFrame) -> DataFrame:
 
 
 def stable_bucket(*keys: Column) -> Column:
-    """A bucket of 0 to 99 that depends on the keys alone."""
-    return F.pmod(F.crc32(F.concat_ws("|", *keys).cast("binary")), F.lit(100))
+    """A bucket of 0 to 99 that depends on the keys alone: the first 32 bits of their SHA-256."""
+    return F.conv(F.left(F.sha2(F.concat_ws("|", *keys), 256), F.lit(8)), 16, 10).cast("long") % 100
 
 
 def routed(subjects: DataFrame, key: str, deployment: str, percent: int) -> DataFrame:

@@ -91,7 +91,8 @@ def _(t):
     return op.fused(op.cells(t.assignments))
 
 
-@query("tag10_canary_routing", ("recordings",))
+@query("tag10_canary_routing", ("recordings",), """
+WITH b AS (SELECT recording_id, CAST('0x' || left(sha256(CAST(recording_id AS STRING) || '|d1'), 8) AS BIGINT) % 100 AS bucket FROM recordings) SELECT recording_id, bucket, CASE WHEN bucket < 25 THEN 'candidate' ELSE 'baseline' END AS side FROM b""")
 def _(t):
     return op.routed(t.recordings.select("recording_id"), "recording_id", "d1", 25)
 

@@ -343,3 +343,34 @@ def test_graph_kept_from_a_stream(spark, tmp_path):
     incremental.keep_graph(stream, str(tmp_path / "graph"), str(tmp_path / "cp")).awaitTermination()
     got = {r.target: (r.weight, r["rank"]) for r in incremental.current_graph(spark, str(tmp_path / "graph"), 2).collect()}
     assert got == {"b": (3, 2), "x0": (2, 0), "x1": (2, 0), "x2": (2, 0)}
+
+
+def test_neighbours_in_cells_against_one_order(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("t", rng.randint(0, 1), i, s := rng.randint(-500, 3000), s + rng.randint(1, 200), None, None) for i in range(150)]
+    df = spark.createDataFrame(rows, "tenant_id string, store_id long, recording_id long, started_sec long, ended_sec long, agent_id long, customer long")
+    want, crowded = set(), set()
+    for store in (0, 1):
+        mine = sorted((r for r in rows if r[1] == store), key=lambda r: (r[3], r[2]))
+        for i, r in enumerate(mine):
+            want |= {(r[2], x[2]) for x in mine[i + 1 : i + 4] if x[3] - r[4] <= 60}
+            if i + 3 < len(mine) and mine[i + 3][3] - r[4] <= 60:
+                crowded.add(r[2])
+    assert {(r.recording_id, r.right_recording_id) for r in tabular.neighbour_pairs(df, 60, 3).collect()} == want
+    assert {r.recording_id for r in tabular.crowded_windows(df, 60, 2).collect()} == crowded and crowded
+
+
+def test_nearest_centres_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    c = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(7)], "label long, centroid array<double>")
+    want = {i: i % 7 for i in range(30)}
+    for most in (5_000, 2):
+        monkeypatch.setattr(retrieval, "CENTRES", most)
+        assert {r.vec_id: r.nearest for r in retrieval.nearest(v, c, "label").collect()} == want
+
+
+def test_mixed_tokens(spark):
+    got = spark.createDataFrame([("Ab 数据库 c",)], "t string").select(retrieval.mixed_tokens(F.col("t"))).first()[0]
+    assert sorted(got) == sorted(["ab", "数据库", "c", "数据", "据库", "a", "b"])
