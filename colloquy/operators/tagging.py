@@ -93,10 +93,16 @@ def stable_bucket(*keys: Column) -> Column:
     return F.conv(F.left(F.sha2(F.concat_ws("|", *keys), 256), F.lit(8)), 16, 10).cast("long") % 100
 
 
-def routed(subjects: DataFrame, key: str, deployment: str, percent: int) -> DataFrame:
-    """Which side of a canary each subject takes: the same one every time."""
-    bucket = stable_bucket(F.col(key).cast("string"), F.lit(deployment))
-    return subjects.withColumn("bucket", bucket).withColumn("side", F.when(F.col("bucket") < percent, "candidate").otherwise("baseline"))
+def routed(subjects: DataFrame, key: str, deployment: Column, status: Column, traffic: Column, shadow: Column) -> DataFrame:
+    """Subjects with their bucket in a deployment and whether its tagger runs and publishes for them: the same every time.
+
+    A shadow runs for its share and never publishes; canaries take 5 or 25 of a hundred, one that waits for
+    approval its share of the traffic, one in production all, others none.
+    """
+    rows = subjects.withColumn("bucket", stable_bucket(F.col(key).cast("string"), deployment))
+    limit = F.when(status == "canary_5", 5).when(status == "canary_25", 25).when(status == "awaiting_admin", traffic).when(status == "production", 100).otherwise(0)
+    publishes = F.col("bucket") < limit
+    return rows.withColumn("runs", F.when(status == "shadow", F.col("bucket") < shadow).otherwise(publishes)).withColumn("publishes", publishes)
 
 
 def rule_tags(texts: DataFrame, rules: dict[str, dict[str, list[str]]], base: float = 0.7) -> DataFrame:

@@ -92,9 +92,12 @@ def _(t):
 
 
 @query("tag10_canary_routing", ("recordings",), """
-WITH b AS (SELECT recording_id, CAST('0x' || left(sha256(CAST(recording_id AS STRING) || '|d1'), 8) AS BIGINT) % 100 AS bucket FROM recordings) SELECT recording_id, bucket, CASE WHEN bucket < 25 THEN 'candidate' ELSE 'baseline' END AS side FROM b""")
+WITH b AS (SELECT recording_id, ['shadow', 'canary_5', 'canary_25', 'awaiting_admin', 'production', 'retired'][agent_id % 6 + 1] AS s, CAST('0x' || left(sha256(CAST(recording_id AS STRING) || '|d' || CAST(agent_id AS STRING)), 8) AS BIGINT) % 100 AS bucket FROM recordings),
+c AS (SELECT *, bucket < CASE s WHEN 'canary_5' THEN 5 WHEN 'canary_25' THEN 25 WHEN 'awaiting_admin' THEN 60 WHEN 'production' THEN 100 ELSE 0 END AS publishes FROM b) SELECT recording_id, bucket, CASE WHEN s = 'shadow' THEN bucket < 10 ELSE publishes END AS runs, publishes FROM c""")
 def _(t):
-    return op.routed(t.recordings.select("recording_id"), "recording_id", "d1", 25)
+    status = F.get(F.array(*[F.lit(x) for x in ("shadow", "canary_5", "canary_25", "awaiting_admin", "production", "retired")]), (F.col("agent_id") % 6).cast("int"))
+    deployment = F.concat(F.lit("d"), F.col("agent_id").cast("string"))
+    return op.routed(t.recordings, "recording_id", deployment, status, F.lit(60), F.lit(10)).select("recording_id", "bucket", "runs", "publishes")
 
 
 @query("tag17_canonical_overrides", A, "SELECT assignment_id FROM assignments a WHERE is_manual OR NOT EXISTS (SELECT 1 FROM assignments m WHERE m.is_manual AND m.target_id = a.target_id AND m.label_key = a.label_key)")
