@@ -22,8 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ from colloquy.llm.shared import cut
 #: The scorer learns from about this many documents, as feature numbers in the shared folder: up to half of them with a human label and up to half without, at every size.
 TRAIN_ROWS = 20_000
 FEATURES = 1 << 17
-#: Parts of the sample that the fit passes over in each step.
-FIT_PARTS = 4
+#: Steps of the fit, and features of the sample that it passes over at once, about.
+STEPS, FIT_PART = 60, 1 << 20
 #: The scorer's pull to zero.
 REGULAR = 6e-5
 #: The estimate for a pattern of votes counts as so many human labels on the same votes.
@@ -166,23 +164,100 @@ def anchored(counts: dict[str, float], found: dict[str, float]) -> dict[str, flo
     return {p: b if p[-1] != "-" else (of(p, "b") + WORTH * b) / (of(p, "b") + of(p, "g") + WORTH) for p, b in found.items()}
 
 
-def learn(rows: DataFrame, name: str) -> tuple[float, dict[int, float]]:
-    """(intercept, weights that aren't zero) of a logistic scorer, from (features, soft, weight) of a model."""
-    both = F.explode(F.array(F.lit(0.0), F.lit(1.0)))
-    soft = F.col(f"soft_{name}")
-    share = F.when(F.col("y") == 1, soft).otherwise(1 - soft)
-    taught = rows.withColumn("y", both).withColumn("w", share * F.col(f"weight_{name}")).where(share > 0.001).select("features", "y", "w")
-    kinds = {r.y for r in taught.select("y").distinct().collect()}
-    most = rows.agg(F.max(soft)).first()[0]
-    if most is None or most < THRESHOLD or 1.0 not in kinds:
+def least_loss(loss, n: int, pull: float, steps: int = STEPS, memory: int = 10) -> np.ndarray:
+    """The x that makes loss(x) + pull * |x| least, its last entry (the intercept) free of the pull.
+
+    Limited-memory quasi-Newton steps that stay within an orthant, as the pull has no slope at zero.
+    ``loss`` gives the value and the slope.
+    """
+    x = np.zeros(n)
+    pulls = np.full(n, pull)
+    pulls[-1] = 0.0
+    value, slope = loss(x)
+    best = value + pulls @ np.abs(x)
+    moved: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        up, down = slope + pulls, slope - pulls
+        steep = np.where(x > 0, up, np.where(x < 0, down, np.where(up < 0, up, np.where(down > 0, down, 0.0))))
+        d, shares = -steep, []
+        for s, y in reversed(moved):
+            shares.append((s @ d) / (s @ y))
+            d = d - shares[-1] * y
+        if moved:
+            s, y = moved[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), share in zip(moved, reversed(shares)):
+            d = d + (share - (y @ d) / (s @ y)) * s
+        d[d * steep >= 0] = 0.0
+        if not d.any():
+            break
+        side = np.where(x != 0, np.sign(x), -np.sign(steep))
+        length = 1.0 if moved else 1.0 / max(1.0, np.abs(steep).sum())
+        for _ in range(40):
+            new = x + length * d
+            new[new * side < 0] = 0.0
+            value, new_slope = loss(new)
+            total = value + pulls @ np.abs(new)
+            if total <= best + 1e-4 * (steep @ (new - x)):
+                break
+            length /= 2
+        else:
+            break
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12:
+            moved = [*moved, (s, y)][-memory:]
+        gain, x, slope, best = best - total, new, new_slope, total
+        if gain < 1e-6 * best:
+            break
+    return x
+
+
+def fit_scorer(ids: np.ndarray, lengths: np.ndarray, soft: np.ndarray, weight: np.ndarray) -> tuple[float, dict[int, float]]:
+    """(intercept, weights that aren't zero) of a logistic scorer: ``ids`` holds each row's features one after another,
+    ``soft`` its chance of being bad. Rows are passed over in parts, so that little memory is held."""
+    if not len(soft) or soft.max() < THRESHOLD:
         return -10.0, {}
-    if 0.0 not in kinds:
+    if (1 - soft).max() <= 0.001:
         return 10.0, {}
-    # the sample is bounded: with so few parts the sums of gradients need no shuffle
-    taught = taught.coalesce(FIT_PARTS)
-    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=REGULAR, elasticNetParam=1.0, maxIter=60, standardization=False).fit(taught)
-    w = model.coefficients.toArray()
-    return float(model.intercept), {int(i): float(w[i]) for i in np.flatnonzero(w)}
+    known, place = np.unique(ids, return_inverse=True)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + FIT_PART, FIT_PART)).clip(0, len(lengths)))
+    weight = weight / weight.sum()
+    n = len(known) + 1
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = 0.0, np.zeros(n)
+        for i, j in zip(cuts, cuts[1:]):
+            at, of = place[ends[i] : ends[j]], np.repeat(np.arange(j - i), lengths[i:j])
+            z = np.bincount(of, x[at], j - i) + x[-1]
+            value += weight[i:j] @ (np.logaddexp(0, z) - soft[i:j] * z)
+            wrong = weight[i:j] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - soft[i:j])
+            slope[:-1] += np.bincount(at, wrong[of], n - 1)
+            slope[-1] += wrong.sum()
+        return float(value), slope
+
+    x = least_loss(loss, n, REGULAR)
+    return float(x[-1]), {int(known[i]): float(x[i]) for i in np.flatnonzero(x[:-1])}
+
+
+def learn(rows: DataFrame) -> dict[str, tuple[float, dict[int, float]]]:
+    """The scorer of each model from the sample's (ids, soft_.., weight_..); one task a model, as the sample is bounded."""
+    both = [F.struct(F.lit(m).alias("model"), F.col(f"soft_{m}").alias("soft"), F.col(f"weight_{m}").alias("weight")) for m in MODELS]
+
+    def fitted(table):
+        import pyarrow as pa
+
+        lists = table.column("ids").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        columns = [table.column(c).to_numpy().astype(float) for c in ("soft", "weight")]
+        intercept, weights = fit_scorer(lists.flatten().to_numpy(zero_copy_only=False), lengths, *columns)
+        ids = [-1, *weights]
+        return pa.table({"model": pa.array([table.column("model")[0].as_py()] * len(ids), pa.string()), "id": pa.array(ids, pa.int32()), "w": pa.array([intercept, *weights.values()], pa.float64())})
+
+    found: dict[str, dict[int, float]] = {m: {-1: -10.0} for m in MODELS}
+    for r in rows.select("ids", F.explode(F.array(*both)).alias("m")).select("ids", "m.*").groupBy("model").applyInArrow(fitted, "model string, id int, w double").collect():
+        found[r.model][r.id] = r.w
+    return {m: (w.pop(-1), w) for m, w in found.items()}
 
 
 def _mapped(df: DataFrame, column: int, make, schema: str):
@@ -242,9 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         table = docs.sparkSession.createDataFrame(known, f"pattern_{m} string, soft_{m} double, weight_{m} double")  # at most 3^(labellers + 1) rows
         pattern = F.concat(F.substring("said", int(at[m]) + 1, MODELS[m]), F.col(f"human_{m}"))
         rows = rows.withColumn(f"pattern_{m}", pattern).join(F.broadcast(table), f"pattern_{m}")
-    vector = F.udf(lambda ids: SparseVector(FEATURES, ids, [1.0] * len(ids)), VectorUDT())
-    rows = cut(rows.select(vector("ids").alias("features"), *[f"{k}_{m}" for k in ("soft", "weight") for m in MODELS]), "taught")
-    return {m: learn(rows, m) for m in MODELS}
+    return learn(cut(rows.select("ids", *[f"{k}_{m}" for k in ("soft", "weight") for m in MODELS]), "taught"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", vote=votes) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,31 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "word " * 400_000), (2, "|" * 1_000_000), (3, "plain words of a text")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == 3
+
+
+def test_fit_is_the_least_loss():
+    """No small change of a weight makes the objective less, and parts of the sample change nothing."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 9, 300)
+    ids = rng.integers(0, 40, lengths.sum()).astype(np.int32)
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    soft = np.clip(np.where(ids[first] < 12, 0.9, 0.1) + rng.normal(0, 0.05, 300), 0, 1)
+    weight = rng.uniform(0.5, 1, 300)
+    intercept, w = quality.fit_scorer(ids, lengths, soft, weight)
+
+    def objective(b, w):
+        z = np.array([b + sum(w.get(int(i), 0.0) for i in ids[a : a + n]) for a, n in zip(first, lengths)])
+        return (weight / weight.sum()) @ (np.logaddexp(0, z) - soft * z) + quality.REGULAR * sum(map(abs, w.values()))
+
+    least = objective(intercept, w)
+    for i in range(40):
+        for step in (-0.05, 0.05):
+            assert objective(intercept, w | {i: w.get(i, 0.0) + step}) > least - 1e-5
+    assert objective(intercept + 0.05, w) > least - 1e-5
+    old, quality.FIT_PART = quality.FIT_PART, 50
+    try:
+        again = quality.fit_scorer(ids, lengths, soft, weight)
+    finally:
+        quality.FIT_PART = old
+    assert again[0] == pytest.approx(intercept, abs=1e-3)
+    assert quality.fit_scorer(ids[:0], lengths[:0], soft[:0], weight[:0]) == (-10.0, {})
