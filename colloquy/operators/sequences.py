@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.functions.grouping import fold_groups
+
 
 def state_chain(units: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """A dense chain: each row's state follows the one before, the first follows ``__start__``; null is ``__unknown__``."""
@@ -134,3 +136,40 @@ def idle_sessions(events: DataFrame, key: str, at: str, timeout: int) -> DataFra
 def conflicts(frames: DataFrame) -> DataFrame:
     """Numbers staged more than once with different bytes: a replay that must not be accepted."""
     return frames.groupBy("session_id", "seq").agg(F.count_distinct("payload").alias("kinds"), F.count("*").alias("n")).where("kinds > 1")
+
+
+def debounced_batches(rows: DataFrame, key: str, order: str, at_ms: str, n: int = 5, debounce_ms: int = 500) -> DataFrame:
+    """(key, batch, first, last, size): a row closes a batch if it holds n rows or more and the last batch closed
+    ``debounce_ms`` ago or more; what is left at the end of a key is its last batch.
+
+    A fold over each key's ordered rows, since a batch begins where the one before ended.
+    """
+    def fold(group_key: tuple, group: list[tuple]) -> list[tuple]:
+        out, first, size, closed, last = [], None, 0, None, None
+        for _, place, at in group:
+            first, size, last = (place if first is None else first), size + 1, place
+            if size >= n and (closed is None or at - closed >= debounce_ms):
+                out.append((group_key[0], len(out), first, place, size))
+                first, size, closed = None, 0, at
+        return [*out, (group_key[0], len(out), first, last, size)] if size else out
+
+    return fold_groups(rows.select(key, order, at_ms), [key], [order], fold, f"{key} {dict(rows.dtypes)[key].replace('bigint', 'long')}, batch long, first long, last long, size long")
+
+
+#: Where an event takes a session from each state; other events change nothing.
+LIFECYCLE = {
+    "start": {"created": "active"}, "finish": {"created": "draining", "active": "draining"}, "commit": {"draining": "committing"}, "committed": {"committing": "closed"},
+    "lost": {"active": "incomplete", "draining": "incomplete"}, "error": {s: "failed" for s in ("created", "active", "draining", "committing")},
+}
+
+
+def session_states(events: DataFrame, key: str, order: str, event: str) -> DataFrame:
+    """(key, state, changes): the state of each session after its events in order, and how many changed it."""
+    def fold(group_key: tuple, group: list[tuple]) -> list[tuple]:
+        state, changes = "created", 0
+        for _, _, name in group:
+            new = LIFECYCLE.get(name, {}).get(state, state)
+            changes, state = changes + (new != state), new
+        return [(group_key[0], state, changes)]
+
+    return fold_groups(events.select(key, order, event), [key], [order], fold, f"{key} {dict(events.dtypes)[key].replace('bigint', 'long')}, state string, changes long")

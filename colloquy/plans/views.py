@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import resolved
-from colloquy.operators import retrieval, scores, tagging
+from colloquy.operators import retrieval, scores, sequences, tagging
 from colloquy.plans.registry import query
 from colloquy.plans.texts import masked_sql
 
@@ -127,7 +127,23 @@ def _(t):
     return t.frames.groupBy("session_id", "seq").agg(F.min("arrival").alias("arrival"))
 
 
-@query("st12_session_state", ("frames",), "SELECT session_id, CASE WHEN max(seq) >= 49 THEN 'closed' WHEN count(*) > 60 THEN 'draining' ELSE 'active' END AS state FROM frames GROUP BY 1")
+@query("st12_session_state", ("frames",), """
+WITH RECURSIVE e AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS k, CASE WHEN seq < 4 THEN ['start', 'frame', 'finish', 'commit'][seq + 1] WHEN seq = 4 THEN 'committed' WHEN seq = 49 THEN 'lost' WHEN seq = 48 AND payload % 3 = 0 THEN 'error' ELSE 'frame' END AS e FROM frames),
+f AS (SELECT session_id, CAST(0 AS BIGINT) AS k, 'created' AS s, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT session_id FROM e)
+ UNION ALL SELECT f.session_id, e.k, CASE WHEN e = 'start' AND s = 'created' THEN 'active' WHEN e = 'finish' AND s IN ('created', 'active') THEN 'draining' WHEN e = 'commit' AND s = 'draining' THEN 'committing' WHEN e = 'committed' AND s = 'committing' THEN 'closed' WHEN e = 'lost' AND s IN ('active', 'draining') THEN 'incomplete' WHEN e = 'error' AND s IN ('created', 'active', 'draining', 'committing') THEN 'failed' ELSE s END,
+  n + CASE WHEN (e = 'start' AND s = 'created') OR (e = 'finish' AND s IN ('created', 'active')) OR (e = 'commit' AND s = 'draining') OR (e = 'committed' AND s = 'committing') OR (e = 'lost' AND s IN ('active', 'draining')) OR (e = 'error' AND s IN ('created', 'active', 'draining', 'committing')) THEN 1 ELSE 0 END FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1)
+SELECT session_id, max_by(s, k) AS state, max(n) AS changes FROM f GROUP BY 1""")
 def _(t):
-    g = t.frames.groupBy("session_id").agg(F.max("seq").alias("high"), F.count("*").alias("n"))
-    return g.select("session_id", F.when(F.col("high") >= 49, "closed").when(F.col("n") > 60, "draining").otherwise("active").alias("state"))
+    names = F.array(*[F.lit(x) for x in ("start", "frame", "finish", "commit", "committed")])
+    rare = F.when(F.col("seq") == 49, "lost").when((F.col("seq") == 48) & (F.col("payload") % 3 == 0), "error").otherwise("frame")
+    event = F.when(F.col("seq") <= 4, F.get(names, F.col("seq").cast("int"))).otherwise(rare)
+    return sequences.session_states(t.frames.withColumn("event", event), "session_id", "arrival", "event")
+
+
+@query("st7_debounced_batches", ("frames",), """
+WITH RECURSIVE e AS (SELECT session_id, arrival, arrival // 2 AS at_ms, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS k FROM frames),
+f AS (SELECT session_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS closed, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS mine FROM (SELECT DISTINCT session_id FROM e)
+ UNION ALL SELECT f.session_id, e.k, CASE WHEN size + 1 >= 5 AND (closed IS NULL OR at_ms - closed >= 500) THEN 0 ELSE size + 1 END, CASE WHEN size + 1 >= 5 AND (closed IS NULL OR at_ms - closed >= 500) THEN at_ms ELSE closed END, CASE WHEN size + 1 >= 5 AND (closed IS NULL OR at_ms - closed >= 500) THEN batch + 1 ELSE batch END, batch FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1)
+SELECT session_id, mine AS batch, count(*) AS size FROM f WHERE k > 0 GROUP BY 1, 2""")
+def _(t):
+    return sequences.debounced_batches(t.frames.withColumn("at_ms", F.expr("arrival div 2")), "session_id", "arrival", "at_ms").select("session_id", "batch", "size")
