@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.shared import cut
 
-#: The scorer learns from about this many documents, as feature numbers in the shared folder: up to half of them with a human label and up to half without, at every size.
+#: The scorer learns from about this many documents, as feature numbers in the shared folder: up to half of them
+#: with a human label and up to half without, at every size.
 TRAIN_ROWS = 20_000
 FEATURES = 1 << 17
 #: Steps of the fit, and features of the sample that it passes over at once, about.
