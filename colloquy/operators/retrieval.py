@@ -63,6 +63,11 @@ def weighted(candidates: DataFrame, weights: tuple[float, ...] = (0.5, 0.3, 0.2)
     return candidates.withColumn("score", F.col("score") * w * F.when(F.col("confidence") == "AMBIGUOUS", penalty).otherwise(1.0))
 
 
+def channel_weights(audio: bool) -> tuple[float, ...]:
+    """Weights of the text, graph and audio channels; without audio the others share its part as they stand."""
+    return (0.5, 0.3, 0.2) if audio else (0.5 / 0.8, 0.3 / 0.8, 0.0)
+
+
 def keywords(texts: DataFrame, column: str = "text") -> DataFrame:
     parts = F.filter(F.split(column, r"[\s,.;:!?]+"), lambda w: F.length(w) >= 2)
     return texts.withColumn("keyword", F.explode(parts))

@@ -190,3 +190,13 @@ def key_path_share(transitions: DataFrame, keys: list[str], least: float = 0.8)
     f = transitions.groupBy(*keys, "from_state", "to_state").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
     share = F.sum(F.when(F.col("c") >= least, F.col("n")).otherwise(0)) / F.sum("n")
     return f.groupBy(*keys).agg(F.round(F.least(F.lit(1.0), share), 6).alias("share"))
+
+
+def speaker_of_segments(segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """(segment_id, label): the speaker of the first turn that holds a segment's middle, else of the longest overlap; null without either."""
+    mid = (F.col("start_sec") + F.col("end_sec")) / 2
+    both = segments.join(turns, "recording_id").where((F.col("end_sec") > F.col("t_start")) & (F.col("start_sec") < F.col("t_end")))
+    outside = ~((mid >= F.col("t_start")) & (mid < F.col("t_end")))
+    common = F.least("end_sec", "t_end") - F.greatest("start_sec", "t_start")
+    best = both.groupBy("segment_id").agg(F.min(F.struct(outside.alias("o"), F.when(outside, -common).otherwise(0).alias("c"), "t_start", "label"))["label"].alias("label"))
+    return segments.select("segment_id").join(best, "segment_id", "left")

@@ -215,6 +215,13 @@ def _(t):
     return ret.weighted(c).select("vec_id", "channel", F.round("score", 6).alias("score"))
 
 
+@query("ret5_without_audio", V, """
+SELECT vec_id, round(CAST(vec_id % 10 AS DOUBLE) / 10 * CASE vec_id % 2 WHEN 0 THEN 0.625::DOUBLE ELSE 0.375::DOUBLE END, 6) AS score FROM vectors""")
+def _(t):
+    c = t.vectors.select("vec_id", (F.col("vec_id") % 2).cast("int").alias("channel"), ((F.col("vec_id") % 10) / 10).alias("score"), F.lit("EXTRACTED").alias("confidence"))
+    return ret.weighted(c, ret.channel_weights(audio=False)).select("vec_id", F.round("score", 6).alias("score"))
+
+
 @query("ret4_keywords", ("turns",), """
 SELECT conv_id, turn, k AS keyword, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '[\\s,.;:!?]+')) AS k FROM turns) WHERE length(k) >= 2 GROUP BY 1, 2, 3""")
 def _(t):

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import resolved
-from colloquy.operators import retrieval, scores, sequences, tagging
+from colloquy.operators import retrieval, scores, sequences, tabular, tagging
 from colloquy.plans.registry import query
 from colloquy.plans.texts import masked_sql
 
@@ -31,14 +31,12 @@ def _(t):
 
 
 @query("join12_overlap_speaker", S, """
-WITH d AS (SELECT recording_id, speaker AS label, start_sec AS a, end_sec AS b FROM segments WHERE idx % 2 = 0), o AS (SELECT segment_id, label, least(end_sec, b) - greatest(start_sec, a) AS ov, a FROM segments s JOIN d ON s.recording_id = d.recording_id WHERE idx % 2 = 1 AND end_sec > a AND start_sec < b)
-SELECT s.segment_id, max_by(label, (ov, -a, label)) AS label FROM segments s LEFT JOIN o ON o.segment_id = s.segment_id WHERE idx % 2 = 1 GROUP BY 1""")
-def _(t):
-    d = t.segments.where("idx % 2 = 0").select("recording_id", F.col("speaker").alias("label"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b"))
-    s = t.segments.where("idx % 2 = 1")
-    o = s.join(d, "recording_id").where("end_sec > a and start_sec < b").withColumn("ov", F.least("end_sec", "b") - F.greatest("start_sec", "a"))
-    best = o.groupBy("segment_id").agg(F.max_by("label", F.struct("ov", -F.col("a"), "label")).alias("label"))
-    return s.select("segment_id").join(best, "segment_id", "left")
+WITH d AS (SELECT recording_id, speaker AS label, start_sec AS a, end_sec AS b FROM segments WHERE idx % 2 = 0), o AS (SELECT segment_id, label, a, (start_sec + end_sec) / 2.0::DOUBLE >= a AND (start_sec + end_sec) / 2.0::DOUBLE < b AS i, least(end_sec, b) - greatest(start_sec, a) AS ov FROM segments s JOIN d ON s.recording_id = d.recording_id WHERE idx % 2 = 1 AND end_sec > a AND start_sec < b),
+k AS (SELECT segment_id, label FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY i DESC, CASE WHEN i THEN 0 ELSE -ov END, a, label) AS k FROM o) WHERE k = 1)
+SELECT s.segment_id, label FROM segments s LEFT JOIN k ON k.segment_id = s.segment_id WHERE idx % 2 = 1""")
+def _(t):
+    turns = t.segments.where("idx % 2 = 0").select("recording_id", F.col("speaker").alias("label"), F.col("start_sec").alias("t_start"), F.col("end_sec").alias("t_end"))
+    return tabular.speaker_of_segments(t.segments.where("idx % 2 = 1"), turns)
 
 
 @query("ret1_vector_to_chunk", ("vectors", "turns"), """
