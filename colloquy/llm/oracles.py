@@ -52,4 +52,14 @@ b AS (SELECT sha, array_to_string(list_transform(range(0, 32), lambda i: substr(
 f AS (SELECT sha, min(page_id) AS first FROM x GROUP BY 1)
 SELECT x.page_id, n AS payload_bytes, b32 AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM x JOIN b USING (sha) JOIN f USING (sha)"""
 
-ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES}
+#: Lines by a regular expression, cut at the drawn ranks and joined again.
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, list_transform(range(0, 4), lambda k: CAST('0x' || substr(x, 1 + 8 * k, 8) AS BIGINT)) AS h FROM d),
+r AS (SELECT *, len(l) AS n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS b FROM u),
+p AS (SELECT doc_id, t, n, array_to_string(l[1:a], '') AS p, array_to_string(l[a+1:b], '') AS m, array_to_string(l[b+1:n], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES, "op13_fill_in_middle": FILL_IN_MIDDLE}
