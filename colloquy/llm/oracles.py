@@ -62,4 +62,58 @@ p AS (SELECT doc_id, t, n, array_to_string(l[1:a], '') AS p, array_to_string(l[a
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES, "op13_fill_in_middle": FILL_IN_MIDDLE}
+
+
+def _plus(state: str, cost: str, letter: str, turn: str | None = None) -> str:
+    """A state (key: nine digits of cost and the edits; turns so far) after one more edit."""
+    turns = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+    return f"{{'k': lpad(CAST(CAST(left({state}.k, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}.k, 10) || '{letter}', 't': {turns}}}"
+
+
+def _least(*offers: str) -> str:
+    return f"list_min([{', '.join(offers)}])"
+
+
+def _with_insertions(*raw: str) -> str:
+    """The four states (start, system, user, assistant) with insertions: the user's from all but itself, then the assistant's, then the user's again."""
+    s0, s1, s2, s3 = raw
+    return f"""SELECT *, {s0} AS i0, {s1} AS i1, {_least(s2, *(_plus(x, "2", "I", "'user:'") for x in (s0, s1, s3)))} AS i2 FROM"""
+
+
+_ROW_STEP = {
+    "d": [_plus(f"x.s{j}", "3", "D") for j in range(4)],
+    "k2": [f"CASE WHEN NOT gone AND init = 'u' THEN {_plus(f'x.s{j}', 'cut', 'K', 'line')} END" for j in (0, 1, 3)] + [f"CASE WHEN NOT gone THEN {_plus(f'x.s{j}', '2 + cut', 'R', 'as_user')} END" for j in (0, 1, 3)],
+    "k1": [f"CASE WHEN NOT gone AND init = 's' THEN {_plus('x.s0', 'cut', 'K', 'line')} END"],
+    "k3": [f"CASE WHEN NOT gone AND init = 'a' THEN {_plus('x.s2', 'cut', 'K', 'line')} END", f"CASE WHEN NOT gone THEN {_plus('x.s2', '2 + cut', 'R', 'as_assistant')} END"],
+}
+_NEVER = "{'k': '500000000', 't': CAST([] AS VARCHAR[])}"
+
+#: Damage by a crc32 in SQL, faults by windows, then all four states of each conversation row by row with the first of their cheapest edits.
+REPAIR = rf"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY n) AS bytes FROM (SELECT n, list_reduce(list_prepend(n, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS n))),
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS id FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, id), lambda c, x: xor(c >> 8, crc.bytes[1 + (xor(c, x) & 255)])), 4294967295) % 20 AS code FROM b, crc),
+m AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE code <> 0),
+n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM n),
+f AS (SELECT conv_id, turn, role, text, i, NOT regexp_matches(text, '[^ 	-
+]') AS blank, again AND regexp_matches(text, '[^ 	-
+]') AS duplicate,
+  NOT again AND regexp_matches(text, '[^ 	-
+]') AND NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS truncated, left(role, 1) AS init, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM o),
+r AS (SELECT conv_id, i, blank OR duplicate AS gone, truncated::BIGINT AS cut, init, role || ':' || text AS line, 'user:' || text AS as_user, 'assistant:' || text AS as_assistant FROM f),
+x AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'k': '000000000', 't': CAST([] AS VARCHAR[])}} AS s0, {_NEVER} AS s1, {{'k': '000000002I', 't': ['user:']}} AS s2, {{'k': '000000004II', 't': ['user:', 'assistant:']}} AS s3 FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, i, i0, i1, {_least("i2", _plus("j3", "2", "I", "'user:'"))}, j3 FROM (
+    SELECT *, {_least("n3", _plus("i2", "2", "I", "'assistant:'"))} AS j3 FROM (
+      {_with_insertions("n0", "n1", "n2", "n3")} (
+        SELECT x.conv_id, r.i, {_ROW_STEP["d"][0]} AS n0, {_least(_ROW_STEP["d"][1], *_ROW_STEP["k1"])} AS n1, {_least(_ROW_STEP["d"][2], *_ROW_STEP["k2"])} AS n2, {_least(_ROW_STEP["d"][3], *_ROW_STEP["k3"])} AS n3
+        FROM x JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i + 1)))),
+e AS (SELECT conv_id, {_least("arg_max(s0, i)", "arg_max(s3, i)")} AS s FROM x GROUP BY 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(s.k, 9) AS BIGINT), 0) AS cost, coalesce(substr(s.k, 10), '') AS audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES, "op11_repair": REPAIR, "op13_fill_in_middle": FILL_IN_MIDDLE}
