@@ -2,20 +2,26 @@
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: All pairs of documents that share a shingle, then the least document reachable over links.
-NEAR_DUPLICATES = rf"""
+
+def _reachable(words: int, share: int, columns: str) -> str:
+    """All pairs of documents that share a shingle, then the least document reachable over links."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i+{words - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS both_ FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
-e AS (SELECT l, r FROM p JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+e AS (SELECT l, r FROM p JOIN n x ON x.doc_id = l JOIN n y ON y.doc_id = r WHERE 100 * both_ >= {share} * (x.n + y.n - both_)),
 sym AS (SELECT l, r FROM e UNION SELECT r, l FROM e),
 reach AS (SELECT DISTINCT l AS doc_id, l AS other FROM sym UNION SELECT reach.doc_id, sym.r FROM reach JOIN sym ON reach.other = sym.l),
 c AS (SELECT doc_id, min(other) AS least_ FROM reach GROUP BY 1)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least_, w.doc_id) AS component_id, w.doc_id = coalesce(c.least_, w.doc_id) AS kept
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.least_, w.doc_id) AS component_id{columns}
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+NEAR_DUPLICATES = _reachable(5, 85, ", w.doc_id = coalesce(c.least_, w.doc_id) AS kept")
+JACCARD_JOIN = _reachable(3, 90, "")
+
+
 def _spans(kind: int, pattern: str, value: int, keep: str, kind_of: str | None = None) -> str:
     """Spans of a pattern: where a match starts is the length of all that stands before it."""
     return rf"""SELECT doc_id, {kind_of or kind} AS kind, at_ - length(hit) AS s, at_ AS e, hit FROM (
@@ -116,4 +122,4 @@ SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(CAST(left(s.k, 9) AS BIGINT), 0) AS cost, coalesce(substr(s.k, 10), '') AS audit, sha256(coalesce(array_to_string(s.t, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id"""
 
-ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES, "op11_repair": REPAIR, "op13_fill_in_middle": FILL_IN_MIDDLE}
+ORACLES = {"op1_secret_scan": SECRETS, "op3_warc": WARC, "op9_minhash_dedup": NEAR_DUPLICATES, "op11_repair": REPAIR, "op12_jaccard_join": JACCARD_JOIN, "op13_fill_in_middle": FILL_IN_MIDDLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, decontaminate, dedup, fillmiddle, licences, lzprint, mainpage, quality, repair, secrets, suffixtree, warc
+from colloquy.llm import bpe, decontaminate, dedup, fillmiddle, jaccardjoin, licences, lzprint, mainpage, quality, repair, secrets, suffixtree, warc
 from colloquy.llm.oracles import ORACLES  # noqa: F401
 from colloquy.llm.shared import table
 
@@ -73,6 +73,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(conversations), every=conversations.select("conv_id"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hashed = F.sha2("output", 256).alias("output_sha256"), F.sha2(fillmiddle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
@@ -91,5 +95,6 @@ QUERIES = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_licences": op10_licences,
     "op11_repair": op11_repair,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
