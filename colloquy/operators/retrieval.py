@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.operators.substrings import contained
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -52,6 +54,35 @@ def nearest(vectors: DataFrame, centres: DataFrame, key: str, column: str = "emb
     return found.select("vec_id", F.col("best.key").alias("nearest"))
 
 
+def graph_channel(asked: DataFrame, sources: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
+    """(query, chunk, score): chunks that the graph leads to from each query's keywords (query, keyword).
+
+    A node matches where a keyword stands within its name or its name within a keyword. Of a query's matches the
+    ``top`` with the most relations (in and out; a loop counts twice) lead on, the lesser name first on
+    a tie: their chunks (``sources``: name, chunk) score their share of the largest number of relations among the
+    matches, those of their neighbours half of it, and a chunk keeps its best. Without any relation
+    all scores are 0. Only a keyword's own ``top`` can be among a query's, so no more rows
+    meet its queries.
+    """
+    words = asked.select("keyword").where("keyword <> ''").distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    names = sources.select("name").unionByName(ends.select("name")).distinct()
+    both = contained(words, names).select(F.col("needle").alias("keyword"), F.col("haystack").alias("name"))
+    both = both.unionByName(contained(names, words).select(F.col("haystack").alias("keyword"), F.col("needle").alias("name"))).distinct()
+    ranked = both.join(ends, "name", "left").select("keyword", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    order = [F.desc("n"), "name"]
+    best = ranked.withColumn("k", F.row_number().over(W.partitionBy("keyword").orderBy(*order))).where(F.col("k") <= top).drop("k")
+    mine = asked.select("query", "keyword").distinct().join(best, "keyword").select("query", "name", "n").distinct()
+    w = W.partitionBy("query").orderBy(*order)
+    most = F.max("n").over(W.partitionBy("query"))
+    led = mine.withColumn("most", most).withColumn("k", F.row_number().over(w)).where(F.col("k") <= top)
+    led = led.select("query", "name", F.when(F.col("most") > 0, F.col("n") / F.col("most")).otherwise(0.0).alias("score"))
+    near = edges.select(F.col("source").alias("name"), F.col("target").alias("near")).union(edges.select("target", "source")).where("name <> near").distinct()
+    via = led.unionByName(led.join(near, "name").select("query", F.col("near").alias("name"), (F.col("score") * 0.5).alias("score")))
+    one = via.groupBy("query", "name").agg(F.max("score").alias("score"))
+    return one.join(sources.select("name", "chunk").distinct(), "name").groupBy("query", "chunk").agg(F.max("score").alias("score"))
+
+
 def channel_union(candidates: DataFrame, key: str) -> DataFrame:
     """The best-scored candidate of each key; the earlier channel on a tie."""
     best = F.min(F.struct((-F.col("score")).alias("s"), "channel", "score"))

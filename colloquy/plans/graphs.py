@@ -208,6 +208,33 @@ def _(t):
     return ret.channel_union(side(10, 2, 0).unionByName(side(7, 3, 1)), "vec_id")
 
 
+@query("ret2_graph_channel", ("turns",), """
+WITH nodes AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey AS name FROM part),
+e AS (SELECT DISTINCT a.name AS source, b.name AS target, l_returnflag AS relation FROM lineitem JOIN nodes a ON a.k = l_partkey JOIN nodes b ON b.k = l_suppkey * 7),
+s AS (SELECT DISTINCT name, l_orderkey AS chunk FROM lineitem JOIN nodes ON k = l_partkey),
+q AS (SELECT DISTINCT conv_id AS query, keyword FROM (SELECT conv_id, unnest(string_split_regex(text, '[\\s,.;:!?]+')) AS keyword FROM turns) WHERE length(keyword) >= 2),
+c AS (SELECT name, count(*) AS n FROM (SELECT source AS name FROM e UNION ALL SELECT target FROM e) GROUP BY 1),
+w AS (SELECT DISTINCT keyword FROM q), h AS (SELECT keyword, name FROM w, (SELECT DISTINCT name FROM s UNION SELECT name FROM c) x WHERE contains(name, keyword) OR contains(keyword, name)),
+m AS (SELECT DISTINCT query, name, coalesce(n, 0) AS n FROM q JOIN h USING (keyword) LEFT JOIN c USING (name)),
+r AS (SELECT *, max(n) OVER (PARTITION BY query) AS most, row_number() OVER (PARTITION BY query ORDER BY n DESC, name) AS i FROM m),
+t AS (SELECT query, name, CASE WHEN most > 0 THEN n / CAST(most AS DOUBLE) ELSE 0 END AS score FROM r WHERE i <= 5),
+v AS (SELECT query, name, score FROM t UNION ALL SELECT query, o.b, score * CAST(0.5 AS DOUBLE) FROM t JOIN (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e) o ON o.a = t.name AND o.a <> o.b),
+g AS (SELECT query, chunk, max(score) AS score FROM v JOIN s USING (name) GROUP BY 1, 2)
+SELECT query, chunk, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS i FROM g) WHERE i <= 20""")
+def _(t):
+    """The twenty chunks that each conversation's words lead to in the graph of parts."""
+    from pyspark.sql import Window as W
+
+    nodes = t.part.select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+    of = lambda k, n: nodes.select(F.col("k").alias(k), F.col("name").alias(n))
+    lines = t.lineitem.select("l_partkey", (F.col("l_suppkey") * 7).alias("other"), "l_returnflag", "l_orderkey").join(of("l_partkey", "source"), "l_partkey")
+    edges = lines.join(of("other", "target"), "other").select("source", "target", "l_returnflag").distinct()
+    sources = lines.select(F.col("source").alias("name"), F.col("l_orderkey").alias("chunk"))
+    asked = ret.keywords(t.turns).select(F.col("conv_id").alias("query"), "keyword")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "chunk"))
+    return ret.graph_channel(asked, sources, edges).withColumn("k", place).where("k <= 20").select("query", "chunk", F.round("score", 6).alias("score"))
+
+
 @query("ret5_weighted_channels", V, """
 SELECT vec_id, CAST(vec_id % 3 AS INTEGER) AS channel, round(CAST(vec_id % 10 AS DOUBLE) / 10 * CASE vec_id % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END * CASE WHEN vec_id % 5 = 0 THEN 0.7::DOUBLE ELSE 1 END, 6) AS score FROM vectors""")
 def _(t):
