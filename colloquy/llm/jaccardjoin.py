@@ -45,6 +45,8 @@ PART = 1 << 16
 #: Shingles that a task counts before it sends.
 FLUSH = 4_000_000
 MOST = 8
+#: So many document ids are broadcast to pick the texts of candidates; where there are more, texts are joined by key.
+BROADCAST_IDS = 500_000
 BLOCK = 256
 STARS = 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -213,8 +215,11 @@ def _class_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["cid", "hashes"])
 
-    kept = docs.select(text_key(text).alias("text_key"), F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("whole"))
-    of = classes.join(wanted, "cid", "left_semi").select("cid", "rep", "text_key")
+    of = cut(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "text_key"), "asked")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("whole"))
+    if of.count() <= BROADCAST_IDS:  # whole texts are shuffled only where more are asked for
+        rows = rows.join(F.broadcast(of.select("rep").distinct()), "rep", "left_semi")
+    kept = rows.withColumn("text_key", text_key("whole"))
     return kept.join(of, ["rep", "text_key"]).select("cid", "whole").dropDuplicates(["cid"]).mapInArrow(hashed, "cid binary, hashes array<long>")
 
 

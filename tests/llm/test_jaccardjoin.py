@@ -74,6 +74,7 @@ def test_by_blocks_alone(spark, monkeypatch):
     monkeypatch.setattr(jaccardjoin, "STARS", 1)
     monkeypatch.setattr(jaccardjoin, "BLOCK", 4)
     monkeypatch.setattr(jaccardjoin, "FLUSH", 50)
+    monkeypatch.setattr(jaccardjoin, "BROADCAST_IDS", 0)
     check(spark, some_rows(8, 8), 85)
 
 
