@@ -258,10 +258,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: i
         links = found if links is None else links.union(found)
         labels = cut(wanted.join(components(links), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "labels")
         left = rest.select("token", "cid", "n")
-    open_ = cut(_open(left, labels), "open")
+    open_ = cut(_candidates(_dealt(left, labels, near), share), "open")
     new = open_.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti")
     sets = sets.union(cut(_class_sets(named, new, docs, id_col, text), "sets"))
-    links = links.union(_closure(open_, near.join(sets, "cid"), share))
+    links = links.union(_closure(open_.join(near, "cid").join(sets, "cid"), share))
     final = components(links)
     least = final.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = final.join(least, "comp").select("cid", "comp", "component_id")
@@ -269,54 +269,76 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: i
     return _told(base, cut(own, "named")).select("doc_id", "n_shingles", "component_id")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, blocks, cid, comp) of the buckets that still hold several components."""
-    now = members.join(labels, "cid")
+_KEY = ["token", "i", "j"]
+
+
+def _dealt(members: DataFrame, labels: DataFrame, near: DataFrame) -> DataFrame:
+    """Buckets that still hold several components, by block pairs (token, i, j): (cid, comp, own block, prefix, matches, n) of each member."""
+    now = members.select("token", "cid").join(labels, "cid")
     several = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    return now.join(several, "token").select("token", "blocks", "cid", "comp")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = now.join(several, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "comp", "own").join(near, "cid")
+
+
+def _blocks(batches: Iterator) -> Iterator[tuple]:
+    """(token, i, j, columns) of each block pair of a sorted stream, one at a time."""
+    rows = (r for b in batches for r in zip(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))
+    for (token, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
+        yield int(token), int(i), int(j), list(zip(*group))[3:]
+
+
+def _candidates(dealt: DataFrame, share: int) -> DataFrame:
+    """(token, i, j, cid, comp, own) of the members that share enough of a prefix with one of another component; only these need their full sets."""
+    schema = "token long, i int, j int, cid binary, comp binary, own int"
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for token, i, j, (cid, comp, own, prefix, matches, n) in _blocks(batches):
+            kept = sorted({x for pair in block_pairs(token, comp, own, prefix, matches, n, i != j, share) for x in pair})
+            if kept:
+                values = [[token] * len(kept), [i] * len(kept), [j] * len(kept), [cid[x] for x in kept], [comp[x] for x in kept], [int(own[x]) for x in kept]]
+                types = pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[*_KEY, "cid", "comp", "own"])
 
+    kept = dealt.select(*_KEY, "cid", "comp", "own", "prefix", "matches", "n")
+    return kept.repartition(*_KEY).sortWithinPartitions(*_KEY, "cid").mapInArrow(run, schema)
 
-def _closure(members: DataFrame, near: DataFrame, share: int) -> DataFrame:
+
+def _closure(dealt: DataFrame, share: int) -> DataFrame:
     """Links between components that still share a bucket, by block pairs."""
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = (
-        members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "comp", "own")
-        .join(near, "cid")
-        .select("token", "i", "j", "cid", "comp", "own", "prefix", "matches", "hashes")
-    )
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows = (r for b in batches for r in zip(*[c.to_numpy(zero_copy_only=False) for c in b.columns]))
-        for (token, i, j), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            _, _, _, cid, comp, own_, prefix, matches, hashes = zip(*group)
-            found = block_links(np.int64(token).view(np.uint64), cid, comp, own_, [p.view(np.uint64) for p in prefix], matches, [h.view(np.uint64) for h in hashes], i != j, share)
+        for token, i, j, (cid, comp, own, prefix, matches, n, hashes) in _blocks(batches):
+            found = block_links(token, cid, comp, own, prefix, matches, n, hashes, i != j, share)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["left", "right"])
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "cid").mapInArrow(run, "left binary, right binary")
+    kept = dealt.select(*_KEY, "cid", "comp", "own", "prefix", "matches", "n", "hashes")
+    return kept.repartition(*_KEY).sortWithinPartitions(*_KEY, "cid").mapInArrow(run, "left binary, right binary")
 
 
-def block_links(token, cid, comp, own, prefixes: list[np.ndarray], matches, sets: list[np.ndarray], across: bool, share: int = SHARE) -> list[tuple[bytes, bytes]]:
-    """The links that connect components within one block pair, a spanning forest of them.
+def block_pairs(token: int, comp, own, prefixes, matches, n, across: bool, share: int, group: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Members a < b of different components and fitting sizes whose prefixes share enough shingles, each in the bucket of the first that both look for.
 
-    Members that share shingles are found by the lists of the block's own prefixes; a pair is judged in
-    the bucket of the first shingle that both have among those for one match.
+    Members that share shingles are found by the lists of the block's own prefixes. ``group`` numbers the components and may change meanwhile.
     """
-    sizes, block, needs = np.array([len(s) for s in sets]), np.asarray(own), np.asarray(matches)
-    one = [n - least_overlap(int(n), share) + 1 for n in sizes]
-    number: dict[bytes, int] = {}
-    group = np.array([number.setdefault(c, len(number)) for c in comp])
+    sizes, block, needs = np.asarray(n), np.asarray(own), np.asarray(matches)
+    prefixes = [p.view(np.uint64) for p in prefixes]
+    one = [int(m) - least_overlap(int(m), share) + 1 for m in sizes]
+    if group is None:
+        group = numbered(comp)
     flat = np.concatenate(prefixes)
-    holder = np.repeat(np.arange(len(cid)), [len(p) for p in prefixes])
+    holder = np.repeat(np.arange(len(sizes)), [len(p) for p in prefixes])
     order = np.argsort(flat, kind="stable")
     flat, holder = flat[order], holder[order]
-    found: list[tuple[bytes, bytes]] = []
-    for a in range(len(cid) - 1):
+    first = np.int64(token).view(np.uint64)
+    for a in range(len(sizes) - 1):
         lo, hi = np.searchsorted(flat, prefixes[a]), np.searchsorted(flat, prefixes[a], side="right")
-        shared = np.bincount(np.concatenate([holder[i:j] for i, j in zip(lo, hi)]), minlength=len(cid))
+        shared = np.bincount(np.concatenate([holder[x:y] for x, y in zip(lo, hi)]), minlength=len(sizes))
         rest = np.flatnonzero((shared >= np.minimum(needs, needs[a])) & (group != group[a]) & (100 * np.minimum(sizes, sizes[a]) >= share * np.maximum(sizes, sizes[a])))
         rest = rest[(rest > a) & ((block[rest] != block[a]) if across else True)]
         for b in rest.tolist():
@@ -325,7 +347,21 @@ def block_links(token, cid, comp, own, prefixes: list[np.ndarray], matches, sets
             low = min(int(needs[a]), int(needs[b]))
             if len(np.intersect1d(prefixes[a][: one[a] + low - 1], prefixes[b][: one[b] + low - 1], assume_unique=True)) < low:
                 continue
-            if np.intersect1d(prefixes[a][: one[a]], prefixes[b][: one[b]], assume_unique=True)[0] == token and is_link(sets[a], sets[b], share):
-                found.append((cid[a], cid[b]))
-                group[group == group[b]] = group[a]
+            if np.intersect1d(prefixes[a][: one[a]], prefixes[b][: one[b]], assume_unique=True)[0] == first:
+                yield a, b
+
+
+def numbered(comp) -> np.ndarray:
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(c, len(number)) for c in comp])
+
+
+def block_links(token: int, cid, comp, own, prefixes, matches, n, sets, across: bool, share: int = SHARE) -> list[tuple[bytes, bytes]]:
+    """The links that connect components within one block pair, a spanning forest of them."""
+    group = numbered(comp)
+    found: list[tuple[bytes, bytes]] = []
+    for a, b in block_pairs(token, comp, own, prefixes, matches, n, across, share, group):
+        if is_link(sets[a].view(np.uint64), sets[b].view(np.uint64), share):
+            found.append((cid[a], cid[b]))
+            group[group == group[b]] = group[a]
     return found
