@@ -1,30 +1,193 @@
-"""Names that are alike: fuzzy joins by keys that hold every pair, and who a speaker is."""
+"""Names that are alike: fuzzy joins by keys that hold every pair at a score, and who a speaker is.
+
+Two names can reach a score in few ways, each of which leaves a trace to join on:
+
+* they are within a number of edits that the score and their lengths bound. Up to two edits, both
+  have a text in common that one reaches by taking out i characters and the other d - i;
+* with more edits, or where the shorter name is like a part of the longer, the shorter one keeps
+  a least number c of its q-grams, so among any all - c + 1 of them, the rarest, is one of the longer's;
+* they share a word.
+
+:func:`kept_grams` counts c for each length, with q from 3 down to 1, so no pair is lost, whatever the edits.
+Only pairs found so are scored, on Arrow batches.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions import likeness
 from colloquy.functions import text as fn
+from colloquy.operators.substrings import grams
+
+#: Edits whose deletions are joined on; more are left to q-grams.
+EDITS = 2
+GRAM = 3
+#: Lengths for which kept q-grams are counted; a longer name looks for any of its q-grams.
+COUNTED = 1000
+
+
+def _least(part: float) -> float:
+    """A share of 1 from a score, with room for rounding."""
+    return part - 1e-9
+
+
+def kept_grams(n: int, q: int, least: float, parts: bool) -> int:
+    """How many q-grams a name of length n shares at least with any longer one that needs them to score ``least``.
+
+    A character taken out costs up to q grams, one put in up to q - 1. Whole names within ``EDITS`` edits are found otherwise.
+    """
+    worst = []
+    share = _least(least / 100)
+    m = np.arange(n, int(n * (2 - share) / share) + 1)
+    most = np.floor((1 - share) * (n + m) + 1e-6)
+    in_more = m - n
+    out = np.floor((most - in_more) / 2)
+    need = (most > EDITS) & (out >= 0)
+    worst += (q * out + (q - 1) * (in_more + out))[need].tolist()
+    if parts and least <= 100 * likeness.PART:
+        share = _least(least / 100 / likeness.PART)
+        w = np.arange(1, n + 1)
+        most = np.floor((1 - share) * (n + w) + 1e-6)
+        in_ = np.floor((most - (n - w)) / 2)
+        worst += (q * (in_ + n - w) + (q - 1) * in_)[in_ >= 0].tolist()
+    return n - q + 1 - int(max(worst)) if worst else n - q + 2
+
+
+def _plan(longest: int, least: float, parts: bool) -> list[tuple[int, int, int]]:
+    """(length, q, grams to look for) of each length of the shorter name; (n, q, 0) where no other name needs its grams."""
+    out = []
+    for n in range(1, min(longest, COUNTED) + 1):
+        kept, q = next(((k, q) for q in range(GRAM, 0, -1) if n >= q and (k := kept_grams(n, q, least, parts)) >= 1), (1, 1))
+        out.append((n, q, max(0, n - q + 1 - kept + 1)))
+    return out
+
+
+def _variants(name: Column, whole: bool) -> Column:
+    """The name as it stands, with its words in order, and with each word once."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    ordered = F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " ")
+    return F.array_distinct(F.array(name, *ordered) if whole else F.array(*ordered))
+
+
+def _numbered(text: Column, q: int) -> Column:
+    """q-grams with how often each has come before, so that repeated ones count."""
+    all_ = grams(text, q)
+    return F.transform(all_, lambda g, i: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice(all_, 1, i + 1), lambda x: x == g)).cast("string")))
+
+
+def _held(variants: DataFrame, sizes: list[int]) -> DataFrame:
+    """(name, group, v, n, q, key): every numbered q-gram of the given sizes."""
+    tagged = lambda q: F.transform(_numbered(F.col("v"), q), lambda g: F.struct(F.lit(q).alias("q"), g.alias("key")))
+    of = variants.select("name", "group", "v", F.explode(F.concat(*[tagged(q) for q in sizes])).alias("g"))
+    return of.select("name", "group", "v", F.length("v").alias("n"), "g.q", "g.key")
+
 
+def _reach(n: Column, least: float) -> Column:
+    """How many characters a name of length n may lose on the way to one within ``EDITS`` edits."""
+    spare = 1 - _least(least / 100)
+    return F.when(spare * (2 * n - 2) + 1e-6 >= 2, 2).when(spare * (2 * n - 1) + 1e-6 >= 1, 1).otherwise(0)
 
-def names_alike(names: DataFrame, canonicals: DataFrame, least: float = 85.0, edits: int = 2) -> DataFrame:
+
+def candidate_pairs(names: DataFrame, others: DataFrame, least: float, kind: str = "weighted") -> DataFrame:
+    """(name, name_group, other, other_group): all pairs of different names of compatible groups that may score ``least`` or more.
+
+    Takes (name, group); a null group fits all. ``kind`` is weighted (whole names, words, parts) or words.
+    """
+    parts = kind == "weighted"
+    if parts and least <= 100 * likeness.SMALL_PART:
+        raise ValueError("parts of names over eight times as long count up to 60; a lesser score would need all pairs")
+    variants = lambda d: d.select("name", "group", F.explode(_variants(F.col("name"), parts)).alias("v")).where("v <> ''")
+    a, b = variants(names), variants(others)
+    # keys carry the group: T meets T and null, null meets all
+    meets = lambda g: F.when(g.isNull(), F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), g), F.lit("?")))
+    met = lambda g: F.when(g.isNull(), F.array(F.lit("?"), F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), g), F.lit("*")))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of x and y of one key, whichever way round they came."""
+        left = x.select("name", F.col("group").alias("name_group"), "key", "n", F.explode(meets(F.col("group"))).alias("meet"))
+        right = y.select(F.col("name").alias("other"), F.col("group").alias("other_group"), "key", F.col("n").alias("m"), F.explode(met(F.col("group"))).alias("meet"))
+        return left.join(right, ["key", "meet"]).where("name <> other")
+
+    near = lambda d: d.withColumn("x", F.explode(F.when(F.length("v") <= F.lit(_short(least)), F.filter(fn.deletions(F.col("v"), EDITS), lambda x: x["n"] <= _reach(F.length("v"), least))))).where("x is not null").select("name", "group", F.col("x.text").alias("key"), F.col("x.n").alias("n"))
+    pair = ["name", "name_group", "other", "other_group"]
+    found = joined(near(a), near(b)).where(F.col("n") + F.col("m") <= EDITS).select(pair)
+    words = lambda d: d.select("name", "group", F.explode(F.array_distinct(F.split(F.trim("name"), r"\s+"))).alias("key"), F.lit(0).alias("n")).where("key <> ''")
+    found = found.unionByName(joined(words(names), words(others)).select(pair))
+
+    longest = max((d.agg(F.max(F.length("v"))).first()[0] or 0 for d in (a, b)), default=0)
+    plan = _plan(longest, least, parts)
+    used = sorted({q for _, q, look in plan if look} | ({1} if longest > COUNTED else set()))
+    table = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(look).alias("look")) for _, q, look in plan]) if plan else None
+    for x, y, ways in ((a, b, True), (b, a, False)):
+        if not used:
+            break
+        shorter, longer = _held(x, used), _held(y, used)
+        often = longer.groupBy("key").agg(F.count("*").alias("often"))
+        mine = F.when(F.length("v") <= COUNTED, F.get(table, F.length("v") - 1)).otherwise(F.struct(F.lit(1).alias("q"), F.length("v").alias("look")))
+        asked = shorter.withColumn("plan", mine).where("q = plan.q").join(often, "key", "left").groupBy("name", "group", "v").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key"))).alias("all"), F.first("plan.look").alias("look"), F.first("n").alias("n"))
+        asked = asked.select("name", "group", "n", F.explode(F.slice("all", 1, F.col("look"))["key"]).alias("key"))
+        rows = joined(asked, longer) if ways else joined(longer.select("name", "group", "key", "n"), asked)
+        short, long = ("n", "m") if ways else ("m", "n")
+        spare = (2 - _least(least / 100)) / _least(least / 100)
+        like = F.col(long) <= F.col(short) * spare
+        if parts and least <= 100 * likeness.PART:
+            whole = F.length("name"), F.length("other")
+            like = like | (F.greatest(*whole) <= likeness.MUCH_LONGER * F.least(*whole))
+        found = found.unionByName(rows.where((F.col(short) <= F.col(long)) & like).select(pair))
+    return found.distinct()
+
+
+def _short(least: float) -> int:
+    """The longest name that ``EDITS`` edits or fewer may bring to another at a score."""
+    spare = 1 - _least(least / 100)
+    return int((EDITS + 1) / spare * (1 + spare) / 2) + EDITS
+
+
+def scored_pairs(names: DataFrame, others: DataFrame, least: float, kind: str = "weighted") -> DataFrame:
+    """(name, name_group, other, other_group, score) of all pairs that score ``least`` or more."""
+    score = F.pandas_udf(lambda a, b: pd.Series(likeness.scores(kind, a, b), dtype="float64"), "double")
+    return candidate_pairs(names, others, least, kind).withColumn("score", score("name", "other")).where(F.col("score") >= least)
+
+
+def names_alike(names: DataFrame, canonicals: DataFrame, least: float = 85.0) -> DataFrame:
     """(name, type, canonical, score): for each (name, type) the most alike other canonical name of its type.
 
-    Alike are names of a score of ``least`` or more that come from each other by taking out or
-    putting in at most ``edits`` characters; the score is the share of characters they have in
-    common in order, 0 to 100. A missing type fits all types. Of equal scores the larger name.
-    Two names d such steps apart have a text in common that one reaches by taking out i characters
-    and the other by d - i, so a join on such texts finds every pair, and no others are compared.
+    The score is the weighted ratio of whole names, their words and their parts, 0 to 100. A missing
+    type fits all types. Of equal scores the larger name. Null and empty names are like nothing.
     """
-    with_type = lambda d, c: d.select(F.col("name").alias(c), F.col("type").alias(f"{c}_type"), F.explode(fn.deletions(F.col("name"), edits)).alias("x")).select(c, f"{c}_type", F.col("x.text").alias("x"), F.col("x.n").alias(f"{c}_n"))
-    a, b = with_type(names, "name"), with_type(canonicals, "canonical")
-    fits = F.col("name_type").isNull() | F.col("canonical_type").isNull() | (F.col("name_type") == F.col("canonical_type"))
-    pairs = a.join(b, "x").where(fits & (F.col("name") != F.col("canonical")) & (F.col("name_n") + F.col("canonical_n") <= edits))
-    size = F.length("name") + F.length("canonical")
-    one = pairs.groupBy("name", "name_type", "canonical").agg(F.min(F.col("name_n") + F.col("canonical_n")).alias("d")).withColumn("score", F.lit(100.0) * (size - F.col("d")) / size).where(F.col("score") >= least)
-    best = F.max_by(F.struct("canonical", "score"), F.struct("score", "canonical"))
-    return one.groupBy("name", "name_type").agg(best.alias("b")).select("name", F.col("name_type").alias("type"), "b.canonical", "b.score")
+    as_pairs = lambda d: d.select("name", F.col("type").alias("group")).where("name <> ''").distinct()
+    best = F.max_by(F.struct(F.col("other").alias("canonical"), "score"), F.struct("score", "other")).alias("b")
+    found = scored_pairs(as_pairs(names), as_pairs(canonicals), least).groupBy("name", "name_group").agg(best)
+    return found.select("name", F.col("name_group").alias("type"), "b.canonical", "b.score")
+
+
+def all_alike(texts: DataFrame, least: float, kind: str = "words") -> DataFrame:
+    """(a, b, type, score), a before b: all pairs of different names of a type that score ``least`` or more; a missing type is a type of its own."""
+    one = texts.select("name", F.coalesce(F.concat(F.lit("="), "type"), F.lit("")).alias("group")).distinct()
+    both = scored_pairs(one, one, least, kind).where(F.col("name") < F.col("other"))
+    return both.select(F.col("name").alias("a"), F.col("other").alias("b"), F.when(F.col("name_group") != "", F.substr("name_group", F.lit(2))).alias("type"), "score")
+
+
+def speaker_scores(queries: DataFrame, speakers: DataFrame, least: float = 70.0) -> DataFrame:
+    """(query, candidate, score, cosine): the speakers of a query's tenant whose names score ``least`` of 100 or more.
+
+    Takes (query, tenant, name, vector) and (candidate, tenant, name, vector). Names are scored by
+    their words, 0 to 1; the cosine is null where either has no vector. A query without any stands with nulls.
+    """
+    from colloquy.operators.retrieval import cosine
+
+    group = lambda d: d.select("name", F.coalesce(F.concat(F.lit("="), "tenant"), F.lit("")).alias("group")).where("name <> ''").distinct()
+    alike = scored_pairs(group(queries), group(speakers), least, "words").select("name", F.col("other").alias("called"), F.col("name_group").alias("group"), "score")
+    key = F.coalesce(F.concat(F.lit("="), "tenant"), F.lit(""))
+    equal = group(queries).join(group(speakers), ["name", "group"]).select("name", F.col("name").alias("called"), "group", F.lit(100.0).alias("score"))
+    asked = queries.select("query", "name", key.alias("group"), F.col("vector").alias("v"))
+    known = speakers.select("candidate", F.col("name").alias("called"), key.alias("group"), F.col("vector").alias("c"))
+    found = alike.unionByName(equal).join(known, ["called", "group"])
+    return asked.join(found, ["name", "group"], "left").select("query", "candidate", (F.col("score") / 100).alias("score"), cosine(F.col("v"), F.col("c")).alias("cosine"))
 
 
 def speaker_verdicts(scored: DataFrame, ambiguous: float = 0.85, inferred: float = 0.70, confirm: float = 0.70) -> DataFrame:
@@ -36,7 +199,7 @@ def speaker_verdicts(scored: DataFrame, ambiguous: float = 0.85, inferred: float
     """
     best = F.max_by(F.struct("candidate", "score", "cosine"), F.struct("score", -F.col("candidate"))).alias("b")
     one = scored.groupBy("query").agg(best).select("query", "b.*")
-    strong = F.col("score") >= ambiguous
+    strong = F.coalesce(F.col("score") >= ambiguous, F.lit(False))
     sure = strong & F.coalesce(F.col("cosine") >= confirm, F.lit(False))
     verdict = F.when(sure, "CONFIRMED").when(strong, "AMBIGUOUS").when(F.col("score") >= inferred, "INFERRED").otherwise("NO_MATCH")
     return one.select("query", F.when(verdict != "NO_MATCH", F.col("candidate")).alias("candidate"), verdict.alias("verdict"), (verdict == "AMBIGUOUS").alias("reconfirm"))

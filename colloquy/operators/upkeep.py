@@ -6,36 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.functions import text as fn
 from colloquy.functions.grouping import fold_groups
 from colloquy.operators import tagging
 from colloquy.operators.browse import text_search
+from colloquy.operators.matching import all_alike
 from colloquy.session import settled
 
 
 def merge_pairs(nodes: DataFrame, most_degree: int = 1, least: float = 85.0) -> DataFrame:
     """(source_id, canonical_id, score): live nodes of few links with a node of the same community and type of a like name.
 
-    The smaller id is canonical. Each source stands once, with its best score, then its smallest canonical.
+    Names are scored by their words. The smaller id is canonical. Each source stands once, with its
+    best score, then its smallest canonical. Nodes of one name are pairs with the least of them only, and
+    of two like names only the least ids meet the others, so pairs grow with nodes.
     """
     low = nodes.where(F.col("expired_at").isNull() & (F.col("degree") <= most_degree))
     group = F.concat_ws("|", F.coalesce(F.col("community").cast("string"), F.lit("")), "type")
     named = low.select("entity_id", "name", group.alias("type"))
-    texts = named.select("name", "type").distinct()
-    alike = all_alike(texts, least)
-    ids = lambda n: named.select(F.col("name").alias(n), "type", F.col("entity_id").alias(f"{n}_id"))
-    equal = named.withColumnRenamed("entity_id", "a_id").join(named.withColumnRenamed("entity_id", "b_id"), ["name", "type"]).where("a_id < b_id").select("a_id", "b_id", F.lit(100.0).alias("score"))
-    both = alike.join(ids("a"), ["a", "type"]).join(ids("b"), ["b", "type"]).select("a_id", "b_id", "score").unionByName(equal)
+    first = named.groupBy("name", "type").agg(F.min("entity_id").alias("least_id"))
+    alike = all_alike(first, least)
+    sides = alike.select(F.col("a").alias("name"), F.col("b").alias("other"), "type", "score").unionByName(alike.select(F.col("b").alias("name"), F.col("a").alias("other"), "type", "score"))
+    reach = sides.join(first.select(F.col("name").alias("other"), "type", F.col("least_id").alias("canonical_id")), ["other", "type"]).select("name", "type", "canonical_id", "score")
+    same = first.select("name", "type", F.col("least_id").alias("canonical_id"), F.lit(100.0).alias("score"))
+    both = named.join(reach.unionByName(same), ["name", "type"]).where("canonical_id < entity_id").select(F.col("entity_id").alias("source_id"), "canonical_id", F.floor("score").alias("score"))
     best = F.max_by(F.struct("canonical_id", "score"), F.struct("score", -F.col("canonical_id"))).alias("x")
-    return both.select(F.greatest("a_id", "b_id").alias("source_id"), F.least("a_id", "b_id").alias("canonical_id"), F.floor("score").alias("score")).groupBy("source_id").agg(best).select("source_id", "x.canonical_id", "x.score")
-
-
-def all_alike(texts: DataFrame, least: float, edits: int = 2) -> DataFrame:
-    """(a, b, type, score), a before b: all pairs of names of a type at most so many edits apart, by the keys of the fuzzy join."""
-    x = texts.select("name", "type", F.explode(fn.deletions(F.col("name"), edits)).alias("x")).select("name", "type", "x.text", "x.n")
-    pairs = x.withColumnRenamed("name", "a").withColumnRenamed("n", "an").join(x.withColumnRenamed("name", "b").withColumnRenamed("n", "bn"), ["text", "type"]).where((F.col("a") < F.col("b")) & (F.col("an") + F.col("bn") <= edits))
-    size = F.length("a") + F.length("b")
-    return pairs.groupBy("a", "b", "type").agg(F.min(F.col("an") + F.col("bn")).alias("d")).withColumn("score", F.lit(100.0) * (size - F.col("d")) / size).where(F.col("score") >= least).drop("d")
+    return both.groupBy("source_id").agg(best).select("source_id", "x.canonical_id", "x.score")
 
 
 def soft_deleted(nodes: DataFrame, edges: DataFrame, gone: DataFrame, now) -> tuple[DataFrame, DataFrame]:

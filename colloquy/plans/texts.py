@@ -96,10 +96,12 @@ v1 AS (SELECT DISTINCT name, type, left(x, i - 1) || substr(x, i + 1) AS x, 1 AS
 v2 AS (SELECT DISTINCT name, type, left(x, i - 1) || substr(x, i + 1) AS x, 2 AS n FROM (SELECT *, unnest(range(1, length(x) + 1)) AS i FROM v1)),
 v AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2),
 p AS (SELECT a.name, b.name AS canonical, a.type, min(a.n + b.n) AS d FROM v a JOIN v b ON a.x = b.x AND a.type = b.type AND a.name <> b.name AND a.n + b.n <= 2 GROUP BY 1, 2, 3),
-s AS (SELECT *, 100.0::DOUBLE * (length(name) + length(canonical) - d) / (length(name) + length(canonical)) AS score FROM p)
+s AS (SELECT name, canonical, type, 100.0::DOUBLE * (length(name) + length(canonical) - d) / (length(name) + length(canonical)) AS score FROM p
+  UNION ALL SELECT a.name, b.name, a.type, 90.0::DOUBLE FROM n a JOIN n b ON a.type = b.type AND (contains(a.name, b.name) OR contains(b.name, a.name))
+    AND 2 * greatest(length(a.name), length(b.name)) >= 3 * least(length(a.name), length(b.name)) AND greatest(length(a.name), length(b.name)) <= 8 * least(length(a.name), length(b.name)))
 SELECT name, type, max_by(canonical, (score, canonical)) AS canonical, round(max(score), 6) AS score FROM s WHERE score >= 85 GROUP BY 1, 2""")
 def _(t):
-    """Every name with the most alike other name of its type."""
+    """Every name with the most alike other name of its type. For names of one word and under nine characters a score of 85 means two edits at most or a whole part."""
     names = t.mentions.select("name", "type").distinct()
     return names_alike(names, names).select("name", "type", "canonical", F.round("score", 6).alias("score"))
 

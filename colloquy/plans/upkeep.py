@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import graphs, sequences, tabular, tagging
 from colloquy.operators import upkeep as op
-from colloquy.operators.matching import speaker_verdicts
+from colloquy.operators.matching import speaker_scores, speaker_verdicts
 from colloquy.plans.registry import query
 
 R, S, A, E, T, M, L, C, P = ("receptions",), ("segments",), ("assignments",), ("edges",), ("transitions",), ("mentions",), ("links",), ("turns",), ("predictions",)
@@ -22,6 +22,18 @@ def _(t):
     return speaker_verdicts(s)
 
 
+@query("join14_speaker_names", ("part",))
+def _(t):
+    """Who of the named parts of its size a name with a letter less and its words the other way round means."""
+    tenant = (F.col("p_size") % 10).cast("string").alias("tenant")
+    words = F.split("p_name", " ")
+    said = F.concat(words[1], F.lit(" "), F.left(words[0], F.length(words[0]) - 1))
+    none = F.lit(None).cast("array<double>").alias("vector")
+    queries = t.part.select(F.col("p_partkey").alias("query"), tenant, said.alias("name"), none)
+    speakers = t.part.groupBy("p_name", tenant).agg(F.min("p_partkey").alias("candidate")).select("candidate", "tenant", F.col("p_name").alias("name"), none)
+    return speaker_verdicts(speaker_scores(queries, speakers))
+
+
 @query("agg16_description_concat", M, "WITH d AS (SELECT name, description, min(position) AS p FROM mentions GROUP BY 1, 2) SELECT name, left(string_agg(description, ' | ' ORDER BY p), 512) AS description FROM d GROUP BY 1")
 def _(t):
     return graphs.merged_nodes(t.mentions).select("name", "description")
