@@ -32,6 +32,15 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
                concat('sp', CAST(l_suppkey % 3 AS STRING)) AS speaker, CAST(l_quantity AS BIGINT) % 40 AS tokens, CAST(l_partkey % 100 AS DOUBLE) / 100 AS vad,
                CASE l_partkey % 6 WHEN 0 THEN 'greeting' WHEN 1 THEN 'needs' WHEN 2 THEN 'offer' ELSE 'unknown' END AS stage
         FROM {lineitem}"""),
+    "utterances": (("lineitem",), """
+        SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS segment_id, l_orderkey AS recording_id, CAST(l_linenumber * 20 + l_partkey % 7 AS DOUBLE) AS start_sec,
+               CAST(l_linenumber * 20 + l_partkey % 7 + 1 + CAST(l_quantity AS BIGINT) % 30 AS DOUBLE) AS end_sec, CASE WHEN l_suppkey % 7 <> 0 THEN concat('sp', CAST(l_suppkey % 3 AS STRING)) END AS speaker,
+               CAST(l_partkey % 100 AS DOUBLE) / 100 AS vad, CASE l_orderkey % 5 WHEN 0 THEN 'generic' WHEN 1 THEN 'automotive' WHEN 2 THEN 'automotive' ELSE 'gold_jewelry' END AS scenario,
+               CASE l_partkey % 14 WHEN 0 THEN '您好，欢迎光临' WHEN 1 THEN '想看项链，预算不高' WHEN 2 THEN '足金的克重和工费怎么算' WHEN 3 THEN '金价有优惠活动' WHEN 4 THEN '太贵，再便宜一点，考虑一下' WHEN 5 THEN '微信付款' WHEN 6 THEN ''
+                 WHEN 7 THEN '嗯' WHEN 8 THEN '配置和续航怎么样' WHEN 9 THEN ' 分期首付多少 ' WHEN 10 THEN '预约试驾' WHEN 11 THEN '  ' WHEN 12 THEN concat('编号 ', CAST(l_partkey AS STRING), ' 的这款车，空间很大，说明书第 ', CAST(l_suppkey AS STRING), ' 页写得很清楚，请您慢慢看，不用着急做决定') ELSE '慢走，再见' END AS transcript,
+               CASE WHEN l_suppkey % 11 = 0 THEN '活动' END AS topic_hint, CASE WHEN l_suppkey % 13 = 0 AND l_orderkey % 5 <> 0 THEN 'needs' END AS stage_hint,
+               CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey % 5 - 2 AS DOUBLE) END AS e0, CAST(l_suppkey % 3 AS DOUBLE) AS e1
+        FROM {lineitem}"""),
     "assignments": (("lineitem",), """
         SELECT CASE l_returnflag WHEN 'A' THEN 'rules' WHEN 'N' THEN 'model' ELSE 'review' END AS group_key,
                CASE l_returnflag WHEN 'A' THEN 10 WHEN 'N' THEN 20 ELSE 30 END AS priority, l_returnflag = 'R' AS is_manual,
