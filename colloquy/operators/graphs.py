@@ -156,6 +156,46 @@ def shortest_paths(links: DataFrame, start: int, max_hops: int) -> DataFrame:
     return neighbours(links, one, max_hops).withColumnRenamed("hop", "length")
 
 
+def path_between(links: DataFrame, start: int, end: int) -> DataFrame:
+    """(place, node): the shortest path of undirected links between two nodes, of any length; the first in order of its nodes; no rows without a path.
+
+    Both ends are searched at once, the smaller frontier a step at a time, until one reaches the other. Then
+    only nodes on shortest paths are kept, a step at a time back to either end, and paths of least
+    nodes are joined along them. Null ends are no nodes.
+    """
+    both = settled(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null and a <> b").distinct(), "both")
+    spark = links.sparkSession
+    one = lambda n: spark.createDataFrame([(n,)], "node long").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    if start == end:
+        return one(start).select(F.lit(0).alias("place"), "node")
+    steps = {True: [settled(one(start), "frontier")], False: [settled(one(end), "frontier")]}
+    seen = {True: steps[True][0], False: steps[False][0]}
+    sizes = {True: steps[True][0].count(), False: steps[False][0].count()}
+    near = lambda front: front.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+    while all(sizes.values()):
+        side = sizes[True] <= sizes[False]
+        front = settled(near(steps[side][-1]).join(seen[side], "node", "left_anti"), "frontier")
+        steps[side].append(front)
+        sizes[side] = front.count()
+        seen[side] = seen[side].unionByName(front)
+        met = settled(front.join(steps[not side][-1], "node", "left_semi"), "met")
+        if not met.isEmpty():
+            break
+    else:
+        return one(start).limit(0).select(F.lit(0).alias("place"), "node")
+    back, forth = [met], [met]
+    for layer in reversed(steps[True][:-1]):
+        back.append(settled(near(back[-1]).join(layer, "node", "left_semi"), "kept"))
+    for layer in reversed(steps[False][:-1]):
+        forth.append(settled(near(forth[-1]).join(layer, "node", "left_semi"), "kept"))
+    layers = back[::-1] + forth[1:]
+    path = layers[0].select("node", F.array("node").alias("path"))
+    for layer in layers[1:]:
+        step = path.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "path").join(layer, "node", "left_semi")
+        path = settled(step.groupBy("node").agg(F.min("path").alias("path")).select("node", F.concat("path", F.array("node")).alias("path")), "path")
+    return path.select(F.posexplode("path").alias("place", "node"))
+
+
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Added, removed and moved nodes between two partitions and the share of change in per cent."""
     both = old.withColumnRenamed("community", "was").join(new.withColumnRenamed("community", "now"), "node", "full_outer")

@@ -36,6 +36,31 @@ def centroids(vectors: DataFrame, key: str, column: str = "embedding") -> DataFr
     return d.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("centroid"))
 
 
+def _directions(vectors: DataFrame, keys: list[str], weight: Column, column: str) -> DataFrame:
+    """The weighted mean of each key's vectors, of length 1; keys without weight or direction have none."""
+    d = vectors.select(*keys, weight.alias("w"), F.posexplode(column).alias("d", "v")).where("w > 0").groupBy(*keys, "d").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    mean = d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("mean"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return mean.where("n >= 1e-12").select(*keys, F.transform("mean", lambda x: F.try_divide(x, F.col("n"))).alias("centroid"))
+
+
+def robust_centroids(vectors: DataFrame, key: str, seconds: str, least: float, column: str = "embedding") -> DataFrame:
+    """(key, centroid, members, dropped, seconds): each key's voice from vectors weighted by how long they are.
+
+    Of three vectors or more those whose cosine with the plain mean is under ``least`` are outliers:
+    each has one vote there, so a long one can't clear itself. If none would be left, all stay. Vectors are
+    taken by direction; ones without any, null ones too, are left out. Sums meet by (key, dimension).
+    """
+    norm = F.sqrt(dot(F.col(column), F.col(column)))
+    unit = vectors.withColumn("_n", norm).where(F.col("_n") >= 1e-12).select(key, F.col(seconds).cast("double").alias("_s"), F.transform(column, lambda x: F.try_divide(x.cast("double"), F.col("_n"))).alias("_u"))
+    votes = _directions(unit, [key], F.lit(1.0), "_u").select(key, F.col("centroid").alias("_c"))
+    counts = unit.groupBy(key).agg(F.count("*").alias("_all"))
+    judged = unit.join(counts, key).join(votes, key, "left").withColumn("_in", F.coalesce(dot(F.col("_u"), F.col("_c")) >= least, F.lit(True)) | (F.col("_all") < 3))
+    inside = judged.groupBy(key).agg(F.count_if("_in").alias("_kept"))
+    kept = judged.join(inside, key).where(F.col("_in") | (F.col("_kept") == 0))
+    told = kept.groupBy(key).agg(F.count("*").alias("members"), (F.first("_all") - F.count("*")).alias("dropped"), F.sum("_s").alias("seconds"))
+    return _directions(kept, [key], F.greatest("_s", F.lit(0.0)), "_u").join(told, key)
+
+
 #: Centres that go to the tasks at once.
 CENTRES = 5_000
 

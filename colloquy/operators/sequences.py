@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.grouping import fold_groups
+from colloquy.operators.scans import running_sum
 
 
 def state_chain(units: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
@@ -62,9 +63,8 @@ def dialogue_units(segments: DataFrame) -> DataFrame:
 
 
 def timeline(parts: DataFrame, key: str, order: str, length: str, gap: int = 0) -> DataFrame:
-    """Each part's place on one line: the lengths before it and a gap for each."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return parts.withColumn("at", F.coalesce(F.sum(F.col(length) + gap).over(w), F.lit(0)))
+    """Each part's place on one line: the lengths before it and a gap for each. A key's parts may be spread over tasks."""
+    return running_sum(parts, [key], [F.col(order)], F.col(length) + gap, "at", inclusive=False)
 
 
 def packed(segments: DataFrame, budget: int, key: str = "recording_id", order: str = "idx", size: str = "tokens") -> DataFrame:
@@ -85,10 +85,9 @@ def packed(segments: DataFrame, budget: int, key: str = "recording_id", order: s
 
 
 def evicted(entries: DataFrame, key: str, used_at: list[str], size: str, keep: int) -> DataFrame:
-    """Entries to drop, oldest use first, until at most ``keep`` of the size stays."""
-    newest = [F.desc(c) for c in used_at]
-    w = W.partitionBy(key).orderBy(*newest).rowsBetween(W.unboundedPreceding, 0)
-    return entries.withColumn("held", F.sum(size).over(w)).where(F.col("held") > keep).drop("held")
+    """Entries to drop, oldest use first, until at most ``keep`` of the size stays. A key's entries may be spread over tasks."""
+    held = running_sum(entries, [key], [F.desc(c) for c in used_at], F.col(size), "held")
+    return held.where(F.col("held") > keep).drop("held")
 
 
 def round_robin(rows: DataFrame, stratum: str, order: str, limit: int) -> DataFrame:
@@ -104,6 +103,24 @@ def lanes(intervals: DataFrame, key: str) -> DataFrame:
     return ends.withColumn("open", F.sum("e.d").over(w)).groupBy(key).agg(F.max("open").alias("lanes"))
 
 
+def assigned_lanes(intervals: DataFrame, key: str, id_col: str, start: str = "start_sec", end: str = "end_sec") -> DataFrame:
+    """(key, id, lane): where a drawing puts each interval: the first lane whose last interval ends by its start.
+
+    A fold over a key's intervals in order of start, end and id that holds one end a lane.
+    """
+
+    def fold(group_key: tuple, group: list[tuple]) -> list[tuple]:
+        out, ends = [], []
+        for _, number, begins, stops in group:
+            lane = next((i for i, e in enumerate(ends) if e <= begins), len(ends))
+            ends[lane : lane + 1] = [stops]
+            out.append((group_key[0], number, lane))
+        return out
+
+    rows = intervals.select(key, id_col, F.col(start).cast("double").alias("_start"), F.col(end).cast("double").alias("_end"))
+    return fold_groups(rows, [key], ["_start", "_end", id_col], fold, f"{key} {dict(intervals.dtypes)[key].replace('bigint', 'long')}, {id_col} long, lane long")
+
+
 def accepted_frames(frames: DataFrame, gap: int = 3) -> DataFrame:
     """What a session says to each frame in order of arrival: duplicate, out_of_order, vad_reset or ok.
 

@@ -156,13 +156,15 @@ def delta_graph(edges: DataFrame, delta: DataFrame) -> DataFrame:
     return edges.select(cols).unionByName(delta.select(cols)).groupBy("source", "target", "relation").agg(F.sum("weight").alias("weight"), F.max("rank").alias("rank"))
 
 
-def dependency_order(tags: DataFrame, needs: DataFrame, rounds: int = 20) -> DataFrame:
+def dependency_order(tags: DataFrame, needs: DataFrame) -> DataFrame:
     """(tag, depth): how many steps of ``needs`` (tag, on) lie under each tag; an error if there is a circle.
 
-    A tag's depth is one more than the deepest of those it needs; ``rounds`` bounds the longest chain.
+    A tag's depth is one more than the deepest of those it needs. Rounds end when no depth changes; one
+    that still changes after as many rounds as there are tags lies in a circle.
     """
-    depth = tags.select("tag", F.lit(0).alias("depth"))
-    for _ in range(rounds):
+    one = tags.select("tag").distinct()
+    depth, most = one.withColumn("depth", F.lit(0)), one.count()
+    for _ in range(most + 1):
         up = needs.join(depth.select(F.col("tag").alias("on"), F.col("depth").alias("d")), "on").groupBy("tag").agg((F.max("d") + 1).alias("up"))
         new = settled(depth.join(up, "tag", "left").select("tag", F.col("depth").alias("old"), F.greatest("depth", F.coalesce("up", F.lit(0))).alias("depth")), "depth")
         depth = new.select("tag", "depth")

@@ -1,4 +1,4 @@
-"""Incremental operators on streams: chunks by budget, dialogue units, a graph kept up to date."""
+"""Incremental operators on streams: chunks by budget, a graph kept up to date. Dialogue units are in ``streaming.dialogue``."""
 
 from __future__ import annotations
 
@@ -16,70 +16,34 @@ def chunks(segments: DataFrame, budget: int, idle: str = "300 seconds") -> DataF
 
     A segment that would burst the chunk closes it and opens the next; a recording without
     segments for ``idle`` of event time closes its last. Segments of a batch are taken by number;
-    empty ones are left out. The batch twin is ``sequences.packed``.
+    empty ones are left out. A number not above the highest taken is a repeat or late and changes
+    nothing. If a recording goes on after it was idle, its chunks are numbered on. The batch twin is ``sequences.packed``.
     """
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunk, first, last, used = state.get if state.exists else (0, -1, -1, 0)
+        chunk, first, last, used, high, at = state.get if state.exists else (0, -1, -1, 0, -1, 0)
         rows = []
         if state.hasTimedOut:
             if used:
                 rows.append((key[0], chunk, first, last, used))
-            state.remove()
+                chunk, first, last, used = chunk + 1, -1, -1, 0
+            state.update((chunk, first, last, used, high, at))
         else:
-            seen = 0
             for r in sorted(pd.concat(list(batches)).itertuples(index=False), key=lambda r: r.idx):
-                seen = max(seen, int(r.ts.timestamp() * 1000))
-                if r.tokens <= 0:
+                if r.tokens <= 0 or r.idx <= high:
                     continue
-                if used and used + r.tokens > budget:
+                gap, at = int(r.ts.timestamp() * 1000) - at, max(at, int(r.ts.timestamp() * 1000))
+                if used and (used + r.tokens > budget or gap >= wait):  # the pause counts, whether or not the timer ran in between
                     rows.append((key[0], chunk, first, last, used))
                     chunk, first, used = chunk + 1, -1, 0
-                first, last, used = (int(r.idx) if first < 0 else first), int(r.idx), used + int(r.tokens)
-            state.update((chunk, first, last, used))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs() + 1) + wait)
+                first, last, used, high = (int(r.idx) if first < 0 else first), int(r.idx), used + int(r.tokens), int(r.idx)
+            state.update((chunk, first, last, used, high, at))
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1) + wait)
         yield pd.DataFrame(rows, columns=["recording_id", "chunk", "first", "last", "tokens"])
 
     return segments.withWatermark("ts", "0 seconds").select("recording_id", "idx", "tokens", "ts").groupBy("recording_id").applyInPandasWithState(
-        step, "recording_id long, chunk long, first long, last long, tokens long", "chunk long, first long, last long, used long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def units(segments: DataFrame, pause: float = 8.0, idle: str = "300 seconds") -> DataFrame:
-    """(recording_id, unit, start_sec, end_sec, segments) of a stream of segments (recording_id, segment_id, start_sec, end_sec, stage, ts).
-
-    Segments come in order of time within a recording; one that came before (a repeat, or late)
-    changes nothing. A pause or a new known stage closes the unit; idle recordings close
-    their last. Unknown stages carry the one before.
-    """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        unit, start, end, n, stage, high = state.get if state.exists else (0, 0.0, 0.0, 0, "", -1)
-        rows = []
-        if state.hasTimedOut:
-            if n:
-                rows.append((key[0], unit, start, end, n))
-            state.remove()
-        else:
-            seen = 0
-            for r in sorted(pd.concat(list(batches)).itertuples(index=False), key=lambda r: (r.start_sec, r.segment_id)):
-                seen = max(seen, int(r.ts.timestamp() * 1000))
-                if r.segment_id <= high:
-                    continue
-                now = stage if r.stage in (None, "", "unknown") else r.stage
-                if n and (r.start_sec - end >= pause or (stage and now != stage)):
-                    rows.append((key[0], unit, start, end, n))
-                    unit, n = unit + 1, 0
-                start = float(r.start_sec) if not n else start
-                end, n, stage, high = (max(end, float(r.end_sec)) if n else float(r.end_sec)), n + 1, now, int(r.segment_id)
-            state.update((unit, start, end, n, stage, high))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs() + 1) + wait)
-        yield pd.DataFrame(rows, columns=["recording_id", "unit", "start_sec", "end_sec", "segments"])
-
-    return segments.withWatermark("ts", "0 seconds").select("recording_id", "segment_id", "start_sec", "end_sec", "stage", "ts").groupBy("recording_id").applyInPandasWithState(
-        step, "recording_id long, unit long, start_sec double, end_sec double, segments long", "unit long, start double, end double, n long, stage string, high long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "recording_id long, chunk long, first long, last long, tokens long", "chunk long, first long, last long, used long, high long, at long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

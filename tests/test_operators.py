@@ -269,15 +269,24 @@ def test_equal_error_against_every_threshold(spark, shift):
 
 
 def test_bootstrap_bound(spark):
-    from random import Random
+    import hashlib
 
     from colloquy.operators import evaluations
 
-    values = [0.1, -0.2, 0.3, 0.05, 0.4]
-    rng = Random(0xA6D10)
-    want = sorted(sum(values[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(100))[4]
+    values, rounds = [0.1, -0.2, 0.3, 0.05, 0.4], 100
+    means = []
+    for r in range(rounds):
+        n = total = 0
+        for i, v in enumerate(values):
+            digest = hashlib.md5(f"{0xA6D10}|{r // 4}|{i}".encode()).hexdigest()  # noqa: S324
+            chance = int(digest[r % 4 * 8 : r % 4 * 8 + 8], 16) / 2**32
+            times = sum(chance >= c for c in evaluations.DRAWN)
+            n, total = n + times, total + times * round(v * 10**6)
+        means += [total / n / 10**6] if n else []
+    want = sorted(means)[len(means) // 20 - 1]
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 7.0), ("b", 1, None)], "k string, i long, v double")
-    assert {r.k: r.bound for r in evaluations.bootstrap_bound(df, "k", "i", "v", 100).collect()} == {"a": want, "b": 7.0}
+    assert {r.k: r.bound for r in evaluations.bootstrap_bound(df, "k", "i", "v", rounds).collect()} == {"a": want, "b": 7.0}
+    assert -0.2 < want < sum(values) / 5
 
 
 def test_prompt_batches_cut_long_texts(spark):
@@ -295,7 +304,7 @@ def test_circles_are_told(spark):
 
     tags = spark.createDataFrame([("a",), ("b",)], "tag string")
     with pytest.raises(ValueError):
-        upkeep.dependency_order(tags, spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, on string"), rounds=3)
+        upkeep.dependency_order(tags, spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, on string"))
 
 
 def test_gold_documents(spark):
@@ -318,19 +327,16 @@ def streamed(spark, tmp_path, make, rows, schema, parts):
     return spark.read.parquet(out).collect()
 
 
-def test_streamed_chunks_and_units(spark, tmp_path):
+def test_streamed_chunks(spark, tmp_path):
     import datetime
 
     from colloquy.streaming import incremental
 
     at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
-    rows = [(1, i, i, n, float(10 * i), float(10 * i + 5), s, at(0)) for i, (n, s) in enumerate([(30, "greeting"), (30, "unknown"), (10, "offer"), (0, "offer"), (70, "offer"), (5, "")])] + [(2, 0, 0, 7, 0.0, 1.0, "x", at(60)), (2, 1, 1, 1, 1.0, 2.0, "x", at(120))]
-    schema = "recording_id long, idx long, segment_id long, tokens long, start_sec double, end_sec double, stage string, ts timestamp"
-    parts = [[0, 1, 2], [3, 4, 5], [6], [7]]
-    got = [(r.chunk, r.first, r.last, r.tokens) for r in streamed(spark, tmp_path / "c", lambda s: incremental.chunks(s, 60), rows, schema, parts) if r.recording_id == 1]
-    assert sorted(got) == [(0, 0, 1, 60), (1, 2, 2, 10), (2, 4, 4, 70), (3, 5, 5, 5)]
-    got = [(r.unit, r.start_sec, r.end_sec, r.segments) for r in streamed(spark, tmp_path / "u", incremental.units, rows, schema, parts) if r.recording_id == 1]
-    assert sorted(got) == [(0, 0.0, 15.0, 2), (1, 20.0, 55.0, 4)]
+    rows = [(1, i, n, at(0)) for i, n in enumerate([30, 30, 10, 0, 70, 5])] + [(2, 0, 7, at(60)), (1, 4, 70, at(70)), (1, 6, 9, at(70)), (2, 1, 1, at(180)), (2, 2, 1, at(300))]
+    schema = "recording_id long, idx long, tokens long, ts timestamp"
+    got = [(r.chunk, r.first, r.last, r.tokens) for r in streamed(spark, tmp_path, lambda s: incremental.chunks(s, 60), rows, schema, [[0, 1, 2], [1, 3, 4, 5], [6], [7, 8], [9], [10]]) if r.recording_id == 1]
+    assert sorted(got) == [(0, 0, 1, 60), (1, 2, 2, 10), (2, 4, 4, 70), (3, 5, 5, 5), (4, 6, 6, 9)]
 
 
 def test_graph_kept_from_a_stream(spark, tmp_path):
