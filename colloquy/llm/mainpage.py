@@ -24,6 +24,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object canvas audio video select noframes".split())
+#: Of these the ones that may close themselves.
+FOREIGN = {"svg", "math"}
 DROP = RAW | set("nav footer aside form button fieldset dialog menu head input datalist".split())
 BLOCK = set(
     "address article blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre search section summary table tbody td tfoot th thead tr ul aside".split()
@@ -147,6 +149,8 @@ def tree(page: str) -> Node:
             open_.end(tag)
             continue
         if tag in RAW:
+            if tag in FOREIGN and attributes.rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
@@ -156,7 +160,8 @@ def tree(page: str) -> Node:
         open_.start(tag)
         unlikely, comments, likely = _marks(attributes) if attributes else (False, False, False)
         code = bool(open_.places.get("pre"))
-        drop = tag in DROP or (not code and ((comments and (tag == "article" or tag not in INLINE)) or (unlikely and tag not in INLINE)))
+        aside = unlikely and tag == "article" and bool(open_.places.get("article"))
+        drop = tag in DROP or (not code and ((comments and (tag == "article" or tag not in INLINE)) or (unlikely and tag not in INLINE) or aside))
         node = Node("#drop" if drop else tag, open_.top(), likely)
         open_.top().children.append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCK:

@@ -129,3 +129,11 @@ def test_work_is_linear_in_nesting():
     for page in ("<span><h1>" * 10_000, "<div>" * 50_000 + PROSE, "<header>" * 20_000 + "<h1>x", "<li>" * 30_000, "<ul><li>x" * 10_000, "<p><b>" * 20_000 + "</i>" * 20_000):
         main_text(page)
     assert time.perf_counter() - began < 6
+
+
+def test_elements_that_close_themselves_and_related_articles():
+    assert main_text("<article><p>A<svg/> tail</p><p>B<math /> C</p></article>") == "A tail\nB C"
+    assert main_text("<article><p>A<svg><path/></svg> tail</p><p>B</p><script/>x</script><p>C</p></article>") == "A tail\nB\nC"
+    inner = '<article class="related"><p>Another story, about something else, in a few words.</p></article>'
+    assert main_text(f"<article><p>The story, told at length, with commas.</p>{inner}<p>Its end.</p></article>") == "The story, told at length, with commas.\nIts end."
+    assert main_text('<article class="related"><p>The only story, told here.</p></article>') == "The only story, told here."
