@@ -9,8 +9,9 @@ sample of documents, half of it labelled by people and half not where there are
 
 Two such models stand side by side: one for poor text, one for toxic text. People who labelled
 documents are one more labeller, whose silence says nothing and whose accuracy is estimated with
-the others' from a strong prior (``TRUST``); this keeps the estimates from taking two heuristics
-that agree with each other for the truth.
+the others' from a strong prior (``TRUST``) that does not grow with their labels; this keeps the
+estimates from taking two heuristics that agree with each other for the truth. Documents without a human
+label are taught the posterior of their votes and nothing else.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ FEATURES = 1 << 17
 STEPS, FIT_PART = 60, 1 << 20
 #: The scorer's pull to zero.
 REGULAR = 6e-5
-#: The estimate for a pattern of votes counts as so many human labels on the same votes.
+#: Rows of which no heuristic says anything teach as much as so many in all the human labels on such rows and these.
 WORTH = 10
-#: How often people are right before anything is known; it counts as much as all their labels, or as ``TRUST_ROWS``.
+#: How often people are right before anything is known, which counts as much as so many labels.
 TRUST, TRUST_ROWS = 0.999, 1_000
 #: A document is rejected when either scorer finds this chance.
 THRESHOLD = 0.5
@@ -125,15 +126,17 @@ def posterior(counts: dict[str, float], human: bool = False, rounds: int = 100)
 
     A pattern is a string of b, g and -; its last letter is the human label if ``human`` is set.
     A weak prior holds that labellers are right rather than wrong, and keeps chances off 0 and 1.
-    Beside human labels the silence of all heuristics counts as that of one, as they miss the
-    same kinds of text.
+    Beside human labels heuristics are not taken to be independent where none says bad, as they miss the
+    same kinds of text: that all are silent, that some say good and none bad, or that some say bad is the vote
+    of one labeller more. Only in the last case each vote counts too, and the silence of all others as that of one.
     """
     if not counts:
         return {}
     patterns = np.array([list(p) for p in counts])
     weight = np.array(list(counts.values()), float)
     heard = patterns[:, :-1] if human else patterns
-    bad = np.where((heard == "b").any(1), 0.9, 0.05)
+    accused = (heard == "b").any(1)
+    bad = np.where(accused, 0.9, 0.05)
     seen = np.stack([patterns == v for v in "-gb"], 2).astype(float)  # pattern, labeller, vote
     tells = seen.copy()
     prior = np.repeat([[[5.0, 5.0, 0.1]], [[5.0, 0.5, 5.0]]], patterns.shape[1], 1)  # class good, class bad
@@ -141,9 +144,13 @@ def posterior(counts: dict[str, float], human: bool = False, rounds: int = 100)
         told = patterns[:, -1]
         bad = np.where(told == "b", TRUST, np.where(told == "g", 1 - TRUST, bad))
         tells[:, :-1, 0] /= heard.shape[1]
+        tells[~accused, :-1] = 0
         seen[:, -1, 0] = tells[:, -1, 0] = 0  # no label says nothing
-        rows = max(TRUST_ROWS, weight[told != "-"].sum())
-        prior[:, -1] = [[0, TRUST * rows, (1 - TRUST) * rows], [0, (1 - TRUST) * rows, TRUST * rows]]
+        prior[:, -1] = [[0, TRUST * TRUST_ROWS, (1 - TRUST) * TRUST_ROWS], [0, (1 - TRUST) * TRUST_ROWS, TRUST * TRUST_ROWS]]
+        kind = np.where(accused, 2, np.where((heard == "g").any(1), 1, 0))
+        joint = (kind[:, None] == np.arange(3)).astype(float)[:, None]
+        seen, tells = np.concatenate((seen, joint), 1), np.concatenate((tells, joint), 1)
+        prior = np.concatenate((prior, [[[5.0, 5.0, 0.1]], [[5.0, 0.5, 5.0]]]), 1)
     for _ in range(rounds):
         share = (weight @ bad + 1) / (weight.sum() + 10)
         logs = []
@@ -159,12 +166,6 @@ def posterior(counts: dict[str, float], human: bool = False, rounds: int = 100)
     return {p: float(b) for p, b in zip(counts, bad)}
 
 
-def anchored(counts: dict[str, float], found: dict[str, float]) -> dict[str, float]:
-    """:func:`posterior` with the human labels on the same votes; the votes are not independent, as it takes them to be."""
-    of = lambda p, h: counts.get(p[:-1] + h, 0)
-    return {p: b if p[-1] != "-" else (of(p, "b") + WORTH * b) / (of(p, "b") + of(p, "g") + WORTH) for p, b in found.items()}
-
-
 def least_loss(loss, n: int, pull: float, steps: int = STEPS, memory: int = 10) -> np.ndarray:
     """The x that makes loss(x) + pull * |x| least, its last entry (the intercept) free of the pull.
 
@@ -307,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     for r in counted:
         for m in MODELS:
             counts[m][part(r.said, m) + r[f"human_{m}"]] += r["count"]
-    believed = {m: anchored(counts[m], posterior(counts[m], human=True)) for m in MODELS}
+    believed = {m: posterior(counts[m], human=True) for m in MODELS}
     sample = draw(base, told, told.count(), sum(r["count"] for r in counted if r.human_poor == r.human_toxic == "-")).select("doc_id", "whole", *human)
     rows = _mapped(sample, 1, lambda ts: [([vote(t) for t in ts], pa.string()), ([sorted(features(t)) for t in ts], pa.list_(pa.int32()))], "doc_id long, human_poor string, human_toxic string, said string, ids array<int>")
     for m in MODELS:

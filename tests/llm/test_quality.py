@@ -1,5 +1,6 @@
 """The weak-label classifier against human labels it has not seen, and its estimates."""
 
+import math
 import random
 
 import numpy as np
@@ -86,29 +87,42 @@ def test_sample_holds_both_kinds(spark, monkeypatch):
 def plain_em(rows, human, rounds):
     """The estimates by loops over rows, votes and classes."""
     k = len(rows[0])
-    told = sum(r[-1] != "-" for r in rows)
     weak = {0: {"-": 5.0, "g": 5.0, "b": 0.1}, 1: {"-": 5.0, "g": 0.5, "b": 5.0}}
-    n = max(quality.TRUST_ROWS, told)
+    n = quality.TRUST_ROWS
     strong = {0: {"g": quality.TRUST * n, "b": (1 - quality.TRUST) * n}, 1: {"g": (1 - quality.TRUST) * n, "b": quality.TRUST * n}}
+    heard = lambda r: r[:-1] if human else r
+    kind = lambda r: "b" if "b" in heard(r) else "g" if "g" in heard(r) else "-"
+
+    def counted(r):
+        """(labeller, vote) of a row; with people what all heuristics say together is labeller k."""
+        if not human:
+            return list(enumerate(r))
+        return [*enumerate(heard(r)), *([(k - 1, r[-1])] if r[-1] != "-" else []), (k, kind(r))]
+
+    def factors(r):
+        """(labeller, vote, power) that tell of a row: what all say together and, where some say bad, single votes."""
+        if not human:
+            return [(j, v, 1.0) for j, v in enumerate(r)]
+        own = [(j, v, 1 / (k - 1) if v == "-" else 1.0) for j, v in enumerate(heard(r))] if kind(r) == "b" else []
+        return [*own, (k, kind(r), 1.0), *([(k - 1, r[-1], 1.0)] if r[-1] != "-" else [])]
+
     bad = []
     for r in rows:
-        b = 0.9 if "b" in (r[:-1] if human else r) else 0.05
+        b = 0.9 if kind(r) == "b" else 0.05
         bad.append(quality.TRUST if human and r[-1] == "b" else 1 - quality.TRUST if human and r[-1] == "g" else b)
     for _ in range(rounds):
         share = (sum(bad) + 1) / (len(rows) + 10)
-        said = [[dict(strong[c] if human and j == k - 1 else weak[c]) for j in range(k)] for c in (0, 1)]
+        said = [[dict(strong[c] if human and j == k - 1 else weak[c]) for j in range(k + human)] for c in (0, 1)]
         for r, b in zip(rows, bad):
-            for j, v in enumerate(r):
-                if v in said[0][j]:
-                    said[0][j][v] += 1 - b
-                    said[1][j][v] += b
+            for j, v in counted(r):
+                said[0][j][v] += 1 - b
+                said[1][j][v] += b
         new = []
         for r in rows:
             p = [1 - share, share]
             for c in (0, 1):
-                for j, v in enumerate(r):
-                    if v in said[c][j]:
-                        p[c] *= (said[c][j][v] / sum(said[c][j].values())) ** (1 / (k - 1) if human and v == "-" else 1)
+                for j, v, power in factors(r):
+                    p[c] *= (said[c][j][v] / sum(said[c][j].values())) ** power
             new.append(p[1] / (p[0] + p[1]))
         bad = new
     return dict(zip(rows, bad))
@@ -173,3 +187,48 @@ def test_fit_is_the_least_loss():
         quality.FIT_PART = old
     assert again[0] == pytest.approx(intercept, abs=1e-3)
     assert quality.fit_scorer(ids[:0], lengths[:0], soft[:0], weight[:0]) == (-10.0, {})
+
+
+def plain_scorer(rows, steps=6_000):
+    """(intercept, weights) by plain descent with shrinkage on rows of (features, soft, weight)."""
+    total = sum(w for _, _, w in rows)
+    x, b = {}, 0.0
+    for _ in range(steps):
+        slope, up = {}, 0.0
+        for ids, soft, w in rows:
+            z = b + sum(x.get(i, 0.0) for i in ids)
+            wrong = w / total * (1 / (1 + math.exp(-z)) - soft)
+            up += wrong
+            for i in ids:
+                slope[i] = slope.get(i, 0.0) + wrong
+        b -= 0.3 * up
+        for i, g in slope.items():
+            v = x.get(i, 0.0) - 0.3 * g
+            x[i] = math.copysign(max(0.0, abs(v) - 0.3 * quality.REGULAR), v)
+    return b, x
+
+
+def test_query_against_plain_version(spark):
+    """Votes, estimates by loops, descent by loops: poor, toxic and rejected of every row."""
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(["river", "house", "garden", "music"]) for _ in range(4))
+    texts = [plain() + rng.choice([" zorb", " zorb quib", ""]) + rng.choice([" vex", "", ""]) for _ in range(90)]
+    told = {i: (int("zorb" not in texts[i]), int("vex" in texts[i])) for i in range(0, 90, 2)}
+    poor = lambda t: ("b" if "quib" in t else "-") + ("b" if "zorb" in t and len(t) % 3 else "g" if "zorb" not in t else "-") + "-" * (quality.MODELS["poor"] - 2)
+    toxic = lambda t: ("b" if "vex" in t else "-") + "-" * (quality.MODELS["toxic"] - 1)
+    vote = lambda t: poor(t) + toxic(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, (q, x) in told.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(docs, labels, vote=vote).collect()}
+    chance = {}
+    for name, of, bad in (("poor", poor, lambda q, x: q == 0), ("toxic", toxic, lambda q, x: x == 1)):
+        patterns = [of(t) + ("-" if i not in told else "b" if bad(*told[i]) else "g") for i, t in enumerate(texts)]
+        believed = plain_em(patterns, True, 100)
+        silent = "-" * quality.MODELS[name]
+        quiet = quality.WORTH / (quality.WORTH + sum(p[:-1] == silent and p[-1] != "-" for p in patterns))
+        b, x = plain_scorer([(quality.features(t), believed[p], quiet if p == silent + "-" else 1.0) for t, p in zip(texts, patterns)])
+        chance[name] = [1 / (1 + math.exp(-b - sum(x.get(i, 0.0) for i in quality.features(t)))) for t in texts]
+    for i in range(90):
+        assert got[i].poor == pytest.approx(chance["poor"][i], abs=0.1) and got[i].toxic == pytest.approx(chance["toxic"][i], abs=0.1)
+        assert got[i].rejected == (max(chance["poor"][i], chance["toxic"][i]) >= quality.THRESHOLD)
+    assert 10 < sum(r.rejected for r in got.values()) < 80
