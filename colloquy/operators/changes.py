@@ -71,10 +71,10 @@ def request_log(edges: DataFrame, weight: str) -> DataFrame:
     inserts, every third after it supersedes in place, the others merge."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("source", "relation", "target").orderBy("valid_at", "edge_id")
-    place = F.row_number().over(w) - 1
+    order = F.row_number().over(W.partitionBy("source").orderBy("valid_at", "edge_id", "relation", "target")).cast("long")
+    rows = edges.where("valid_at is not null").withColumn("order", order)
+    place = F.row_number().over(W.partitionBy("source", "relation", "target").orderBy("order")) - 1
+    rows = rows.withColumn("place", place)
     op = F.when(F.col("place") == 0, "insert").when(F.col("place") % 3 == 0, "supersede").otherwise("merge")
-    rows = edges.where("valid_at is not null").withColumn("place", place)
-    order = F.row_number().over(W.partitionBy("source").orderBy("valid_at", "edge_id")).cast("long")
     none = F.lit(None).cast("string")
-    return rows.select("source", order.alias("position"), op.alias("op"), "relation", "target", F.col(weight).cast("long").alias("weight"), F.col("valid_at").cast("long").alias("at"), none.alias("new_relation"), none.alias("new_target"))
+    return rows.select("source", F.col("order").alias("position"), op.alias("op"), "relation", "target", F.col(weight).cast("long").alias("weight"), F.col("valid_at").cast("long").alias("at"), none.alias("new_relation"), none.alias("new_target"))
