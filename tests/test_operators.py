@@ -204,6 +204,7 @@ def test_languages_bytes_and_identifiers(spark):
 def test_names_alike_against_all_pairs(spark):
     import random
 
+    from colloquy.functions import likeness
     from colloquy.operators import matching
 
     rng = random.Random(2)
@@ -211,8 +212,7 @@ def test_names_alike_against_all_pairs(spark):
     want = {}
     for n, t in names:
         for c, u in names:
-            d = round((len(n) + len(c)) * (1 - fn.likeness(n, c) / 100))
-            if n != c and t == u and d <= 2 and (score := 100.0 * (len(n) + len(c) - d) / (len(n) + len(c))) >= 85:
+            if n != c and t == u and (score := likeness.weighted_ratio(n, c)) >= 85:
                 want[n, t] = max(want.get((n, t), (0, "")), (score, c))
     df = spark.createDataFrame(names, "name string, type string")
     assert {(r.name, r.type): (r.score, r.canonical) for r in matching.names_alike(df, df).collect()} == want and want
