@@ -23,20 +23,33 @@ def local_session(app: str = "colloquy", cores: str = "8", shuffle_partitions: i
     )
 
 
+def _shared(spark: SparkSession) -> str:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/colloquy-{spark.sparkContext.applicationId}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that driver and executors share (spark.checkpoint.dir) and read again.
 
     Cuts the lineage of repeated steps, so that a plan does not hold all steps before it and lost
     executors lose nothing. Only where the setting is unset, as in local tests, a folder of the
-    machine is taken.
+    machine is taken. All lies in one folder for each application, which :func:`remove_settled` removes.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_settled(spark: SparkSession) -> None:
+    """Removes what this application wrote; call it when no result is read any more, as results are made from these files."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(_shared(spark))
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        system.delete_dir(path)

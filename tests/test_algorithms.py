@@ -103,3 +103,16 @@ def test_graph_channel_ranks_by_relations(spark):
     sources = spark.createDataFrame([("gold ring", 1), ("ring", 2), ("shop", 3), ("shop", 1), ("bank", 4), ("lone", 5)], "name string, chunk long")
     got = {(r["query"], r.chunk): r.score for r in retrieval.graph_channel(asked, sources, edges).collect()}
     assert got == {("q", 1): 1.0, ("q", 2): 0.5, ("q", 3): 0.5, ("q", 4): 0.25}
+
+
+def test_written_steps_can_be_removed(spark):
+    import os
+
+    from colloquy.session import _shared, remove_settled, settled
+
+    assert settled(spark.range(3), "three").count() == 3
+    folder = _shared(spark).removeprefix("file://")
+    assert os.path.isdir(folder)
+    remove_settled(spark)
+    assert not os.path.exists(folder)
+    remove_settled(spark)
