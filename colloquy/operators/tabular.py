@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.operators.pairs import pair_verdicts
+
 
 def in_window(at: Column, start, end) -> Column:
     """Both ends included; rows without a time stay."""
@@ -129,17 +131,7 @@ def crowded_windows(recordings: DataFrame, window_sec: int, k: int) -> DataFrame
 
 def evaluate_pairs(pairs: DataFrame, window_sec: int = 900) -> DataFrame:
     """The rule cascade for two recordings of one tenant and store: verdict and confidence."""
-    gap = F.col("right_started_sec") - F.col("ended_sec")
-    both = F.col("customer").isNotNull() & F.col("right_customer").isNotNull()
-    same_customer = F.coalesce(F.col("customer") == F.col("right_customer"), F.lit(False))
-    same_agent = F.coalesce(F.col("agent_id") == F.col("right_agent_id"), F.lit(False))
-    score = F.lit(0.20) + F.when(same_agent, 0.15).otherwise(0.0) + F.when(same_customer, 0.50).otherwise(0.0)
-    verdict = F.when(both & ~same_customer, "reject").when(gap < 0, "needs_review").when(gap > window_sec, "reject").when(same_customer, "merge").otherwise("needs_review")
-    confidence = (
-        F.when(both & ~same_customer, 0.99).when(gap < 0, 0.82).when(gap > window_sec, F.least(F.lit(1.0), 0.75 + gap / (window_sec * 10)))
-        .when(same_customer, F.least(F.lit(0.97), 0.58 + score * 0.38)).otherwise(F.least(F.lit(0.85), 0.48 + score * 0.25))
-    )
-    return pairs.select("recording_id", "right_recording_id", verdict.alias("verdict"), F.round(confidence, 4).alias("confidence"))
+    return pair_verdicts(pairs, window_sec).select("recording_id", "right_recording_id", "verdict", "confidence")
 
 
 def count_by(rows: DataFrame, *dims: str) -> DataFrame:
