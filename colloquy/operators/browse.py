@@ -129,6 +129,27 @@ def proposals(recordings: DataFrame, judged: DataFrame, visits: DataFrame) -> Da
     return size.join(pairs, "visit", "left").fillna(0, ["pairs", "doubtful"])
 
 
+def recording_list(recordings: DataFrame, values: dict[str, list], between: tuple[str, int, int] | None, order: str, page: int, size: int, owner: int | None = None, name: str | None = None) -> DataFrame:
+    """A page of recordings with ``total``, the number of all that fit.
+
+    ``values`` names columns with the values they may have; both ends of ``between`` are included.
+    The order is a column, with a minus the other way, and ids decide ties. An owner (agent_id) is
+    asked for instead of a display name (agent_name), which may change.
+    """
+    found = recordings
+    for column, some in values.items():
+        found = found.where(F.col(column).isin(*some))
+    if between:
+        found = found.where(F.col(between[0]).between(*between[1:]))
+    if owner is not None:
+        found = found.where(F.col("agent_id") == owner)
+    elif name is not None:
+        found = found.where(F.col("agent_name") == name)
+    way = F.desc if order.startswith("-") else F.asc
+    rows = found.orderBy(way(order.lstrip("-")), way("recording_id")).offset((page - 1) * size).limit(size)
+    return rows.crossJoin(found.agg(F.count("*").alias("total")))  # one row
+
+
 def projection(nodes: DataFrame, edges: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) to draw: nodes once each, preferred ones first, up to the cap, and the edges between them."""
     one = nodes.groupBy("id").agg(F.max("preferred").alias("preferred"))

@@ -96,6 +96,13 @@ def induced(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(one.select(F.col("node").alias("a")), "a", "left_semi").join(one.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
 
 
+def subgraph_window(links: DataFrame, start: DataFrame, hops: int, nodes: int, edges: int) -> DataFrame:
+    """(a, b, total_nodes): links among the nearest nodes, nearest first and by name within a hop, and how many nodes there are within so many hops."""
+    near = settled(neighbours(links, start, hops), "near")
+    kept = induced(links, near.orderBy("hop", "node").limit(nodes)).orderBy("a", "b").limit(edges)
+    return kept.crossJoin(near.agg(F.count("*").alias("total_nodes")))  # one row
+
+
 def modularity(links: DataFrame, community: DataFrame) -> DataFrame:
     """Q of a partition: for each community its inner links' share less the share by degrees squared."""
     c = lambda end: community.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))

@@ -166,6 +166,15 @@ def scene_profile(segments: DataFrame) -> DataFrame:
     )
 
 
+def speech_profile(segments: DataFrame) -> DataFrame:
+    """Span, segments, speakers who are named, mean speech confidence and characters other than white space of each recording."""
+    said = F.length(F.regexp_replace("transcript", r"(?U)\s+", ""))
+    return segments.groupBy("recording_id").agg(
+        F.round(F.greatest(F.lit(0.0), F.coalesce(F.max("end_sec") - F.min("start_sec"), F.lit(0.0))), 3).alias("duration"), F.count("*").alias("segments"),
+        F.count_distinct(F.when(F.col("speaker") != "", F.col("speaker"))).alias("speakers"), F.round(F.avg("vad"), 6).alias("vad"), F.coalesce(F.sum(said), F.lit(0)).alias("characters"),
+    )
+
+
 def assigned_speaker(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """Each segment's one turn: that holding its middle (the first), else the longest overlap, else the nearest edge."""
     mid = (F.col("start_sec") + F.col("end_sec")) / 2

@@ -32,5 +32,5 @@ def query(name: str, uses: tuple[str, ...] = (), oracle: str | None = None):
     return add
 
 
-for _part in ("tabular", "sequences", "graphs", "tagging", "scores", "texts", "visits", "views", "browsing", "judgements", "upkeep", "dialogue", "algorithms", "pairs", "summaries"):
+for _part in ("tabular", "sequences", "graphs", "tagging", "scores", "texts", "visits", "views", "browsing", "judgements", "upkeep", "dialogue", "algorithms", "pairs", "summaries", "records"):
     importlib.import_module(f"colloquy.plans.{_part}")
