@@ -77,19 +77,24 @@ def superseded(edges: DataFrame) -> DataFrame:
 def neighbours(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(node, hop) within so many undirected steps of the start nodes, each at its least hop.
 
-    Each frontier but the last is written, so a step's plan holds no step before it.
+    Each frontier is written, so a step's plan holds no step before it and knows how small it is: links
+    are kept by a semi-join, which Spark does before their own DISTINCT, so only what a frontier touches is dealt.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    found = start.select("node").distinct().withColumn("hop", F.lit(0))
-    edge = found
+    edge = settled(start.select("node").distinct().withColumn("hop", F.lit(0)), "frontier")
+    found = edge
     for hop in range(1, hops + 1):
-        step = edge.join(both, edge.node == both.a).select(F.col("b").alias("node")).distinct()
-        edge = step.join(found.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        edge = settled(edge, "frontier") if hop < hops else edge
+        step = stepped(links, edge).join(found.select("node"), "node", "left_anti")
+        edge = settled(step.withColumn("hop", F.lit(hop)), "frontier")
         found = found.unionByName(edge)
     return found
 
 
+def stepped(links: DataFrame, front: DataFrame) -> DataFrame:
+    """The distinct nodes that undirected links lead to from the nodes of ``front``."""
+    near = lambda end, other: links.join(front.select(F.col("node").alias(end)), end, "left_semi").select(F.col(other).alias("node"))
+    return near("a", "b").union(near("b", "a")).distinct()
+
+
 def induced(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links with both ends among the nodes."""
     one = nodes.select("node").distinct()

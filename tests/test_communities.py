@@ -87,3 +87,19 @@ def test_weights_and_empty(spark):
     df = spark.createDataFrame([(1, 2, 1.0), (2, 1, 2.0), (3, 3, 1.0), (None, 4, 1.0), (5, 6, None), (1, 7, -1.0)], "a long, b long, w double")
     assert sorted(tuple(r) for r in communities.collapsed(df, weight="w").collect()) == [(1, 2, 3.0), (3, 3, 1.0)]
     assert communities.partition(communities.collapsed(df.limit(0), weight="w")).collect() == []
+
+
+def test_steps_keep_links_before_they_are_made_distinct(spark, capsys):
+    """A small frontier is joined below the links' DISTINCT, so only what it touches is dealt."""
+    from colloquy.operators import graphs
+
+    spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4), (9, 8)], "x long, y long").createOrReplaceTempView("raw_links")
+    links = spark.sql("SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM raw_links")
+    front = graphs.settled(spark.createDataFrame([(2,)], "node long"), "frontier")
+    step = graphs.stepped(links, front)
+    step.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    sides = plan.split("Union")[1]
+    assert plan.count("LeftSemi") >= 2 and sides.index("HashAggregate") < sides.index("LeftSemi")
+    assert sorted(r.node for r in step.collect()) == [1, 3]
+    assert sorted(map(tuple, graphs.neighbours(links, front, 2).collect())) == [(1, 1), (2, 0), (3, 1), (4, 2)]
