@@ -89,10 +89,15 @@ def neighbours(links: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return found
 
 
+def touching(links: DataFrame, front: DataFrame) -> DataFrame:
+    """(a, b): undirected links from the nodes of ``front``, which stand in a."""
+    near = lambda end, other: links.join(front.select(F.col("node").alias(end)), end, "left_semi").select(F.col(end).alias("a"), F.col(other).alias("b"))
+    return near("a", "b").union(near("b", "a"))
+
+
 def stepped(links: DataFrame, front: DataFrame) -> DataFrame:
     """The distinct nodes that undirected links lead to from the nodes of ``front``."""
-    near = lambda end, other: links.join(front.select(F.col("node").alias(end)), end, "left_semi").select(F.col(other).alias("node"))
-    return near("a", "b").union(near("b", "a")).distinct()
+    return touching(links, front).select(F.col("b").alias("node")).distinct()
 
 
 def induced(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -175,15 +180,14 @@ def path_between(links: DataFrame, start: int, end: int) -> DataFrame:
     only nodes on shortest paths are kept, a step at a time back to either end, and paths of least
     nodes are joined along them. Null ends are no nodes.
     """
-    both = settled(links.select("a", "b").union(links.select("b", "a")).where("a is not null and b is not null and a <> b").distinct(), "both")
-    spark = links.sparkSession
-    one = lambda n: spark.createDataFrame([(n,)], "node long").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    links = links.where("a is not null and b is not null and a <> b")
+    one = lambda n: links.where((F.col("a") == n) | (F.col("b") == n)).limit(1).select(F.lit(n).cast("long").alias("node"))
     if start == end:
         return one(start).select(F.lit(0).alias("place"), "node")
     steps = {True: [settled(one(start), "frontier")], False: [settled(one(end), "frontier")]}
     seen = {True: steps[True][0], False: steps[False][0]}
     sizes = {True: steps[True][0].count(), False: steps[False][0].count()}
-    near = lambda front: front.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+    near = lambda front: stepped(links, front)
     while all(sizes.values()):
         side = sizes[True] <= sizes[False]
         front = settled(near(steps[side][-1]).join(seen[side], "node", "left_anti"), "frontier")
@@ -203,7 +207,7 @@ def path_between(links: DataFrame, start: int, end: int) -> DataFrame:
     layers = back[::-1] + forth[1:]
     path = layers[0].select("node", F.array("node").alias("path"))
     for layer in layers[1:]:
-        step = path.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "path").join(layer, "node", "left_semi")
+        step = path.join(touching(links, path), F.col("node") == F.col("a")).select(F.col("b").alias("node"), "path").join(layer, "node", "left_semi")
         path = settled(step.groupBy("node").agg(F.min("path").alias("path")).select("node", F.concat("path", F.array("node")).alias("path")), "path")
     return path.select(F.posexplode("path").alias("place", "node"))
 

@@ -103,3 +103,15 @@ def test_steps_keep_links_before_they_are_made_distinct(spark, capsys):
     assert plan.count("LeftSemi") >= 2 and sides.index("HashAggregate") < sides.index("LeftSemi")
     assert sorted(r.node for r in step.collect()) == [1, 3]
     assert sorted(map(tuple, graphs.neighbours(links, front, 2).collect())) == [(1, 1), (2, 0), (3, 1), (4, 2)]
+
+
+def test_paths_join_links_by_semi_joins(spark):
+    """Links from a front, in both directions; loops and links without an end lead nowhere new."""
+    from colloquy.operators import graphs, upkeep
+
+    links = spark.createDataFrame([(1, 2), (3, 2), (2, 2), (3, 4), (None, 1), (9, 8)], "a long, b long")
+    front = spark.createDataFrame([(2,)], "node long")
+    assert sorted(map(tuple, graphs.touching(links.where("a <> b"), front).collect())) == [(2, 1), (2, 3)]
+    assert {r.node: r.path for r in upkeep.paths(links.where("a is not null"), 1, 3).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4]}
+    assert [r.node for r in graphs.path_between(links, 1, 4).orderBy("place").collect()] == [1, 2, 3, 4]
+    assert graphs.path_between(links, 1, 9).count() == 0 and graphs.path_between(links, 1, None).count() == 0
