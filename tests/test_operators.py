@@ -268,6 +268,19 @@ def test_equal_error_against_every_threshold(spark, shift):
     assert evaluations.equal_error(df.where("same"), "score", "same").count() == 0
 
 
+def test_bootstrap_draws_by_digits(spark):
+    """A chance and the bounds it is compared with, at the bounds themselves."""
+    import math
+
+    from colloquy.operators import evaluations
+
+    edges = [math.ceil(c * 2**32) for c in evaluations.DRAWN]
+    chances = sorted({x for c in edges for x in (c - 1, c, c + 1) if 0 <= x < 2**32} | {0, 2**32 - 1})
+    df = spark.createDataFrame([(x, f"{x:08x}") for x in chances], "x long, h string")
+    got = {r.x: r.n for r in df.select("x", evaluations._times(F.col("h")).alias("n")).collect()}
+    assert got == {x: sum(x / 2**32 >= c for c in evaluations.DRAWN) for x in chances}
+
+
 def test_bootstrap_bound(spark):
     import hashlib
 
