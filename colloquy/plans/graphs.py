@@ -224,16 +224,13 @@ g AS (SELECT query, chunk, max(score) AS score FROM v JOIN s USING (name) GROUP
 SELECT query, chunk, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS i FROM g) WHERE i <= 20""")
 def _(t):
     """The twenty chunks that each conversation's words lead to in the graph of parts."""
-    from pyspark.sql import Window as W
-
     nodes = t.part.select(F.col("p_partkey").alias("k"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
     of = lambda k, n: nodes.select(F.col("k").alias(k), F.col("name").alias(n))
     lines = t.lineitem.select("l_partkey", (F.col("l_suppkey") * 7).alias("other"), "l_returnflag", "l_orderkey").join(of("l_partkey", "source"), "l_partkey")
     edges = lines.join(of("other", "target"), "other").select("source", "target", "l_returnflag").distinct()
     sources = lines.select(F.col("source").alias("name"), F.col("l_orderkey").alias("chunk"))
     asked = ret.keywords(t.turns).select(F.col("conv_id").alias("query"), "keyword")
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "chunk"))
-    return ret.graph_channel(asked, sources, edges).withColumn("k", place).where("k <= 20").select("query", "chunk", F.round("score", 6).alias("score"))
+    return ret.graph_channel(asked, sources, edges, chunks=20).select("query", "chunk", F.round("score", 6).alias("score"))
 
 
 @query("ret5_weighted_channels", V, """

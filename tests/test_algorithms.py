@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import changes, graphs, retrieval, scans, sequences, substrings, upkeep
@@ -105,6 +106,22 @@ def test_graph_channel_ranks_by_relations(spark):
     assert got == {("q", 1): 1.0, ("q", 2): 0.5, ("q", 3): 0.5, ("q", 4): 0.25}
 
 
+@pytest.mark.parametrize("chunks", [1, 2, 5])
+def test_graph_channel_keeps_the_best_chunks(spark, chunks):
+    rng = random.Random(chunks)
+    names = [f"part {i}" for i in range(12)]
+    edges = spark.createDataFrame([(rng.choice(names), rng.choice(names), rng.choice("rs")) for _ in range(30)], "source string, target string, relation string").distinct()
+    sources = spark.createDataFrame([(rng.choice(names), rng.randint(0, 30)) for _ in range(80)], "name string, chunk long")
+    asked = spark.createDataFrame([(f"q{i}", rng.choice([*names, "1", "part"])) for i in range(15)], "query string, keyword string")
+    want = {}
+    for r in retrieval.graph_channel(asked, sources, edges).collect():
+        want.setdefault(r["query"], []).append((-r.score, r.chunk))
+    got = {}
+    for r in retrieval.graph_channel(asked, sources, edges, chunks=chunks).collect():
+        got.setdefault(r["query"], []).append((-r.score, r.chunk))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v)[:chunks] for q, v in want.items()} and want
+
+
 def test_written_steps_can_be_removed(spark):
     import os
 
