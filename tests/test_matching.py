@@ -96,3 +96,28 @@ def test_speakers(spark):
     s = spark.createDataFrame(speakers, "candidate long, tenant string, name string, vector array<double>")
     got = {r["query"]: (r.candidate, r.verdict) for r in matching.speaker_verdicts(matching.speaker_scores(q, s)).collect()}
     assert got == {"q1": (1, "CONFIRMED"), "q2": (1, "AMBIGUOUS"), "q3": (2, "INFERRED"), "q4": (None, "NO_MATCH"), "q5": (1, "INFERRED")}
+
+
+def pairs_joined(spark, names, least, kind="weighted"):
+    """How many candidates are found of names of one type."""
+    df = spark.createDataFrame([(n, "t") for n in names], "name string, group string")
+    return matching.candidate_pairs(df, df, least, kind, words_near=False).count()
+
+
+def test_words_of_one_length_make_no_pairs(spark):
+    names = [f"e{i}" for i in range(100000, 100400)]
+    assert pairs_joined(spark, names, 85.0) == 0
+    df = spark.createDataFrame([(n, t) for n in [*names, "e100", "e100000 x"] for t in ("x", None)], "name string, type string")
+    want = {}
+    for a, b in itertools.permutations([*names, "e100", "e100000 x"], 2):
+        s = likeness.weighted_ratio(a, b)
+        if s >= 85:
+            want[a] = max(want.get(a, (0, "")), (s, b))
+    got = matching.names_alike(df, df).collect()
+    assert {(r.name, r.type): (r.score, r.canonical) for r in got} == {(n, t): v for n, v in want.items() for t in ("x", None)}
+
+
+def test_edits_score_without_texts(spark):
+    df = spark.createDataFrame([(n, "t") for n in ("abcdefgh", "abcdefgx", "abcdefg", "日本語の店頭販売", "日本語の店舗販売")], "name string, group string")
+    found = matching.candidate_pairs(df, df, 85.0, "words", one_way=True).collect()
+    assert {(r.name, r.other): r.edits for r in found} == {("abcdefgh", "abcdefgx"): 2, ("abcdefg", "abcdefgh"): 1, ("abcdefg", "abcdefgx"): 1, ("日本語の店舗販売", "日本語の店頭販売"): 2}
