@@ -115,3 +115,20 @@ def test_paths_join_links_by_semi_joins(spark):
     assert {r.node: r.path for r in upkeep.paths(links.where("a is not null"), 1, 3).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4]}
     assert [r.node for r in graphs.path_between(links, 1, 4).orderBy("place").collect()] == [1, 2, 3, 4]
     assert graphs.path_between(links, 1, 9).count() == 0 and graphs.path_between(links, 1, None).count() == 0
+
+
+def test_a_round_deals_edges_once(spark, capsys):
+    """Edges are kept by one end and dealt by the other; scores are those of plain sums, a node without other ends stays."""
+    edges = communities.collapsed(spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 1.0), (3, 4, 1.0), (9, 9, 3.0)], "a long, b long, w double"), weight="w")
+    both = communities._dealt(communities._both(edges), 3)
+    labels = communities._nodes(edges, both).withColumn("community", communities.F.when(communities.F.col("node") == 2, 3).otherwise(communities.F.col("node"))).withColumn("coarse", communities.F.col("node"))
+    scored = communities._scored(both, 3, labels, 16.0)
+    rows = {r.node: r for r in scored.collect()}
+    capsys.readouterr()
+    scored.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    both.unpersist()
+    assert plan.count("Exchange hashpartitioning") <= 4  # three of a round, one of the kept edges
+    assert (rows[1].target, rows[1].own) == (3, 0.0) and abs(rows[1].gain - (2.0 - 2.0 * 7.0 / 16)) < 1e-9
+    assert (rows[2].own, rows[2].target, rows[2].alone) == (2.0, 1, False) and abs(rows[2].own_value - (2.0 - 3.0 * 4.0 / 16)) < 1e-9
+    assert rows[9].target is None and rows[9].gain == 0.0 and rows[9].alone and rows[9].loop == 3.0
