@@ -69,15 +69,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
-def _grams(texts: list[str | None], size: int) -> np.ndarray:
-    """Codes of the byte sequences of this size that end in a symbol of a document."""
-    data = b"".join(b"\n" * (size - 1) + symbols(t) for t in texts)
-    x = np.frombuffer(data, np.uint8)
+def _grams(docs: list[bytes], size: int) -> np.ndarray:
+    """Codes of the byte sequences of this size that end in a symbol of a document, from the documents' symbols."""
+    x = np.frombuffer(b"".join(b"\n" * (size - 1) + d for d in docs), np.uint8)
     code = np.zeros(max(0, len(x) - size + 1), np.int64)
     for k in range(size):
-        code = (code << 8) | x[k : len(x) - size + 1 + k]
-    lengths = np.array([len(symbols(t)) for t in texts], np.int64)
-    ends = np.cumsum(lengths + size - 1)
+        code <<= 8
+        code |= x[k : len(x) - size + 1 + k]
+    ends = np.cumsum([len(d) + size - 1 for d in docs])
     keep = np.ones(len(code), bool)  # sequences that end before a document's first symbol
     for e in ends[:-1].tolist():
         keep[e - size + 1 : e] = False
@@ -91,10 +90,10 @@ def gram_counts(docs: DataFrame, size: int, held=None) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         codes, counts, waiting = [], [], 0
         for batch in batches:
-            texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                some = list(zip(texts[i : i + 500], out[i : i + 500]))
-                made = [_grams([t for t, h in some if not h], size), _grams([t for t, h in some if h], size) | apart]
+            for at, k in _steps(batch.column(0)):
+                part = batch.slice(at, k)
+                some = list(zip(map(symbols, part.column(0).to_pylist()), part.column(1).to_pylist()))
+                made = [_grams([d for d, h in some if not h], size), _grams([d for d, h in some if h], size) | apart]
                 c, n = np.unique(np.concatenate(made), return_counts=True)
                 codes.append(c)
                 counts.append(n)
@@ -114,9 +113,12 @@ def gram_counts(docs: DataFrame, size: int, held=None) -> DataFrame:
 
 
 def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list, int]:
-    c, at = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)
-    return [c], [n], len(c)
+    """The sums of sorted runs as one; a stable sort merges runs."""
+    c, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(c, kind="stable")
+    c, n = c[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+    return [c[first]], [np.add.reduceat(n, first) if len(c) else n], len(first)
 
 
 def _sent(codes: np.ndarray, counts: np.ndarray, step: int = 50_000) -> Iterator:
@@ -453,18 +455,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             for at, n in _steps(batch.column(1)):
                 part = batch.slice(at, n)
                 ids, some = part.column(0), part.column(1).to_pylist()
-                code = _grams(some, size)
+                read = [symbols(t) for t in some]
+                code = _grams(read, size)
                 place = _look_up(slots, head_codes, code)
-                lengths = np.array([len(symbols(t)) for t in some], np.int64)
+                lengths = np.array([len(d) for d in read], np.int64)
                 score = np.add.reduceat(np.where(place >= 0, head_logs[place], 0.0), np.concatenate(([0], np.cumsum(lengths)[:-1])))
                 owner = np.repeat(np.arange(len(some), dtype=np.uint64), lengths)[place < 0]  # under 256
                 other, number = np.unique((owner << np.uint64(56)) | code[place < 0].astype(np.uint64), return_counts=True)
                 keys = np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in some], np.uint64).view(np.int64)
                 told, rest, times, of = [], [], [], []
-                for i, t in enumerate(some):
+                for i, d in enumerate(read):
                     n = known = 0
                     logs = 0.0
-                    for w, k in Counter(words(t)).items():
+                    for w, k in Counter(d.split()).items():
                         n += k
                         c = frequent.get(w)
                         if c is None:
@@ -486,7 +489,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
     parts = base.mapInArrow(pieces, "doc_id long, key long, word binary, times long, told struct<n:long,known:long,logs:double,score:double>")
     rare = counts.select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("logp")).union(tail.select("word", F.lit(None).cast("long").alias("c"), "logp"))
-    found = parts.join(rare, "word", "left")
+    found = parts.join(rare.hint("shuffle_hash"), "word", "left")  # the distinct ones are few beside their occurrences, which need no sort
     end_log = math.log10(ends + 1)
     told = lambda c: F.coalesce(F.sum(f"told.{c}"), F.lit(0))
     summed = found.groupBy("doc_id", "key").agg(

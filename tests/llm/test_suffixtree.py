@@ -128,3 +128,15 @@ def test_rare_context_joins_at_any_size(spark):
     found, _ = st.chances(grams)
     logp = {r.code: r.logp for r in found.collect()}
     assert logp[a] > math.log10(0.9)
+
+
+def test_sequences_come_from_symbols_made_once():
+    """A text is taken apart once: its sequences and its words both come from its symbols."""
+    texts = ["Ab  cd\tE", None, "", " x ", "ab cd e" * 50]
+    read = [st.symbols(t) for t in texts]
+    plain = [int.from_bytes((b"\n\n" + d)[i : i + 3], "big") for d in read for i in range(len(d))]
+    assert st._grams(read, 3).tolist() == plain and st._grams([], 3).tolist() == []
+    assert [d.split() for d in read] == [st.words(t) for t in texts]
+    runs = [np.unique(np.array(r), return_counts=True) for r in ([3, 1, 3], [7], [1, 3, 9])]
+    (code,), (n,), size = st._merged([c for c, _ in runs], [k for _, k in runs])
+    assert dict(zip(code.tolist(), n.tolist())) == {1: 2, 3: 3, 7: 1, 9: 1} and size == 4
