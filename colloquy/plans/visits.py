@@ -223,7 +223,7 @@ def _(t):
 WITH sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links), h0 AS (SELECT unnest([7, 9]::BIGINT[]) AS node), h1 AS (SELECT DISTINCT b AS node FROM sym WHERE a IN (SELECT node FROM h0) AND b NOT IN (SELECT node FROM h0)), h AS (SELECT node, 0 AS d FROM h0 UNION ALL SELECT node, 1 FROM h1),
 x AS (SELECT 2 * p_partkey AS node, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part) SELECT h.node, round(0.5::DOUBLE / (1 + d) + 0.5::DOUBLE * (len(list_intersect(coalesce(w, []), ['red', 'ring'])) / 2.0::DOUBLE), 6) AS score FROM h LEFT JOIN x ON x.node = h.node""")
 def _(t):
-    seeds = t.links.select(F.explode(F.array(F.lit(7).cast("long"), F.lit(9).cast("long"))).alias("node")).distinct()
+    seeds = t.part.sparkSession.range(7, 10, 2).toDF("node")  # 7 and 9, without a DISTINCT of all links
     texts = t.part.select((F.col("p_partkey") * 2).alias("node"), F.col("p_name").alias("text"))
     return retrieval.local_search(t.links, texts, seeds, "red ring", 1)
 
