@@ -15,7 +15,7 @@ def _(t):
     r = t.recordings.withColumn("explicit", F.when(F.col("recording_id") % 13 == 0, F.concat_ws("-", "tenant_id", "store_id", F.expr("started_sec div 3600"))))
     near = tabular.neighbour_pairs(t.recordings, 900, 3)
     splits = near.where("customer % 5 = 0").select(F.col("recording_id").alias("a"), F.col("right_recording_id").alias("b"))
-    return op.grouped(r, tabular.evaluate_pairs(near), splits)
+    return op.grouped(r, tabular.evaluate_pairs(near, keep=("started_sec",)), splits)
 
 
 @query("rec3_manual_constraints", R, """

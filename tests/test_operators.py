@@ -393,3 +393,34 @@ def test_nearest_centres_in_blocks(spark, monkeypatch):
 def test_mixed_tokens(spark):
     got = spark.createDataFrame([("Ab 数据库 c",)], "t string").select(retrieval.mixed_tokens(F.col("t"))).first()[0]
     assert sorted(got) == sorted(["ab", "数据库", "c", "数据", "据库", "a", "b"])
+
+
+def test_local_search_starts_without_links(spark, tmp_path):
+    """The seeds are given, not read from the links: without links they are all that is found, as in the SQL."""
+    from colloquy.plans.registry import QUERIES
+
+    for name in ("lineitem", "part"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        rows.limit(0 if name == "lineitem" else 5).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(map(tuple, QUERIES["gr10_local_search"](spark, str(tmp_path)).collect())) == [(7, 0.5), (9, 0.5)]
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.split("Initial Plan")[-1]
+
+
+def test_next_recordings_come_without_a_join(spark, capsys):
+    df = spark.createDataFrame([("t", 1, 1, 0, 10, 1, 1), ("t", 1, 2, 20, 30, 1, 1), (None, 1, 3, 0, 10, 1, 1), (None, 1, 4, 20, 30, 1, 1)], "tenant_id string, store_id long, recording_id long, started_sec long, ended_sec long, agent_id long, customer long")
+    pairs = tabular.neighbour_pairs(df, 60, 3)
+    plan = _plan(pairs, capsys)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert [(r.recording_id, r.right_recording_id, r.right_started_sec) for r in pairs.collect()] == [(1, 2, 20)]
+    assert [tuple(r) for r in tabular.evaluate_pairs(pairs, keep=("started_sec",)).select("verdict", "right_started_sec").collect()] == [("merge", 20)]
+
+
+def test_baselines_are_dealt_once(spark, capsys, monkeypatch):
+    monkeypatch.setattr(tabular, "TASK_ROWS", 4, raising=False)
+    df = spark.range(10).selectExpr("id % 2 as k", "id % 3 as job", "id", "id * 7 % 5 as at")
+    assert _plan(tabular.nearest_baseline(df.where("id < 5"), df.where("id >= 5"), ["k"]), capsys).count("Exchange ") == 1
