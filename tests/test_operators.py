@@ -424,3 +424,9 @@ def test_baselines_are_dealt_once(spark, capsys, monkeypatch):
     monkeypatch.setattr(tabular, "TASK_ROWS", 4, raising=False)
     df = spark.range(10).selectExpr("id % 2 as k", "id % 3 as job", "id", "id * 7 % 5 as at")
     assert _plan(tabular.nearest_baseline(df.where("id < 5"), df.where("id >= 5"), ["k"]), capsys).count("Exchange ") == 1
+
+
+def test_proposals_fold_visits_once(spark, capsys):
+    from colloquy.plans.registry import QUERIES
+
+    assert "MapInArrow" not in _plan(QUERIES["rec13_proposals"](spark, "/root/testdata/sf0.001"), capsys)
