@@ -27,8 +27,8 @@ document are joined with the count table. Both ways are exact.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,13 +45,15 @@ LEAST_SHARE = 0.0
 LEAST_GAIN = 4.0
 FREQUENT = 100_000
 END = 10
-FLUSH = 2_000_000
+FLUSH = 3_000_000
 #: Contexts of up to this many bytes (65,536 of two at most) are judged on the driver.
 TOP = 2
 GROUP = 200_000
 HEAD = 1_000_000
 #: Bytes of text, about, and rows (under 256) that a task takes apart at once.
 STEP_BYTES, STEP_ROWS = 1 << 20, 200
+#: Sequences, about, that a task sorts at once.
+SORTED = 4_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -69,13 +71,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+def _split(texts):
+    """The lists of words of an array of texts, as :func:`words` has them; null where there are none."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    low = pc.ascii_lower(pc.ascii_trim_whitespace(texts))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(low), 0), pa.scalar(None, low.type), low))
+
+
+def _joined(lists) -> list[bytes]:
+    """What :func:`symbols` gives for the texts of these lists of words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return [b"\n" if t is None else t + b" \n" for t in pc.binary_join(lists, " ").cast(pa.binary()).to_pylist()]
+
+
 def _grams(docs: list[bytes], size: int) -> np.ndarray:
-    """Codes of the byte sequences of this size that end in a symbol of a document, from the documents' symbols."""
-    x = np.frombuffer(b"".join(b"\n" * (size - 1) + d for d in docs), np.uint8)
-    code = np.zeros(max(0, len(x) - size + 1), np.int64)
-    for k in range(size):
-        code <<= 8
-        code |= x[k : len(x) - size + 1 + k]
+    """Codes of the byte sequences of this size (under 8) that end in a symbol of a document, from the documents' symbols."""
+    data = b"".join([b"\0" * (8 - size), *(b"\n" * (size - 1) + d for d in docs)])
+    code = np.ndarray(max(0, len(data) - 7), ">u8", data, 0, (1,)).astype(np.uint64).view(np.int64)  # the eight bytes from each on
+    code &= (1 << 8 * size) - 1
     ends = np.cumsum([len(d) + size - 1 for d in docs])
     keep = np.ones(len(code), bool)  # sequences that end before a document's first symbol
     for e in ends[:-1].tolist():
@@ -85,31 +102,46 @@ def _grams(docs: list[bytes], size: int) -> np.ndarray:
 
 def gram_counts(docs: DataFrame, size: int, held=None) -> DataFrame:
     """(code, n, m) over all texts, n without the rows where ``held`` is true; tasks send partial sums."""
-    apart = 1 << 8 * size  # marks a held-out row's code
-
     def count(batches: Iterator) -> Iterator:
         codes, counts, waiting = [], [], 0
-        for batch in batches:
-            for at, k in _steps(batch.column(0)):
-                part = batch.slice(at, k)
-                some = list(zip(map(symbols, part.column(0).to_pylist()), part.column(1).to_pylist()))
-                made = [_grams([d for d, h in some if not h], size), _grams([d for d, h in some if h], size) | apart]
-                c, n = np.unique(np.concatenate(made), return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                waiting += len(c)
+        for c, n in _runs(marked(batches)):
+            codes.append(c)
+            counts.append(n)
+            waiting += len(c)
+            if waiting > FLUSH:
+                codes, counts, waiting = _merged(codes, counts)
                 if waiting > FLUSH:
-                    codes, counts, waiting = _merged(codes, counts)
-                    if waiting > FLUSH:
-                        yield from _sent(codes[0], counts[0])
-                        codes, counts, waiting = [], [], 0
+                    yield from _sent(codes[0], counts[0])
+                    codes, counts, waiting = [], [], 0
         if codes:
             codes, counts, _ = _merged(codes, counts)
             yield from _sent(codes[0], counts[0])
 
-    told = docs.select("whole", (F.lit(False) if held is None else held).alias("held")).mapInArrow(count, "code long, n long")
-    learnt = F.when(F.col("code") < apart, F.col("n")).otherwise(0)
-    return told.groupBy(F.expr(f"code & {apart - 1}L").alias("code")).agg(F.sum(learnt).alias("n"), F.sum("n").alias("m"))
+    def marked(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at, k in _steps(batch.column(0)):
+                part = batch.slice(at, k)
+                read = _joined(_split(part.column(0)))
+                marks = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)  # the lowest bit is a held-out row's
+                yield (_grams(read, size) << 1) | np.repeat(marks, [len(d) for d in read])
+
+    told = docs.select("whole", (F.lit(False) if held is None else held).alias("held")).mapInArrow(count, "code long, n long, m long")
+    return told.repartition("code").groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))  # the tasks' rows are sums already
+
+
+def _runs(some: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct codes and their numbers, of about ``SORTED`` codes each."""
+    held, have = [], 0
+    for code in itertools.chain(some, [None]):
+        if code is not None:
+            held.append(code)
+            have += len(code)
+        if have > SORTED or (code is None and have):
+            c = np.concatenate(held)
+            held, have = [], 0
+            c.sort()
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            yield c[first], np.diff(first, append=len(c))
 
 
 def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list, int]:
@@ -121,11 +153,16 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, li
     return [c[first]], [np.add.reduceat(n, first) if len(c) else n], len(first)
 
 
-def _sent(codes: np.ndarray, counts: np.ndarray, step: int = 50_000) -> Iterator:
+def _sent(marked: np.ndarray, counts: np.ndarray, step: int = 50_000) -> Iterator:
+    """Rows (code, n, m) of sorted codes with a lowest bit that is 1 for held-out rows."""
     import pyarrow as pa
 
+    codes = marked >> 1
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    learnt, every = (np.add.reduceat(x, first) for x in (np.where(marked & 1, 0, counts), counts))
+    codes = codes[first]
     for i in range(0, len(codes), step):
-        yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + step], pa.int64()), pa.array(counts[i : i + step], pa.int64())], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (codes, learnt, every)], names=["code", "n", "m"])
 
 
 class Tree:
@@ -167,7 +204,7 @@ class Tree:
         for d in range(self.depth, 0, -1):
             if not len(open_) or not len(self.keys[d]):
                 continue
-            found = _look_up(self.slots[d], self.keys[d], ctx[open_] & ((1 << 8 * d) - 1))
+            found = _look_up(self.slots[d], ctx[open_] & ((1 << 8 * d) - 1))
             hit = found >= 0
             state[open_[hit]] = found[hit] + self.first[d]
             open_ = open_[~hit]
@@ -194,20 +231,27 @@ def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return at, place, shift
 
 
-def _look_up(slots: tuple[np.ndarray, np.ndarray, int], keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at, place, shift = slots
-    s = ((wanted.astype(np.uint64) * _MULTIPLY) >> np.uint64(shift)).astype(np.int64)
+def _find(at: np.ndarray, shift: int, wanted: np.ndarray) -> np.ndarray:
+    """The slot of each code, -1 where it has none."""
+    s = ((wanted.view(np.uint64) * _MULTIPLY) >> np.uint64(shift)).view(np.int64)
     key = at[s]
-    out = np.where(key == wanted, place[s], -1)
-    todo = np.flatnonzero((key != wanted) & (key >= 0))
-    mask = len(at) - 1
-    while len(todo):
-        s[todo] = (s[todo] + 1) & mask
-        key = at[s[todo]]
-        hit = key == wanted[todo]
-        out[todo[hit]] = place[s[todo[hit]]]
-        todo = todo[~hit & (key >= 0)]
-    return out
+    other = np.flatnonzero(key != wanted)
+    now, key, mask = s[other], key[other], len(at) - 1
+    s[other] = -1
+    while len(other):
+        open_ = key >= 0
+        other, now = other[open_], (now[open_] + 1) & mask
+        key = at[now]
+        hit = key == wanted[other]
+        s[other[hit]] = now[hit]
+        other, now, key = other[~hit], now[~hit], key[~hit]
+    return s
+
+
+def _look_up(slots: tuple[np.ndarray, np.ndarray, int], wanted: np.ndarray) -> np.ndarray:
+    at, place, shift = slots
+    s = _find(at, shift, wanted)
+    return np.where(s >= 0, place[s], -1)
 
 
 def grow(counts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> dict[int, pd.DataFrame]:
@@ -401,24 +445,26 @@ def word_counts(train: DataFrame) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen: Counter[bytes] = Counter()
+        held, have = [], 0
 
-        def sent():
-            items = list(seen.items())
-            for i in range(0, len(items), 50_000):
-                w, n = zip(*items[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
-            seen.clear()
+        def merged():
+            return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words(t))
-                if len(seen) > FLUSH:
-                    yield from sent()
-        if seen:
-            yield from sent()
+            for at, k in _steps(batch.column(0)):
+                found = _split(batch.column(0).slice(at, k)).flatten().value_counts()
+                held.append(pa.RecordBatch.from_arrays([found.field(0).cast(pa.binary()), found.field(1)], names=["word", "n"]))
+                have += len(found)
+                if have > FLUSH:
+                    now = merged()
+                    held, have = now.to_batches(), len(now)
+                    if have > FLUSH // 2:
+                        yield from now.to_batches(max_chunksize=50_000)
+                        held, have = [], 0
+        if held:
+            yield from merged().to_batches(max_chunksize=50_000)
 
-    return train.select("whole").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("whole").mapInArrow(count, "word binary, n long").repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,9 +488,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         import xxhash
 
-        slots, head_codes, head_logs, frequent = _ready(sent)
+        head_codes, shift, head_logs, frequent, frequent_n = _ready(sent)
         told_type = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
         def rows(of: np.ndarray, ids, keys: np.ndarray, word, times: np.ndarray, told=None):
@@ -452,37 +499,36 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "word", "times", "told"])
 
         for batch in batches:
-            for at, n in _steps(batch.column(1)):
-                part = batch.slice(at, n)
-                ids, some = part.column(0), part.column(1).to_pylist()
-                read = [symbols(t) for t in some]
+            for at, k in _steps(batch.column(1)):
+                ids, texts = batch.column(0).slice(at, k), batch.column(1).slice(at, k)
+                lists = _split(texts)
+                read = _joined(lists)
                 code = _grams(read, size)
-                place = _look_up(slots, head_codes, code)
-                lengths = np.array([len(d) for d in read], np.int64)
-                score = np.add.reduceat(np.where(place >= 0, head_logs[place], 0.0), np.concatenate(([0], np.cumsum(lengths)[:-1])))
-                owner = np.repeat(np.arange(len(some), dtype=np.uint64), lengths)[place < 0]  # under 256
-                other, number = np.unique((owner << np.uint64(56)) | code[place < 0].astype(np.uint64), return_counts=True)
-                keys = np.array([xxhash.xxh3_64_intdigest((t or "").encode()) for t in some], np.uint64).view(np.int64)
-                told, rest, times, of = [], [], [], []
-                for i, d in enumerate(read):
-                    n = known = 0
-                    logs = 0.0
-                    for w, k in Counter(d.split()).items():
-                        n += k
-                        c = frequent.get(w)
-                        if c is None:
-                            rest.append(w)
-                            times.append(k)
-                            of.append(i)
-                        else:
-                            known += k
-                            logs += k * math.log10(c + 1)
-                    told.append({"n": n, "known": known, "logs": logs, "score": score[i]})
+                slot = _find(head_codes, shift, code)
+                ends = np.cumsum([len(d) for d in read])
+                score = np.add.reduceat(np.where(slot >= 0, head_logs[slot], 0.0), np.concatenate(([0], ends[:-1])))
+                left = np.flatnonzero(slot < 0)
+                owner = np.searchsorted(ends, left, side="right").astype(np.uint64)  # under 256
+                other, number = np.unique((owner << np.uint64(56)) | code[left].view(np.uint64), return_counts=True)
+                keys = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+                told_words = lists.flatten().dictionary_encode()
+                kinds, place = told_words.dictionary.cast(pa.binary()), told_words.indices.to_numpy().astype(np.int64)
+                owner = pc.list_parent_indices(lists).to_numpy()
+                c = frequent_n[pc.fill_null(pc.index_in(kinds, value_set=frequent), -1).to_numpy(zero_copy_only=False)]  # -1 for others
+                told = pa.StructArray.from_arrays(
+                    [
+                        pa.array(np.bincount(owner, minlength=k).astype(np.int64)), pa.array(np.bincount(owner[c[place] >= 0], minlength=k).astype(np.int64)),
+                        pa.array(np.bincount(owner, np.log10(np.maximum(c, 0) + 1)[place], k).astype(float)), pa.array(score),
+                    ],
+                    fields=list(told_type),
+                )
+                rare_ = c[place] < 0
+                rest, times = np.unique((owner[rare_].astype(np.int64) << 32) | place[rare_], return_counts=True)
                 # a document's own row: its word has a space, so no word equals it and the rows are dealt out
-                own = [b" " + k.tobytes() + (b"" if d is None else d.to_bytes(8, "little", signed=True)) for k, d in zip(keys, ids.to_pylist())]
-                yield rows(np.arange(len(some)), ids, keys, pa.array(own, pa.binary()), np.zeros(len(some), np.int64), pa.array(told, told_type))
-                if rest:
-                    yield rows(np.array(of), ids, keys, pa.array(rest, pa.binary()), np.array(times, np.int64))
+                own = [b" " + x.tobytes() + (b"" if d is None else d.to_bytes(8, "little", signed=True)) for x, d in zip(keys, ids.to_pylist())]
+                yield rows(np.arange(k), ids, keys, pa.array(own, pa.binary()), np.zeros(k, np.int64), told)
+                if len(rest):
+                    yield rows(rest >> 32, ids, keys, kinds.take(pa.array(rest & ((1 << 32) - 1))), times.astype(np.int64))
                 if len(other):
                     word = _as_words((other & np.uint64((1 << 56) - 1)).astype(np.int64))
                     yield rows((other >> np.uint64(56)).astype(np.int64), ids, keys, word, number.astype(np.int64))
@@ -508,5 +554,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
 
 @lru_cache(maxsize=1)
 def _ready(sent) -> tuple:
+    import pyarrow as pa
+
     codes, logs, heavy, n = sent.value
-    return _slots(codes), codes, np.append(logs, 0.0), dict(zip(heavy, n))
+    at, place, shift = _slots(codes)
+    return at, shift, np.append(logs, 0.0)[place], pa.array(heavy, pa.binary()), np.append(np.array(n, np.int64), -1)

@@ -140,3 +140,43 @@ def test_sequences_come_from_symbols_made_once():
     runs = [np.unique(np.array(r), return_counts=True) for r in ([3, 1, 3], [7], [1, 3, 9])]
     (code,), (n,), size = st._merged([c for c, _ in runs], [k for _, k in runs])
     assert dict(zip(code.tolist(), n.tolist())) == {1: 2, 3: 3, 7: 1, 9: 1} and size == 4
+
+
+def test_steps_are_made_without_a_loop_over_words(monkeypatch):
+    """Words, symbols and sequences of a step come from whole arrays and equal those made text by text."""
+    import pyarrow as pa
+
+    texts = ["  Ab \t\ncD\x0b\x0ce ", "", " \t", None, "x", "\u00c9\x85\xa0\u00fc\u2003Z A\x1cB\x00c\x1f", "ab cd " * 40]
+    lists = st._split(pa.array(texts))
+    assert [[w.encode() for w in x or []] for x in lists.to_pylist()] == [st.words(t) for t in texts]
+    read = st._joined(lists)
+    assert read == [st.symbols(t) for t in texts]
+    for size in (1, 3, 7):
+        plain = [int.from_bytes((b"\n" * (size - 1) + d)[i : i + size], "big") for d in read for i in range(len(d))]
+        assert st._grams(read, size).tolist() == plain
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 3000))
+    at, place, shift = st._slots(codes[::2])
+    assert codes[::2].tolist() == codes[::2][place[st._find(at, shift, codes[::2])]].tolist() and (st._find(at, shift, codes[1::2]) < 0).all()
+
+
+def test_tasks_send_a_sequence_once(spark, monkeypatch):
+    """Training and held-out rows of a task share a row of sums; sums that were sent early add up."""
+    data = [(i, t) for i, (_, t) in enumerate(rows())]
+    df = spark.createDataFrame(data, "doc_id long, whole string")
+    want = {}
+    for d, t in data:
+        s = b"\n\n" + st.symbols(t)
+        for i in range(len(s) - 2):
+            n = want.setdefault(int.from_bytes(s[i : i + 3], "big"), [0, 0])
+            n[0] += not is_held(d)
+            n[1] += 1
+    marked = np.array([2, 3, 3, 9, 10])
+    (sent,) = st._sent(np.unique(marked), np.array([1, 2, 1, 1]))
+    assert sent.to_pydict() == {"code": [1, 4, 5], "n": [1, 0, 1], "m": [3, 1, 1]}
+    for flush, together in ((st.FLUSH, st.SORTED), (100, 300)):
+        monkeypatch.setattr(st, "FLUSH", flush)
+        monkeypatch.setattr(st, "SORTED", together)
+        got = st.gram_counts(df, 3, st.held_out()).collect()
+        assert len(got) == len(want) and {r.code: [r.n, r.m] for r in got} == want
+        counted = {bytes(r.word): r.n for r in st.word_counts(df).collect()}
+        assert counted == Counter(w for _, t in data for w in st.words(t))
