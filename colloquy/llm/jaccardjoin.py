@@ -13,8 +13,9 @@ set and the first l common shingles remain in both.
    sum of its shingles' counts over l. A longer prefix reads more postings and leaves fewer
    documents to verify, so each class takes the l of 1 to ``MOST`` with the least estimated cost and
    keeps n - t + l shingles. A pair is verified only if the prefixes share the lesser l of both.
-3. Candidates: classes are in the bucket of each of their first n - t + 1 shingles, of which every
-   linked pair shares one. In star rounds each bucket that still holds several components pairs
+3. Candidates: classes, numbered by 64 bits as their keys of 128 would be most of what is shuffled, are in the
+   bucket of each of their first n - t + 1 shingles, of which every linked pair shares one; postings are
+   dealt by shingle once, where those of a shingle with one class are dropped. In star rounds each bucket that still holds several components pairs
    its least member (then one drawn by hash) with all others and lets it go, so pairs grow with
    members and not with their square; then the remaining buckets are dealt by pairs of blocks
    of ``BLOCK`` members, which return only links that connect. Nothing is capped.
@@ -28,7 +29,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.dedup import _told, components, is_link, text_key
@@ -45,7 +46,7 @@ PART = 1 << 16
 #: Shingles that a task counts before it sends.
 FLUSH = 4_000_000
 MOST = 8
-#: So many document ids are broadcast to pick the texts of candidates; where there are more, texts are joined by key.
+#: So many ids are broadcast to pick the prefixes, texts and sets of candidates; where there are more, these are joined by key.
 BROADCAST_IDS = 500_000
 BLOCK = 256
 STARS = 2
@@ -206,6 +207,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.where(100 * shared >= share * (F.size("x") + F.size("y") - shared)).select("left", "right")
 
 
+def _ids(pairs: DataFrame, name: str) -> DataFrame:
+    """(cid) of the classes in these pairs."""
+    return cut(pairs.select(F.explode(F.array("left", "right")).alias("cid")).distinct(), name)
+
+
+def _some(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these classes, few of which are moved where the written ids are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "cid", "left_semi")
+
+
 def _class_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(cid, hashes): the full sets of the wanted classes, from one text of each."""
 
@@ -215,12 +226,12 @@ def _class_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["cid", "hashes"])
 
-    of = cut(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "text_key"), "asked")
+    of = cut(_some(classes, wanted).select("cid", "rep", "text_key"), "asked")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("whole"))
-    if of.count() <= BROADCAST_IDS:  # whole texts are shuffled only where more are asked for
-        rows = rows.join(F.broadcast(of.select("rep").distinct()), "rep", "left_semi")
-    kept = rows.withColumn("text_key", text_key("whole"))
-    return kept.join(of, ["rep", "text_key"]).select("cid", "whole").dropDuplicates(["cid"]).mapInArrow(hashed, "cid binary, hashes array<long>")
+    if wanted.count() <= BROADCAST_IDS:  # whole texts are shuffled by the join only where more are asked for
+        rows, of = rows.join(F.broadcast(of.select("rep")), "rep", "left_semi"), F.broadcast(of)
+    kept = rows.withColumn("text_key", text_key("whole")).join(of, ["rep", "text_key"])
+    return kept.dropDuplicates(["rep", "text_key"]).select("cid", "whole").mapInArrow(hashed, "cid long, hashes array<long>")  # a class has one of each
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
@@ -234,13 +245,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: i
     base = cut(prefixed(docs, id_col, text, share), "prefixed")
     one = F.first(F.struct("prefix", "matches", F.col("n_shingles").alias("n"))).alias("p")
     of = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("of")
-    classes = cut(base.where("set_key is not null").groupBy(F.col("set_key").alias("cid")).agg(of, one, F.count("*").alias("rows")).select("cid", F.col("of.doc_id").alias("rep"), F.col("of.text_key").alias("text_key"), "p.*", "rows"), "classes")
+    classes = cut(base.where("set_key is not null").groupBy("set_key").agg(of, one, F.count("*").alias("rows")).select(F.monotonically_increasing_id().alias("cid"), "set_key", F.col("of.doc_id").alias("rep"), F.col("of.text_key").alias("text_key"), "p.*", "rows"), "classes")
     named = classes.where("rep is not null")
-    postings = named.select(F.explode(F.slice("prefix", 1, _first("n", share))).alias("token"), "cid", "n").repartition("token")
-    many = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    members = cut(postings.join(many, "token"), "members")
+    postings = named.select(F.explode(F.slice("prefix", 1, _first("n", share))).alias("token"), "cid", "n")
+    members = cut(postings.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"), "members")
     wanted = cut(members.select("cid").distinct(), "wanted")
-    near = cut(named.join(wanted, "cid", "left_semi").select("cid", "prefix", "matches", "n"), "near")
+    near = cut(_some(named, wanted).select("cid", "prefix", "matches", "n"), "near")
     close = lambda a, b: 100 * F.least(a, b) >= share * F.greatest(a, b)
     links, labels, left, sets = None, None, members, None
     for r in range(STARS):
@@ -250,22 +260,23 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", share: i
         rest = cut(now.join(hub, "token").where("cid <> hub"), f"rest{r}")
         pairs = rest.where(F.col("comp") != F.col("hub_comp")).where(close("n", "hub_n")).select(F.least("cid", "hub").alias("left"), F.greatest("cid", "hub").alias("right")).distinct()
         live = cut(_matched(pairs, near, share), f"live{r}")
-        new = live.select(F.col("left").alias("cid")).union(live.select(F.col("right").alias("cid"))).distinct()
-        new = new if sets is None else new.join(sets.select("cid"), "cid", "left_anti")
+        asked = _ids(live, f"asked{r}")
+        new = asked if sets is None else cut(asked.join(sets.select("cid"), "cid", "left_anti"), f"new{r}")
         made = cut(_class_sets(named, new, docs, id_col, text), f"sets{r}")
         sets = made if sets is None else sets.union(made)
-        found = cut(_verified(live, sets, share), f"links{r}")
+        found = cut(_verified(live, _some(sets, asked), share), f"links{r}")
         links = found if links is None else links.union(found)
         labels = cut(wanted.join(components(links), "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp")), "labels")
         left = rest.select("token", "cid", "n")
     open_ = cut(_candidates(_dealt(left, labels, near), share), "open")
-    new = open_.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti")
+    asked = cut(open_.select("cid").distinct(), "asked")
+    new = cut(asked.join(sets.select("cid"), "cid", "left_anti"), "new")
     sets = sets.union(cut(_class_sets(named, new, docs, id_col, text), "sets"))
-    links = links.union(_closure(open_.join(near, "cid").join(sets, "cid"), share))
+    links = links.union(_closure(open_.join(_some(near, asked), "cid").join(_some(sets, asked), "cid"), share))
     final = components(links)
     least = final.join(classes.select("cid", "rep"), "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = final.join(least, "comp").select("cid", "comp", "component_id")
-    own = classes.join(of, "cid", "left").select(F.col("cid").alias("set_key"), F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("comp", "cid").alias("comp"), F.col("rows").alias("n"))
+    of = final.join(least, "comp").select("cid", "component_id")
+    own = classes.join(of, "cid", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.lit(None).cast("binary").alias("comp"), F.col("rows").alias("n"))
     return _told(base, cut(own, "named")).select("doc_id", "n_shingles", "component_id")
 
 
@@ -290,7 +301,7 @@ def _blocks(batches: Iterator) -> Iterator[tuple]:
 
 def _candidates(dealt: DataFrame, share: int) -> DataFrame:
     """(token, i, j, cid, comp, own) of the members that share enough of a prefix with one of another component; only these need their full sets."""
-    schema = "token long, i int, j int, cid binary, comp binary, own int"
+    schema = "token long, i int, j int, cid long, comp long, own int"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -298,8 +309,8 @@ def _candidates(dealt: DataFrame, share: int) -> DataFrame:
         for token, i, j, (cid, comp, own, prefix, matches, n) in _blocks(batches):
             kept = sorted({x for pair in block_pairs(token, comp, own, prefix, matches, n, i != j, share) for x in pair})
             if kept:
-                values = [[token] * len(kept), [i] * len(kept), [j] * len(kept), [cid[x] for x in kept], [comp[x] for x in kept], [int(own[x]) for x in kept]]
-                types = pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()
+                values = [[token] * len(kept), [i] * len(kept), [j] * len(kept), [int(cid[x]) for x in kept], [int(comp[x]) for x in kept], [int(own[x]) for x in kept]]
+                types = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[*_KEY, "cid", "comp", "own"])
 
     kept = dealt.select(*_KEY, "cid", "comp", "own", "prefix", "matches", "n")
@@ -315,10 +326,10 @@ def _closure(dealt: DataFrame, share: int) -> DataFrame:
         for token, i, j, (cid, comp, own, prefix, matches, n, hashes) in _blocks(batches):
             found = block_links(token, cid, comp, own, prefix, matches, n, hashes, i != j, share)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["left", "right"])
 
     kept = dealt.select(*_KEY, "cid", "comp", "own", "prefix", "matches", "n", "hashes")
-    return kept.repartition(*_KEY).sortWithinPartitions(*_KEY, "cid").mapInArrow(run, "left binary, right binary")
+    return kept.repartition(*_KEY).sortWithinPartitions(*_KEY, "cid").mapInArrow(run, "left long, right long")
 
 
 def block_pairs(token: int, comp, own, prefixes, matches, n, across: bool, share: int, group: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -352,14 +363,14 @@ def block_pairs(token: int, comp, own, prefixes, matches, n, across: bool, share
 
 
 def numbered(comp) -> np.ndarray:
-    number: dict[bytes, int] = {}
+    number: dict[int, int] = {}
     return np.array([number.setdefault(c, len(number)) for c in comp])
 
 
-def block_links(token: int, cid, comp, own, prefixes, matches, n, sets, across: bool, share: int = SHARE) -> list[tuple[bytes, bytes]]:
+def block_links(token: int, cid, comp, own, prefixes, matches, n, sets, across: bool, share: int = SHARE) -> list[tuple[int, int]]:
     """The links that connect components within one block pair, a spanning forest of them."""
     group = numbered(comp)
-    found: list[tuple[bytes, bytes]] = []
+    found: list[tuple[int, int]] = []
     for a, b in block_pairs(token, comp, own, prefixes, matches, n, across, share, group):
         if is_link(sets[a].view(np.uint64), sets[b].view(np.uint64), share):
             found.append((cid[a], cid[b]))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import jaccardjoin
 
@@ -115,3 +116,28 @@ def test_very_long_and_empty(spark):
     long = [f"t{rng.randrange(10**6)}" for _ in range(60_000)]
     check(spark, [(1, " ".join(long)), (2, " ".join([*long[:-900], *long[:900]])), (3, " ".join(long[:50_000]))], 90)
     assert jaccardjoin.joined(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_each_step_is_dealt_once(spark, monkeypatch):
+    """Postings and the texts of candidates are shuffled once, and classes go by numbers and not by their long keys."""
+    plans, cut = {}, jaccardjoin.cut
+
+    def seen(df, name):
+        plans.setdefault(name, (dict(df.dtypes), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return cut(df, name)
+
+    monkeypatch.setattr(jaccardjoin, "cut", seen)
+    check(spark, some_rows(3, 6), 90)
+    types, exchanges = plans["members"]
+    assert types["cid"] == "bigint" and exchanges == 1
+    assert plans["sets0"][1] == 1
+    assert plans["open"][0]["comp"] == "bigint"
+
+
+def test_rows_that_repeat_make_one_set(spark):
+    """A class has the set of one row, however many rows have its id and text."""
+    df = spark.createDataFrame([(1, "a b c d")] * 5 + [(2, "a b c e"), (None, "a b c d"), (1, "z")], "doc_id long, text string")
+    key = jaccardjoin.text_key
+    classes = df.where("doc_id is not null").distinct().select((F.col("doc_id") * 10 + F.length("text")).alias("cid"), F.col("doc_id").alias("rep"), key("text").alias("text_key"))
+    got = jaccardjoin._class_sets(classes, classes.select("cid").where("cid <> 11"), df, "doc_id", "text").collect()
+    assert sorted((r.cid, len(r.hashes)) for r in got) == [(17, 2), (27, 2)]
