@@ -30,3 +30,12 @@ def test_last_assignment_counts_with_its_nulls(spark, tmp_path):
     got, want = both_sides(spark, tmp_path, "tag3_insight_report", "lineitem", lineitem)
     assert [r for r in got if "coverage" not in r and "agreement" not in r] == [r for r in want if "coverage" not in r and "agreement" not in r]
     assert "('confidence', 2)" in want
+
+
+def test_lines_of_an_order_with_one_tag_are_repeats(spark, tmp_path):
+    """Lines 1 and 5 bear one tag, whatever their parts; a part key of seven digits leaves them in their order."""
+    rows = "(7, 1, 11), (7, 5, 22), (7, 2, 33), (8, 1, 1199999), (8, 5, 6), (9, 3, 8), (19, 1, 11)"
+    lineitem = f"""SELECT CAST(o AS BIGINT) AS l_orderkey, CAST(p AS BIGINT) AS l_partkey, 1::BIGINT AS l_suppkey, n AS l_linenumber, 5.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax,
+      'A' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '2024-01-01' AS l_shipdate FROM (VALUES {rows}) v(o, n, p)"""
+    got, want = both_sides(spark, tmp_path, "ev16_prediction_integrity", "lineitem", lineitem)
+    assert got == want and [r[:16] for r in want] == ["('tag1', 5, 0, 2", "('tag2', 1, 1, 0", "('tag3', 1, 0, 0"]
