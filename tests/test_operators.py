@@ -430,3 +430,15 @@ def test_proposals_fold_visits_once(spark, capsys):
     from colloquy.plans.registry import QUERIES
 
     assert "MapInArrow" not in _plan(QUERIES["rec13_proposals"](spark, "/root/testdata/sf0.001"), capsys)
+
+
+def test_bootstrap_query_draws_all_rounds_in_many_tasks(spark, monkeypatch):
+    from colloquy.operators import evaluations
+    from colloquy.plans.registry import ORACLES, QUERIES
+
+    asked, plain = [], evaluations.bootstrap_bound
+    monkeypatch.setattr(evaluations, "bootstrap_bound", lambda rows, key, order, value, iterations=plain.__defaults__[0]: asked.append(iterations) or plain(rows, key, order, value, iterations))
+    df = QUERIES["ev26_bootstrap_bound"](spark, "/root/testdata/sf0.001")
+    assert asked == [2000] and "range(0, 500)" in ORACLES["ev26_bootstrap_bound"]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f", {parts})" in [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(id" in line][0].split("REPARTITION_BY_NUM")[0]
