@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.operators import browse, graphs, receptions as op, retrieval, scores, sequences, tabular, tagging
+from colloquy.operators import browse, graphs, pairs, receptions as op, retrieval, scores, sequences, tabular, tagging
 from colloquy.plans.registry import query
 
 S, R, A, E, T = ("segments",), ("recordings",), ("assignments",), ("edges",), ("transitions",)
@@ -11,11 +11,13 @@ S, R, A, E, T = ("segments",), ("recordings",), ("assignments",), ("edges",), ("
 
 @query("rec2_visits", R)
 def _(t):
-    """Visits from pairs within 15 minutes; every fifth customer's neighbours are split by hand, every thirteenth recording names its visit."""
+    """Visits from all pairs within 15 minutes; every fifth customer's neighbours are split by hand, every thirteenth recording names its visit."""
     r = t.recordings.withColumn("explicit", F.when(F.col("recording_id") % 13 == 0, F.concat_ws("-", "tenant_id", "store_id", F.expr("started_sec div 3600"))))
-    near = tabular.neighbour_pairs(t.recordings, 900, 3)
-    splits = near.where("customer % 5 = 0").select(F.col("recording_id").alias("a"), F.col("right_recording_id").alias("b"))
-    return op.grouped(r, tabular.evaluate_pairs(near, keep=("started_sec",)), splits)
+    near = pairs.judged_pairs(t.recordings, window_sec=900, names=(), keep=("started_sec", "customer")).drop("reasons")
+    split = F.coalesce(F.col("customer") % 5 == 0, F.lit(False))
+    # two known customers are never mixed, so nobody need part them, and a pair that is parted itself is never united
+    splits = near.where(split & F.coalesce(F.col("customer") == F.col("right_customer"), F.lit(True))).select(F.col("recording_id").alias("a"), F.col("right_recording_id").alias("b"))
+    return op.grouped(r, near.where(~split), splits)
 
 
 @query("rec3_manual_constraints", R, """
