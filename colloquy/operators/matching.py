@@ -118,6 +118,11 @@ def _band(n: Column) -> Column:
 BANDS = int(np.ceil(np.log(likeness.MUCH_LONGER) / np.log(likeness.LONGER)))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """To be joined by dealing both sides: names taken apart are many times what Spark expects of the names, too much to send through the driver."""
+    return rows.hint("merge")
+
+
 def _met(x: DataFrame, y: DataFrame, one_way: bool = False) -> DataFrame:
     """Pairs of x and y (name, group, key, ...) of one key and of groups that fit, whichever way round they came."""
     # keys carry the group: T meets T and null, null meets all
@@ -125,7 +130,7 @@ def _met(x: DataFrame, y: DataFrame, one_way: bool = False) -> DataFrame:
     met = lambda g: F.when(g.isNull(), F.array(F.lit("?"), F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), g), F.lit("*")))
     left = x.select("name", F.col("group").alias("name_group"), "key", "n", F.explode(meets(F.col("group"))).alias("meet"))
     right = y.select(F.col("name").alias("other"), F.col("group").alias("other_group"), "key", F.col("n").alias("m"), F.explode(met(F.col("group"))).alias("meet"))
-    return left.join(right, ["key", "meet"]).where("name < other" if one_way else "name <> other")
+    return left.join(_dealt(right), ["key", "meet"]).where("name < other" if one_way else "name <> other")
 
 
 def _near(variants: DataFrame, least: float) -> DataFrame:
@@ -196,7 +201,7 @@ def candidate_pairs(names: DataFrame, others: DataFrame, least: float, kind: str
         shorter, longer = _held(x.withColumn("n", F.length("v")).where(F.size(wanted) > 0), used), _held(y, used)
         often = longer.groupBy("key").agg(F.count("*").alias("often"))
         mine = F.when(F.length("v") <= COUNTED, F.get(table, F.length("v") - 1)).otherwise(F.struct(F.lit(1).alias("q"), F.length("v").alias("look")))
-        asked = shorter.withColumn("plan", mine).where("q = plan.q").join(often, "key", "left").groupBy("name", "group", "v").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key"))).alias("all"), F.first("plan.look").alias("look"), F.first("n").alias("n"))
+        asked = shorter.withColumn("plan", mine).where("q = plan.q").join(_dealt(often), "key", "left").groupBy("name", "group", "v").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key"))).alias("all"), F.first("plan.look").alias("look"), F.first("n").alias("n"))
         asked = tagged(asked.select("name", "group", "n", F.explode(F.slice("all", 1, F.col("look"))["key"]).alias("key")), wanted)
         offered = tagged(longer.select("name", "group", "key", "n"), given)
         rows = _met(asked, offered, one_way) if ways else _met(offered, asked, one_way)
@@ -245,11 +250,11 @@ def _nearest_words(names: DataFrame, others: DataFrame, least: float) -> DataFra
     # every group on its own, and all groups together for names without one
     offered = offered.select("name", "key", F.explode(F.array_distinct(F.array(group(F.col("group")), F.lit("*")))).alias("meet"), F.col("n").alias("m"))
     largest = offered.groupBy("key", "meet").agg(F.max("name").alias("name"), F.first("m").alias("m"))
-    next_ = offered.join(largest.select("key", "meet", F.col("name").alias("top")), ["key", "meet"]).where("name < top").groupBy("key", "meet").agg(F.max("name").alias("next"))
-    two = largest.withColumnRenamed("name", "top").join(next_, ["key", "meet"], "left")
+    next_ = offered.join(_dealt(largest.select("key", "meet", F.col("name").alias("top"))), ["key", "meet"]).where("name < top").groupBy("key", "meet").agg(F.max("name").alias("next"))
+    two = largest.withColumnRenamed("name", "top").join(_dealt(next_), ["key", "meet"], "left")
     meets = F.when(F.col("group").isNull(), F.array(F.lit("*"))).otherwise(F.array(group(F.col("group")), F.lit("?")))
     asked = _asking(one(names)).select("name", F.col("group").alias("name_group"), "key", "n", F.explode(meets).alias("meet"))
-    both = asked.join(two, ["key", "meet"]).select("name", "name_group", F.when(F.col("top") != F.col("name"), F.col("top")).otherwise(F.col("next")).alias("canonical"), (F.col("n") + F.col("m")).alias("edits"))
+    both = asked.join(_dealt(two), ["key", "meet"]).select("name", "name_group", F.when(F.col("top") != F.col("name"), F.col("top")).otherwise(F.col("next")).alias("canonical"), (F.col("n") + F.col("m")).alias("edits"))
     size = (F.length("name") + F.length("canonical")).cast("double")
     return both.where("canonical is not null").where(_alike_whole(F.col("name"), F.col("canonical"))).select("name", "name_group", "canonical", (F.lit(200.0) * ((size - F.col("edits")) / 2) / size).alias("score")).where(F.col("score") >= least)
 

@@ -121,3 +121,14 @@ def test_edits_score_without_texts(spark):
     df = spark.createDataFrame([(n, "t") for n in ("abcdefgh", "abcdefgx", "abcdefg", "日本語の店頭販売", "日本語の店舗販売")], "name string, group string")
     found = matching.candidate_pairs(df, df, 85.0, "words", one_way=True).collect()
     assert {(r.name, r.other): r.edits for r in found} == {("abcdefgh", "abcdefgx"): 2, ("abcdefg", "abcdefgh"): 1, ("abcdefg", "abcdefgx"): 1, ("日本語の店舗販売", "日本語の店頭販売"): 2}
+
+
+def test_names_taken_apart_are_never_broadcast(spark, capsys):
+    names = spark.createDataFrame([(f"e{i}", "t") for i in range(60)] + [("e1 e2", "t")], "name string, type string")
+    nodes = spark.createDataFrame([(i, f"e{i}", "t", 1, 1, None) for i in range(60)], "entity_id long, name string, type string, community long, degree long, expired_at long")
+    for df in (matching.names_alike(names, names), upkeep.merge_pairs(nodes)):
+        df.collect()
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
